@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyridge.llm import bpe, packing, records
+from tallyridge.llm import bpe, langid, packing, quality_model, records
 from tallyridge.llm.common import Scratch
 
 
@@ -24,5 +24,13 @@ def op7_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_token_records, op7_dp_packing)}
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(spark, documents(spark, sf_dir))
+
+
+def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.held_out_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_token_records, op7_dp_packing, op8_cross_parsing, op9_random_indexing)}
 ORACLE_SQL: dict[str, str] = {}
