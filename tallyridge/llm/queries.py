@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyridge.llm import bpe, langid, packing, pii, quality_model, records
+from tallyridge.llm import bpe, langid, minhash, packing, pii, quality_model, records
 from tallyridge.llm.common import Scratch
 
 
@@ -20,6 +20,10 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(spark, documents(spark, sf_dir))
 
 
+def op4_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, documents(spark, sf_dir), shingle=2)
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(spark, documents(spark, sf_dir), Scratch(spark).path("records"))
 
@@ -36,5 +40,5 @@ def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.held_out_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_skip_chain_pii, op5_token_records, op7_dp_packing, op8_cross_parsing, op9_random_indexing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_skip_chain_pii, op4_signature_join, op5_token_records, op7_dp_packing, op8_cross_parsing, op9_random_indexing)}
 ORACLE_SQL: dict[str, str] = {}
