@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyridge.llm import bpe, langid, minhash, packing, pii, quality_model, records
+from tallyridge.llm import bpe, itq, langid, minhash, packing, pii, quality_model, records
 from tallyridge.llm.common import Scratch
 
 
@@ -40,5 +40,9 @@ def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.held_out_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_skip_chain_pii, op4_signature_join, op5_token_records, op7_dp_packing, op8_cross_parsing, op9_random_indexing)}
+def op10_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_skip_chain_pii, op4_signature_join, op5_token_records, op7_dp_packing, op8_cross_parsing, op9_random_indexing, op10_iterative_quantisation)}
 ORACLE_SQL: dict[str, str] = {}
