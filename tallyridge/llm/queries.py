@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyridge.llm import bpe, itq, langid, minhash, packing, pii, quality_model, records
+from tallyridge.llm import bpe, itq, langid, minhash, packing, pii, quality_model, quality_rules, records
 from tallyridge.llm.common import Scratch
 
 
@@ -28,6 +28,10 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(spark, documents(spark, sf_dir), Scratch(spark).path("records"))
 
 
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_skip_chain_pii, op4_signature_join, op5_token_records, op7_dp_packing, op8_cross_parsing, op9_random_indexing, op10_iterative_quantisation)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_skip_chain_pii, op4_signature_join, op5_token_records, op6_risk_controlled_rules, op7_dp_packing, op8_cross_parsing, op9_random_indexing, op10_iterative_quantisation)}
+ORACLE_SQL = {"op6_risk_controlled_rules": quality_rules.oracle_sql()}
