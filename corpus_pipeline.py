@@ -3,16 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyridge.llm import packing
+from tallyridge.llm import line_templates, minhash, packing, pii, quality_rules
 from tallyridge.llm.common import Scratch
 
 
-def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules.keep(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go from all documents but the first; a document left without a word goes too."""
+    left = line_templates.dedup(spark, docs)
+    return left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    gone = minhash.near_duplicates(spark, docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(spark, docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document in a token window."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_windows)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("windows", windows)]
 #: SQL cannot express tokenisation.
 ORACLE_SQL = None
 

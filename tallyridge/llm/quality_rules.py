@@ -28,7 +28,7 @@ RULES = (("symbols", "n_symbols", "word_chars"), ("capitals", "n_capitals", "wor
 CUTOFFS = (60, 40, 30, 20, 12, 8, 5, 3, 2, 1)
 #: Words from which the strata after the first begin.
 BANDS = (200, 800, 3000)
-RISK, ERROR = 0.05, 0.05
+RISK, ERROR = 0.02, 0.05
 
 
 def repeated_words(hashes: Column, windows: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyridge.llm import bpe, itq, langid, minhash, packing, pii, quality_model, quality_rules, records
+from tallyridge.llm import bpe, itq, langid, line_templates, minhash, packing, pii, quality_model, quality_rules, records
 from tallyridge.llm.common import Scratch
 
 
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.digests(spark, documents(spark, sf_dir))
+
+
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(spark, documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op10_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_skip_chain_pii, op4_signature_join, op5_token_records, op6_risk_controlled_rules, op7_dp_packing, op8_cross_parsing, op9_random_indexing, op10_iterative_quantisation)}
-ORACLE_SQL = {"op6_risk_controlled_rules": quality_rules.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_templates, op3_skip_chain_pii, op4_signature_join, op5_token_records, op6_risk_controlled_rules, op7_dp_packing, op8_cross_parsing, op9_random_indexing, op10_iterative_quantisation)}
+ORACLE_SQL = {"op2_line_templates": line_templates.oracle_sql(), "op6_risk_controlled_rules": quality_rules.oracle_sql()}
