@@ -3,12 +3,13 @@
 The tree has a fixed depth: a line goes down by its number of tokens, then by its leading ``depth``
 tokens, where a token with a digit counts as variable. In a leaf, the tokens at each later place that
 fewer than ``least`` of its lines have become variable too, and what stays is the line's
-template. A template is dropped when ``least`` lines of documents have it, it has ``min_tokens`` tokens, and at
+template. A template is dropped when ``least`` lines have it, it has ``min_tokens`` tokens, and at
 least ``constant`` of them do not vary. Its first document, the one of smallest id, keeps it, so that one copy of every
 passage stays; all others lose their lines of that template.
 
-A line that recurs within a document counts there once. Blank lines stay. A leaf of one line needs no
-comparison, so only lines of leaves with several are split into tokens; all else moves as hashes.
+Lines of fewer tokens stay, blank ones too. A leaf of one line needs no comparison, so only lines of leaves
+with several are compared token by token; all else moves as hashes. Where texts are shuffled they are so at every
+size, so that cost and plan do not turn with the number of recurring lines.
 
 Null texts stay null and have no lines. Rows without an id come last in the order and count as one document
 in it, as do rows that repeat an id. A document that loses all its lines of words keeps its blank lines, or an empty text.
@@ -42,33 +43,36 @@ def leaf_hash(words: Column, depth: int) -> Column:
     return F.xxhash64(F.size(words), F.slice(words, 1, depth))
 
 
-def dropped_lines(scratch: Scratch, docs: DataFrame, least: int, depth: int, min_tokens: int, constant: float) -> DataFrame:
-    """``(line, first)``: hashes of lines to drop, and the document that keeps them. ``docs`` has id and text."""
-    lines = docs.select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    words = lines.select("id", tokens(F.col("line")).alias("words")).where(F.size("words") >= min_tokens)
-    keyed = words.select("id", leaf_hash(F.col("words"), depth).alias("leaf"), line_hash(F.col("words")).alias("line"), F.size("words").alias("n"), F.size(F.filter("words", lambda w: w == VARIABLE)).alias("vary"))
-    found = keyed.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min("n").alias("n"), F.min("vary").alias("vary"))
-    by_line = scratch.table(found, "lines")
+def parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """``(id, text_hash, at, leaf, line, n, vary)`` of each line with ``min_tokens`` tokens or more; ``docs`` has id and text."""
+    lines = docs.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    words = lines.select("id", "text_hash", "at", tokens(F.col("line")).alias("words")).where(F.size("words") >= min_tokens)
+    vary = F.size("words") - F.size(F.array_remove("words", VARIABLE))
+    return words.select("id", "text_hash", "at", leaf_hash(F.col("words"), depth).alias("leaf"), line_hash(F.col("words")).alias("line"), F.size("words").alias("n"), vary.alias("vary"))
+
+
+def dropped_lines(scratch: Scratch, docs: DataFrame, lines: DataFrame, least: int, depth: int, min_tokens: int, constant: float) -> DataFrame:
+    """``(leaf, line, first)``: hashes of lines to drop, and the document that keeps them. ``lines`` are those parsed from ``docs``."""
+    found = lines.groupBy("leaf", "line").agg(F.count("*").alias("held"), F.min("id").alias("first"), F.min("n").alias("n"), F.min("vary").alias("vary"))
+    by_line = scratch.table(found, "by_line")
     # where several lines of a leaf make up a template
-    leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("lines"))
-    several = scratch.table(leaves.where((F.col("lines") > 1) & (F.col("docs") >= least)).select("leaf"), "several")
-    alone = by_line.join(several, "leaf", "left_anti").where((F.col("docs") >= least) & (F.col("n") - F.col("vary") >= F.lit(constant) * F.col("n"))).select("line", "first")
-
-    open_lines = by_line.join(several, "leaf", "left_semi").select("leaf", "line", "docs", "first")
-    open_lines = scratch.table(open_lines, "open")
-    hashed = words.select(leaf_hash(F.col("words"), depth).alias("leaf"), line_hash(F.col("words")).alias("line"), "words")
-    texts = hashed.join(several, "leaf", "left_semi").dropDuplicates(["leaf", "line"])
-    texts = scratch.table(texts.join(open_lines, ["leaf", "line"]), "texts")
-    places = scratch.table(texts.select("leaf", "line", "docs", F.posexplode("words").alias("at", "word")), "places")
-    support = scratch.table(places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("held")).where((F.col("held") >= least) & (F.col("word") != VARIABLE)).select("leaf", "at", "word"), "support")
+    leaves = by_line.groupBy("leaf").agg(F.sum("held").alias("held"), F.count("*").alias("lines"))
+    several = scratch.table(leaves.where((F.col("lines") > 1) & (F.col("held") >= least)).select("leaf"), "several")
+    alone = by_line.join(several, "leaf", "left_anti").where((F.col("held") >= least) & (F.col("n") - F.col("vary") >= F.lit(constant) * F.col("n"))).select("leaf", "line", "first")
+
+    raw = docs.select(F.explode(F.split("text", "\n")).alias("raw")).withColumn("words", tokens(F.col("raw"))).where(F.size("words") >= min_tokens)
+    hashed = raw.select(leaf_hash(F.col("words"), depth).alias("leaf"), line_hash(F.col("words")).alias("line"), "raw")
+    texts = hashed.join(several.hint("merge"), "leaf", "left_semi").dropDuplicates(["leaf", "line"]).select("leaf", "line", tokens(F.col("raw")).alias("words"))
+    texts = scratch.table(texts.join(by_line.select("leaf", "line", "held", "first"), ["leaf", "line"]), "texts")
+    places = texts.select("leaf", "line", "held", F.posexplode("words").alias("at", "word"))
+    support = scratch.table(places.groupBy("leaf", "at", "word").agg(F.sum("held").alias("all")).where((F.col("all") >= least) & (F.col("word") != VARIABLE)).select("leaf", "at", "word"), "support")
     fixed = places.join(support, ["leaf", "at", "word"]).groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
-    templates = texts.join(scratch.table(fixed, "fixed"), ["leaf", "line"]).select(
-        "leaf", "line", "docs", "first", F.transform("words", lambda w, i: F.when(F.array_contains("fixed", i) | (i < depth), w).otherwise(VARIABLE)).alias("template"), F.size("words").alias("n")
-    )
-    templates = scratch.table(templates.select("leaf", "line", "docs", "first", "n", line_hash(F.col("template")).alias("template"), F.size(F.filter("template", lambda w: w != VARIABLE)).alias("stay")), "templates")
-    recurring = templates.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.min("stay").alias("stay"), F.min("n").alias("n"))
-    recurring = scratch.table(recurring.where((F.col("docs") >= least) & (F.col("stay") >= F.lit(constant) * F.col("n"))).select("leaf", "template", "first"), "recurring")
-    together = templates.drop("first").join(recurring, ["leaf", "template"]).select("line", "first")
+    template = F.transform("words", lambda w, i: F.when(F.array_contains("fixed", i) | (i < depth), w).otherwise(VARIABLE))
+    templates = texts.join(fixed, ["leaf", "line"]).select("leaf", "line", "held", "first", template.alias("template"), F.size("words").alias("n"))
+    templates = scratch.table(templates.select("leaf", "line", "held", "first", "n", line_hash(F.col("template")).alias("template"), F.size(F.array_remove("template", VARIABLE)).alias("stay")), "templates")
+    recurring = templates.groupBy("leaf", "template").agg(F.sum("held").alias("held"), F.min("first").alias("first"), F.min("stay").alias("stay"), F.min("n").alias("n"))
+    recurring = scratch.table(recurring.where((F.col("held") >= least) & (F.col("stay") >= F.lit(constant) * F.col("n"))).select("leaf", "template", "first"), "recurring")
+    together = templates.drop("first").join(recurring, ["leaf", "template"]).select("leaf", "line", "first")
     return alone.unionByName(together)
 
 
@@ -78,23 +82,21 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     own = "__lines_"
     identity = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(identity.alias("id"), F.col(text_col).alias("text"))
-    drop = scratch.table(dropped_lines(scratch, rows, least, depth, min_tokens, constant), "drop")
-    lines = rows.select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    hashes = lines.select("id", tokens(F.col("line")).alias("words")).where(F.size("words") >= min_tokens).select("id", line_hash(F.col("words")).alias("line"))
-    lost = hashes.join(drop, "line").where("id <> first").groupBy("id").agg(F.collect_set("line").alias(f"{own}lost"))
-    lost = scratch.table(lost.withColumnRenamed("id", f"{own}id"), "lost")
-    joined = docs.withColumn(f"{own}id", identity).join(lost, f"{own}id", "left")
-
-    kept = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(f"{own}lost", F.when(F.size(tokens(x)) >= min_tokens, line_hash(tokens(x))).otherwise(F.lit(None))) | (F.size(tokens(x)) < min_tokens))
+    lines = scratch.table(parsed(rows, depth, min_tokens), "lines")
+    drop = dropped_lines(scratch, rows, lines, least, depth, min_tokens, constant)
+    # rows of one id and one text lose the same lines
+    lost = lines.select("id", "text_hash", "at", "leaf", "line").join(drop, ["leaf", "line"]).where("id <> first")
+    lost = lost.groupBy("id", "text_hash").agg(F.collect_set("at").alias(f"{own}lost")).withColumnsRenamed({"id": f"{own}id", "text_hash": f"{own}hash"})
+    keyed = docs.withColumns({f"{own}id": identity, f"{own}hash": F.xxhash64(F.col(text_col))})
+    joined = keyed.join(lost.hint("merge"), [f"{own}id", f"{own}hash"], "left")
+
+    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(f"{own}lost", i))
     text = F.when(F.col(f"{own}lost").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn(f"{own}text", text)
-    columns = [F.col(f"{own}text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
-        size = lambda c: F.coalesce(F.size(F.split(c, "\n")), F.lit(0)).cast("long")
-        n = F.when(F.col(text_col).isNull(), 0).otherwise(size(text_col)).cast("long")
-        left = F.when(F.col(f"{own}lost").isNull(), n).otherwise(F.size(kept)).cast("long")
-        columns += [n.alias("n_lines"), (n - left).alias("n_dropped")]
-    return out.select(*columns)
+        breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+        columns += [F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(f"{own}lost"), F.lit(0)).cast("long").alias("n_dropped")]
+    return joined.select(*columns)
 
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ WITH d AS (
   SELECT *, {words("line")} AS words FROM raw
 ), by_line AS (
   SELECT words, len(words) AS n, words[1:{depth}] AS lead, count(*) AS docs, min(id) AS first
-  FROM (SELECT DISTINCT r, id, line, words FROM l) WHERE len(words) >= {min_tokens} GROUP BY words
+  FROM l WHERE len(words) >= {min_tokens} GROUP BY words
 ), leaves AS (
   SELECT n, lead FROM by_line GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= {least}
 ), open AS (
