@@ -117,8 +117,8 @@ def merge_small_bins(edges: list[float], counts: list[int], n_signal: int, least
 
 def moments(n: Column, mean: Column, variance: Column) -> dict[str, Column]:
     """The negative binomial of a mean and a variance: ``r``, ``p``, and whether it is one."""
-    r = mean * mean / (variance - mean)
-    p = mean / (mean + r)
+    r = F.try_divide(mean * mean, variance - mean)
+    p = F.try_divide(mean, mean + r)
     valid = F.coalesce((r > 0) & (p > 0) & (p < 1) & (n > 1), F.lit(False))
     return {"r": r, "p": p, "valid": valid}
 
@@ -133,7 +133,7 @@ def nb_moments(vector: DataFrame, keys: tuple[str, ...] = CONTIG) -> DataFrame:
 def background_quantile(vector: DataFrame, thresholds: DataFrame, keys: tuple[str, ...] = CONTIG) -> DataFrame:
     """``(keys, fit_quantile)``: the share of defined values below a group's ``threshold``."""
     joined = vector.join(thresholds.select(*keys, "threshold"), list(keys))
-    return joined.groupBy(*keys).agg((F.sum((F.col("x") < F.col("threshold")).cast("long")) / F.count("x")).alias("fit_quantile"))
+    return joined.groupBy(*keys).agg(F.try_divide(F.sum((F.col("x") < F.col("threshold")).cast("long")), F.count("x")).alias("fit_quantile"))
 
 
 def rmsea(edges: np.ndarray, observed: np.ndarray, r: float, p: float, parameters: int = 2) -> float:
@@ -206,7 +206,7 @@ def fit_groups(vector: DataFrame, *, step: Column | int = 1, start: Column | Non
     counts = whole.groupBy(*keys).agg(
         F.count("x").alias("n_total"), F.sum(above.cast("long")).alias("n_signal"), F.sum(F.when(above, tags).otherwise(0)).alias("signal_tags"), F.sum(tags).alias("total_tags")
     )
-    out = fitted.join(counts, list(keys)).withColumn("fit_quantile", 1 - F.col("n_signal") / F.col("n_total"))
+    out = fitted.join(counts, list(keys)).withColumn("fit_quantile", 1 - F.try_divide("n_signal", "n_total"))
     return out.withColumn("success", F.col("r").isNotNull())
 
 
@@ -219,7 +219,7 @@ def tag_cdf_thresholds(vector: DataFrame, fractions: DataFrame, keys: tuple[str,
     by = Window.partitionBy(*keys).orderBy("value")
     hist = histogram(vector, keys).withColumn("tags", F.sum(F.col("value") * F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     hist = hist.withColumn("all", F.sum(F.col("value") * F.col("n")).over(Window.partitionBy(*keys)))
-    reached = hist.join(fractions.select(*keys, "fraction"), list(keys)).withColumn("ok", F.coalesce(F.col("tags") / F.col("all") >= F.col("fraction"), F.lit(False)))
+    reached = hist.join(fractions.select(*keys, "fraction"), list(keys)).withColumn("ok", F.coalesce(F.try_divide("tags", "all") >= F.col("fraction"), F.lit(False)))
     second = reached.where("ok").withColumn("rank", F.row_number().over(by)).where("rank = 2").select(*keys, F.col("value").alias("threshold"))
     found = hist.select(*keys).distinct().join(second, list(keys), "left").withColumn("threshold", F.coalesce(F.col("threshold").cast("double"), F.lit(float("inf"))))
     quantile = hist.join(found, list(keys)).groupBy(*keys, "threshold").agg((F.sum(F.when(F.col("value") < F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fit_quantile"))
@@ -239,10 +239,10 @@ def sliding_nb(vector: DataFrame, *, window: int = 50_001, flank: int = 500, fra
     b = F.col("b")
     sums = window_sums(calm, half, half, {"n": b.isNotNull().cast("long"), "s": b, "q": b * b}, keys, tile)
     n, s = F.col("n"), F.col("s")
-    mean = s / n
+    mean = F.try_divide(s, n)
     variance = F.when(n > 1, (F.col("q") - s * s / n) / (n - 1))
     fit = moments(n, mean, F.when(variance != mean, variance))
     enough = F.col("x").isNotNull() & (n >= max(1, round(window * fraction)))
     r = F.when(fit["valid"], fit["r"]).otherwise(F.col("fallback_r"))
-    out = sums.withColumns({"enough_bg": enough, "sliding_r": F.when(enough, r), "sliding_p": F.when(enough, F.when(fit["valid"], fit["p"]).otherwise(mean / (mean + F.col("fallback_r"))))})
+    out = sums.withColumns({"enough_bg": enough, "sliding_r": F.when(enough, r), "sliding_p": F.when(enough, F.when(fit["valid"], fit["p"]).otherwise(F.try_divide(mean, mean + F.col("fallback_r"))))})
     return out.drop("top", "b", "n", "s", "q")

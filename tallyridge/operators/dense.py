@@ -75,7 +75,7 @@ def masked(vector: DataFrame, mappable: DataFrame) -> DataFrame:
 
 def normalized_density(vector: DataFrame, total: DataFrame) -> DataFrame:
     """``x`` per million of all cuts; ``total`` has one row."""
-    return vector.crossJoin(F.broadcast(total)).withColumn("density", F.col("x") / F.col("total") * F.lit(1e6)).drop("total")
+    return vector.crossJoin(F.broadcast(total)).withColumn("density", F.try_divide("x", "total") * F.lit(1e6)).drop("total")
 
 
 def merged(rows: DataFrame, contigs: DataFrame, *order: str) -> DataFrame:

@@ -17,7 +17,7 @@ OUTLIER = 5.0
 
 def spot_score(background_tags: Column, tags: Column) -> Column:
     """The share of tags beyond the background, from 0 to 1; null without tags."""
-    share = 1 - background_tags / tags
+    share = 1 - F.try_divide(background_tags, tags)
     return F.when(tags > 0, F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)))
 
 

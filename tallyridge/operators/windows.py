@@ -50,7 +50,7 @@ def running(vector: DataFrame, window: int, what: str, fraction: float | None =
     values = {"n": F.col("x").isNotNull().cast("long"), "s": x} | ({"q": x * x} if what == "var" else {})
     rows = window_sums(vector.where(F.col("size") >= window), half, half, values, keys, tile)
     n, s = F.col("n"), F.col("s")
-    value = {"sum": s, "mean": s / n}.get(what)
+    value = {"sum": s, "mean": F.try_divide(s, n)}.get(what)
     if what == "var":
         value = F.when(n > 1, (F.col("q") - s * s / n) / (n - 1))
     enough = least_count(window, fraction) if fraction else 1
