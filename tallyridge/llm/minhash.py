@@ -7,9 +7,11 @@ rarest of each (prefix merging), so the common postings are never paired; sizes
 reach the threshold are skipped. Collisions are then counted over whole signatures, pairs above the
 match threshold are confirmed on full sets, and components are taken of confirmed links.
 
-So that a large group of near copies costs about its size and not its square, pairs are made
-in two rounds: first each document with the one of smallest id on its postings (the best match of each is
-confirmed); then, exactly, all pairs on a posting whose documents are not yet in one component.
+So that a large group of near copies makes no row per pair, work goes in two rounds. Each posting has a
+centre, the document on it that shares most of its coordinates. First each document is confirmed
+against its best centre, and takes a label from it. Then, exactly, the members of a centre's postings
+of different labels are compared block by block: signatures tell which members have a
+candidate at all, and the full sets of those alone meet, again in blocks, of which spanning forests come out.
 
 A pair at a similarity of just 0.8 is missed with a probability of about 1e-5 by the match threshold, any
 closer pair with less. Null and empty texts have no shingles and link with nothing. Rows
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyridge.llm.blocks import block_pairs, met
 from tallyridge.llm.common import Scratch, sized_batches
 from tallyridge.llm.graph import components
+from tallyridge.llm.itq import forest
 
 COORDS, LEAST = 48, 26
 #: Into so many parts the pairs of one centre are dealt for confirmation.
@@ -106,12 +110,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     """Those ``(a, b)`` of ``pairs`` whose full sets are similar enough.
 
     The texts of a centre ``a`` and of its partners meet in a task, the centre's first; the partners of one
-    centre are dealt into SALTS parts, and a task holds one centre at a time.
+    centre are dealt into SALTS parts, and a task holds one centre at a time. Texts are shuffled whatever the number
+    of pairs, so that cost and plan are alike at every size.
     """
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
     partners = pairs.select("a", salt, F.lit(1).alias("role"), F.col("b").alias("id"))
     centres = pairs.select("a", salt).distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"))
-    texts = docs.join(partners.unionByName(centres), "id").select("a", "salt", "role", "id", "text")
+    texts = docs.join(partners.unionByName(centres).hint("merge"), "id").select("a", "salt", "role", "id", "text")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches):
@@ -140,6 +145,54 @@ def matched(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> D
     return both.select("a", "b", matches.alias("matches")).where(F.col("matches") >= least)
 
 
+def with_candidates(members: DataFrame, scratch: Scratch, percent: int, least: int) -> DataFrame:
+    """``(a, b, comp)`` of members ``(a, b, comp, n, sig)`` that have a candidate of another component in their group."""
+    dealt = block_pairs(members, "a", "b", 1024, scratch, "sign-blocks")
+
+    def run(batches):
+        for (a, _, _), left, right in met(batches, "a", ("b", "comp", "n", "sig")):
+            if not right:
+                continue
+            (ids, comp, n, sig), (ids2, comp2, n2, sig2) = (tuple(np.array(c) for c in zip(*side)) for side in (left, right))
+            allowed = (comp[:, None] != comp2) & (100 * np.minimum(n[:, None], n2) >= percent * np.maximum(n[:, None], n2))
+            u, v = np.nonzero(allowed)
+            hit = np.concatenate([(sig[u[lo : lo + 65536]] == sig2[v[lo : lo + 65536]]).sum(axis=1) for lo in range(0, len(u), 65536)] or [np.empty(0, int)]) >= least
+            out = {(int(ids[k]), int(comp[k])) for k in set(u[hit].tolist())} | {(int(ids2[k]), int(comp2[k])) for k in set(v[hit].tolist())}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))], names=["a", "b", "comp"])
+
+    return dealt.mapInArrow(run, "a long, b long, comp long").distinct()
+
+
+def linked_in_blocks(docs: DataFrame, members: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """``(a, b)``: links that join what full sets link of members ``(a, b, comp)`` of different components."""
+    dealt = block_pairs(members.hint("merge").join(docs.withColumnRenamed("id", "b"), "b"), "a", "b", 256, scratch, "text-blocks")
+
+    def run(batches):
+        known = WordHashes()
+        for _, left, right in met(batches, "a", ("b", "comp", "text")):
+            if not right:
+                continue
+            sets2 = [shingle_set(x[2], shingle, known) for x in right]
+            sets = sets2 if left is right else [shingle_set(x[2], shingle, known) for x in left]
+            sizes2 = np.array([len(x) for x in sets2])
+            values, places = np.unique(np.concatenate(sets2), return_inverse=True)
+            starts = sizes2.cumsum() - sizes2
+            comp, comp2 = np.array([x[1] for x in left]), np.array([x[1] for x in right])
+            linked = np.zeros((len(left), len(right)), bool)
+            for k, own in enumerate(sets):
+                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                held = np.zeros(len(values), np.int64)
+                held[at[values[at] == own]] = 1
+                both = np.add.reduceat(held[places], starts)
+                linked[k] = (100 * both >= percent * (len(own) + sizes2 - both)) & (comp2 != comp[k])
+            edges = forest(linked, np.array([x[0] for x in left]), np.array([x[0] for x in right]))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, percent: int = 80, coords: int = COORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``(id_col, n_shingles, component_id, kept)``."""
     scratch = Scratch(spark)
@@ -155,25 +208,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     shared = scratch.table(postings.groupBy("cv").count().where("count > 1"), "shared")
     rare_first = Window.partitionBy("rep").orderBy("count", "cv")
     ranked = postings.join(shared, "cv").select("rep", "cv", F.row_number().over(rare_first).alias("rank"), F.count("*").over(Window.partitionBy("rep")).alias("held"))
-    prefix = scratch.table(ranked.where(F.lit(coords) - F.col("held") + F.col("rank") <= coords - least + 1).join(classes.select("rep", "n"), "rep").select("cv", "rep", "n"), "prefix")
+    prefix = scratch.table(ranked.where(F.lit(coords) - F.col("held") + F.col("rank") <= coords - least + 1).select("cv", "rep", "held"), "prefix")
 
-    centres = scratch.table(prefix.groupBy("cv").agg(F.min("rep").alias("a")), "centres")
-    stars = prefix.join(centres, "cv").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    best = matched(stars, classes, percent, least).groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
+    most_held = prefix.groupBy("cv").agg(F.max(F.struct("held", -F.col("rep"))).alias("x"))
+    centres = scratch.table(most_held.select("cv", (-F.col("x.col2")).alias("a")), "centres")
+    stars = scratch.table(prefix.join(centres, "cv").select("a", F.col("rep").alias("b")).distinct(), "stars")
+    best = matched(stars.where("a <> b"), classes, percent, least).groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
     first = scratch.table(confirmed(texts, scratch.table(best, "best"), shingle, percent), "first")
-    label = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "once")
-
-    labelled = scratch.table(prefix.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cv", "rep", "n", F.coalesce("component", "rep").alias("comp")), "labelled")
-    parts = labelled.groupBy("cv", "comp").agg(F.count("*").alias("k"))
-    mixed_cv = scratch.table(parts.groupBy("cv").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("cv", "main"), "mixed")
-    open_rows = scratch.table(labelled.join(mixed_cv, "cv"), "open")
-    x, y = open_rows.where("comp <> main").alias("x"), open_rows.drop("main").alias("y")
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    once = (F.col("y.comp") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep"))
-    rest = x.join(y, (F.col("x.cv") == F.col("y.cv")) & (F.col("x.comp") != F.col("y.comp")) & sizes & once)
-    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = scratch.table(matched(rest, classes, percent, least).select("a", "b"), "more")
-    second = scratch.table(confirmed(texts, more, shingle, percent), "second")
+    # nodes of one label are linked; those without one yet are settled below
+    above = first.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    label = first.join(above, "a", "left").groupBy("b").agg(F.min(F.least("a", "top")).alias("label"))
+
+    named = scratch.table(stars.join(label, "b", "left").select("a", "b", F.coalesce("label", "b").alias("comp")), "members")
+    still_open = scratch.table(named.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("a"), "open")
+    signed = named.join(still_open, "a", "left_semi").join(classes.select(F.col("rep").alias("b"), "n", "sig"), "b")
+    flagged = scratch.table(with_candidates(signed, scratch, percent, least), "flagged")
+    second = scratch.table(linked_in_blocks(texts, flagged, scratch, shingle, percent), "second")
 
     links = first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links, scratch, "all").withColumnRenamed("node", "rep")
