@@ -55,8 +55,11 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, stop_ids: np.ndarray, stride:
     return points, cost[points]
 
 
-def best_cuts(points: list[int], costs: list[float], size: int) -> list[int]:
-    """Indexes into ``points`` of the best windows' ends, from the first point (left out) to the last."""
+def best_cuts(points: list[int], costs: list[float], size: int, goes_on: bool = False) -> list[int]:
+    """Indexes into ``points`` of the best windows' ends, from the first point (left out) to the last.
+
+    If the stream ``goes_on``, the last window need not end at the last point, but within a window of it.
+    """
     best, back = [0.0], [-1]
     queue: deque[tuple[float, int]] = deque([(float(points[0]), 0)])
     at, half, last = {points[0]: 0}, size // 2, len(points) - 1
@@ -77,6 +80,8 @@ def best_cuts(points: list[int], costs: list[float], size: int) -> list[int]:
             queue.pop()
         queue.append((key, j))
     cuts, j = [], last
+    if goes_on:
+        j = min((k for k in range(1, last + 1) if points[k] > points[-1] - size), key=best.__getitem__)
     while j > 0:
         cuts.append(j)
         j = back[j]
@@ -114,8 +119,9 @@ class Packer:
         if points[-1] != taken:
             points, costs = np.append(points, taken), np.append(costs, 0.0)
         points = points.tolist()
-        ends = [points[j] for j in best_cuts(points, costs.tolist(), self.size)]
-        if not final or taken < self.held:  # the last windows are settled together with what follows
+        goes_on = not final or taken < self.held
+        ends = [points[j] for j in best_cuts(points, costs.tolist(), self.size, goes_on)]
+        if goes_on:  # the last windows are settled together with what follows
             ends = ends[:-8] or ends[:1]
         lo = 0
         for hi in ends:
