@@ -12,6 +12,7 @@ from tallyridge.functions import special
 from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, windows
 from tallyridge.plans.caller import Caller, Config, multi_sample_fdr
 from tallyridge.sources import adapters
+from tallyridge.sources.scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,6 +115,13 @@ def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.running(counts(spark, sf_dir), WINDOW, "sum").select("contig", "size", "pos", F.col("agg").alias("x"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table, for what reads it several times."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.triangle_smooth(counts(spark, sf_dir)).select("contig", "size", "pos", F.col("smoothed").alias("x"))
 
@@ -229,7 +237,7 @@ SELECT b.contig, CAST(bin AS INT) AS bin, round(edges[bin + 1], 6) AS lo, round(
 FROM b LEFT JOIN agg ON agg.contig = b.contig AND x >= edges[bin + 1] AND x < edges[bin + 2] GROUP BY ALL"""
 )
 def bin_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sums(spark, sf_dir)
+    rows = stored(sums(spark, sf_dir), "sums")
     return rounded(background.bin_counts(rows, background.bin_edges(rows)), "lo", "hi")
 
 
@@ -246,7 +254,7 @@ def nb_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT contig, round(count(*) FILTER (x < threshold) / count(*), 6) AS fit_quantile FROM agg JOIN t USING (contig) GROUP BY contig"""
 )
 def bg_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sums(spark, sf_dir)
+    rows = stored(sums(spark, sf_dir), "sums")
     found = background.background_quantile(rows, background.quantile_linear(rows, 0.9).withColumnRenamed("quantile", "threshold"))
     return rounded(found, "fit_quantile")
 
@@ -261,7 +269,7 @@ c AS (
 SELECT contig, pos, enough_bg, round(CASE WHEN enough_bg THEN own END, 3) AS sliding_r, round(CASE WHEN enough_bg THEN mean / (mean + own) END, 6) AS sliding_p FROM f"""
 )
 def sliding_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sums(spark, sf_dir)
+    rows = stored(sums(spark, sf_dir), "sums")
     limits = background.quantile_linear(rows, 0.995).withColumnRenamed("quantile", "threshold")
     fits = background.nb_moments(rows).select("contig", F.col("r").alias("fallback_r"))
     found = background.sliding_nb(rows.join(limits, "contig").join(fits, "contig"), window=BG, flank=FLANK)
@@ -275,7 +283,7 @@ t AS (SELECT contig, value AS threshold FROM (SELECT *, row_number() OVER (PARTI
 SELECT contig, threshold, round(sum(n) FILTER (value < threshold) / sum(n), 6) AS fit_quantile, sum(n) FILTER (value < threshold) / sum(n) > 0.995 AS max_bg_reached FROM h JOIN t USING (contig) GROUP BY contig, threshold"""
 )
 def tag_cdf_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sums(spark, sf_dir)
+    rows = stored(sums(spark, sf_dir), "sums")
     found = background.tag_cdf_thresholds(rows, adapters.contigs(spark, sf_dir).select("contig", F.lit(0.5).alias("fraction")))
     return rounded(found, "fit_quantile")
 
@@ -294,7 +302,7 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT contig, round(1 - sum(CASE WHEN x < tr THEN x ELSE 0 END) / sum(x), 6) AS spot FROM agg JOIN t USING (contig) GROUP BY contig"""
 )
 def spot_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sums(spark, sf_dir)
+    rows = stored(sums(spark, sf_dir), "sums")
     joined = rows.join(background.quantile_linear(rows, 0.9), "contig")
     tags = joined.groupBy("contig").agg(F.sum(F.when(F.col("x") < F.col("quantile"), F.col("x")).otherwise(0)).alias("bg"), F.sum("x").alias("all"))
     return tags.select("contig", F.round(regression.spot_score(F.col("bg"), F.col("all")), 6).alias("spot"))
@@ -360,7 +368,7 @@ def find_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.regions(sums(spark, sf_dir), "x", LEVEL, WINDOW)
+    return islands.regions(stored(sums(spark, sf_dir), "sums"), "x", LEVEL, WINDOW)
 
 
 @query(f"WITH {REGIONS} SELECT contig, start, \"end\", max_score, n_significant FROM regions")
@@ -379,11 +387,11 @@ def regions_bed12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BASE}, {SMOOTH}, {EXTREMA} SELECT contig, pos, kind FROM extrema")
 def extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peaks.extrema(wave(spark, sf_dir))
+    return peaks.extrema(stored(wave(spark, sf_dir), "wave"))
 
 
 def _trimmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = wave(spark, sf_dir)
+    rows = stored(wave(spark, sf_dir), "wave")
     spans = islands.islands(islands.dilate(sums(spark, sf_dir), F.col("x") >= LEVEL, WINDOW, 10).where("inside"))
     return peaks.trimmed(peaks.inside(peaks.summits(rows, adapters.contigs(spark, sf_dir)), spans), rows), rows
 
@@ -394,8 +402,9 @@ def trimmed_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut, _ = _trimmed(spark, sf_dir)
-    return peaks.peaks(cut, density(spark, sf_dir), adapters.contigs(spark, sf_dir), dense.total_cuts(adapters.cuts(spark, sf_dir)))
+    cut, rows = _trimmed(spark, sf_dir)
+    heights = dense.normalized_density(rows, dense.total_cuts(adapters.cuts(spark, sf_dir)))
+    return peaks.peaks(cut, heights, adapters.contigs(spark, sf_dir), dense.total_cuts(adapters.cuts(spark, sf_dir)))
 
 
 @query(f"WITH {BASE}, {PEAKS} SELECT contig, start, \"end\", summit, round(summit_density, 6) AS summit_density, round(max_density, 6) AS max_density, round(smoothed_peak_height, 6) AS smoothed_peak_height FROM peaks")
@@ -428,7 +437,7 @@ def global_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sums(spark, sf_dir)
+    rows = stored(sums(spark, sf_dir), "sums")
     fits = background.fit_groups(rows, step=5)
     limits = rows.select("contig", "pos").join(background.quantile_linear(rows, 0.995).withColumnRenamed("quantile", "threshold"), "contig")
     return segment.segments(rows, fits, limits, step=25, penalty=20, least=BG)
@@ -439,8 +448,6 @@ SMALL = Config(bg_window=BG, bg_window_small=BG // 10, fit_step=100, exclude_fla
 
 
 def caller(spark: SparkSession, sf_dir: str) -> Caller:
-    from tallyridge.sources.scratch import folder
-
     return Caller(adapters.cuts(spark, sf_dir), adapters.contigs(spark, sf_dir), folder(spark, "caller"), config=SMALL)
 
 
@@ -460,7 +467,7 @@ def call_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def enriched_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: runs of positions whose window sums reach their contig's upper quantile."""
-    rows = sums(spark, sf_dir)
+    rows = stored(sums(spark, sf_dir), "sums")
     hits = rows.join(background.quantile_linear(rows, 0.995), "contig").where("x >= quantile")
     spans = islands.islands(hits)
     best = islands.in_intervals(hits.select("contig", "pos", "x"), spans).groupBy("contig", "start", "end").agg(F.max("x").alias("max_count"))
