@@ -141,7 +141,9 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float
     metrics = scratch.table(with_metrics(docs.select("doc_id", "text")).drop("text"), "metrics")
     cutoffs = scratch.table(thresholds(metrics, labels, risk=risk, error=error), "cutoffs")
     own = "__rule_"
-    return with_verdict(with_metrics(docs, prefix=own), cutoffs, own).where(F.col(f"{own}kept")).select(*docs.columns)
+    # a row number, so that the filter stays above the counts and does not take them again
+    counted = with_metrics(docs, prefix=own).withColumn(f"{own}row", F.monotonically_increasing_id())
+    return with_verdict(counted, cutoffs, own).where(F.col(f"{own}kept") & (F.col(f"{own}row") >= 0)).select(*docs.columns)
 
 
 def oracle_sql(risk: float = RISK, error: float = ERROR) -> str:
