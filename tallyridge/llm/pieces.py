@@ -7,63 +7,83 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
 DEFAULT_JSON = "byte_bpe_50k.json"
 #: Two white-space characters in a row; without them every blank starts a pre-token and every line end is one.
-TWO_BLANKS = regex.compile(r"\s\s|\x00")
+TWO_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{2}|\x00"
+#: A full stop or comma between a letter and a blank or line end is a pre-token of its own.
+STOP = r"(\pL)([.,])([ \n]|\z)"
 
 
 class PieceEncoder:
     """Encodes whole texts; a text is cut only where the pre-tokeniser has a boundary whatever surrounds it.
 
+    Cutting and counting out distinct pieces is Arrow's work, so that Python sees each piece of a batch once.
     ``most`` bounds the pieces that are held; beyond it the store starts anew.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)  # for runs of letters, which are one pre-token each
-        self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        # for runs of letters, which are one pre-token each: many at once, a line for each
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.line_end = self.words.encode("\n", add_special_tokens=False).ids[0]
         self.most = most
         self.known: dict[str, bytes] = {"": b""}
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
 
-    def pieces(self, text: str) -> list[str]:
-        if TWO_BLANKS.search(text):
-            return [text]
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def learn(self, new: set[str]) -> None:
-        """Adds the ids of pieces to the store; a word and the full stop or comma behind it are apart."""
-        known, ends = self.known, [p for p in new if p[-1] in ".,\n" and p[1:-1].isalpha()]
-        new.difference_update(ends)
-        new.update(p[:-1] for p in ends if p[:-1] not in known)
-        new.update(x for x in {p[-1] for p in ends} if x not in known)
-        letters = [p for p in new if p[1:].isalpha() and (p[0] == " " or p[0].isalpha())]
-        new.difference_update(letters)
-        for kind, tokenizer in ((letters, self.words), (list(new), self.tokenizer)):
-            for at in range(0, len(kind), 8192):
-                some = kind[at : at + 8192]
-                for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    known[p] = array(self.dtype.char, e.ids).tobytes()
-        for p in ends:
-            known[p] = known[p[:-1]] + known[p[-1]]
+    def learn(self, new: list[str]) -> None:
+        """Adds the ids of pieces to the store."""
+        known = self.known
+        letters = [p for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()]
+        others = list(set(new).difference(letters)) if len(letters) < len(new) else []
+        width = self.dtype.itemsize
+        for at in range(0, len(letters), 512):
+            some = letters[at : at + 512]
+            ids = np.array(self.words.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.line_end) * width).tolist()
+            known.update(zip(some, (data[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(data)]))))
+        for at in range(0, len(others), 8192):
+            some = others[at : at + 8192]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[p] = array(self.dtype.char, e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as an array of ``dtype``."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, TWO_BLANKS)
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
+            out[k] = np.array(e.ids, self.dtype)
+        plain = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        if len(plain):
+            for k, ids in zip(plain, self._pieces(column.take(pa.array(plain)))):
+                out[k] = ids
+        return out
+
+    def _pieces(self, texts: pa.Array) -> list[np.ndarray]:
+        marked = pc.replace_substring_regex(texts, STOP, "\\1\0\\2\0\\3")
+        marked = pc.replace_substring(pc.replace_substring(marked, "\n", "\0\n\0"), " ", "\0 ")
+        cut = pc.split_pattern(marked, "\0")
+        coded = cut.flatten().dictionary_encode()
         if len(self.known) > self.most:
             self.known = {"": b""}
-        cut = [self.pieces(t) for t in texts]
+        names = coded.dictionary.to_pylist()
         known = self.known
-        self.learn({p for parts in cut for p in parts if p not in known})
-        out = [np.frombuffer(b"".join(map(known.__getitem__, parts)), self.dtype) for parts in cut]
-        for parts in cut:
-            if len(parts) == 1 and len(parts[0]) > 64:  # a whole text is not worth keeping
-                known.pop(parts[0], None)
-        return out
+        if new := [p for p in names if p not in known]:
+            self.learn(new)
+        ids = pa.array(list(map(known.__getitem__, names)), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        stream = ids.buffers()[2]
+        every = np.frombuffer(stream, self.dtype) if stream is not None and stream.size else np.empty(0, self.dtype)
+        ends = ends // self.dtype.itemsize
+        return [every[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 @lru_cache(maxsize=2)
