@@ -4,9 +4,10 @@ A rotation is learned on a bounded sample so that the signs of rotated vectors l
 quantisation); cutting at medians makes every bit balanced. Codes are split into substrings, one per
 hash table; vectors that share a substring in some table are candidates and are ranked with
 their original vectors in double precision. The length of a substring follows from the number of
-vectors, so that a bucket holds about ``bucket`` of them at any size, and the number of tables from the
-chance that a pair at the cutoff shares a substring; beyond one code's bits more rotations are learned.
-With fewer vectors than a bucket holds, all are compared.
+vectors, so that a bucket holds about ``bucket`` of them at any size, and the number of tables from how
+many pairs at the cutoff, made from the sample, share a substring under the learned codes: vectors with a common
+mean direction need more of them than hyperplanes' angles say. Beyond one code's bits more rotations are learned.
+With fewer vectors than a bucket holds, or than the buckets of all tables together hold, all are compared.
 
 Equal vectors form a class, and one of each goes on. A large bucket is dealt in pairs of blocks, and
 a pair of vectors counts in the first table that it shares, so nothing is emitted per pair: a
@@ -99,6 +100,53 @@ def layout(vectors: int, cosine: float, bucket: int, miss: float) -> tuple[int,
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - share)))
 
 
+def cutoff_pairs(sample: np.ndarray, cosine: float, pairs: int = 10_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the cutoff: the second turned from the first about the sample's mean towards another of its vectors, and turned any way."""
+    rng = np.random.default_rng(11)
+    mean = sample.mean(axis=0)
+    left = sample[rng.integers(0, len(sample), pairs)]
+    own, other = left - mean, sample[rng.integers(0, len(sample), pairs)] - mean
+    length = np.linalg.norm(own, axis=1, keepdims=True)
+    other -= (other * own).sum(axis=1, keepdims=True) / np.maximum(length, 1e-12) ** 2 * own
+    other *= length / np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
+    low, high = np.zeros((pairs, 1)), np.full((pairs, 1), math.pi)
+    for _ in range(40):
+        angle = (low + high) / 2
+        right = mean + np.cos(angle) * own + np.sin(angle) * other
+        right /= np.maximum(np.linalg.norm(right, axis=1, keepdims=True), 1e-12)
+        near = (left * right).sum(axis=1, keepdims=True) >= cosine
+        low, high = np.where(near, angle, low), np.where(near, high, angle)
+    noise = rng.normal(size=left.shape)
+    noise -= (noise * left).sum(axis=1, keepdims=True) * left
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+    return [(left, right), (left, cosine * left + math.sqrt(max(0.0, 1 - cosine * cosine)) * noise)]
+
+
+def learned(sample: np.ndarray, vectors: int, *, cosine: float, bucket: int, miss: float) -> Codes:
+    """Rotations, and as many tables as bring the measured misses to ``miss``; vectors of other lengths than the sample's need those of ``layout``."""
+    bits, least = layout(vectors, cosine, bucket, miss)
+    size = sample.shape[1]
+    per, width = max(1, size // bits), min(bits, size)
+    kinds = cutoff_pairs(sample, cosine)
+    missed = [np.ones(len(left), bool) for left, _ in kinds]
+    rotations, tables = [], 0
+    while tables < least or max(m.mean() for m in missed) > miss:
+        number, k = divmod(tables, per)
+        if not k:
+            rotations.append(rotation(sample, number))
+            whole, median = rotations[-1]
+            signs = [(left @ whole > median) == (right @ whole > median) for left, right in kinds]
+        for m, same in zip(missed, signs):
+            m &= ~same[:, k * width : (k + 1) * width].all(axis=1)
+        tables += 1
+        # what is missed by now tells at least how many tables it takes
+        left_out = max(m.mean() for m in missed)
+        needed = tables if left_out <= miss else tables * math.log(miss) / math.log(left_out) if left_out < 1 else math.inf
+        if needed * bucket >= vectors:
+            return Codes([], 0, 0, 1)
+    return Codes(rotations, size, bits, tables)
+
+
 def fit(classes: DataFrame, vectors: int, *, cosine: float, bucket: int, miss: float, most_sample: int = 20_000) -> Codes:
     """Learns from at most about ``most_sample`` distinct vectors of the commonest length, chosen by a hash."""
     bits, tables = layout(vectors, cosine, bucket, miss)
@@ -111,8 +159,7 @@ def fit(classes: DataFrame, vectors: int, *, cosine: float, bucket: int, miss: f
     sample = np.array(sorted((unit(r) for r in rows if len(r) == size), key=lambda r: r.tobytes()))
     if len(sample) < 2:
         return Codes([], 0, bits, tables)
-    per = max(1, size // bits)
-    return Codes([rotation(sample, k) for k in range(-(-tables // per))], size, bits, tables)
+    return learned(sample, vectors, cosine=cosine, bucket=bucket, miss=miss)
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -160,13 +207,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
                 for size in {len(v) for v in vecs}:
                     at = [k for k, v in enumerate(vecs) if len(v) == size]
                     units = np.stack([unit(vecs[k]) for k in at])
-                    for k, own, x in zip(at, codes.value.of(units).tolist(), units):
-                        for table, value in enumerate(own):
-                            yield x.nbytes, (table, value, size, reps[k], copies[k], own, x.tobytes())
+                    for k, own, x in zip(at, codes.value.of(units), units):
+                        short = own.astype(np.uint32)
+                        for table, value in enumerate(own.tolist()):
+                            yield x.nbytes + 4 * table, (table, value, size, reps[k], copies[k], short[:table].tobytes(), x.tobytes())
 
-        return sized_batches(each(), pa.schema([("t", pa.int32()), ("v", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("codes", pa.list_(pa.int64())), ("vec", pa.binary())]))
+        return sized_batches(each(), pa.schema([("t", pa.int32()), ("v", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("codes", pa.binary()), ("vec", pa.binary())]))
 
-    posted = classes.select("rep", "copies", "vec").mapInArrow(post, "t int, v long, size int, rep long, copies long, codes array<bigint>, vec binary")
+    posted = classes.select("rep", "copies", "vec").mapInArrow(post, "t int, v long, size int, rep long, copies long, codes binary, vec binary")
     posted = scratch.table(posted, "posted")
     # a bucket of several blocks is dealt as pairs of blocks
     sizes = scratch.table(posted.groupBy("t", "v", "size").count().select("t", "v", "size", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")), "sizes")
@@ -185,11 +233,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
             return
         sides = []
         for side in (left, right):
-            sides.append((np.array([h[1] for h in side]), np.array([h[2] for h in side]), np.array([h[3] for h in side]), np.stack([np.frombuffer(h[4]) for h in side])))
+            sides.append((np.array([h[1] for h in side]), np.array([h[2] for h in side]), np.stack([np.frombuffer(h[3], np.uint32) for h in side]), np.stack([np.frombuffer(h[4]) for h in side])))
         (ids, copies, own, x), (ids2, copies2, own2, y) = sides
         linked = x @ y.T >= cosine
-        for k in range(t):  # counted in an earlier table
-            linked &= own[:, k][:, None] != own2[:, k][None, :]
+        u, v = np.nonzero(linked)
+        earlier = np.zeros(len(u), bool)  # counted in an earlier table
+        for k in range(t):
+            earlier |= own[u, k] == own2[v, k]
+        linked[u[earlier], v[earlier]] = False
         if i == j:
             np.fill_diagonal(linked, False)
         if not linked.any():

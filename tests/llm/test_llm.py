@@ -320,6 +320,36 @@ def test_embeddings_match_brute_force(spark):
     assert itq.near_duplicates(spark, table.limit(0)).count() == 0
 
 
+def around_a_mean(n, size, mean_cosine, seed):
+    """Unit vectors with a common mean, and for each one at cosine 0.9505 that has the same mean."""
+    rng = np.random.default_rng(seed)
+    axis = np.linalg.qr(rng.normal(size=(size, 1)))[0][:, 0]
+    off = lambda x: (x - (x @ axis)[:, None] * axis)
+    scaled = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    z = scaled(off(rng.normal(size=(n, size))))
+    other = off(rng.normal(size=(n, size)))
+    other = scaled(other - (other * z).sum(axis=1, keepdims=True) * z)
+    rho = (0.9505 - mean_cosine) / (1 - mean_cosine)
+    place = lambda x: np.sqrt(mean_cosine) * axis + np.sqrt(1 - mean_cosine) * x
+    return place(z), place(rho * z + np.sqrt(1 - rho * rho) * other)
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.5, 0.8])
+def test_tables_suffice_with_a_common_mean(mean_cosine):
+    x, y = around_a_mean(6000, 64, mean_cosine, 3)
+    codes = itq.learned(x, 60_000, cosine=0.95, bucket=2048, miss=0.005)
+    assert codes.bits == 5 and (codes.of(x) == codes.of(y)).any(axis=1).mean() >= 0.99
+
+
+def test_embeddings_with_a_common_mean_find_their_pairs(spark):
+    x, y = around_a_mean(2500, 64, 0.9, 5)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
+    both = np.concatenate((x, y))
+    want = ((both @ both.T) >= 0.95).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(spark, table).collect()}
+    assert [got[k] for k in range(len(both))] == want.tolist() and want.min() >= 1
+
+
 def test_pipeline_decides_as_plain_versions_do(spark, corpus):
     docs, sf = corpus, "/root/testdata/sf0.001"
     for name, stage in corpus_pipeline.STAGES:
