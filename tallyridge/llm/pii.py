@@ -6,8 +6,9 @@ nothing. Its unary potentials are a softmax over the chunk's form and the word b
 chunks are linked in a chain, and chunks of a document that repeat, or whose digits contain one
 another's, are linked over any distance. What patterns have found is evidence; loopy belief propagation
 carries it along the links, so that a number written once with its country code is also found where
-it is written without. Chunks that no link joins to evidence get no label. Every chunk is linked to the next one like it alone, so that links grow with
-the text and not with its square. Spans of the patterns always stay.
+it is written without, however often it stands there. Chunks that no link joins to evidence get no label. Every chunk is
+linked to one piece of evidence of each kind among those like it, or to the first of them where there is none, so that links
+grow with the text and not with its square. Spans of the patterns always stay.
 
 The potentials are learned from the patterns' own findings in at most about ``most_docs`` documents,
 chosen by a hash of the id; a chunk like a found one but not found itself counts as unlabelled there.
@@ -40,6 +41,8 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 CHUNK = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@][^\s]*)*")
 EDGES = " \t\r\n.,;:!?\"'<>[]{}|="
 BUCKETS = 64
+#: Ends belief propagation where messages swing and never settle.
+MOST_ROUNDS = 1_000
 
 
 def luhn(digits: str) -> bool:
@@ -150,20 +153,25 @@ def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[Node]:
 
 
 def similar_pairs(found: list[Node]) -> list[tuple[int, int]]:
-    """Skip links: each chunk to the next with the same key, and to the next whose last eight digits are its own."""
-    pairs, seen = [], {}
+    """Skip links: each chunk to the hubs of those with its key, and of those whose last eight digits are its own.
+
+    Hubs are the first chunk of each label that patterns gave, or the first of all where they gave none."""
+    groups: dict[str, list[int]] = {}
     for k, n in enumerate(found):
-        keys = {n.key}
+        groups.setdefault(n.key, []).append(k)
         if n.key.isdigit() and len(n.key) >= 8:
-            keys.add("..." + n.key[-8:])
-        linked = set()
-        for key in keys:
-            j = seen.get(key)
-            if j is not None and j not in linked:
-                pairs.append((j, k))
-                linked.add(j)
-            seen[key] = k
-    return pairs
+            groups.setdefault("..." + n.key[-8:], []).append(k)
+    pairs: dict[tuple[int, int], None] = {}
+    for members in groups.values():
+        hubs: dict[int, int] = {}
+        for k in members:
+            if found[k].label:
+                hubs.setdefault(found[k].label, k)
+        for hub in hubs.values() or members[:1]:
+            for k in members:
+                if k != hub:
+                    pairs[min(k, hub), max(k, hub)] = None
+    return list(pairs)
 
 
 def evidence(found: list[Node]) -> list[set[int]]:
@@ -193,12 +201,12 @@ class Field:
     chain: np.ndarray  # labels x labels
     skip: np.ndarray  # labels x labels
 
-    def posteriors(self, found: list[Node], rounds: int = 12) -> np.ndarray:
-        """Beliefs of each chunk's labels by loopy belief propagation; evidence is held."""
+    def posteriors(self, found: list[Node], rounds: int = MOST_ROUNDS) -> np.ndarray:
+        """Beliefs of each chunk's labels by loopy belief propagation until messages settle; evidence is held."""
         scores = np.stack([self.unary[n.features].sum(axis=0) for n in found])
         for k, n in enumerate(found):
             if n.label:
-                scores[k] = -30.0
+                scores[k] = -1e9  # more than all who link to it can outvote
                 scores[k, n.label] = 0.0
         skips = similar_pairs(found)
         edges = [(k, k + 1, 0) for k in range(len(found) - 1)] + [(i, j, 1) for i, j in skips]

@@ -276,6 +276,20 @@ def test_pii_carries_evidence_to_similar_tokens(spark, corpus):
     assert clean.columns == frame(spark, texts).columns and clean.where("doc_id = 3").first()["text"] == "Call <phone> or, later on, just <phone> please"
 
 
+@pytest.mark.parametrize("repeats", [19, 50])
+@pytest.mark.parametrize("lean", [0.0, 2.0])
+def test_pii_carries_evidence_to_all_repeats(repeats, lean):
+    field = pii.learn([])
+    field.unary[0, 0] = lean  # towards nothing
+    for text in ("call +1 212 555 0147 now, " + "or take 212-555-0147 again, " * repeats, "or take 212-555-0147 again, " * repeats + "call +1 212 555 0147 now"):
+        base, spans = pii.all_spans(text, field, 0.9)
+        assert len(base) == 1 and len(spans) == repeats + 1 and {s[0] for s in spans} == {"phone"}
+    # links stay linear, and messages settle
+    found = pii.nodes(text, base)
+    assert len(pii.similar_pairs(found)) <= 2 * len(found)
+    assert np.allclose(field.posteriors(found), field.posteriors(found, 200), atol=1e-3)
+
+
 def test_cross_parsing_counts_phrases():
     model = langid.build({"x": "abab" * 50, "y": "cdcd" * 50})
     assert model.phrases([model.symbols("abababcd")]).tolist() == [[3, 2]] or model.phrases([model.symbols("abababcd")])[0, 0] < 5
