@@ -19,7 +19,9 @@ points, ends are exclusive.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 CHUNK = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@][^\s]*)*")
 EDGES = " \t\r\n.,;:!?\"'<>[]{}|="
 BUCKETS = 64
+#: Chunks of a document from which unary potentials are learned.
+MOST_EXAMPLES = 400
 #: Ends belief propagation where messages swing and never settle.
 MOST_ROUNDS = 1_000
 
@@ -131,7 +135,7 @@ def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[Node]:
         lo, hi = m.span()
         while at < len(spans) and spans[at][2] <= lo:
             at += 1
-        inside = [s for s in spans[at : at + 8] if s[1] < hi and s[2] > lo]
+        inside = [s for s in takewhile(lambda s: s[1] < hi, map(spans.__getitem__, range(at, len(spans)))) if s[2] > lo]
         # what stands between spans in a chunk is a node of its own
         cuts, p = [], lo
         for kind, s, e in inside:
@@ -258,24 +262,31 @@ def softmax_weights(rows: list[list[int]], labels: np.ndarray, steps: int = 300,
     return w
 
 
-def learn(found_docs: list[list[Node]]) -> Field:
-    """A field from documents' chunks, those with evidence as examples of their kind."""
-    rows, labels = [], []
-    chain, skip = np.ones((len(LABELS),) * 2), np.ones((len(LABELS),) * 2) * 0.1
-    for found in found_docs:
-        pairs = similar_pairs(found)
-        unknown = {k for i, j in pairs for k, o in ((i, j), (j, i)) if not found[k].label and found[o].label}
-        for k, n in enumerate(found):
-            if k not in unknown:
-                rows.append(n.features)
-                labels.append(n.label)
-        for k in range(len(found) - 1):
-            if not {k, k + 1} & unknown:
-                chain[found[k].label, found[k + 1].label] += 1
-        for i, j in pairs:
-            if not {i, j} & unknown:
-                skip[found[i].label, found[j].label] += 1
-                skip[found[j].label, found[i].label] += 1
+def counted(found: list[Node], seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[tuple[list[int], int]]]:
+    """Of a document's chunks: the labels that neighbours have, those that linked ones have, and features with labels of
+    at most ``MOST_EXAMPLES`` chunks, chosen by a hash from the whole text; those with evidence are examples of their kind."""
+    chain, skip = np.zeros((len(LABELS),) * 2, np.int64), np.zeros((len(LABELS),) * 2, np.int64)
+    pairs = similar_pairs(found)
+    unknown = {k for i, j in pairs for k, o in ((i, j), (j, i)) if not found[k].label and found[o].label}
+    for k in range(len(found) - 1):
+        if not {k, k + 1} & unknown:
+            chain[found[k].label, found[k + 1].label] += 1
+    for i, j in pairs:
+        if not {i, j} & unknown:
+            skip[found[i].label, found[j].label] += 1
+            skip[found[j].label, found[i].label] += 1
+    known = [k for k in range(len(found)) if k not in unknown]
+    if len(known) > MOST_EXAMPLES:
+        known = sorted(known, key=lambda k: (zlib.crc32(b"%d:%d" % (seed, k)), k))[:MOST_EXAMPLES]
+    return chain, skip, [(found[k].features, found[k].label) for k in known]
+
+
+def learn(counts: list[tuple[np.ndarray, np.ndarray, list[tuple[list[int], int]]]]) -> Field:
+    """A field from what was counted in documents."""
+    rows = [features for _, _, examples in counts for features, _ in examples]
+    labels = [label for _, _, examples in counts for _, label in examples]
+    chain = sum((c for c, _, _ in counts), np.ones((len(LABELS),) * 2))
+    skip = sum((s for _, s, _ in counts), np.ones((len(LABELS),) * 2) * 0.1)
     y = np.array(labels, np.int64)
     # pointwise mutual information: links say nothing where labels are independent
     pmi = lambda n: np.log(n / n.sum()) - np.log(n.sum(1, keepdims=True) / n.sum()) - np.log(n.sum(0, keepdims=True) / n.sum())
@@ -284,25 +295,29 @@ def learn(found_docs: list[list[Node]]) -> Field:
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", most_docs: int = 1_000) -> Field:
-    """Learns from documents with a digit or an ``@``; at most 400 chunks of each are looked at."""
+    """Learns from all chunks of documents with a digit or an ``@``; the driver gets counts, and examples as ``counted`` bounds them."""
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(text_col).alias("text"))
 
     def chunks(batches):
         for b in batches:
-            out = []
-            for order, text in zip(b["order"].to_pylist(), b["text"].to_pylist()):
-                out.append((order, [(n.key, n.features, n.label) for n in nodes(text, base_spans(text))[:400]]))
+            orders = b["order"].to_pylist()
+            out = [counted(nodes(text, base_spans(text)), order) for order, text in zip(orders, b["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o for o, _ in out], pa.int64()), pa.array([[{"key": k, "features": f, "label": y} for k, f, y in ns] for _, ns in out], pa.list_(pa.struct([("key", pa.string()), ("features", pa.list_(pa.int32())), ("label", pa.int32())])))],
-                names=["order", "chunks"],
+                [
+                    b["order"],
+                    *(pa.array([x[k].ravel().tolist() for x in out], pa.list_(pa.int64())) for k in (0, 1)),
+                    pa.array([[{"features": f, "label": y} for f, y in examples] for _, _, examples in out], pa.list_(pa.struct([("features", pa.list_(pa.int32())), ("label", pa.int32())]))),
+                ],
+                names=["order", "chain", "skip", "examples"],
             )
 
     total = rows.count()
     share = min(1.0, most_docs / max(1, total))
     picked = rows.where(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
-    got = picked.mapInArrow(chunks, "order long, chunks array<struct<key:string,features:array<int>,label:int>>").collect()
-    got.sort(key=lambda r: (r["order"], len(r["chunks"])))
-    return learn([[Node(0, 0, c["key"], list(c["features"]), c["label"]) for c in r["chunks"]] for r in got])
+    got = picked.mapInArrow(chunks, "order long, chain array<long>, skip array<long>, examples array<struct<features:array<int>,label:int>>").collect()
+    got.sort(key=lambda r: (r["order"], r["examples"]))
+    matrix = lambda counts: np.array(counts).reshape(len(LABELS), len(LABELS))
+    return learn([(matrix(r["chain"]), matrix(r["skip"]), [(list(x["features"]), x["label"]) for x in r["examples"]]) for r in got])
 
 
 def all_spans(text: str | None, field: Field | None, cutoff: float) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -290,6 +290,23 @@ def test_pii_carries_evidence_to_all_repeats(repeats, lean):
     assert np.allclose(field.posteriors(found), field.posteriors(found, 200), atol=1e-3)
 
 
+def test_pii_takes_all_findings_of_a_chunk():
+    numbers = [f"212 555 {k:04d}" for k in range(40)]
+    text = "call +1 " + ", +1 ".join(numbers) + " at noon. " + " ".join(f"or then {n} it is." for n in numbers)
+    base, spans = pii.all_spans(text, pii.learn([]), 0.9)
+    assert len(base) == 40 and len(spans) == 80
+    found = pii.nodes(text, base)
+    assert [n.label for n in found] == [pii.LABELS.index("phone")] * 40 + [0] * 40
+
+
+def test_pii_learns_from_the_whole_text(spark):
+    text = "see 12 of them " * 2000 + "and write to a@b.example now " * 500
+    chain, skip, examples = pii.counted(pii.nodes(text, pii.base_spans(text)))
+    assert chain.sum() == 2499 and skip.trace() == 2 * (1999 + 499)
+    assert len(examples) == pii.MOST_EXAMPLES and 40 < sum(y == 1 for _, y in examples) < 120
+    assert pii.fit(frame(spark, [text, text])).chain[1, 1] > 0
+
+
 def test_cross_parsing_counts_phrases():
     model = langid.build({"x": "abab" * 50, "y": "cdcd" * 50})
     assert model.phrases([model.symbols("abababcd")]).tolist() == [[3, 2]] or model.phrases([model.symbols("abababcd")])[0, 0] < 5
