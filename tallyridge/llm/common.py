@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -24,6 +25,27 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def row_order(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text, by which samples are chosen."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+
+
+#: Steps of the share of hashes that a sample takes.
+STEPS = 1 << 40
+
+
+def share(most: int, total: int, distinct: int) -> float:
+    """The share of hashes that ``most`` of ``total`` rows have, of which about ``distinct`` differ."""
+    return 1.0 if total <= most else min(1.0, most / max(1, distinct))
+
+
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of ``rows`` or fewer, by their column ``order``; rows of one hash count as one, so the bound holds for any ids."""
+    total, distinct = rows.agg(F.count("*"), F.approx_count_distinct("order", 0.01)).first()
+    picked = rows.where(F.pmod("order", F.lit(STEPS)) < share(most, total, distinct) * STEPS)
+    return picked.dropDuplicates(["order"])
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage and survive lost executors."""
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyridge.llm.common import STEPS, row_order, share
+
 BLOCK, CLASSES, GAP, PAD = 1024, 64, 1, 63
 
 
@@ -149,18 +151,18 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     """Learns from rows of ``docs`` (only training rows) that have a text and a language.
 
     The reference of a language is at most its share of ``total_chars``, from some ``sample_docs`` of its rows,
-    chosen and ordered by a hash of the id, whatever the size of the table.
+    chosen and ordered by a hash of id and text, repeated rows once, whatever the size of the table.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    order = row_order(id_col, text_col)
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang_col).agg(F.count("*"), F.approx_count_distinct(order, 0.01)).collect()}
     if not counts:
         return build({})
     chars = max(1, total_chars // len(counts))
     # about one language per row of this table; fractions of rows to take
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, sample_docs / n)) for k, n in counts.items()], "lang string, share double")
-    order = F.xxhash64(F.col(id_col).cast("string"))
+    shares = docs.sparkSession.createDataFrame([(k, share(sample_docs, *n)) for k, n in counts.items()], "lang string, share double")
     taken = rows.select(F.col(lang_col).alias("lang"), order.alias("order"), F.substring(text_col, 1, chars).alias("text")).join(F.broadcast(shares), "lang")
-    sample = taken.where(F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "order", "text").collect()
+    sample = taken.where(F.pmod("order", F.lit(STEPS)) < F.col("share") * STEPS).select("lang", "order", "text").dropDuplicates(["lang", "order"]).collect()
     references: dict[str, str] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["order"], r["text"])):
         references[r["lang"]] = (references.get(r["lang"], "") + "\n" + r["text"])[:chars]

@@ -11,7 +11,7 @@ linked to one piece of evidence of each kind among those like it, or to the firs
 grow with the text and not with its square. Spans of the patterns always stay.
 
 The potentials are learned from the patterns' own findings in at most about ``most_docs`` documents,
-chosen by a hash of the id; a chunk like a found one but not found itself counts as unlabelled there.
+chosen by a hash of id and text, repeated rows once; a chunk like a found one but not found itself counts as unlabelled there.
 Null texts have no spans; null and repeated ids are kept, one result per row. Offsets count code
 points, ends are exclusive.
 """
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyridge.llm.common import bounded_sample, row_order
+
 #: Order of kinds in results.
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -296,7 +298,7 @@ def learn(counts: list[tuple[np.ndarray, np.ndarray, list[tuple[list[int], int]]
 
 def fit(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", most_docs: int = 1_000) -> Field:
     """Learns from all chunks of documents with a digit or an ``@``; the driver gets counts, and examples as ``counted`` bounds them."""
-    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(row_order(id_col, text_col).alias("order"), F.col(text_col).alias("text"))
 
     def chunks(batches):
         for b in batches:
@@ -311,10 +313,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", most
                 names=["order", "chain", "skip", "examples"],
             )
 
-    total = rows.count()
-    share = min(1.0, most_docs / max(1, total))
-    picked = rows.where(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
-    got = picked.mapInArrow(chunks, "order long, chain array<long>, skip array<long>, examples array<struct<features:array<int>,label:int>>").collect()
+    got = bounded_sample(rows, most_docs).mapInArrow(chunks, "order long, chain array<long>, skip array<long>, examples array<struct<features:array<int>,label:int>>").collect()
     got.sort(key=lambda r: (r["order"], r["examples"]))
     matrix = lambda counts: np.array(counts).reshape(len(LABELS), len(LABELS))
     return learn([(matrix(r["chain"]), matrix(r["skip"]), [(list(x["features"]), x["label"]) for x in r["examples"]]) for r in got])

@@ -5,7 +5,7 @@ follows from its spelling. A unit's context vector is the sum of the index vecto
 occurrences; a document is the mean of its units' vectors. A network of two layers turns that into a
 logit, and a temperature fitted on rows kept aside makes it a probability.
 
-The model is learned from at most about ``most_rows`` labelled rows, chosen by a hash of the id; scoring covers
+The model is learned from at most about ``most_rows`` labelled rows, chosen by a hash of id and text, repeated rows once; scoring covers
 whole texts of all rows. Null and empty texts have the zero vector and get a score like any other.
 Without labelled rows of both classes the score is the share of class 1, or 0.5 with none.
 Repeated rows and null ids are kept.
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyridge.llm.common import bounded_sample, row_order
 from tallyridge.llm.langid import fold
 
 RUN = re.compile(r"(.)\1+")
@@ -139,9 +140,10 @@ def fit(spark: SparkSession, rows: DataFrame, *, text_col: str = "text", label_c
     total = sum(counts.values())
     if len(counts) < 2:
         return Model([], constant=0.5 if not total else float(1 in counts))
-    share = min(1.0, most_rows / total)
-    picked = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20))
-    sample = rows.where(F.col(label_col).isin(0, 1) & (picked < share * (1 << 20))).select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), (picked % 5 == 0).alias("aside"))
+    labelled = rows.where(F.col(label_col).isin(0, 1))
+    order = F.xxhash64(row_order(id_col, text_col), F.col(label_col).cast("int"))
+    labelled = labelled.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), order.alias("order"))
+    sample = bounded_sample(labelled, most_rows).withColumn("aside", F.pmod("order", F.lit(5)) == 0)
     sample = sample.repartition(8)  # bounded by most_rows, whatever the table
 
     def spelled(batches):

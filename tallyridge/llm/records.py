@@ -8,7 +8,7 @@ The index of a shard has, per frame, its byte offset and its number of tokens (u
 each), so that a reader can fetch frames in any order.
 
 Shards hold ranges of ids in ascending order, rows without an id first; a null text counts as empty; repeated ids
-are kept, ordered by text. A shard is written under a name of its own and then moved, so that a task
+are kept, ordered by the start of the text and a hash of it, and may lie in several shards. A shard is written under a name of its own and then moved, so that a task
 that runs again, after the loss of an executor, replaces it with the same bytes.
 """
 
@@ -30,6 +30,8 @@ from tallyridge.llm.common import sized_batches
 from tallyridge.llm.pieces import default_path, piece_encoder
 
 MASK_DELTA = 0xA282EAD8
+#: Leading characters of texts by which rows of one id are ordered first; a hash of the whole text comes next.
+HEAD = 64
 HEADER = struct.Struct("<?qB")
 INDEX = struct.Struct("<QQ")
 
@@ -105,7 +107,9 @@ def write(docs: DataFrame, root: str, *, id_col: str = "doc_id", text_col: str =
             store.move(f"{name}.{own}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pylist([{"shard": shard, "records": count, "tokens": tokens, "bytes": offset}])
 
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # one id may hold many rows, and one text too: ranges split them, by keys that stay short
+    keyed = rows.withColumns({"head": F.substring("text", 1, HEAD), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("id", "head", "hash", "row").sortWithinPartitions("id", "head", "hash", "text").select("id", "text")
     done = ordered.mapInArrow(put, "shard long, records long, tokens long, bytes long")
     return sorted((r.asDict() for r in done.collect()), key=lambda x: x["shard"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyridge.llm import bpe, itq, langid, line_templates, minhash, packing, pieces, pii, quality_model, quality_rules, queries, records
+from tallyridge.llm import bpe, common, itq, langid, line_templates, minhash, packing, pieces, pii, quality_model, quality_rules, queries, records
 from tallyridge.llm.common import Scratch
 from tallyridge.llm.graph import components
 
@@ -81,6 +81,17 @@ def test_records_round_trip_in_order_and_shuffled(spark):
     assert records.digests(spark, frame(spark, []), Scratch(spark).path("e")).count() == 0
 
 
+def test_records_of_one_id_are_split(spark, tmp_path):
+    texts = ["same text"] * 400 + [f"license {k}" for k in range(400)]
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # would join what is small here
+    spark.conf.set(setting, "false")
+    try:
+        shards = records.write(frame(spark, texts, [None] * 800), f"file://{tmp_path}/one_id")
+    finally:
+        spark.conf.unset(setting)
+    assert max(s["records"] for s in shards) < 500 and sum(s["records"] for s in shards) == 800
+
+
 def test_a_damaged_record_is_noticed():
     import io
 
@@ -307,6 +318,15 @@ def test_pii_learns_from_the_whole_text(spark):
     assert pii.fit(frame(spark, [text, text])).chain[1, 1] > 0
 
 
+def test_samples_are_bounded_for_any_ids(spark):
+    rows = spark.range(6000).selectExpr("cast(null as string) as id", "case when id % 3 = 0 then 'one 1' else concat('text ', id) end as text")
+    order = common.row_order("id", "text").alias("order")
+    assert 60 < common.bounded_sample(rows.select(order, "text"), 100).count() < 150
+    assert common.bounded_sample(rows.limit(50).select(order, "text"), 100).count() == rows.limit(50).distinct().count()
+    repeated = rows.selectExpr("'a' as id", "'one 1' as text")
+    assert common.bounded_sample(repeated.select(order, "text"), 100).count() == 1
+
+
 def test_cross_parsing_counts_phrases():
     model = langid.build({"x": "abab" * 50, "y": "cdcd" * 50})
     assert model.phrases([model.symbols("abababcd")]).tolist() == [[3, 2]] or model.phrases([model.symbols("abababcd")])[0, 0] < 5
