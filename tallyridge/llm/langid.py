@@ -5,17 +5,18 @@ longest phrases that occur in the reference; the language with the fewest phrase
 logarithm of the reference's length and divided by the document's length, wins. The automata of all
 languages are one table of transitions in which a mismatch already leads to the start of the next
 phrase, so that many blocks of text take a step together. Long texts are parsed in blocks of
-``BLOCK`` characters; a phrase ends with its block in every language alike. The whole text counts.
+``BLOCK`` symbols; a phrase ends with its block in every language alike. The whole text counts.
 
-Case is folded, and a run of characters other than letters counts as one gap. Null texts, and texts without a letter, are ``und``
+Symbols are bytes of UTF-8, so that letters of any script differ; each language's part of the table has those
+that its reference holds, and one for all others. Case is folded, and a run of characters other than letters counts as one gap. Null texts, and texts without a letter, are ``und``
 with score 0. Languages come from the training rows alone; with none, all rows are ``und``.
 Ties go to the language first in alphabetical order. Repeated rows and null ids are kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyridge.llm.common import STEPS, row_order, share
 
-BLOCK, CLASSES, GAP, PAD = 1024, 64, 1, 63
+BLOCK, GAP, PAD = 1024, 0x20, 0xFF  # UTF-8 has no byte 0xFF
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -62,19 +63,25 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # of each code point below 65,536
-    table: np.ndarray  # (next state * CLASSES) << 1 | whether a phrase ended
-    starts: np.ndarray  # of each language, times CLASSES
+    classes: np.ndarray  # of each byte, by language
+    table: np.ndarray  # where the next state's row begins << 1 | whether a phrase ended
+    starts: np.ndarray  # where each language's rows begin
     weights: np.ndarray  # bits that a phrase of each language takes
 
     def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        found = self.classes[np.minimum(points, 65_535)]
-        gap = found == GAP
-        return found[~(gap & np.append(False, gap[:-1]))]
+        gap = ~letters()[points]
+        points = np.where(gap, GAP, points)[~(gap & np.append(False, gap[:-1]))]
+        return np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text in each language."""
@@ -89,15 +96,15 @@ class Model:
         for lo in range(0, len(order), 4096):
             some = order[lo : lo + 4096]
             size = lengths[some]
-            text = np.full((size[0], len(some)), PAD, np.int32)
+            text = np.full((size[0], len(some)), PAD, np.uint8)
             for column, b in enumerate(some):
                 text[: lengths[b], column] = blocks[b]
-            state = np.repeat(self.starts[:, None], len(some), axis=1).astype(np.int32)
+            state = np.repeat(self.starts[:, None], len(some), axis=1).astype(self.table.dtype)
             count = np.ones_like(state)
             active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # blocks longer than t
             for t in range(size[0]):
                 n = active[t]
-                step = self.table.take(state[:, :n] + text[t, :n], mode="clip")
+                step = self.table.take(state[:, :n] + self.classes.take(text[t, :n], axis=1), mode="clip")
                 count[:, :n] += step & 1
                 np.right_shift(step, 1, out=state[:, :n])
             np.add.at(total, np.array(owner)[some], count.T)
@@ -119,38 +126,43 @@ class Model:
 def build(references: dict[str, str]) -> Model:
     """A model from one reference text per language."""
     languages = sorted(references)
-    letters = Counter(c for t in references.values() for c in t.lower() if c.isalpha() and ord(c) < 65_535)
-    classes = np.full(65_536, GAP, np.uint8)
-    for point in range(65_535):
-        if chr(point).isalpha():
-            classes[point] = 0  # a letter that no language has
-    classes[65_535] = 0
-    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: PAD - 2]):
-        classes[ord(c)] = k + 2
-    model = Model(languages, classes, np.empty(0, np.int32), np.zeros(len(languages), np.int64), np.ones(len(languages)))
+    model = Model(languages, np.zeros((len(languages), 256), np.int32), np.empty(0, np.int32), np.zeros(len(languages), np.int64), np.ones(len(languages)))
     tables, base = [], 0
     for k, language in enumerate(languages):
-        symbols = model.symbols(references[language]).tolist()
-        nexts = suffix_automaton(symbols)
-        table = np.zeros((len(nexts), CLASSES), np.int64)
-        table[:] = (base * CLASSES) << 1 | 1
+        symbols = model.symbols(references[language])
+        own = np.unique(symbols)
+        model.classes[k, own] = np.arange(1, len(own) + 1)  # 0: not in the reference
+        nexts = suffix_automaton(model.classes[k, symbols].tolist())
+        width = len(own) + 1
+        table = np.full((len(nexts), width), base << 1 | 1, np.int64)
         for c, to in nexts[0].items():
-            table[:, c] = ((base + to) * CLASSES) << 1 | 1
+            table[:, c] = (base + to * width) << 1 | 1
         for state, to in enumerate(nexts):
             if to:
-                table[state, list(to)] = (np.fromiter(to.values(), np.int64) + base) * CLASSES << 1
-        table[:, PAD] = (base * CLASSES) << 1
-        tables.append(table)
-        model.starts[k], model.weights[k] = base * CLASSES, np.log2(max(2, len(symbols)))
-        base += len(nexts)
-    model.table = np.concatenate(tables).astype(np.int32).ravel() if tables else model.table
+                table[state, list(to)] = (np.fromiter(to.values(), np.int64) * width + base) << 1
+        model.starts[k], model.weights[k] = base, np.log2(max(2, len(symbols)))
+        base += table.size
+        tables.append(table.ravel())
+    if tables:
+        model.table = np.concatenate([t.astype(np.int32 if base < 1 << 30 else np.int64) for t in tables])
     return model
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", total_chars: int = 96_000, sample_docs: int = 200) -> Model:
+def pieces(texts: list[str], chars: int) -> str:
+    """The start of each text, all as long as fits into ``chars`` characters; short texts leave room to others."""
+    left, cap = chars, 0
+    for k, n in enumerate(sorted(map(len, texts))):
+        cap = left // (len(texts) - k)
+        if n > cap:
+            break
+        left, cap = left - n, n
+    return "\n".join(t[: max(1, cap)] for t in texts)[: chars + len(texts)]
+
+
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", language_chars: int = 24_000, sample_docs: int = 200) -> Model:
     """Learns from rows of ``docs`` (only training rows) that have a text and a language.
 
-    The reference of a language is at most its share of ``total_chars``, from some ``sample_docs`` of its rows,
+    The reference of a language has about ``language_chars`` at most, in pieces of some ``sample_docs`` of its rows from anywhere in their texts,
     chosen and ordered by a hash of id and text, repeated rows once, whatever the size of the table.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -158,15 +170,16 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang_col).agg(F.count("*"), F.approx_count_distinct(order, 0.01)).collect()}
     if not counts:
         return build({})
-    chars = max(1, total_chars // len(counts))
+    room = F.greatest(F.length(text_col) - language_chars, F.lit(0))
+    start = F.pmod(order, room + 1) + 1
     # about one language per row of this table; fractions of rows to take
     shares = docs.sparkSession.createDataFrame([(k, share(sample_docs, *n)) for k, n in counts.items()], "lang string, share double")
-    taken = rows.select(F.col(lang_col).alias("lang"), order.alias("order"), F.substring(text_col, 1, chars).alias("text")).join(F.broadcast(shares), "lang")
+    taken = rows.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).substr(start.cast("int"), F.lit(language_chars)).alias("text")).join(F.broadcast(shares), "lang")
     sample = taken.where(F.pmod("order", F.lit(STEPS)) < F.col("share") * STEPS).select("lang", "order", "text").dropDuplicates(["lang", "order"]).collect()
-    references: dict[str, str] = {}
+    texts: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["order"], r["text"])):
-        references[r["lang"]] = (references.get(r["lang"], "") + "\n" + r["text"])[:chars]
-    return build(references)
+        texts.setdefault(r["lang"], []).append(r["text"])
+    return build({k: pieces(v, language_chars) for k, v in texts.items()})
 
 
 def predict(spark: SparkSession, model: Model, docs: DataFrame, *, text_col: str = "text") -> DataFrame:

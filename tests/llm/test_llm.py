@@ -333,6 +333,25 @@ def test_cross_parsing_counts_phrases():
     assert model.predict(["abab", "dcd", None, "", "12 !"])[0] == ["x", "y", "und", "und", "und"]
 
 
+def test_languages_of_many_scripts_differ():
+    latin = "".join(map(chr, [*range(97, 123), *range(0xE0, 0xF7), *range(0x101, 0x180, 2)]))
+    ranges = {"zh": (0x4E00, 400), "ja": (0x5200, 400), "am": (0x1200, 60), "gothic": (0x10330, 20), "osage": (0x104D8, 30), "ru": (0x430, 32)}
+    rng = random.Random(8)
+    alphabets = {"la": latin, **{k: "".join(map(chr, range(lo, lo + n))) for k, (lo, n) in ranges.items()}}
+    lexicon = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 6))) for _ in range(150)] for k, a in alphabets.items()}
+    # two languages of one rare script
+    lexicon["gothic2"] = ["".join(rng.choice(alphabets["gothic"]) for _ in range(4)) for _ in range(150)]
+    text = lambda k, n: " ".join(rng.choice(lexicon[k]) for _ in range(n))
+    model = langid.build({k: text(k, 3000 if k == "la" else 400) for k in lexicon})
+    names = [k for k in lexicon for _ in range(5)]
+    assert model.predict([text(k, 30) for k in names])[0] == names
+
+
+def test_references_take_pieces_of_many_texts():
+    assert langid.pieces(["a" * 1000, "b" * 10, "c" * 1000], 110) == "a" * 50 + "\n" + "b" * 10 + "\n" + "c" * 50
+    assert langid.pieces(["a" * 5, "b" * 7], 110) == "aaaaa\nbbbbbbb" and langid.pieces([], 9) == ""
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.held_out_predictions(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
