@@ -39,11 +39,11 @@ def share(most: int, total: int, distinct: int) -> float:
     return 1.0 if total <= most else min(1.0, most / max(1, distinct))
 
 
-def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` of ``rows`` or fewer, by their column ``order``; rows of one hash count as one, so the bound holds for any ids."""
+def bounded_sample(rows: DataFrame, most: int, *also: str) -> DataFrame:
+    """About ``most`` of ``rows`` or fewer, by their column ``order``; rows of one hash (and of the same ``also``) count as one, so the bound holds for any ids."""
     total, distinct = rows.agg(F.count("*"), F.approx_count_distinct("order", 0.01)).first()
     picked = rows.where(F.pmod("order", F.lit(STEPS)) < share(most, total, distinct) * STEPS)
-    return picked.dropDuplicates(["order"])
+    return picked.dropDuplicates(["order", *also])
 
 
 class Scratch:

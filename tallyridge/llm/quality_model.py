@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyridge.llm.common import bounded_sample, row_order
+from tallyridge.llm.common import Scratch, bounded_sample, row_order
 from tallyridge.llm.langid import fold
 
 RUN = re.compile(r"(.)\1+")
@@ -134,16 +134,17 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(spark: SparkSession, rows: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", most_rows: int = 4_000, most_words: int = 2_000, most_shapes: int = 500, size: int = 96, filled: int = 8, window: int = 2) -> Model:
-    """Learns from labelled ``rows`` (only training rows); label 0 or 1."""
+def fit(spark: SparkSession, rows: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", order_col: str | None = None, most_rows: int = 4_000, most_words: int = 2_000, most_shapes: int = 500, size: int = 96, filled: int = 8, window: int = 2) -> Model:
+    """Learns from labelled ``rows`` (only training rows); label 0 or 1. ``order_col`` may hold their ``row_order`` already, so that counting needs no texts."""
     counts = {int(r[0]): r[1] for r in rows.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return Model([], constant=0.5 if not total else float(1 in counts))
     labelled = rows.where(F.col(label_col).isin(0, 1))
-    order = F.xxhash64(row_order(id_col, text_col), F.col(label_col).cast("int"))
+    order = F.col(order_col) if order_col else row_order(id_col, text_col)
     labelled = labelled.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), order.alias("order"))
-    sample = bounded_sample(labelled, most_rows).withColumn("aside", F.pmod("order", F.lit(5)) == 0)
+    sample = bounded_sample(labelled, most_rows, "label").withColumn("aside", F.pmod("order", F.lit(5)) == 0)
+    sample = Scratch(spark).table(sample, "sample")
     sample = sample.repartition(8)  # bounded by most_rows, whatever the table
 
     def spelled(batches):
@@ -221,7 +222,7 @@ def held_out_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
     """The contract's row per document; only labels outside the held-out quarter are learned from."""
     held = fold("doc_id", 4) == 2
     known = labels.where(~held & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    train_rows = docs.select("doc_id", "text").join(known, "doc_id")
-    model = fit(spark, train_rows)
+    train_rows = docs.select("doc_id", "text", row_order("doc_id", "text").alias("order")).join(known, "doc_id")
+    model = fit(spark, train_rows, order_col="order")
     scored = score(spark, model, docs.select("doc_id", held.alias("held_out"), "text")).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
