@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts of up to ``chunk_chars`` characters are encoded where they are read. Longer ones are cut into
-chunks that overlap; every chunk is pre-tokenised on its own, neighbouring chunks are stitched at the
-first boundary of their overlap that both have found, and the pieces between stitches are encoded
-apart, so that one huge text is spread over many tasks. Where a pair of chunks shares no boundary
-(a run of blanks or letters as long as the overlap), the whole text is encoded as one piece.
+A text is cut into chunks of ``chunk_chars`` characters that run into their successors by ``overlap``. Every
+chunk is pre-tokenised on its own, neighbouring chunks are stitched at the first boundary of their overlap
+that both have found, and the pieces between stitches are encoded apart. Where two neighbours share no
+boundary (a run of blanks or letters as long as the overlap), those two alone become one chunk.
+
+Texts of up to ``spread_chars`` characters go through this in the task that reads them. Longer ones are first cut into
+parts of that size, which are stitched in the same way over many tasks; each part is then encoded chunk by chunk.
+A single pre-token is never split, however long.
 
 A null text counts as empty and gives no ids; null and repeated ids are kept, one result per row.
 """
@@ -12,17 +15,19 @@ A null text counts as empty and gives no ids; null and repeated ids are kept, on
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 import public_tokenizers
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyridge.llm.common import sized_batches
+from tallyridge.llm.common import Scratch, sized_batches
 
 DEFAULT_VOCAB = "byte_bpe_50k.tiktoken"
 
@@ -34,118 +39,149 @@ def load_encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     import numpy as np
 
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def overlapping_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, bool, str]]:
-    """(number, last, chunk): chunk k starts at k * size and runs into its successor by ``overlap``."""
-    count = max(1, -(-len(text) // size))
-    for k in range(count):
-        yield k, k == count - 1, text[k * size : (k + 1) * size + overlap]
+def overlapping_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, bool, str]]:
+    """(start, core, last, chunk): a chunk holds ``core`` characters and runs into its successor by ``overlap``."""
+    for at in range(0, max(1, len(text)), size):
+        yield at, min(size, len(text) - at), at + size >= len(text), text[at : at + size + overlap]
 
 
-def boundaries(chunk: str, pattern: regex.Pattern, lo: int, hi: int) -> list[int]:
-    """Starts of pre-tokens in [lo, hi) that follow a character other than white space.
+def boundaries(chunk: str, pattern: regex.Pattern) -> list[int]:
+    """Starts of pre-tokens that follow a character other than white space.
 
     After such a character a text can be cut: what stands before is split the same way without what follows.
     """
-    return [s for m in pattern.finditer(chunk) if lo <= (s := m.start()) < hi and (s == 0 or not chunk[s - 1].isspace())]
-
-
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, pattern: str | None = None, chunk_chars: int = 32_768, overlap: int = 1_024) -> DataFrame:
+    return [s for m in pattern.finditer(chunk) if (s := m.start()) == 0 or not chunk[s - 1].isspace()]
+
+
+def stitched(text: str, pattern: regex.Pattern, size: int, overlap: int) -> Iterator[str]:
+    """The pieces between stitches, end to end the text."""
+    start, own, step, hi = 0, None, size, size
+    while hi < len(text):
+        if own is None:  # from a stitch on, or from the start
+            own = [start + b for b in boundaries(text[start : hi + overlap], pattern)]
+        ahead = [hi + b for b in boundaries(text[hi : hi + size + overlap], pattern)]
+        until = min(hi + overlap, len(text))
+        both = set(own[bisect_left(own, hi) :]).intersection(ahead[: bisect_left(ahead, until)])
+        if both:
+            at = min(both)
+            yield text[start:at]
+            # from a shared boundary on the next chunk is split as the whole text is
+            start, own, step, hi = at, ahead, size, hi + size
+        else:
+            own, hi, step = None, hi + step, 2 * step
+    yield text[start:]
+
+
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, pattern: str | None = None, chunk_chars: int = 2_048, overlap: int = 256, spread_chars: int = 65_536) -> DataFrame:
     """``(id_col, ids)`` for each row of ``docs``; ids are little-endian unsigned 32-bit integers, end to end."""
     path, pattern = vocab or public_tokenizers.path(DEFAULT_VOCAB), pattern or public_tokenizers.PATTERN
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    long = F.length("text") > chunk_chars
+    long = F.length("text") > spread_chars
 
-    out = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("ids", pa.binary())])
+    def ids_of(text: str) -> bytes:
+        encoding, found = load_encoding(path, pattern), compiled(pattern)
+        return b"".join(ids_bytes(encoding.encode_ordinary(piece)) for piece in stitched(text, found, chunk_chars, overlap))
 
-    def encode_pieces(batches):
-        encoding = load_encoding(path, pattern)
+    def encode_whole(batches):
+        for b in batches:
+            # an id of any type passes through untouched
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(map(ids_of, b["text"].to_pylist()), pa.binary())], names=["id", "ids"])
+
+    short = rows.where(~long).select("id", "text").mapInArrow(encode_whole, f"id {id_type}, ids binary")
 
+    def encode_parts(batches):
         def each():
             for b in batches:
-                for row, k, text in zip(b["row"].to_pylist(), b["k"].to_pylist(), b["text"].to_pylist()):
-                    ids = ids_bytes(encoding.encode_ordinary(text))
-                    yield len(ids), (row, k, ids)
+                for row, at, text in zip(b["row"].to_pylist(), b["at"].to_pylist(), b["text"].to_pylist()):
+                    ids = ids_of(text)
+                    yield len(ids), (row, at, ids)
 
-        return sized_batches(each(), out)
+        return sized_batches(each(), pa.schema([("row", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())]))
 
-    def encode_whole(batches):
-        encoding = load_encoding(path, pattern)
+    def join_parts(batches):
         for b in batches:
-            # an id of any type passes through untouched
-            ids = [ids_bytes(encoding.encode_ordinary(t)) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(ids, pa.binary())], names=["id", "ids"])
+            ids = [b"".join(p["ids"] for p in parts) for parts in b["parts"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(ids, pa.binary())], names=["row", "ids"])
 
-    def cut(batches):
-        def each():
-            for b in batches:
-                for row, text in zip(b["row"].to_pylist(), b["text"].to_pylist()):
-                    for k, last, chunk in overlapping_chunks(text, chunk_chars, overlap):
-                        yield 4 * len(chunk), (row, k, last, chunk)
+    parts = spread(docs.sparkSession, rows.where(long).select("row", "text"), pattern, spread_chars, overlap)
+    encoded = parts.mapInArrow(encode_parts, "row long, at long, ids binary")
+    joined = encoded.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts")).mapInArrow(join_parts, "row long, ids binary")
+    long_ids = rows.where(long).select("row", "id").join(joined, "row").select("id", "ids")
+    return short.unionByName(long_ids).select(F.col("id").alias(id_col), "ids")
 
-        return sized_batches(each(), pa.schema([("row", pa.int64()), ("k", pa.int32()), ("last", pa.bool_()), ("text", pa.string())]))
 
-    def pretokenise(batches):
-        found = regex.compile(pattern)
+MARKED = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("core", pa.int64()), ("last", pa.bool_()), ("text", pa.string()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
 
-        def each():
-            for b in batches:
-                for x in b.to_pylist():
-                    at, text = x["k"] * chunk_chars, x["text"]
-                    head = [at + s for s in boundaries(text, found, 0, overlap)] if x["k"] else []
-                    tail = [] if x["last"] else [at + s for s in boundaries(text, found, chunk_chars, len(text))]
-                    yield 4 * len(text), (x["row"], x["k"], x["last"], text, head, tail)
 
-        return sized_batches(each(), pa.schema([("row", pa.int64()), ("k", pa.int32()), ("last", pa.bool_()), ("text", pa.string()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))]))
+def spread(spark: SparkSession, texts: DataFrame, pattern: str, size: int, overlap: int) -> DataFrame:
+    """``(row, at, text)``: parts of ``texts`` (row, text) of about ``size`` characters between stitches.
 
-    def join_pieces(batches):
-        encoding = load_encoding(path, pattern)
+    Parts that share no boundary with their successor become one with it and are pre-tokenised again, until all are stitched.
+    """
+    scratch = Scratch(spark)
+    schema = "row long, at long, core long, last boolean, text string, head array<bigint>, tail array<bigint>"
 
+    def marked(row, at, core, last, text):
+        found = boundaries(text, compiled(pattern))
+        head = [at + b for b in found[: bisect_left(found, overlap)]] if at else []
+        tail = [] if last else [at + b for b in found[bisect_left(found, core) :]]
+        return 4 * len(text), (row, at, core, last, text, head, tail)
+
+    def cut(batches):
         def each():
             for b in batches:
-                for row, parts, whole in zip(b["row"].to_pylist(), b["parts"].to_pylist(), b["whole"].to_pylist()):
-                    if whole:
-                        ids = ids_bytes(encoding.encode_ordinary("".join(p["text"] for p in parts)))
-                    else:
-                        ids = b"".join(p["ids"] for p in parts)
-                    yield len(ids), (row, 0, ids)
+                for row, text in zip(b["row"].to_pylist(), b["text"].to_pylist()):
+                    for at, core, last, chunk in overlapping_chunks(text, size, overlap):
+                        yield 4 * len(chunk), (row, at, core, last, chunk)
 
-        return sized_batches(each(), out)
+        return sized_batches(each(), pa.schema(list(MARKED)[:5]))
 
-    short = rows.where(~long).select("id", "text").mapInArrow(encode_whole, f"id {id_type}, ids binary")
+    def mark(batches):
+        return sized_batches((marked(*(x[c] for c in MARKED.names[:5])) for b in batches for x in b.to_pylist()), MARKED)
 
-    chunks = rows.where(long).select("row", "text").mapInArrow(cut, "row long, k int, last boolean, text string").repartition("row", "k")
-    marked = chunks.mapInArrow(pretokenise, "row long, k int, last boolean, text string, head array<bigint>, tail array<bigint>")
-    by_row = Window.partitionBy("row").orderBy("k")
-    whole_row = Window.partitionBy("row")
-    stitched = (
-        marked.withColumn("start", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(by_row), "head"))))
-        .withColumn("end", F.lead("start").over(by_row))
-        .withColumn("whole", F.max(F.col("start").isNull()).over(whole_row))
-    )
-    base = F.col("k") * F.lit(chunk_chars).cast("long")
-    pieces = stitched.select(
-        "row",
-        "k",
-        "whole",
-        F.when(F.col("whole"), F.substring("text", F.lit(1), F.lit(chunk_chars)))
-        .when(F.col("last"), F.substring("text", (F.col("start") - base + 1).cast("int"), F.lit(2**31 - 1)))
-        .otherwise(F.substring("text", (F.col("start") - base + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-        .alias("text"),
-    )
-    encoded = pieces.where(~F.col("whole")).select("row", "k", "text").repartition("row", "k").mapInArrow(encode_pieces, "row long, k int, ids binary")
-    parts = encoded.select("row", F.struct("k", "ids", F.lit(None).cast("string").alias("text")).alias("part"), F.lit(False).alias("whole")).unionByName(
-        pieces.where("whole").select("row", F.struct("k", F.lit(None).cast("binary").alias("ids"), "text").alias("part"), F.lit(True).alias("whole"))
-    )
-    joined = parts.groupBy("row").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.max("whole").alias("whole")).mapInArrow(join_pieces, "row long, k int, ids binary")
-    long_ids = rows.where(long).select("row", "id").join(joined, "row").select("id", "ids")
-    return short.unionByName(long_ids).select(F.col("id").alias(id_col), "ids")
+    def merge(batches):
+        def each():
+            for b in batches:
+                for row, held in zip(b["row"].to_pylist(), b["held"].to_pylist()):
+                    text = "".join(h["text"][: h["core"]] for h in held[:-1]) + held[-1]["text"]
+                    yield marked(row, held[0]["at"], sum(h["core"] for h in held), held[-1]["last"], text)
+
+        return sized_batches(each(), MARKED)
+
+    chunks = texts.mapInArrow(cut, "row long, at long, core long, last boolean, text string").repartition("row", "at")
+    state = scratch.table(chunks.mapInArrow(mark, schema), "parts-0")
+    along = Window.partitionBy("row").orderBy("at")
+    for k in count(1):
+        # texts stay out of the windows
+        stitch = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(along), "head")))
+        starts = state.select("row", "at", "head", "tail").withColumn("start", stitch).select("row", "at", "start")
+        starts = scratch.table(starts.withColumns({"end": F.lead("start").over(along), "group": F.sum(F.col("start").isNotNull().cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))}), f"starts-{k}")
+        if starts.where("start IS NULL").isEmpty():
+            break
+        grouped = state.join(starts.select("row", "at", "group"), ["row", "at"])
+        sizes = starts.groupBy("row", "group").count()
+        open_parts = grouped.join(sizes.where("count > 1").drop("count"), ["row", "group"])
+        held = open_parts.groupBy("row", "group").agg(F.sort_array(F.collect_list(F.struct("at", "core", "last", "text"))).alias("held"))
+        merged = held.select("row", "held").mapInArrow(merge, schema)
+        settled = grouped.join(sizes.where("count = 1").drop("count"), ["row", "group"]).select(*state.columns)
+        state = scratch.table(settled.unionByName(merged), f"parts-{k}")
+        scratch.drop(f"parts-{k - 1}")
+    placed = state.select("row", "at", "core", "last", "text").join(starts, ["row", "at"])
+    first = (F.col("start") - F.col("at") + 1).cast("int")
+    length = F.when(F.col("last"), F.lit(2**31 - 1)).otherwise((F.col("end") - F.col("start")).cast("int"))
+    return placed.select("row", "at", F.substring("text", first, length).alias("text")).repartition("row", "at")
 
 
 def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vocab: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +15,16 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes of payload after which a Python stage hands a batch back to Spark.
 BATCH_BYTES = 8 << 20
+#: A Spark master of one process, whose driver and executor share a disk.
+LOCAL = re.compile(r"local(\[.*\])?")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset and Spark runs in one process, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not LOCAL.fullmatch(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyridge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

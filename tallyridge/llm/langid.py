@@ -5,7 +5,8 @@ longest phrases that occur in the reference; the language with the fewest phrase
 logarithm of the reference's length and divided by the document's length, wins. The automata of all
 languages are one table of transitions in which a mismatch already leads to the start of the next
 phrase, so that many blocks of text take a step together. Long texts are parsed in blocks of
-``BLOCK`` symbols; a phrase ends with its block in every language alike. The whole text counts.
+``BLOCK`` symbols side by side, and phrases are then carried over the blocks' ends, so that counts are
+those of one parse of the whole text.
 
 Symbols are bytes of UTF-8, so that letters of any script differ; each language's part of the table has those
 that its reference holds, and one for all others. Case is folded, and a run of characters other than letters counts as one gap. Null texts, and texts without a letter, are ``und``
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -83,31 +85,74 @@ class Model:
         points = np.where(gap, GAP, points)[~(gap & np.append(False, gap[:-1]))]
         return np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
-    def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text in each language."""
-        blocks, owner = [], []
-        for k, row in enumerate(rows):
-            for lo in range(0, len(row), BLOCK):
-                blocks.append(row[lo : lo + BLOCK])
-                owner.append(k)
-        total = np.zeros((len(rows), len(self.languages)), np.int64)
-        lengths = np.array([len(b) for b in blocks], np.int64)
-        order = np.argsort(-lengths, kind="stable")
+    def parse(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended in, and the last state of, each column of ``text`` (steps x blocks) in each language, from the start."""
+        state = np.repeat(self.starts[:, None], len(size), axis=1).astype(self.table.dtype)
+        count = np.zeros_like(state)
+        order = np.argsort(-size, kind="stable")
         for lo in range(0, len(order), 4096):
             some = order[lo : lo + 4096]
-            size = lengths[some]
-            text = np.full((size[0], len(some)), PAD, np.uint8)
-            for column, b in enumerate(some):
-                text[: lengths[b], column] = blocks[b]
-            state = np.repeat(self.starts[:, None], len(some), axis=1).astype(self.table.dtype)
-            count = np.ones_like(state)
-            active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # blocks longer than t
-            for t in range(size[0]):
-                n = active[t]
-                step = self.table.take(state[:, :n] + self.classes.take(text[t, :n], axis=1), mode="clip")
-                count[:, :n] += step & 1
-                np.right_shift(step, 1, out=state[:, :n])
-            np.add.at(total, np.array(owner)[some], count.T)
+            columns, own, ended = text[:, some], state[:, some], count[:, some]
+            active = np.searchsorted(-size[some], -np.arange(size[some[0]]), side="left")  # blocks longer than t
+            for t, n in enumerate(active):
+                step = self.table.take(own[:, :n] + self.classes.take(columns[t, :n], axis=1), mode="clip")
+                ended[:, :n] += step & 1
+                np.right_shift(step, 1, out=own[:, :n])
+            state[:, some], count[:, some] = own, ended
+        return count, state
+
+    def follow(self, text: np.ndarray, size: np.ndarray, language: np.ndarray, block: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many more phrases end in blocks from state ``new`` than from ``old``, whether both differ at the end, and the new one there.
+
+        A pair of a language and a block is left as soon as both states are one: from there on they parse alike.
+        """
+        more, old, new, left = np.zeros(len(old), np.int64), old.copy(), new.copy(), np.arange(len(old))
+        for t in range(len(text)):
+            left = left[(size[block[left]] > t) & (old[left] != new[left])]
+            if not len(left):
+                break
+            symbol = self.classes[language[left], text[t, block[left]]]
+            was, now = self.table[old[left] + symbol], self.table[new[left] + symbol]
+            more[left] += (now & 1).astype(np.int64) - (was & 1)
+            old[left], new[left] = was >> 1, now >> 1
+        return more, old != new, new
+
+    def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text in each language.
+
+        Blocks of all texts are parsed side by side as if each began a text; then the state in which the one before has ended
+        is followed into each block until it meets the parse that is there.
+        """
+        total = np.ones((len(rows), len(self.languages)), np.int64)
+        owner = np.repeat(np.arange(len(rows)), [-(-len(r) // BLOCK) for r in rows])
+        if not len(owner):
+            return total
+        blocks = [r[lo : lo + BLOCK] for r in rows for lo in range(0, len(r), BLOCK)]
+        size = np.array([len(b) for b in blocks])
+        text = np.full((int(size.max()), len(blocks)), PAD, np.uint8)
+        for k, b in enumerate(blocks):
+            text[: len(b), k] = b
+        count, end = self.parse(text, size)
+        begin = np.repeat(self.starts[:, None], len(blocks), axis=1).astype(end.dtype)
+        goes_on = np.append(False, owner[1:] == owner[:-1])  # blocks with one before them in their text
+        language, block = (x.ravel() for x in np.meshgrid(np.arange(len(self.languages)), np.flatnonzero(goes_on), indexing="ij"))
+        for k in count_from(0):
+            open_pairs = end[language, block - 1] != begin[language, block]
+            language, block = language[open_pairs], block[open_pairs]
+            if not len(block):
+                break
+            ready = np.arange(len(block))
+            if k >= 2:  # the first open block of a text alone, so that what never meets costs no more than once through
+                ready = np.unique(language * len(rows) + owner[block], return_index=True)[1]
+            some, at = language[ready], block[ready]
+            more, differ, last = self.follow(text, size, some, at, begin[some, at], end[some, at - 1])
+            begin[some, at] = end[some, at - 1]
+            count[some, at] += more
+            end[some[differ], at[differ]] = last[differ]
+            after = differ & np.append(goes_on, False)[at + 1]
+            pairs = np.unique(np.concatenate((np.delete(language, ready) * len(owner) + np.delete(block, ready), some[after] * len(owner) + at[after] + 1)))
+            language, block = np.divmod(pairs, len(owner))
+        np.add.at(total, owner, count.T.astype(np.int64))
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class Packer:
 
     def __init__(self, size: int, stop_ids: np.ndarray, block: int, stride: int):
         self.size, self.stop_ids, self.block, self.stride = size, stop_ids, block, stride
-        self.docs: list[list] = []  # id, ids, ids already put out
+        self.docs: deque[list] = deque()  # id, ids, ids already put out
         self.held = 0
         self.windows = 0
 
@@ -114,7 +115,7 @@ class Packer:
             if taken >= self.block:
                 break
         lengths = np.array([len(x) for x in ids])
-        left = np.array([len(d[1]) - d[2] for d in self.docs[:n]])
+        left = np.array([len(d[1]) - d[2] for d in islice(self.docs, n)])
         points, costs = cut_points(np.concatenate(ids), lengths.cumsum()[lengths == left], self.stop_ids, self.stride)
         if points[-1] != taken:
             points, costs = np.append(points, taken), np.append(costs, 0.0)
@@ -134,7 +135,7 @@ class Packer:
                 d[2] += length
                 lo, offset, self.held = lo + length, offset + length, self.held - length
                 if d[2] == len(doc):
-                    self.docs.pop(0)
+                    self.docs.popleft()
             self.windows += 1
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import takewhile
 
@@ -42,7 +43,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-CHUNK = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@][^\s]*)*")
+TOKEN = re.compile(r"\S+")
 EDGES = " \t\r\n.,;:!?\"'<>[]{}|="
 BUCKETS = 64
 #: Chunks of a document from which unary potentials are learned.
@@ -128,13 +129,29 @@ def features(core: str, before: str, digits: str) -> list[int]:
     return [*out, at + len(flags) + word_bucket(before)]
 
 
+def chunks(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of tokens with a digit or an ``@``, one blank apart, in time linear in the text."""
+    lo = hi = -2
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        if not MARK.search(text, start, end):
+            continue
+        if hi > 0 and start == hi + 1 and text[hi] == " ":
+            hi = end
+            continue
+        if hi > 0:
+            yield lo, hi
+        lo, hi = start, end
+    if hi > 0:
+        yield lo, hi
+
+
 def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[Node]:
     """Chunks in order of the text."""
     out = []
     spans = sorted(spans, key=lambda s: s[1])
     at = 0
-    for m in CHUNK.finditer(text):
-        lo, hi = m.span()
+    for lo, hi in chunks(text):
         while at < len(spans) and spans[at][2] <= lo:
             at += 1
         inside = [s for s in takewhile(lambda s: s[1] < hi, map(spans.__getitem__, range(at, len(spans)))) if s[2] > lo]

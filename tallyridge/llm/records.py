@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,14 @@ def write(docs: DataFrame, root: str, *, id_col: str = "doc_id", text_col: str =
     return sorted((r.asDict() for r in done.collect()), key=lambda x: x["shard"])
 
 
-def frames(root: str, shard: int, order: np.ndarray | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
-    """(position in the shard, id, tokens): in the order of the file, or in the given order by way of the index."""
+def index_of(store: fs.FileSystem, name: str) -> np.ndarray:
+    """A shard's byte offsets and numbers of tokens, a row per record."""
+    with store.open_input_stream(f"{name}.idx") as f:
+        return np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
+
+
+def frames(root: str, shard: int, order: np.ndarray | None = None, index: np.ndarray | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """(position in the shard, id, tokens): in the order of the file, or in the given order by way of the index, a read for each record."""
     store, at = fs.FileSystem.from_uri(root)
     name = f"{at}/shard-{shard:06d}"
     if order is None:
@@ -125,18 +132,20 @@ def frames(root: str, shard: int, order: np.ndarray | None = None) -> Iterator[t
                 yield k, *unpack_ids(payload)
                 k += 1
         return
-    with store.open_input_stream(f"{name}.idx") as f:
-        offsets = np.frombuffer(f.read(), "<u8").reshape(-1, 2)[:, 0]
+    offsets = (index_of(store, name) if index is None else index)[:, 0]
     with store.open_input_file(f"{name}.rec") as source:
+        ends = np.append(offsets[1:], source.size())
         for k in order:
-            source.seek(int(offsets[k]))
-            yield int(k), *unpack_ids(read_frame(source))
+            data = source.read_at(int(ends[k] - offsets[k]), int(offsets[k]))
+            if (payload := read_frame(BytesIO(data))) is None:
+                raise BadRecord("index")
+            yield int(k), *unpack_ids(payload)
 
 
 def read(spark: SparkSession, root: str, shards: list[dict], *, seed: int | None = None) -> DataFrame:
     """``(id, start, ids)`` of every record, one task per shard.
 
-    ``start`` counts the tokens of all records before it. With ``seed`` the records of a shard come in a
+    ``start`` counts the tokens of all records before it. With ``seed`` the records of a shard are read through its index in a
     shuffled order, and the shards too; the rows are the same.
     """
     base, plan = 0, []
@@ -151,15 +160,14 @@ def read(spark: SparkSession, root: str, shards: list[dict], *, seed: int | None
         def each():
             for b in batches:
                 for x in b.to_pylist():
-                    order, starts = None, None
+                    order = index = starts = None
                     if seed is not None:
                         store, at = fs.FileSystem.from_uri(root)
-                        with store.open_input_stream(f"{at}/shard-{x['shard']:06d}.idx") as f:
-                            counts = np.frombuffer(f.read(), "<u8").reshape(-1, 2)[:, 1].astype(np.int64)
-                        starts = x["base"] + np.concatenate(([0], counts.cumsum()[:-1]))
-                        order = np.random.default_rng((seed, x["shard"])).permutation(x["records"])
+                        index = index_of(store, f"{at}/shard-{x['shard']:06d}")
+                        starts = x["base"] + np.concatenate(([0], index[:-1, 1].cumsum()))
+                        order = np.random.default_rng((seed, x["shard"])).permutation(len(index))
                     at = x["base"]
-                    for k, doc_id, ids in frames(root, x["shard"], order):
+                    for k, doc_id, ids in frames(root, x["shard"], order, index):
                         wide = ids.astype("<u4").tobytes()
                         yield len(wide), (doc_id, at if starts is None else int(starts[k]), wide)
                         at += len(ids)
@@ -171,6 +179,6 @@ def read(spark: SparkSession, root: str, shards: list[dict], *, seed: int | None
 
 
 def digests(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
-    """The contract's row per document, from the files."""
-    back = read(spark, root, write(docs, root))
+    """The contract's row per document, from the files, which are read in a shuffled order through their indexes."""
+    back = read(spark, root, write(docs, root), seed=0)
     return back.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
