@@ -1,19 +1,22 @@
 """Embedding near-duplicates by iterative quantisation.
 
 A rotation is learned on a bounded sample so that the signs of rotated vectors lose little (iterative
-quantisation); cutting at medians makes every bit balanced. Codes are split into substrings, one per
-hash table; vectors that share a substring in some table are candidates and are ranked with
-their original vectors in double precision. The length of a substring follows from the number of
-vectors, so that a bucket holds about ``bucket`` of them at any size, and the number of tables from how
-many pairs at the cutoff, made from the sample, share a substring under the learned codes: vectors with a common
-mean direction need more of them than hyperplanes' angles say. Beyond one code's bits more rotations are learned.
-With fewer vectors than a bucket holds, or than the buckets of all tables together hold, all are compared.
-
-Equal vectors form a class, and one of each goes on. A large bucket is dealt in pairs of blocks, and
-a pair of vectors counts in the first table that it shares, so nothing is emitted per pair: a
-block gives each vector's number of links and a spanning forest. Vectors that are null, zero or empty, or hold null or
-non-finite components, link with nothing, nor do rows without an id or vectors of different lengths.
-Rows that repeat an id count as one vector that holds the links of all of them.
+quantisation); cutting at medians makes every bit balanced. The bits of one or more rotations are a vector's code.
+
+Codes are indexed many times: a table for each substring. Vectors that share a substring in some table and whose
+whole codes' first FILTER bits lie within a Hamming radius are candidates, and are ranked with their original vectors in double
+precision. The number of bits of a substring follows from the number of vectors (at least LEAST_BITS, at any size); the number of tables from how many pairs
+at the cutoff, made from the sample, share a substring under the learned codes, and the radius from their distances: vectors with a
+common mean direction need more of both than hyperplanes' angles say.
+
+Tables hold codes and numbers of vectors alone. First each bucket tells which of its members have a candidate, by codes; only
+their vectors are then fetched and compared. Equal vectors form a class, and one of each goes on. A large bucket is dealt in pairs of
+blocks, and a pair of vectors counts in the first table that it shares, so nothing is emitted per pair: a block gives each
+vector's number of links and a spanning forest.
+
+Vectors that are null, zero or empty, or hold null or non-finite components, link with nothing, nor do rows without an id or
+vectors of different lengths; lengths have codes of their own. Rows that repeat an id are one vector to others: it holds the links of all of them, and they
+are no links of one another where they are equal.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,49 +34,39 @@ from pyspark.sql import functions as F
 from tallyridge.llm.common import Scratch, sized_batches
 from tallyridge.llm.graph import components
 
-
-def usable(values: list | None) -> np.ndarray | None:
-    """A vector in double precision, or None if it can link with nothing."""
-    if not values or None in values:
-        return None
-    x = np.array(values, np.float64)
-    return x + 0.0 if np.isfinite(x).all() and x.any() else None
+LEAST_BITS, MOST_BITS, MOST_TABLES = 8, 30, 512
+TRAINED = 8
+#: Bits of a code within whose Hamming radius candidates lie; two long integers.
+FILTER = 128
+#: Members of a bucket beyond which it is dealt as pairs of blocks, and of a block that are compared at a time.
+BLOCK, STEP = 16_384, 1_024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max()  # so that squares neither overflow nor vanish
-    return x / np.linalg.norm(x)
-
-
-@lru_cache(maxsize=64)
-def untrained(size: int, number: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng((size, number))
-    return np.linalg.qr(rng.normal(size=(size, size)))[0], np.zeros(size)
+    """Rows in double precision, of length 1."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=-1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
 @dataclass
 class Codes:
-    """Rotations with their medians, and the layout of tables."""
+    """Rotations with their medians, and the layout of tables, of vectors of one length."""
 
     rotations: list[tuple[np.ndarray, np.ndarray]]
-    size: int
     bits: int
     tables: int
+    radius: int
+
+    def signs(self, units: np.ndarray) -> np.ndarray:
+        return np.concatenate([units @ turn > median for turn, median in self.rotations], axis=1)
 
-    def of(self, vectors: np.ndarray) -> np.ndarray:
-        """The substrings of each vector, one column per table."""
-        if not self.bits:
-            return np.zeros((len(vectors), 1), np.int64)
-        size = vectors.shape[1]
-        per = max(1, size // self.bits)
-        width = min(self.bits, size)
-        out = np.zeros((len(vectors), self.tables), np.int64)
-        for number in range(-(-self.tables // per)):
-            rotation, median = self.rotations[number] if size == self.size else untrained(size, number)
-            signs = vectors @ rotation > median
-            for k in range(min(per, self.tables - number * per)):
-                out[:, number * per + k] = signs[:, k * width : (k + 1) * width] @ (1 << np.arange(width))
-        return out
+    def of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The substring of each vector in each table, and the first FILTER bits as integers."""
+        signs = self.signs(units)
+        subs = signs[:, : self.tables * self.bits].reshape(len(units), self.tables, self.bits) @ (1 << np.arange(self.bits))
+        packed = np.packbits(signs[:, :FILTER], axis=1)
+        return subs.astype(np.int32), np.ascontiguousarray(packed).view(np.int64).reshape(len(units), FILTER // 64)
 
 
 def rotation(sample: np.ndarray, number: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +83,13 @@ def rotation(sample: np.ndarray, number: int, rounds: int = 30) -> tuple[np.ndar
     return whole, np.median(sample @ whole, axis=0)
 
 
-def layout(vectors: int, cosine: float, bucket: int, miss: float) -> tuple[int, int]:
-    """Bits of a substring, and number of tables."""
-    bits = max(0, math.ceil(math.log2(max(1, vectors) / bucket)))
-    if not bits:
-        return 0, 1
-    share = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - share)))
+def turn_of(sample: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rotation of a number with its medians: the first TRAINED are learned; more of them, and those of few coordinates, would repeat what there is."""
+    size = sample.shape[1]
+    if number < TRAINED and 16 <= size and len(sample) > 1:
+        return rotation(sample, number)
+    turn = np.linalg.qr(np.random.default_rng((size, number)).normal(size=(size, size)))[0]
+    return turn, np.median(sample @ turn, axis=0)
 
 
 def cutoff_pairs(sample: np.ndarray, cosine: float, pairs: int = 10_000) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -119,47 +111,73 @@ def cutoff_pairs(sample: np.ndarray, cosine: float, pairs: int = 10_000) -> list
     noise = rng.normal(size=left.shape)
     noise -= (noise * left).sum(axis=1, keepdims=True) * left
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-    return [(left, right), (left, cosine * left + math.sqrt(max(0.0, 1 - cosine * cosine)) * noise)]
+    turned = cosine * left + math.sqrt(max(0.0, 1 - cosine * cosine)) * noise
+    return [(left, right), (left, turned / np.maximum(np.linalg.norm(turned, axis=1, keepdims=True), 1e-12))]
 
 
 def learned(sample: np.ndarray, vectors: int, *, cosine: float, bucket: int, miss: float) -> Codes:
-    """Rotations, and as many tables as bring the measured misses to ``miss``; vectors of other lengths than the sample's need those of ``layout``."""
-    bits, least = layout(vectors, cosine, bucket, miss)
+    """Rotations, and the cheapest layout that brings the misses measured on pairs at the cutoff to ``miss``.
+
+    The cost of a layout is, for each table, a posting (as dear as a bucket's worth of Hamming distances) and the members of
+    a vector's bucket.
+    """
     size = sample.shape[1]
-    per, width = max(1, size // bits), min(bits, size)
     kinds = cutoff_pairs(sample, cosine)
-    missed = [np.ones(len(left), bool) for left, _ in kinds]
-    rotations, tables = [], 0
-    while tables < least or max(m.mean() for m in missed) > miss:
-        number, k = divmod(tables, per)
-        if not k:
-            rotations.append(rotation(sample, number))
-            whole, median = rotations[-1]
-            signs = [(left @ whole > median) == (right @ whole > median) for left, right in kinds]
-        for m, same in zip(missed, signs):
-            m &= ~same[:, k * width : (k + 1) * width].all(axis=1)
-        tables += 1
-        # what is missed by now tells at least how many tables it takes
-        left_out = max(m.mean() for m in missed)
-        needed = tables if left_out <= miss else tables * math.log(miss) / math.log(left_out) if left_out < 1 else math.inf
-        if needed * bucket >= vectors:
-            return Codes([], 0, 0, 1)
-    return Codes(rotations, size, bits, tables)
-
-
-def fit(classes: DataFrame, vectors: int, *, cosine: float, bucket: int, miss: float, most_sample: int = 20_000) -> Codes:
-    """Learns from at most about ``most_sample`` distinct vectors of the commonest length, chosen by a hash."""
-    bits, tables = layout(vectors, cosine, bucket, miss)
-    if not bits:
-        return Codes([], 0, bits, tables)
-    picked = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < min(1.0, most_sample / vectors) * (1 << 20)
-    rows = [np.frombuffer(r[0]) for r in classes.where(picked).select("vec").collect()]
-    sizes = [len(r) for r in rows]
-    size = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
-    sample = np.array(sorted((unit(r) for r in rows if len(r) == size), key=lambda r: r.tobytes()))
-    if len(sample) < 2:
-        return Codes([], 0, bits, tables)
-    return learned(sample, vectors, cosine=cosine, bucket=bucket, miss=miss)
+    rotations: list[tuple[np.ndarray, np.ndarray]] = []
+    agree: list[np.ndarray] = [np.empty((len(left), 0), bool) for left, _ in kinds]
+
+    def grow(bits: int) -> None:
+        while len(rotations) * size < bits:
+            turn, median = turn_of(sample, len(rotations))
+            rotations.append((turn, median))
+            for k, (left, right) in enumerate(kinds):
+                agree[k] = np.concatenate((agree[k], (left @ turn > median) == (right @ turn > median)), axis=1)
+
+    best: tuple[float, int, int] | None = None
+    for bits in range(LEAST_BITS, max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(2, vectors))))) + 1):
+        missed = [np.ones(len(left), bool) for left, _ in kinds]
+        tables = 0
+        while max(m.mean() for m in missed) > miss:
+            if tables == MOST_TABLES:
+                break
+            cost = (tables + 1) * (bucket + vectors / 2**bits)
+            if best and cost >= best[0]:
+                break
+            grow((tables + 1) * bits)
+            for m, same in zip(missed, agree):
+                m &= ~same[:, tables * bits : (tables + 1) * bits].all(axis=1)
+            tables += 1
+        else:
+            cost = tables * (bucket + vectors / 2**bits)
+            if best is None or cost < best[0]:
+                best = cost, bits, tables
+    # where no number of tables will do, all vectors of the length meet in one bucket
+    _, bits, tables = best or (0, 0, 1)
+    grow(max(FILTER, bits * tables))
+    apart = [(~same[:, :FILTER]).sum(axis=1) for same in agree]
+    radius = int(max(np.quantile(a, 1 - miss / 10) for a in apart))
+    return Codes(rotations[: -(-max(FILTER, bits * tables) // size)], bits, tables, radius)
+
+
+def fit(classes: DataFrame, vectors: int, *, cosine: float, bucket: int, miss: float, most_sample: int = 20_000) -> dict[int, Codes]:
+    """Codes by length, from at most about ``most_sample`` distinct vectors, chosen by a hash; ones of a length that the sample lacks get random rotations."""
+    share = min(1.0, most_sample / max(1, vectors))
+    picked = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)
+    by_size: dict[int, list[bytes]] = {}
+    for r in classes.where(picked).select("size", "vec").collect():
+        by_size.setdefault(r["size"], []).append(bytes(r["vec"]))
+    out = {}
+    for size, held in by_size.items():
+        sample = unit(np.stack([np.frombuffer(v, np.float64 if len(v) == 8 * size else np.float32) for v in sorted(held)]))
+        out[size] = learned(sample, math.ceil(len(held) / share), cosine=cosine, bucket=bucket, miss=miss)
+    return out
+
+
+def codes_of(found: dict[int, Codes], size: int, cosine: float, bucket: int, miss: float) -> Codes:
+    if size not in found:
+        rng = np.random.default_rng(size)
+        found[size] = learned(unit(rng.normal(size=(1_000, size))), 1, cosine=cosine, bucket=bucket, miss=miss)
+    return found[size]
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -181,100 +199,166 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(int(ids[k]), int(ids[label[k]])) for k in moved if ids[k] != ids[label[k]]]
 
 
+def blocks_of(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[pa.RecordBatch | np.ndarray], bool]]:
+    """(group, columns of its rows) of rows that come ordered by ``t, v, i, j``, as Arrow tables."""
+    group, held = None, []
+    for b in batches:
+        keys = np.stack([b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "v", "i", "j")])
+        if not len(b):
+            continue
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        for lo, hi in zip(starts, np.append(starts[1:], len(b))):
+            own = tuple(keys[:, lo].tolist())
+            if own != group:
+                if held:
+                    yield group, pa.Table.from_batches(held).combine_chunks()
+                group, held = own, []
+            held.append(b.slice(lo, hi - lo).select(list(columns)))
+    if held:
+        yield group, pa.Table.from_batches(held).combine_chunks()
+
+
+def dealt_in_blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows ``(t, v, cls, ...)`` for each pair of blocks of their bucket, with ``i, j, left``; few buckets have more than one."""
+    large = scratch.table(rows.groupBy("t", "v").count().where(F.col("count") > BLOCK).select("t", "v", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    dealt = rows.join(large, ["t", "v"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "left": F.col("block") <= F.col("other")}).drop("blocks", "block", "other")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j")
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.95, bucket: int = 2048, miss: float = 0.005, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A row per row of ``vectors``: ``(id_col, n_links, component_id, kept)``."""
     scratch = Scratch(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("values"))
+    element = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    width = np.dtype(np.float32 if element == "float" else np.float64)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("values"))
 
     def prepare(batches):
-        def each():
-            for b in batches:
-                for vec_id, values in zip(b["id"].to_pylist(), b["values"].to_pylist()):
-                    x = usable(values) if vec_id is not None else None
-                    yield (64, (vec_id, None, None)) if x is None else (x.nbytes, (vec_id, xxhash.xxh3_128_digest(x.tobytes()), x.tobytes()))
-
-        return sized_batches(each(), pa.schema([("id", pa.int64()), ("key", pa.binary()), ("vec", pa.binary())]))
-
-    prepared = scratch.table(rows.mapInArrow(prepare, "id long, key binary, vec binary"), "prepared")
-    classes = scratch.table(prepared.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "classes")
-    codes = spark.sparkContext.broadcast(fit(classes, classes.count(), cosine=cosine, bucket=bucket, miss=miss))
-
-    def post(batches):
-        def each():
-            for b in batches:
-                vecs = [np.frombuffer(v) for v in b["vec"].to_pylist()]
-                reps, copies = b["rep"].to_pylist(), b["copies"].to_pylist()
-                for size in {len(v) for v in vecs}:
-                    at = [k for k, v in enumerate(vecs) if len(v) == size]
-                    units = np.stack([unit(vecs[k]) for k in at])
-                    for k, own, x in zip(at, codes.value.of(units), units):
-                        short = own.astype(np.uint32)
-                        for table, value in enumerate(own.tolist()):
-                            yield x.nbytes + 4 * table, (table, value, size, reps[k], copies[k], short[:table].tobytes(), x.tobytes())
-
-        return sized_batches(each(), pa.schema([("t", pa.int32()), ("v", pa.int64()), ("size", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("codes", pa.binary()), ("vec", pa.binary())]))
-
-    posted = classes.select("rep", "copies", "vec").mapInArrow(post, "t int, v long, size int, rep long, copies long, codes binary, vec binary")
-    posted = scratch.table(posted, "posted")
-    # a bucket of several blocks is dealt as pairs of blocks
-    sizes = scratch.table(posted.groupBy("t", "v", "size").count().select("t", "v", "size", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")), "sizes")
-    dealt = posted.join(sizes, ["t", "v", "size"]).withColumn("block", F.pmod(F.xxhash64("rep", "vec"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    grouped = dealt.select("t", "v", "size", "i", "j", (F.col("block") == F.col("i")).alias("left"), "rep", "copies", "codes", "vec")
-    grouped = grouped.repartition("t", "v", "size", "i", "j").sortWithinPartitions("t", "v", "size", "i", "j")
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
-
-    def compare(group: tuple, held: list[tuple]) -> Iterator[tuple]:
-        t, _, _, i, j = group
-        left = [h for h in held if h[0]]
-        right = left if i == j else [h for h in held if not h[0]]
-        if not left or not right:
-            return
-        sides = []
-        for side in (left, right):
-            sides.append((np.array([h[1] for h in side]), np.array([h[2] for h in side]), np.stack([np.frombuffer(h[3], np.uint32) for h in side]), np.stack([np.frombuffer(h[4]) for h in side])))
-        (ids, copies, own, x), (ids2, copies2, own2, y) = sides
-        linked = x @ y.T >= cosine
-        u, v = np.nonzero(linked)
-        earlier = np.zeros(len(u), bool)  # counted in an earlier table
-        for k in range(t):
-            earlier |= own[u, k] == own2[v, k]
-        linked[u[earlier], v[earlier]] = False
-        if i == j:
-            np.fill_diagonal(linked, False)
-        if not linked.any():
+        for b in batches:
+            values = b["values"]
+            data = values.flatten().to_numpy(zero_copy_only=False).astype(width) + width.type(0)  # one zero
+            sizes = np.diff(values.offsets.to_numpy()) if len(values) else np.empty(0, np.int64)
+            sizes = np.where(values.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+            ends = sizes.cumsum()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            # null components come as not a number
+            bad = np.bincount(owner, ~np.isfinite(data), len(sizes)) > 0
+            usable = (sizes > 0) & ~bad & (np.bincount(owner, data != 0, len(sizes)) > 0) & ~b["id"].is_null().to_numpy(zero_copy_only=False)
+            raw = [data[e - n : e].tobytes() if ok else None for ok, e, n in zip(usable, ends, sizes)]
+            keys = [r and xxhash.xxh3_128_digest(r) for r in raw]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["id", "key", "size", "vec"])
+
+    prepared = rows.mapInArrow(prepare, "id long, key binary, size int, vec binary")
+    keys = scratch.table(prepared.select("id", "key"), "keys")
+    known = prepared.where("key is not null")
+    more = keys.where("key is not null").groupBy("key").agg(F.count_distinct("id").alias("copies"))
+    classes = known.groupBy("key").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("vec").alias("vec")).join(more.hint("merge"), "key")
+    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    fitted = spark.sparkContext.broadcast(fit(classes, classes.count(), cosine=cosine, bucket=bucket, miss=miss))
+
+    def encode(batches):
+        found = fitted.value
+        for b in batches:
+            raw, sizes = b["vec"].to_pylist(), b["size"].to_numpy()
+            subs: list = [None] * len(raw)
+            codes: list = [None] * len(raw)
+            radius = np.zeros(len(raw), np.int32)
+            for size in set(sizes.tolist()):
+                at = np.flatnonzero(sizes == size)
+                own = codes_of(found, size, cosine, bucket, miss)
+                radius[at] = own.radius
+                for k, s, c in zip(at, *own.of(unit(np.stack([np.frombuffer(raw[k], width) for k in at])))):
+                    subs[k], codes[k] = s, c
+            columns = [pa.array(subs, pa.list_(pa.int32())), *(pa.array([c[k] for c in codes], pa.int64()) for k in range(FILTER // 64)), pa.array(radius)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("cls", "key", "rep", "copies", "size", "vec")), *columns], names=["cls", "key", "rep", "copies", "size", "vec", "subs", "h0", "h1", "radius"])
+
+    coded = classes.select("cls", "key", "rep", "copies", "size", "vec").mapInArrow(encode, "cls long, key binary, rep long, copies long, size int, vec binary, subs array<int>, h0 long, h1 long, radius int")
+    coded = scratch.table(coded, "coded")
+    scratch.drop("classes")
+
+    # a table of a length is a number of its own
+    postings = coded.select("cls", "h0", "h1", "radius", F.col("size").alias("length"), F.posexplode("subs").alias("k", "v"))
+    postings = postings.select((F.col("length").cast("long") * (1 << 20) + F.col("k")).alias("t"), F.col("v"), "cls", "h0", "h1", "radius")
+
+    def near(group: tuple, rows: pa.Table) -> Iterator[tuple]:
+        """Members that have a candidate on the other side, by their codes."""
+        left = rows["left"].to_numpy()
+        cls = rows["cls"].to_numpy()
+        h = np.stack([rows["h0"].to_numpy(), rows["h1"].to_numpy()]).view(np.uint64)
+        radius, same = int(rows["radius"][0].as_py()), group[2] == group[3]
+        one = np.arange(len(cls)) if same else np.flatnonzero(left)
+        two = one if same else np.flatnonzero(~left)
+        if len(one) < 1 + same or not len(two):
             return
-        for k, n in enumerate(linked @ copies2):
-            if n:
-                yield int(ids[k]), int(n), None
-        if i != j:
-            for k, n in enumerate(copies @ linked):
-                if n:
-                    yield int(ids2[k]), int(n), None
-        for u, v in forest(linked, ids, ids2):
-            yield u, 0, v
+        hit = np.zeros(len(cls), bool)
+        for lo in range(0, len(one), STEP):
+            some = one[lo : lo + STEP]
+            for at in range(lo if same else 0, len(two), STEP):
+                other = two[at : at + STEP]
+                apart = np.bitwise_count(h[0, some][:, None] ^ h[0, other]).astype(np.int16)
+                apart += np.bitwise_count(h[1, some][:, None] ^ h[1, other])
+                close = apart <= radius
+                if same and at == lo:
+                    np.fill_diagonal(close, False)
+                hit[some] |= close.any(axis=1)
+                hit[other] |= close.any(axis=0)
+        for k in np.flatnonzero(hit):
+            yield *group, bool(left[k]), int(cls[k])
+
+    flags = pa.schema([("t", pa.int64()), ("v", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("left", pa.bool_()), ("cls", pa.int64())])
+
+    def flag(batches):
+        return sized_batches(((32, row) for group, rows in blocks_of(batches, ("left", "cls", "h0", "h1", "radius")) for row in near(group, rows)), flags)
+
+    dealt = together(dealt_in_blocks(postings, scratch))
+    flagged = scratch.table(dealt.mapInArrow(flag, "t long, v int, i int, j int, left boolean, cls long"), "flagged")
+    fetched = together(flagged.join(coded.select("cls", "rep", "copies", "vec", "subs").hint("merge"), "cls"))
+
+    def compare(group: tuple, rows: pa.Table) -> Iterator[tuple]:
+        """Links of members, and a spanning forest of them, by cosines; a pair counts in the first table that it shares."""
+        table, same = group[0] & ((1 << 20) - 1), group[2] == group[3]
+        left = rows["left"].to_numpy()
+        reps, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
+        x = unit(np.frombuffer(b"".join(rows["vec"].to_pylist()), width).reshape(len(reps), -1))
+        subs = np.stack(rows["subs"].to_pylist()).astype(np.int32)[:, :table]
+        one = np.arange(len(reps)) if same else np.flatnonzero(left)
+        two = one if same else np.flatnonzero(~left)
+        links = np.zeros(len(reps), np.int64)
+        for lo in range(0, len(one), STEP):
+            some = one[lo : lo + STEP]
+            for at in range(lo if same else 0, len(two), STEP):
+                other = two[at : at + STEP]
+                linked = x[some] @ x[other].T >= cosine
+                if same and at == lo:
+                    linked &= np.triu(np.ones(linked.shape, bool), 1)
+                u, v = np.nonzero(linked)
+                for cut in range(0, len(u), 1 << 16):
+                    a, b = u[cut : cut + (1 << 16)], v[cut : cut + (1 << 16)]
+                    earlier = (subs[some[a]] == subs[other[b]]).any(axis=1)
+                    linked[a[earlier], b[earlier]] = False
+                if linked.any():
+                    links[some] += linked @ copies[other]
+                    links[other] += copies[some] @ linked
+                    for a, b in forest(linked, reps[some], reps[other]):
+                        yield a, 0, b
+        for k in np.flatnonzero(links):
+            yield int(reps[k]), int(links[k]), None
+
+    edges = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
     def rank(batches):
-        def each():
-            group, held = None, []
-            for b in batches:
-                columns = [b[c].to_pylist() for c in ("t", "v", "size", "i", "j", "left", "rep", "copies", "codes", "vec")]
-                for row in zip(*columns):
-                    if row[:5] != group:
-                        if group:
-                            yield from compare(group, held)
-                        group, held = row[:5], []
-                    held.append(row[5:])
-            if group:
-                yield from compare(group, held)
-
-        return sized_batches(((24, row) for row in each()), schema)
-
-    found = scratch.table(grouped.mapInArrow(rank, "rep long, links long, to long"), "found")
+        return sized_batches(((24, row) for group, rows in blocks_of(batches, ("left", "rep", "copies", "vec", "subs")) for row in compare(group, rows)), edges)
+
+    found = scratch.table(fetched.select("t", "v", "i", "j", "left", "rep", "copies", "vec", "subs").mapInArrow(rank, "rep long, links long, to long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(found.where("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")), scratch, "all").withColumnRenamed("node", "rep")
-    named = scratch.table(classes.select("key", "rep", "copies").join(links, "rep", "left").join(label, "rep", "left").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "named")
-    result = prepared.select("id", "key").join(named, "key", "left")
+    own = coded.select("key", "rep", "copies").join(links.hint("merge"), "rep", "left").join(label.hint("merge"), "rep", "left")
+    named = scratch.table(own.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "named")
+    result = keys.join(named.hint("merge"), "key", "left")
     component = F.coalesce("component", "id")
     return result.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -1,18 +1,23 @@
 """Line dedup by a tree of log templates, in DataFrame functions alone.
 
 The tree has a fixed depth: a line goes down by its number of tokens, then by its leading ``depth``
-tokens, where a token with a digit counts as variable. In a leaf, the tokens at each later place that
-fewer than ``least`` of its lines have become variable too, and what stays is the line's
-template. A template is dropped when ``least`` lines have it, it has ``min_tokens`` tokens, and at
-least ``constant`` of them do not vary. Its first document, the one of smallest id, keeps it, so that one copy of every
-passage stays; all others lose their lines of that template.
-
-Lines of fewer tokens stay, blank ones too. A leaf of one line needs no comparison, so only lines of leaves
-with several are compared token by token; all else moves as hashes. Where texts are shuffled they are so at every
+tokens, where a token with a digit counts as variable. In a leaf, a token at a later place stays where lines
+of ``least`` documents have it and becomes variable elsewhere; what comes out is the line's template.
+
+Recurring is what several documents share. A line of equal tokens in two distinct documents or more
+stays in the first of them, the one of smallest id, alone. Among what then stays, a template that lines of ``least`` distinct documents
+have, with at least ``constant`` of its tokens fixed, stays in its first document alone. So one copy of every
+passage is kept, and what recurs within one document only is left as it is. (Support of a token at a place adds up over
+a leaf's distinct lines, each with the number of documents that hold it first; supports of templates count distinct documents.)
+
+Lines of fewer than ``min_tokens`` tokens stay, blank ones too. Lines are parsed once, into a table. A leaf of one line needs no comparison, so only
+lines of leaves with several are compared token by token; all else moves as hashes. Joins by a leaf, or by what a leaf
+holds, are dealt into SALTS parts, so that a hot leaf is split. Where texts are shuffled they are so at every
 size, so that cost and plan do not turn with the number of recurring lines.
 
 Null texts stay null and have no lines. Rows without an id come last in the order and count as one document
-in it, as do rows that repeat an id. A document that loses all its lines of words keeps its blank lines, or an empty text.
+in it, as do rows that repeat an id. A document that loses all its lines of words keeps its blank lines, or an empty text. Other columns, of whatever
+names, pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ LEAST, DEPTH, MIN_TOKENS, CONSTANT = 3, 3, 4, 0.7
 VARIABLE = "<*>"
 WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 NO_ID = (1 << 63) - 1
+#: Parts into which rows of one leaf, line or template are dealt in joins.
+SALTS = 16
 
 
 def tokens(line: Column) -> Column:
@@ -34,46 +41,56 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, BLANKS), "")
 
 
-def line_hash(words: Column) -> Column:
-    return F.xxhash64(words)
-
-
 def leaf_hash(words: Column, depth: int) -> Column:
     """The place in the tree: number of tokens, then leading tokens."""
     return F.xxhash64(F.size(words), F.slice(words, 1, depth))
 
 
 def parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``(id, text_hash, at, leaf, line, n, vary)`` of each line with ``min_tokens`` tokens or more; ``docs`` has id and text."""
-    lines = docs.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    words = lines.select("id", "text_hash", "at", tokens(F.col("line")).alias("words")).where(F.size("words") >= min_tokens)
+    """``(id, text_hash, at, leaf, line, exact, n, vary, raw)`` of each line with ``min_tokens`` tokens or more; ``docs`` has id and text."""
+    lines = docs.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    words = lines.withColumn("words", tokens(F.col("raw"))).where(F.size("words") >= min_tokens)
+    line = F.xxhash64("words")
+    # where no token varies the line's own tokens are those of the template
+    exact = F.when(F.array_contains("words", VARIABLE), F.xxhash64(F.array_remove(F.split("raw", BLANKS), ""))).otherwise(line)
     vary = F.size("words") - F.size(F.array_remove("words", VARIABLE))
-    return words.select("id", "text_hash", "at", leaf_hash(F.col("words"), depth).alias("leaf"), line_hash(F.col("words")).alias("line"), F.size("words").alias("n"), vary.alias("vary"))
-
-
-def dropped_lines(scratch: Scratch, docs: DataFrame, lines: DataFrame, least: int, depth: int, min_tokens: int, constant: float) -> DataFrame:
-    """``(leaf, line, first)``: hashes of lines to drop, and the document that keeps them. ``lines`` are those parsed from ``docs``."""
-    found = lines.groupBy("leaf", "line").agg(F.count("*").alias("held"), F.min("id").alias("first"), F.min("n").alias("n"), F.min("vary").alias("vary"))
-    by_line = scratch.table(found, "by_line")
-    # where several lines of a leaf make up a template
-    leaves = by_line.groupBy("leaf").agg(F.sum("held").alias("held"), F.count("*").alias("lines"))
-    several = scratch.table(leaves.where((F.col("lines") > 1) & (F.col("held") >= least)).select("leaf"), "several")
-    alone = by_line.join(several, "leaf", "left_anti").where((F.col("held") >= least) & (F.col("n") - F.col("vary") >= F.lit(constant) * F.col("n"))).select("leaf", "line", "first")
-
-    raw = docs.select(F.explode(F.split("text", "\n")).alias("raw")).withColumn("words", tokens(F.col("raw"))).where(F.size("words") >= min_tokens)
-    hashed = raw.select(leaf_hash(F.col("words"), depth).alias("leaf"), line_hash(F.col("words")).alias("line"), "raw")
-    texts = hashed.join(several.hint("merge"), "leaf", "left_semi").dropDuplicates(["leaf", "line"]).select("leaf", "line", tokens(F.col("raw")).alias("words"))
-    texts = scratch.table(texts.join(by_line.select("leaf", "line", "held", "first"), ["leaf", "line"]), "texts")
-    places = texts.select("leaf", "line", "held", F.posexplode("words").alias("at", "word"))
-    support = scratch.table(places.groupBy("leaf", "at", "word").agg(F.sum("held").alias("all")).where((F.col("all") >= least) & (F.col("word") != VARIABLE)).select("leaf", "at", "word"), "support")
-    fixed = places.join(support, ["leaf", "at", "word"]).groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
+    return words.select("id", "text_hash", "at", leaf_hash(F.col("words"), depth).alias("leaf"), line.alias("line"), exact.alias("exact"), F.size("words").alias("n"), vary.alias("vary"), "raw")
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``; rows of one key are dealt into SALTS parts by a hash of ``by``."""
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
+
+
+def dropped_lines(scratch: Scratch, lines: DataFrame, least: int, depth: int, constant: float) -> DataFrame:
+    """``(leaf, line, exact, first)``: hashes of lines to drop, and the document that keeps them, of ``parsed`` lines."""
+    found = lines.groupBy("leaf", "line", "exact").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("n").alias("n"), F.min("vary").alias("vary"))
+    by_exact = scratch.table(found, "by_exact")
+    by_line = scratch.table(by_exact.groupBy("leaf", "line").agg(F.count_distinct("first").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("n").alias("n"), F.min("vary").alias("vary")), "by_line")
+    # where several lines, of more than one document, may make up a template
+    leaves = by_line.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
+    several = scratch.table(leaves.where((F.col("lines") > 1) & (F.col("docs") >= least) & (F.col("first") != F.col("last"))).select("leaf"), "several")
+    fixed_share = lambda stay: stay >= F.lit(constant) * F.col("n")
+    # alone in its leaf, a line is its own template
+    alone = salted_join(by_line.where((F.col("docs") >= least) & fixed_share(F.col("n") - F.col("vary"))), several, ["leaf"], "line", "left_anti").select("leaf", "line", "first")
+
+    texts = salted_join(lines.select("leaf", "line", "raw").dropDuplicates(["leaf", "line"]), several, ["leaf"], "line", "left_semi")
+    texts = scratch.table(texts.select("leaf", "line", tokens(F.col("raw")).alias("words")).join(by_line.select("leaf", "line", "docs", "n").hint("merge"), ["leaf", "line"]), "texts")
+    places = texts.select("leaf", "line", "docs", F.posexplode("words").alias("at", "word")).where(F.col("word") != VARIABLE)
+    support = scratch.table(places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("all")).where(F.col("all") >= least).select("leaf", "at", "word"), "support")
+    fixed = salted_join(places, support, ["leaf", "at", "word"], "line").groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
     template = F.transform("words", lambda w, i: F.when(F.array_contains("fixed", i) | (i < depth), w).otherwise(VARIABLE))
-    templates = texts.join(fixed, ["leaf", "line"]).select("leaf", "line", "held", "first", template.alias("template"), F.size("words").alias("n"))
-    templates = scratch.table(templates.select("leaf", "line", "held", "first", "n", line_hash(F.col("template")).alias("template"), F.size(F.array_remove("template", VARIABLE)).alias("stay")), "templates")
-    recurring = templates.groupBy("leaf", "template").agg(F.sum("held").alias("held"), F.min("first").alias("first"), F.min("stay").alias("stay"), F.min("n").alias("n"))
-    recurring = scratch.table(recurring.where((F.col("held") >= least) & (F.col("stay") >= F.lit(constant) * F.col("n"))).select("leaf", "template", "first"), "recurring")
-    together = templates.drop("first").join(recurring, ["leaf", "template"]).select("leaf", "line", "first")
-    return alone.unionByName(together)
+    templates = texts.join(fixed.hint("merge"), ["leaf", "line"]).select("leaf", "line", "n", template.alias("template"))
+    templates = scratch.table(templates.select("leaf", "line", F.xxhash64("template").alias("template"), F.size(F.array_remove("template", VARIABLE)).alias("stay"), "n").where(fixed_share(F.col("stay"))), "templates")
+    held = scratch.table(salted_join(by_exact.select("leaf", "line", "exact", "first"), templates.select("leaf", "line", "template"), ["leaf", "line"], "exact"), "held")
+    recurring = scratch.table(held.groupBy("leaf", "template").agg(F.count_distinct("first").alias("docs"), F.min("first").alias("keeps")).where(F.col("docs") >= least).drop("docs"), "recurring")
+    together = salted_join(held, recurring, ["leaf", "template"], "exact").select("leaf", "line", "exact", F.col("keeps").alias("first"))
+    alone = salted_join(by_exact.select("leaf", "line", "exact"), alone, ["leaf", "line"], "exact").select("leaf", "line", "exact", "first")
+    literal = by_exact.where("first <> last").select("leaf", "line", "exact", "first")
+    # a template's first document is that of its lines, or an earlier one
+    return literal.unionByName(together).unionByName(alone).groupBy("leaf", "line", "exact").agg(F.min("first").alias("first"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, counts: bool = False) -> DataFrame:
@@ -83,9 +100,9 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     identity = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(identity.alias("id"), F.col(text_col).alias("text"))
     lines = scratch.table(parsed(rows, depth, min_tokens), "lines")
-    drop = dropped_lines(scratch, rows, lines, least, depth, min_tokens, constant)
+    drop = scratch.table(dropped_lines(scratch, lines, least, depth, constant), "drop")
     # rows of one id and one text lose the same lines
-    lost = lines.select("id", "text_hash", "at", "leaf", "line").join(drop, ["leaf", "line"]).where("id <> first")
+    lost = salted_join(lines.select("id", "text_hash", "at", "leaf", "line", "exact"), drop, ["leaf", "line", "exact"], "id").where("id <> first")
     lost = lost.groupBy("id", "text_hash").agg(F.collect_set("at").alias(f"{own}lost")).withColumnsRenamed({"id": f"{own}id", "text_hash": f"{own}hash"})
     keyed = docs.withColumns({f"{own}id": identity, f"{own}hash": F.xxhash64(F.col(text_col))})
     joined = keyed.join(lost.hint("merge"), [f"{own}id", f"{own}hash"], "left")
@@ -108,19 +125,20 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def oracle_sql(least: int = LEAST, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> str:
     """DuckDB SQL for ``digests``, on the lines themselves."""
     blanks = r"[\x20\x09-\x0D]+"
-    words = lambda x: f"list_filter(regexp_split_to_array(regexp_replace({x}, '{WITH_DIGIT}', '{VARIABLE}', 'g'), '{blanks}'), lambda w: w <> '')"
+    split = lambda x: f"list_filter(regexp_split_to_array({x}, '{blanks}'), lambda w: w <> '')"
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {NO_ID}) AS id, text FROM documents
 ), raw AS (
   SELECT r, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL
 ), l AS (
-  SELECT *, {words("line")} AS words FROM raw
+  SELECT *, {split("line")} AS own, {split(f"regexp_replace(line, '{WITH_DIGIT}', '{VARIABLE}', 'g')")} AS words FROM raw
+), by_exact AS (
+  SELECT words, own, min(id) AS first, max(id) AS last FROM l WHERE len(words) >= {min_tokens} GROUP BY words, own
 ), by_line AS (
-  SELECT words, len(words) AS n, words[1:{depth}] AS lead, count(*) AS docs, min(id) AS first
-  FROM l WHERE len(words) >= {min_tokens} GROUP BY words
+  SELECT words, len(words) AS n, words[1:{depth}] AS lead, count(DISTINCT first) AS docs, min(first) AS first FROM by_exact GROUP BY words
 ), leaves AS (
-  SELECT n, lead FROM by_line GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= {least}
+  SELECT n, lead FROM by_line GROUP BY ALL HAVING count(*) > 1
 ), open AS (
   SELECT by_line.* FROM by_line JOIN leaves USING (n, lead)
 ), places AS (
@@ -131,15 +149,22 @@ WITH d AS (
   SELECT p.n, p.lead, p.words, list(CASE WHEN s.word IS NOT NULL OR p.pos <= {depth} THEN p.word ELSE '{VARIABLE}' END ORDER BY p.pos) AS template,
          bool_or(s.word IS NOT NULL) AS any_fixed
   FROM places p LEFT JOIN support s ON p.n = s.n AND p.lead = s.lead AND p.pos = s.pos AND p.word = s.word GROUP BY p.n, p.lead, p.words
+), held AS (
+  SELECT n, lead, template, words, own, first FROM templates JOIN by_exact USING (words)
+  WHERE any_fixed AND len(list_filter(template, lambda w: w <> '{VARIABLE}')) >= {constant} * n
 ), recurring AS (
-  SELECT n, lead, template, min(first) AS first FROM templates JOIN open USING (n, lead, words) WHERE any_fixed GROUP BY ALL
-  HAVING sum(docs) >= {least} AND len(list_filter(template, lambda w: w <> '{VARIABLE}')) >= {constant} * n
-), drops AS (
+  SELECT n, lead, template, min(first) AS keeps FROM held GROUP BY ALL HAVING count(DISTINCT first) >= {least}
+), alone AS (
   SELECT words, first FROM by_line ANTI JOIN leaves USING (n, lead)
   WHERE docs >= {least} AND len(list_filter(words, lambda w: w <> '{VARIABLE}')) >= {constant} * n
-  UNION ALL SELECT t.words, recurring.first FROM templates t JOIN recurring USING (n, lead, template) WHERE t.any_fixed
+), drops AS (
+  SELECT own, min(first) AS first FROM (
+    SELECT own, first FROM by_exact WHERE first <> last
+    UNION ALL SELECT own, keeps FROM held JOIN recurring USING (n, lead, template)
+    UNION ALL SELECT own, alone.first FROM by_exact JOIN alone USING (words)
+  ) GROUP BY own
 ), marked AS (
-  SELECT r, line, pos, coalesce(drops.first <> l.id, false) AS gone FROM l LEFT JOIN drops USING (words)
+  SELECT r, line, pos, coalesce(drops.first <> l.id, false) AS gone FROM l LEFT JOIN drops USING (own)
 )
 SELECT any_value(doc_id) AS doc_id, count(pos) AS n_lines, count(pos) FILTER (gone) AS n_dropped,
        CASE WHEN count(pos) > 0 THEN md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) END AS text_md5

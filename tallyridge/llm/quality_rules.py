@@ -1,16 +1,19 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
 A rule rejects a document when a share (in per cent) exceeds a cutoff: symbols and capitals among the characters of
-words, lines that repeat among lines, and words in repeated windows among words. Labelled documents of
-quality 1 decide how low each cutoff may be. Within a stratum (a band of document length), cutoffs of a rule are
-tested from the laxest on, each for the hypothesis that more than ``risk / rules`` of the good
-documents are rejected; the exact binomial tail must stay below ``error / (strata * rules)``. The first test
-that fails ends the sequence, and the strictest cutoff before it is used; with none the rule is off. So, with probability
+words, lines that repeat among lines, and words in repeated windows among words. All rules go together along one ladder of
+LEVELS steps, from cutoffs that hardly reject anything to strict ones. Labelled documents of quality 1 that pass the
+base rules decide, within a stratum (a band of document length), how far: at each step the hypothesis is that more than
+``risk`` of the stratum's good documents are rejected by any rule; the exact binomial tail of those that are must stay below the
+stratum's part of ``error``. The first test that fails ends the ladder, and the step before it is used; with none the rules are off there. So, with probability
 ``1 - error``, no stratum loses more than ``risk`` of its good documents: a fixed sequence needs no
-correction within itself, and Bonferroni's covers strata and rules.
+correction within itself, and over strata the parts are Holm's: a stratum that has gone all the way leaves its part to the others.
+
+The base rules are: fewer than ``min_words`` words, or more than BASE_REPEATS per cent of words in repeated windows.
 
 Null texts count as empty: no words, rejected by the base rules. Without labels only the base rules hold.
-Of labels that repeat an id the lowest counts. Null and repeated ids are kept, one result per row.
+Of labels that repeat an id the lowest counts. Null and repeated ids are kept, one result per row; ``keep`` leaves columns of any
+names as they are. Work is linear in a text, whatever repeats in it.
 """
 
 from __future__ import annotations
@@ -19,29 +22,31 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyridge.llm.common import BLANKS, Scratch
 
-#: Name, part and whole of each rule.
-RULES = (("symbols", "n_symbols", "word_chars"), ("capitals", "n_capitals", "word_chars"), ("lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"))
-#: Cutoffs in per cent, the laxest first.
-CUTOFFS = (60, 40, 30, 20, 12, 8, 5, 3, 2, 1)
+#: Name, part and whole of each rule, and its cutoffs in per cent at the first and the last step of the ladder.
+RULES = (("symbols", "n_symbols", "word_chars", 60, 1), ("capitals", "n_capitals", "word_chars", 60, 10), ("lines", "n_dup_lines", "n_lines", 60, 30), ("repeats", "n_repeat_words", "n_words", 50, 25))
+LEVELS = 10
 #: Words from which the strata after the first begin.
 BANDS = (200, 800, 3000)
-RISK, ERROR = 0.02, 0.05
+RISK, ERROR = 0.05, 0.05
+MIN_WORDS, BASE_REPEATS = 50, 50
+
 
+def ladder(first: int, last: int) -> list[int]:
+    """Whole cutoffs of all steps, in geometric progression."""
+    return [round(first * (last / first) ** (k / (LEVELS - 1))) for k in range(LEVELS)]
 
-def repeated_words(hashes: Column, windows: Column) -> Column:
-    """Words that lie in a window found twice or more."""
-    ordered = F.array_sort(windows)
-    neighbours = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(a == b, a))
+
+def repeated_words(windows: Column) -> Column:
+    """Words that lie in a window found twice or more: windows are sorted with their places, so that equal ones stand together."""
+    placed = F.zip_with(windows, F.sequence(F.lit(0), F.size(windows) - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    pairs = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     # one-element arrays bind what would else be evaluated again for each element
-    again = F.transform(F.array(ordered), lambda s: F.array_distinct(F.filter(neighbours(s), lambda x: x.isNotNull())))[0]
-    flags = F.transform(F.array(again), lambda d: F.transform(windows, lambda x: F.array_contains(d, x)))[0]
-    no = F.array(F.lit(False))
-    either = lambda x, y: F.zip_with(x, y, lambda a, b: a | b)
-    covered = F.transform(F.array(flags), lambda f: either(either(F.concat(f, no, no), F.concat(no, f, no)), F.concat(no, no, f)))[0]
-    return F.size(F.filter(covered, lambda x: x))
+    again = F.transform(F.array(F.sort_array(placed)), lambda s: F.flatten(F.filter(pairs(s), lambda x: x.isNotNull())))[0]
+    return F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(again), lambda i: F.array(i, i + 1, i + 2)))))
 
 
 def with_metrics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -67,7 +72,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> D
         }
     ).drop(name("words"), name("lines"))
     found = F.col(name("windows"))
-    repeats = F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0)).otherwise(repeated_words(hashes, found))
+    repeats = F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0)).otherwise(repeated_words(found))
     return counted.withColumn(name("n_repeat_words"), repeats.cast("long")).drop(name("hashes"), name("windows"))
 
 
@@ -75,9 +80,19 @@ def stratum(n_words: Column) -> Column:
     return sum(((n_words >= b).cast("int") for b in BANDS), F.lit(0))
 
 
-def base_failed(prefix: str = "") -> Column:
+def base_failed(prefix: str = "", min_words: int = MIN_WORDS) -> Column:
     n, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return (n < 50) | (100 * repeats > 50 * n)
+    return (n < min_words) | (100 * repeats > BASE_REPEATS * n)
+
+
+def rejected(level: Column | int, prefix: str = "") -> Column:
+    """Whether any rule rejects at a step of the ladder."""
+    over = F.lit(False)
+    for _, a, b, first, last in RULES:
+        cutoffs = ladder(first, last)
+        cutoff = F.lit(cutoffs[level]) if isinstance(level, int) else F.get(F.array(*map(F.lit, cutoffs)), level)
+        over = over | (100 * F.col(prefix + a) > cutoff * F.col(prefix + b))
+    return over
 
 
 def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -93,38 +108,48 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), add, lambda s: s["total"])
 
 
-def thresholds(metrics: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """A row per stratum (their number is fixed): its cutoff of each rule, null where the rule is off."""
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
-    good = metrics.where(~base_failed()).join(known.where("label = 1"), id_col).withColumn("stratum", stratum(F.col("n_words")))
-    rejected = {f"{r}_{c}": F.sum((100 * F.col(a) > c * F.col(b)).cast("long")) for r, a, b in RULES for c in CUTOFFS}
-    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in rejected.items()))
-    bound = math.log(error / (len(RULES) * (len(BANDS) + 1)))
-    p = risk / len(RULES)
-
-    def certain(rule: str, c: int) -> Column:
-        k, n = F.col(f"{rule}_{c}"), F.col("n")
-        return (k < n * p) & (log_binomial_tail(k, n, p) <= bound)
+def thresholds(metrics: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR, min_words: int = MIN_WORDS, id_col: str = "doc_id", label_col: str = "quality", prefix: str = "") -> DataFrame:
+    """``(stratum, level, n)``: the last certain step of the ladder in each stratum (their number is fixed), null where the rules are off."""
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label")).where("__label = 1")
+    good = metrics.where(~base_failed(prefix, min_words)).withColumn("__id", F.col(id_col)).join(known.select("__id"), "__id")
+    good = good.select(stratum(F.col(f"{prefix}n_words")).alias("stratum"), *(rejected(k, prefix).cast("long").alias(f"k{k}") for k in range(LEVELS)))
+    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum(f"k{k}").alias(f"k{k}") for k in range(LEVELS)))
+    strata = len(BANDS) + 1
+    # few enough to be rejected are tested; more cannot be certain
+    tail = lambda k: F.when(k < F.col("n") * risk, log_binomial_tail(k, F.col("n"), risk)).otherwise(F.lit(0.0))
+    rows = counts.select("stratum", "n", F.array(*(tail(F.col(f"k{k}")) for k in range(LEVELS))).alias("tails"), F.lit(0).cast("long").alias("done"))
+    over_all = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row per stratum
+    for _ in range(strata):
+        bound = F.log(F.lit(error) / F.greatest(strata - F.col("done"), F.lit(1)))
+        stop = F.array_position(F.transform("tails", lambda t: t > bound), True)
+        rows = rows.withColumn("steps", F.when(stop == 0, F.lit(LEVELS)).otherwise(stop - 1)).withColumn("done", F.sum((F.col("steps") == LEVELS).cast("long")).over(over_all))
+    return rows.select("stratum", F.when(F.col("steps") > 0, F.col("steps") - 1).cast("int").alias("level"), "n")
+
+
+def with_verdict(metrics: DataFrame, cutoffs: DataFrame, prefix: str = "", min_words: int = MIN_WORDS) -> DataFrame:
+    """``metrics`` with ``base_failed`` and ``kept``, named with ``prefix``."""
+    own = cutoffs.select(F.col("stratum").alias(f"{prefix}stratum"), F.col("level").alias(f"{prefix}level"))
+    # a row per stratum
+    joined = metrics.withColumn(f"{prefix}stratum", stratum(F.col(f"{prefix}n_words"))).join(F.broadcast(own), f"{prefix}stratum", "left")
+    failed = base_failed(prefix, min_words)
+    kept = ~failed & ~F.coalesce(rejected(F.col(f"{prefix}level"), prefix), F.lit(False))
+    return joined.withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": kept}).drop(f"{prefix}stratum", f"{prefix}level")
 
-    def strictest(rule: str) -> Column:
-        cutoff = F.lit(None).cast("int")
-        for c in reversed(CUTOFFS):  # built from the last test inwards
-            cutoff = F.when(certain(rule, c), F.coalesce(cutoff, F.lit(c)))
-        return cutoff
 
-    return counts.select("stratum", *(strictest(r).alias(f"max_{r}") for r, _, _ in RULES))
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """The contract's row per document."""
+    scratch = Scratch(spark)
+    metrics = scratch.table(with_metrics(docs.select("doc_id", "text")).drop("text"), "metrics")
+    cutoffs = scratch.table(thresholds(metrics, labels, risk=risk, error=error), "cutoffs")
+    return with_verdict(metrics, cutoffs).drop("n_capitals", "n_lines")
 
 
-def with_verdict(metrics: DataFrame, cutoffs: DataFrame, prefix: str = "") -> DataFrame:
-    """``metrics`` with ``base_failed`` and ``kept``, named with ``prefix``."""
-    own = cutoffs.select(F.col("stratum").alias(f"{prefix}stratum"), *(F.col(f"max_{r}").alias(f"{prefix}max_{r}") for r, _, _ in RULES))
-    joined = metrics.withColumn(f"{prefix}stratum", stratum(F.col(f"{prefix}n_words"))).join(F.broadcast(own), f"{prefix}stratum", "left")
-    over = [F.coalesce(100 * F.col(prefix + a) > F.col(f"{prefix}max_{r}") * F.col(prefix + b), F.lit(False)) for r, a, b in RULES]
-    failed = base_failed(prefix)
-    kept = ~failed
-    for x in over:
-        kept = kept & ~x
-    return joined.withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": kept}).drop(f"{prefix}stratum", *(f"{prefix}max_{r}" for r, _, _ in RULES))
+def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns. Counts are taken once and stored with the rows."""
+    scratch, own = Scratch(spark), "__rule_"
+    counted = scratch.table(with_metrics(docs, text_col, own), "counted")
+    cutoffs = scratch.table(thresholds(counted, labels, risk=risk, error=error, min_words=min_words, id_col=id_col, prefix=own), "cutoffs")
+    return with_verdict(counted, cutoffs, own, min_words).where(f"{own}kept").select(*docs.columns)
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -149,12 +174,16 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float
 def oracle_sql(risk: float = RISK, error: float = ERROR) -> str:
     """DuckDB SQL for ``judge``."""
     blanks = r"[\x20\x09-\x0D]+"
-    p, bound = risk / len(RULES), error / (len(RULES) * (len(BANDS) + 1))
     bands = " + ".join(f"(n_words >= {b})::INT" for b in BANDS)
-    tests = " UNION ALL ".join(
-        f"SELECT stratum, '{r}' AS rule, {c} AS cutoff, {k} AS step, count(*) AS n, count(*) FILTER (100 * {a} > {c} * {b}) AS k FROM good GROUP BY stratum" for r, a, b in RULES for k, c in enumerate(CUTOFFS)
-    )
-    over = " OR ".join(f"coalesce(100 * {a} > (SELECT max(cutoff) FILTER (rule = '{r}') FROM chosen c WHERE c.stratum = m.stratum) * {b}, false)" for r, a, b in RULES)
+    over = lambda k: " OR ".join(f"100 * {a} > {ladder(first, last)[k]} * {b}" for _, a, b, first, last in RULES)
+    tests = " UNION ALL ".join(f"SELECT stratum, {k} AS level, count(*) AS n, count(*) FILTER ({over(k)}) AS k FROM good GROUP BY stratum" for k in range(LEVELS))
+    strata, certain, done = len(BANDS) + 1, "", "0"
+    for k in range(strata):
+        certain += f""", open{k} AS (
+  SELECT stratum, min(level) FILTER (tail > {error!r} / greatest({strata} - {done}, 1)) AS stop FROM tails GROUP BY stratum
+)"""
+        done = f"(SELECT count(*) FROM open{k} WHERE stop IS NULL)"
+    verdict = " ".join(f"WHEN {k} THEN {over(k)}" for k in range(LEVELS))
     return rf"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
@@ -179,16 +208,14 @@ WITH t AS (
 ), good AS (
   SELECT f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed
 ), tests AS ({tests}
-), tails AS (
-  SELECT *, k < n * {p!r} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))
-    FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {bound!r} AS certain
+), tails AS MATERIALIZED (
+  SELECT *, CASE WHEN k < n * {risk!r} THEN (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))
+    FROM (SELECT unnest(range(0, k + 1)) AS i)) ELSE 1 END AS tail
   FROM tests
-), chosen AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM (
-    SELECT *, bool_and(certain) OVER (PARTITION BY stratum, rule ORDER BY step) AS open FROM tails
-  ) WHERE open GROUP BY ALL
+){certain}, chosen AS (
+  SELECT stratum, coalesce(stop, {LEVELS}) - 1 AS level FROM open{strata - 1}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({over}) AS kept
-FROM f m
+       NOT base_failed AND NOT coalesce(CASE level {verdict} END, false) AS kept
+FROM f LEFT JOIN chosen USING (stratum)
 """
