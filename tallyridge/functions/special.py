@@ -10,29 +10,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+#: Coefficients of Stirling's series, B(2k) / (2k (2k - 1)).
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    return _lgamma(np.asarray(x, np.float64)).astype(np.float64)
+    """Logarithm of the gamma function of positive numbers, by Stirling's series from 10 on, and by its recurrence below."""
+    x = np.asarray(x, np.float64)
+    steps = np.where(x < 10, np.ceil(10 - np.minimum(x, 10)), 0.0)
+    product = np.ones_like(x)
+    for k in range(10):
+        product *= np.where(k < steps, x + k, 1.0)
+    z = x + steps
+    inverse = 1 / (z * z)
+    series = np.zeros_like(z)
+    for c in reversed(STIRLING):
+        series = series * inverse + c
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series / z - np.log(product)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The continued fraction of the incomplete beta function, by the modified Lentz method."""
+    """The continued fraction of the incomplete beta function, by the modified Lentz method; rows leave as they converge."""
     tiny = 1e-300
-    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    out, left = np.empty_like(x), np.arange(len(x))
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
     h = d.copy()
     for m in range(1, 100_000):
         for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + step * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + step / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
+            d = 1 / safe(1 + step * d)
+            c = safe(1 + step / c)
             h *= d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return h
+        done = np.abs(d * c - 1) < 1e-15
+        if done.any():
+            out[left[done]] = h[done]
+            left, a, b, x, c, d, h = (v[~done] for v in (left, a, b, x, c, d, h))
+            if not len(left):
+                break
+    out[left] = h
+    return out
 
 
 def log_beta_tail(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,11 +115,3 @@ def isf(q: float, r: Column, p: Column) -> Column:
         return out
 
     return run(r.cast("double"), p.cast("double"))
-
-
-def logit(x: Column) -> Column:
-    return F.log(x / (1 - x))
-
-
-def expit(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))

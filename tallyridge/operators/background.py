@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyridge.functions.special import nb_log_tail
+from tallyridge.functions.special import log_beta_tail
 from tallyridge.operators.dense import TILE
-from tallyridge.operators.windows import running_max, window_sums
+from tallyridge.operators.windows import own_rows, tile_max, tile_sums, tiled
 
 CONTIG = ("contig",)
 
@@ -136,85 +136,130 @@ def background_quantile(vector: DataFrame, thresholds: DataFrame, keys: tuple[st
     return joined.groupBy(*keys).agg(F.try_divide(F.sum((F.col("x") < F.col("threshold")).cast("long")), F.count("x")).alias("fit_quantile"))
 
 
+def upper_tails(edges: np.ndarray, r: float, p: float) -> np.ndarray:
+    """The share of a negative binomial at or above each edge, continued between whole numbers by the incomplete beta function."""
+    out = np.ones(len(edges))
+    out[edges > 0] = np.exp(log_beta_tail(np.full((edges > 0).sum(), p), edges[edges > 0], np.full((edges > 0).sum(), r)))
+    return out
+
+
 def rmsea(edges: np.ndarray, observed: np.ndarray, r: float, p: float, parameters: int = 2) -> float:
-    """Root mean square error of approximation by the likelihood-ratio statistic over bins."""
-    tails = np.exp(nb_log_tail(np.ceil(edges), np.full(len(edges), r), np.full(len(edges), p)))
-    total = observed.sum()
-    inside = 1 - tails[-1]
-    if total < 2 or inside <= 0:
+    """Root mean square error of approximation by the likelihood-ratio statistic over bins.
+
+    Edges cover the whole range, and bins above a candidate threshold are there with no counts; infinite where it is not defined.
+    """
+    tails = upper_tails(edges, r, p)
+    total, inside = observed.sum(), 1 - tails[-1]
+    freedom = int((np.diff(edges) != 0).sum()) - parameters - 1
+    if total < 2 or inside <= 0 or freedom < 1:
         return math.inf
     expected = -np.diff(tails) * total / inside
-    freedom = int((np.diff(edges) > 0).sum()) - parameters - 1
-    if freedom < 1:
-        return math.inf
     use = (observed > 0) & (expected > 0)
     g = 2 * np.sum(observed[use] * np.log(observed[use] / expected[use]))
     return math.sqrt(max(g / freedom - 1, 0) / (total - 1))
 
 
-def scan(values: np.ndarray, counts: np.ndarray, edges: list[float], q_low: float, n_signal: int, least: int = 5) -> dict:
-    """The threshold among edges above ``q_low`` whose fit to the values below it is best; the lowest of ties."""
+def weighted_quantile(values: np.ndarray, so_far: np.ndarray, q: float) -> float:
+    """By linear interpolation, of ascending values whose counts add up to ``so_far``."""
+    at = q * (so_far[-1] - 1)
+    lo, hi = (values[np.searchsorted(so_far, k, side="right")] for k in (math.floor(at), math.ceil(at)))
+    return float(lo + (hi - lo) * (at - math.floor(at)))
+
+
+def edges_of(values: np.ndarray, so_far: np.ndarray, low: float, high: float, top: float | None, background_bins: int, signal_bins: int) -> tuple[np.ndarray, float, int]:
+    """``bin_edges`` of one histogram: edges, lower quantile, number of bins above it. ``top``: a least upper edge."""
+    q_low = weighted_quantile(values, so_far, low)
+    q_high = q_low + 1 if high <= low else weighted_quantile(values, so_far, high)
+    q_high = max(q_high, top) if top is not None else q_high
+    if not q_high > q_low:
+        q_high = q_low + 1
+    k, m = max(0, round(min(q_low, background_bins))), max(1, round(min(q_high - q_low, signal_bins)))
+    below = np.round(q_low * np.arange(k) / max(k, 1))
+    above = np.round(q_low + (q_high - q_low) * np.arange(m + 1) / m)
+    above[0] = q_low
+    return np.concatenate((below, above)), q_low, m
+
+
+def scan(values: np.ndarray, counts: np.ndarray, *, low: float = 0.6, high: float = 0.995, top: float | None = None, background_bins: int = 20, signal_bins: int = 100, least: int = 5) -> dict:
+    """The threshold, among edges above the lower quantile, whose fit to the values below it is best; the lowest of ties.
+
+    Where no edge gives a fit with a finite error, all values are fitted and the threshold is infinite.
+    """
     order = np.argsort(values)
     values, counts = values[order].astype(np.float64), counts[order].astype(np.float64)
     n, s, q = counts.cumsum(), (counts * values).cumsum(), (counts * values * values).cumsum()
-    at = np.searchsorted(values, edges)
-    total = np.diff(np.concatenate(([0.0], n))[at])
-    merged, held = merge_small_bins(edges, total.astype(int).tolist(), n_signal, least)
-    merged, held = np.array(merged), np.array(held, np.float64)
-    best: dict = {"threshold": math.inf, "rmsea": None, "r": None, "p": None}
-    for tr in sorted({e for e in merged[len(merged) - 1 - n_signal :] if e > q_low}):
-        k = np.searchsorted(values, tr) - 1
-        if k < 0 or n[k] < 2:
-            continue
-        mean = s[k] / n[k]
-        variance = (q[k] - s[k] * mean) / (n[k] - 1)
-        if variance <= mean:
-            continue
+
+    def fit(k: int) -> tuple[float, float] | None:
+        """Of the first ``k`` values."""
+        if k < 1 or n[k - 1] < 2:
+            return None
+        mean = s[k - 1] / n[k - 1]
+        variance = (q[k - 1] - s[k - 1] * mean) / (n[k - 1] - 1)
+        if variance <= mean or mean <= 0:
+            return None
         r = mean * mean / (variance - mean)
-        p = mean / (mean + r)
-        if not (r > 0 and 0 < p < 1):
-            continue
-        below = merged[1:] <= tr
-        if below.sum() < 1:
-            continue
-        error = rmsea(merged[: below.sum() + 1], held[below], r, p)
-        if best["rmsea"] is None or error < best["rmsea"]:
-            best = {"threshold": float(tr), "rmsea": float(error), "r": float(r), "p": float(p)}
+        return (float(r), float(mean / (mean + r))) if r > 0 and 0 < mean / (mean + r) < 1 else None
+
+    best: dict = {"threshold": math.inf, "rmsea": None, "r": None, "p": None, "fit_quantile_sampled": None}
+    if top is None or math.isfinite(top):
+        edges, q_low, m = edges_of(values, n, low, high, top, background_bins, signal_bins)
+        total = np.diff(np.concatenate(([0.0], n))[np.searchsorted(values, edges)])
+        merged, held = merge_small_bins(edges.tolist(), total.astype(int).tolist(), m, least)
+        merged, held = np.array(merged), np.array(held, np.float64)
+        for tr in np.unique(merged[len(merged) - m :]):
+            k = int(np.searchsorted(values, tr))
+            if tr <= q_low or (found := fit(k)) is None:
+                continue
+            error = rmsea(merged, np.where(merged[1:] <= tr, held, 0.0), *found)
+            if math.isfinite(error) and (best["rmsea"] is None or error < best["rmsea"]):
+                best |= {"threshold": float(tr), "rmsea": error, "r": found[0], "p": found[1], "fit_quantile_sampled": float(n[k - 1] / n[-1])}
+    if best["r"] is None and (found := fit(len(values))):
+        best |= {"r": found[0], "p": found[1], "fit_quantile_sampled": 1.0}
     return best
 
 
-def fit_groups(vector: DataFrame, *, step: Column | int = 1, start: Column | None = None, background_bins: int = 20, signal_bins: int = 100, low: float = 0.6, high: float = 0.995, least: int = 5, keys: tuple[str, ...] = CONTIG) -> DataFrame:
+def fit_groups(vector: DataFrame, *, step: Column | int = 1, start: Column | None = None, background_bins: int = 20, signal_bins: int = 100, low: float = 0.6, high: float = 0.995, least: int = 5, keys: tuple[str, ...] = CONTIG, tops: DataFrame | None = None, lows: DataFrame | None = None) -> DataFrame:
     """The threshold scan of each group, on every ``step``-th position from ``start``.
 
+    ``tops`` (keys or some of them, top) holds least upper edges of bins, ``lows`` (keys, low) lower quantiles of groups of their own.
     ``(keys, r, p, rmsea, threshold, fit_quantile, n_total, n_signal, signal_tags, total_tags, success)``; the counts are of all positions.
+    The quantile, the share of values below the threshold, is of those that the scan has seen.
     """
     offset = F.col("pos") - (F.lit(0) if start is None else start)
     rows = vector.where(offset % step == 0)
-    edges = bin_edges(rows, background_bins=background_bins, signal_bins=signal_bins, low=low, high=high, keys=keys).withColumnRenamed("n_signal", "bins")
     # a group's histogram has as many rows as there are distinct values
-    joined = histogram(rows, keys).join(edges, list(keys))
+    joined = histogram(rows, keys)
+    for name, table, default in (("top", tops, None), ("low", lows, low)):
+        if table is None:
+            joined = joined.withColumn(name, F.lit(default).cast("double"))
+        else:
+            shared = [k for k in keys if k in table.columns]
+            joined = joined.join(table.select(*shared, F.col(name).cast("double").alias(name)), shared)
     kinds = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = scan(group["value"].to_numpy(), group["n"].to_numpy(), list(group["edges"].iloc[0]), group["q_low"].iloc[0], int(group["bins"].iloc[0]), least)
+        top = group["top"].iloc[0]
+        found = scan(
+            group["value"].to_numpy(), group["n"].to_numpy(), low=group["low"].iloc[0], high=high, top=None if pd.isna(top) else float(top), background_bins=background_bins, signal_bins=signal_bins, least=least
+        )
         return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, **found}])
 
-    fitted = joined.groupBy(*keys).applyInPandas(run, f"{kinds}, r double, p double, rmsea double, threshold double")
+    fitted = joined.groupBy(*keys).applyInPandas(run, f"{kinds}, r double, p double, rmsea double, threshold double, fit_quantile_sampled double").withColumnRenamed("fit_quantile_sampled", "fit_quantile")
     whole = vector.join(fitted.select(*keys, "threshold"), list(keys))
     above = F.col("x") >= F.col("threshold")
     tags = F.floor(F.coalesce("x", F.lit(0)))
     counts = whole.groupBy(*keys).agg(
-        F.count("x").alias("n_total"), F.sum(above.cast("long")).alias("n_signal"), F.sum(F.when(above, tags).otherwise(0)).alias("signal_tags"), F.sum(tags).alias("total_tags")
+        F.count("x").alias("n_total"), F.sum(F.coalesce(above, F.lit(False)).cast("long")).alias("n_signal"), F.sum(F.when(above, tags).otherwise(0)).alias("signal_tags"), F.sum(tags).alias("total_tags")
     )
-    out = fitted.join(counts, list(keys)).withColumn("fit_quantile", 1 - F.try_divide("n_signal", "n_total"))
-    return out.withColumn("success", F.col("r").isNotNull())
+    return fitted.join(counts, list(keys)).withColumn("success", F.col("r").isNotNull())
 
 
-def tag_cdf_thresholds(vector: DataFrame, fractions: DataFrame, keys: tuple[str, ...] = CONTIG, most: float = 0.995) -> DataFrame:
+def tag_cdf_thresholds(vector: DataFrame, fractions: DataFrame, keys: tuple[str, ...] = CONTIG, most: float = 0.995, sampled: DataFrame | None = None) -> DataFrame:
     """``(keys, threshold, fit_quantile, max_bg_reached)`` that leave at least ``fraction`` of a group's tags to the background.
 
     Among values in ascending order whose share of tags up to and including them reaches the fraction, the
-    second is the threshold; it is infinite where there are fewer.
+    second is the threshold; it is infinite where there are fewer. Shares of tags are over all of ``vector``, the quantile (the share of
+    values below the threshold) over ``sampled`` where that is given.
     """
     by = Window.partitionBy(*keys).orderBy("value")
     hist = histogram(vector, keys).withColumn("tags", F.sum(F.col("value") * F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
@@ -222,7 +267,8 @@ def tag_cdf_thresholds(vector: DataFrame, fractions: DataFrame, keys: tuple[str,
     reached = hist.join(fractions.select(*keys, "fraction"), list(keys)).withColumn("ok", F.coalesce(F.try_divide("tags", "all") >= F.col("fraction"), F.lit(False)))
     second = reached.where("ok").withColumn("rank", F.row_number().over(by)).where("rank = 2").select(*keys, F.col("value").alias("threshold"))
     found = hist.select(*keys).distinct().join(second, list(keys), "left").withColumn("threshold", F.coalesce(F.col("threshold").cast("double"), F.lit(float("inf"))))
-    quantile = hist.join(found, list(keys)).groupBy(*keys, "threshold").agg((F.sum(F.when(F.col("value") < F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fit_quantile"))
+    of = hist if sampled is None else histogram(sampled, keys)
+    quantile = of.join(found, list(keys)).groupBy(*keys, "threshold").agg((F.sum(F.when(F.col("value") < F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fit_quantile"))
     return quantile.withColumn("max_bg_reached", F.col("fit_quantile") > most)
 
 
@@ -234,10 +280,11 @@ def sliding_nb(vector: DataFrame, *, window: int = 50_001, flank: int = 500, fra
     negative binomial, r is the group's and p follows from the mean.
     """
     half = window // 2
-    tops = running_max(vector, flank, keys, tile)
+    # one deal of tiles serves both windows, maxima first
+    tops = tile_max(tiled(vector, half + flank, half + flank, tile), flank, keys)
     calm = tops.withColumn("b", F.when(F.coalesce(F.col("top") >= F.col("threshold"), F.lit(False)), None).otherwise(F.col("x")))
     b = F.col("b")
-    sums = window_sums(calm, half, half, {"n": b.isNotNull().cast("long"), "s": b, "q": b * b}, keys, tile)
+    sums = own_rows(tile_sums(calm, half, half, {"n": b.isNotNull().cast("long"), "s": b, "q": b * b}, keys))
     n, s = F.col("n"), F.col("s")
     mean = F.try_divide(s, n)
     variance = F.when(n > 1, (F.col("q") - s * s / n) / (n - 1))

@@ -49,4 +49,7 @@ def fdr(rows: DataFrame, max_fdr: float = 0.05, method: str = "bh", score: str =
 
     Rows of several samples are pooled: they count as tests of one family.
     """
-    return rows.join(adjusted(rows, max_fdr, method, score), score, "left")
+    candidate = F.coalesce(F.col(score) >= -math.log10(max_fdr), F.lit(False))
+    # only candidates meet the rates; all other rows, most of them at one score, stay where they are
+    found = rows.where(candidate).join(adjusted(rows, max_fdr, method, score), score)
+    return found.select(*rows.columns, "neglog10_q").unionByName(rows.where(~candidate).withColumn("neglog10_q", F.lit(None).cast("double")))

@@ -24,10 +24,12 @@ def islands(marked: DataFrame, keys: tuple[str, ...] = ("contig",), tile: int =
     by = Window.partitionBy(*keys, "tile").orderBy("pos")
     rows = marked.select(*keys, "pos", F.floor(F.col("pos") / tile).alias("tile")).withColumn("run", F.col("pos") - F.row_number().over(by))
     runs = rows.groupBy(*keys, "tile", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    at_edge = (F.col("start") % tile == 0) | (F.col("end") % tile == 0)
     along = Window.partitionBy(*keys).orderBy("start")
     fresh = F.coalesce(F.lag("end").over(along) < F.col("start"), F.lit(True))
-    numbered = runs.withColumn("fresh", fresh.cast("int")).withColumn("k", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+    numbered = runs.where(at_edge).withColumn("fresh", fresh.cast("int")).withColumn("k", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy(*keys, "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+    return runs.where(~at_edge).select(*keys, "start", "end").unionByName(joined)
 
 
 def in_intervals(rows: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("contig",), bin_size: int = 1 << 12, how: str = "inner") -> DataFrame:

@@ -58,12 +58,12 @@ def trimmed(tops: DataFrame, vector: DataFrame, keys: tuple[str, ...] = KEYS) ->
     The cutoff is the largest of half the summit and the values at the outer bounds. The start is
     the last position before the summit that does not exceed it, the end the one before the first behind it.
     """
-    values = vector.select(*keys, "pos", "x")
-    for name in ("left", "summit", "right"):
-        tops = tops.join(values.withColumnsRenamed({"pos": name, "x": f"x_{name}"}), [*keys, name])
-    tops = tops.withColumn("cutoff", F.greatest("x_left", F.col("x_summit") / 2, "x_right"))
-    spans = tops.select(*keys, F.col("left").alias("start"), (F.col("right") + 1).alias("end"), "summit", "cutoff", F.col("x_summit").alias("height"))
-    low = in_intervals(values, spans, keys).where("x <= cutoff")
+    spans = tops.select(*keys, F.col("left").alias("start"), (F.col("right") + 1).alias("end"), "summit")
+    held = in_intervals(vector.select(*keys, "pos", "x"), spans, keys)
+    peak = Window.partitionBy(*keys, "summit")
+    at = lambda place: F.max(F.when(F.col("pos") == place, F.col("x"))).over(peak)
+    held = held.withColumns({"height": at(F.col("summit")), "cutoff": F.greatest(at(F.col("start")), at(F.col("summit")) / 2, at(F.col("end") - 1))})
+    low = held.where("x <= cutoff")
     return low.groupBy(*keys, "summit", "height", "cutoff").agg(F.max(F.when(F.col("pos") <= F.col("summit"), F.col("pos"))).alias("start"), (F.min(F.when(F.col("pos") >= F.col("summit"), F.col("pos"))) - 1).alias("end"))
 
 

@@ -28,14 +28,24 @@ def tiled(vector: DataFrame, left: int, right: int, tile: int = TILE) -> DataFra
     return spread.withColumn("own", F.col("tile") == F.floor(F.col("pos") / tile))
 
 
-def window_sums(vector: DataFrame, left: int, right: int, values: dict[str, Column], keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
-    """``vector`` with the sum of each value over positions [pos - left, pos + right], cut at the ends."""
+def own_rows(rows: DataFrame) -> DataFrame:
+    """Each row of ``tiled`` once, without the columns of tiles."""
+    return rows.where("own").drop("own", "tile")
+
+
+def tile_sums(rows: DataFrame, left: int, right: int, values: dict[str, Column], keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """``tiled`` rows with the sum of each value over positions [pos - left, pos + right] of their tile."""
     by = Window.partitionBy(*keys, "tile").orderBy("pos")
     so_far, whole = by.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "tile")
-    rows = tiled(vector, left, right, tile).withColumns({f"__v_{k}": v for k, v in values.items()})
+    rows = rows.withColumns({f"__v_{k}": v for k, v in values.items()})
     rows = rows.withColumns({f"__s_{k}": F.coalesce(F.sum(f"__v_{k}").over(so_far), F.lit(0)) for k in values} | {f"__t_{k}": F.coalesce(F.sum(f"__v_{k}").over(whole), F.lit(0)) for k in values})
     sums = {k: F.coalesce(F.lead(f"__s_{k}", right).over(by), F.col(f"__t_{k}")) - F.coalesce(F.lag(f"__s_{k}", left + 1).over(by), F.lit(0)) for k in values}
-    return rows.withColumns(sums).where("own").drop("own", "tile", *(f"__{p}_{k}" for k in values for p in "vst"))
+    return rows.withColumns(sums).drop(*(f"__{p}_{k}" for k in values for p in "vst"))
+
+
+def window_sums(vector: DataFrame, left: int, right: int, values: dict[str, Column], keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
+    """``vector`` with the sum of each value over positions [pos - left, pos + right], cut at the ends."""
+    return own_rows(tile_sums(tiled(vector, left, right, tile), left, right, values, keys))
 
 
 def running(vector: DataFrame, window: int, what: str, fraction: float | None = 0.05, keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
@@ -78,20 +88,24 @@ def _short(vector: DataFrame, what: str, fraction: float | None, keys: tuple[str
     return vector.groupBy(*keys).applyInPandas(run, vector.withColumn("agg", F.lit(0.0)).schema.simpleString().removeprefix("struct<").removesuffix(">"))
 
 
-def running_max(vector: DataFrame, flank: int, keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
-    """``vector`` with ``top``: the largest defined value within ``flank`` positions, null if there is none.
+def tile_max(rows: DataFrame, flank: int, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """``tiled`` rows with ``top``: the largest defined value within ``flank`` positions of their tile, null if there is none.
 
     Maxima over spans double in length until two of them cover the flank, so that a wide one costs its logarithm.
     """
     by = Window.partitionBy(*keys, "tile").orderBy("pos")
-    rows = tiled(vector, flank, flank, tile)
     for name, shifted in (("__back", F.lag), ("__ahead", F.lead)):
         rows, width = rows.withColumn(name, F.col("x")), 1
         while width * 2 <= flank + 1:  # greatest() skips what lies beyond the ends
             rows, width = rows.withColumn(name, F.greatest(name, shifted(name, width).over(by))), width * 2
         if flank + 1 > width:
             rows = rows.withColumn(name, F.greatest(name, shifted(name, flank + 1 - width).over(by)))
-    return rows.withColumn("top", F.greatest("__back", "__ahead")).where("own").drop("own", "tile", "__back", "__ahead")
+    return rows.withColumn("top", F.greatest("__back", "__ahead")).drop("__back", "__ahead")
+
+
+def running_max(vector: DataFrame, flank: int, keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
+    """``vector`` with ``top``: the largest defined value within ``flank`` positions, null if there is none."""
+    return own_rows(tile_max(tiled(vector, flank, flank, tile), flank, keys))
 
 
 def signal_mask(vector: DataFrame, threshold: Column, flank: int = 0, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
@@ -106,17 +120,17 @@ def triangle_smooth(vector: DataFrame, level: int = 7, keys: tuple[str, ...] = (
     Its kernel is a triangle of half-width P = 2^level: two running sums of P positions, divided by P².
     """
     width = 1 << level
-    reach = 2 * (width - 1)
-    # copies of both ends stand before and behind the vector
-    around = vector.where(F.col("size") > reach)
-    turned = around.withColumn("turn", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("at", F.col("pos") + F.col("turn") * F.col("size") + reach)
-    ends = turned.where("at >= 0").where(F.col("at") < F.col("size") + 2 * reach)
-    rows = ends.select(*keys, (F.col("size") + 2 * reach).alias("size"), F.col("at").alias("pos"), "x")
-    once = window_sums(rows, 0, width - 1, {"s": F.col("x")}, keys, tile).withColumn("x", F.col("s")).drop("s")
-    twice = window_sums(once, width - 1, 0, {"s": F.col("x")}, keys, tile)
-    wide = twice.select(*keys, (F.col("size") - 2 * reach).alias("size"), (F.col("pos") - reach).alias("pos"), (F.col("s") / (width * width)).alias("smoothed")).where("pos >= 0 AND pos < size")
-    joined = around.join(wide.drop("size"), [*keys, "pos"])
-    return joined.unionByName(_short_triangle(vector.where(F.col("size") <= reach), width, keys))
+    reach = width - 1
+    long = vector.where(F.col("size") > reach)
+    # copies of each end stand beyond the other one
+    last = F.when(F.col("pos") < reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    turns = F.when(F.col("pos") >= F.col("size") - reach, F.array_append(last, F.lit(-1))).otherwise(last)
+    around = long.withColumn("__turn", F.explode(turns))
+    placed = around.withColumns({"pos": F.col("pos") + F.col("__turn") * F.col("size") + reach, "size": F.col("size") + 2 * reach})
+    once = tile_sums(tiled(placed, reach, reach, tile), 0, reach, {"__once": F.col("x")}, keys)
+    twice = own_rows(tile_sums(once, reach, 0, {"__twice": F.col("__once")}, keys)).where("__turn = 0")
+    wide = twice.withColumns({"pos": F.col("pos") - reach, "size": F.col("size") - 2 * reach, "smoothed": F.col("__twice") / (width * width)}).drop("__turn", "__once", "__twice")
+    return wide.unionByName(_short_triangle(vector.where(F.col("size") <= reach), width, keys))
 
 
 def _short_triangle(vector: DataFrame, width: int, keys: tuple[str, ...]) -> DataFrame:

@@ -132,14 +132,16 @@ class Caller:
 
     @cached_property
     def fit_stats(self) -> DataFrame:
-        """A row per segment with its fit, after outliers were fitted anew with a least share of background tags."""
+        """A row per segment with its fit, after outliers were fitted anew with a least share of background tags, and one per contig.
+
+        ``fit_type`` tells them apart: ``segment``, or ``global`` with segment -1 and state 0.
+        """
 
         def make() -> DataFrame:
             c, keys = self.config, ("contig", "segment")
-            own = self.fits(self.segmented, keys, step=F.col("step"), start=F.col("start"))
-            bases = self.segmented.groupBy(*keys).agg(F.count("x").alias("mappable_bases"), F.sum(F.floor(F.coalesce("x", F.lit(0.0)))).alias("mappable_tags"))
-            rows = self.segments.join(bases, [*keys], "left").join(own.select(*keys, "r", "p", "rmsea", "threshold", "fit_quantile", "n_signal", "signal_tags"), [*keys], "left")
-            rows = rows.withColumns({"bg_tags": F.col("mappable_tags") - F.col("signal_tags"), "bg_bases": F.col("mappable_bases") - F.col("n_signal"), "success_fit": F.col("r").isNotNull(), "max_bg_reached": F.lit(False), "refit_with_constraint": F.lit(False)})
+            sums = [F.count("x").alias("mappable_bases"), F.sum(F.floor(F.coalesce("x", F.lit(0.0)))).alias("mappable_tags")]
+            bases = self.segmented.groupBy(*keys).agg(*sums)
+            rows = self.with_fit(self.segments.join(bases, [*keys], "left"), self.segment_fits())
             columns = rows.columns
             rows = self.small(rows)
             for _ in range(c.max_outlier_rounds):
@@ -152,9 +154,13 @@ class Caller:
             marked, line = regression.fit_signal_to_noise(rows.where("success_fit"), c.outlier_threshold)
             extra = ["segment_SPOT", "outlier_distance", "is_inlier", "min_bg_tag_proportion"]
             number = lambda x: F.lit(x).cast("double")
-            out = rows.join(marked.select(*keys, *extra), [*keys], "left").withColumns({"slope": number(line.slope), "intercept": number(line.intercept), "SPOT": number(line.score), "SPOT_std": number(line.score_std)})
+            out = rows.join(marked.select(*keys, *extra), [*keys], "left").withColumn("fit_type", F.lit("segment"))
+            contigs = self.global_fits.join(self.contigs.select("contig", "size"), "contig").select("contig", F.lit(-1).alias("segment"), F.lit(0).cast("long").alias("start"), F.col("size").alias("end"), F.lit(0.0).alias("state"), "r", "p", "rmsea", "threshold", "fit_quantile", "n_signal", "signal_tags", F.col("n_total").alias("mappable_bases"), F.col("total_tags").alias("mappable_tags"))
+            contigs = contigs.withColumns({"bg_tags": F.col("mappable_tags") - F.col("signal_tags"), "bg_bases": F.col("mappable_bases") - F.col("n_signal"), "success_fit": F.lit(True), "max_bg_reached": F.lit(False), "refit_with_constraint": F.lit(False), "fit_type": F.lit("global")})
+            out = out.unionByName(contigs, allowMissingColumns=True)
+            out = out.withColumns({"slope": number(line.slope), "intercept": number(line.intercept), "SPOT": number(line.score), "SPOT_std": number(line.score_std), "bg_bases_prop": F.try_divide("bg_bases", "mappable_bases")})
             out = out.withColumn("background", isf(0.005, F.col("r"), F.col("p")))
-            return out.withColumn("valid_segment", F.col("success_fit") & ~F.col("max_bg_reached"))
+            return out.withColumn("valid_segment", F.col("success_fit") & ~F.col("max_bg_reached") & (F.col("fit_type") == "segment"))
 
         return self.kept("fit_stats", make)
 
@@ -162,20 +168,25 @@ class Caller:
         """A table of segments, cut from its lineage; a genome has thousands."""
         return self.spark.createDataFrame(df.collect(), df.schema)
 
+    def segment_fits(self, rows: DataFrame | None = None, lows: DataFrame | None = None) -> DataFrame:
+        """The scan of each segment; its contig's threshold is the least upper edge of its bins."""
+        tops = self.global_fits.select("contig", F.col("threshold").alias("top"))
+        return self.fits(self.segmented if rows is None else rows, ("contig", "segment"), step=F.col("step"), start=F.col("start"), tops=tops, lows=lows)
+
+    def with_fit(self, segments: DataFrame, fits: DataFrame) -> DataFrame:
+        """Segments with what their fits say."""
+        joined = segments.join(fits.select("contig", "segment", "r", "p", "rmsea", "threshold", "fit_quantile", "n_signal", "signal_tags"), ["contig", "segment"], "left")
+        return joined.withColumns({"bg_tags": F.col("mappable_tags") - F.col("signal_tags"), "bg_bases": F.col("mappable_bases") - F.col("n_signal"), "success_fit": F.col("r").isNotNull(), "max_bg_reached": F.lit(False), "refit_with_constraint": F.lit(False)})
+
     def refit(self, odd: DataFrame) -> DataFrame:
-        """Segments fitted to the values below thresholds that leave enough tags to the background."""
-        keys = ("contig", "segment")
+        """Segments scanned again, from the quantile on that leaves enough tags to the background."""
+        keys, most = ("contig", "segment"), self.config.max_background
         rows = self.segmented.join(odd.select(*keys), [*keys], "left_semi")
         sampled = rows.where((F.col("pos") - F.col("start")) % F.col("step") == 0)
-        limits = background.tag_cdf_thresholds(sampled, odd.select(*keys, F.col("min_bg_tag_proportion").alias("fraction")), keys, self.config.max_background)
-        limited = rows.join(limits.select(*keys, F.col("threshold").alias("limit")), [*keys])
-        below = F.when(F.col("x") < F.col("limit"), F.col("x"))
-        fits = background.nb_moments(limited.withColumn("x", below), keys)
-        tags = limited.groupBy(*keys).agg(F.sum(F.when(F.col("x") >= F.col("limit"), F.floor("x")).otherwise(0)).alias("above"), F.sum((F.col("x") >= F.col("limit")).cast("long")).alias("over"))
-        new = limits.join(fits.select(*keys, "r", "p"), [*keys]).join(tags, [*keys])
-        old = odd.drop("r", "p", "threshold", "fit_quantile", "n_signal", "signal_tags", "bg_tags", "bg_bases", "success_fit", "max_bg_reached", "refit_with_constraint", "rmsea")
-        out = old.join(new, [*keys]).withColumns({"rmsea": F.lit(None).cast("double"), "n_signal": F.col("over"), "signal_tags": F.col("above"), "success_fit": F.col("r").isNotNull(), "refit_with_constraint": F.lit(True)})
-        return out.withColumns({"bg_tags": F.col("mappable_tags") - F.col("above"), "bg_bases": F.col("mappable_bases") - F.col("over")})
+        limits = background.tag_cdf_thresholds(rows, odd.select(*keys, F.col("min_bg_tag_proportion").alias("fraction")), keys, most, sampled)
+        limits = self.small(limits.select(*keys, F.least("fit_quantile", F.lit(most)).alias("low"), F.col("max_bg_reached").alias("reached")))
+        fitted = self.with_fit(odd.select(*keys, "start", "end", "state", "mappable_bases", "mappable_tags"), self.segment_fits(rows, limits))
+        return fitted.join(limits, [*keys], "left").withColumns({"max_bg_reached": F.coalesce("reached", F.lit(False)), "refit_with_constraint": F.lit(True)}).drop("low", "reached")
 
     @cached_property
     def fit_params(self) -> DataFrame:
@@ -183,7 +194,7 @@ class Caller:
 
         def make() -> DataFrame:
             c = self.config
-            stats = self.fit_stats.where("success_fit").select("contig", "segment", "threshold", F.col("r").alias("fallback_r"))
+            stats = self.fit_stats.where("success_fit AND fit_type = 'segment'").select("contig", "segment", "threshold", F.col("r").alias("fallback_r"))
             rows = self.segmented.drop("start", "end", "step", "size").join(self.segments.select("contig", "segment", "end", "start"), ["contig", "segment"]).join(F.broadcast(stats), ["contig", "segment"])
             # positions count from the segment's start, so that windows end with it
             local = rows.withColumns({"at": F.col("pos"), "pos": F.col("pos") - F.col("start"), "size": F.col("end") - F.col("start")})
@@ -197,12 +208,8 @@ class Caller:
         """``neglog10_p`` of each position; null where the background is too thin to test."""
 
         def make() -> DataFrame:
-            rows = self.fit_params
-            whole = rows.withColumn("whole", F.floor("x"))
-            values = whole.where("enough_bg").select("whole", "sliding_r", "sliding_p").distinct()
-            tails = values.withColumn("neglog10_p", neglog10_tail(F.col("whole"), F.col("sliding_r"), F.col("sliding_p")))
-            same = [whole[k].eqNullSafe(tails[k]) for k in ("whole", "sliding_r", "sliding_p")]
-            return whole.join(tails, [*same, whole["enough_bg"]], "left").select("contig", "pos", "neglog10_p")
+            tail = neglog10_tail(F.col("x"), F.col("sliding_r"), F.col("sliding_p"))
+            return self.fit_params.select("contig", "pos", F.when(F.col("enough_bg"), tail).alias("neglog10_p"))
 
         return self.kept("pvalues", make)
 
@@ -217,7 +224,7 @@ class Caller:
     def regions(self, q: float) -> DataFrame:
         """``(contig, start, end, id, max_neglog10_fdr, …)`` at a rate of ``q``."""
         found = islands.regions(self.scores, "neglog10_q", -math.log10(q), self.config.window)
-        return found.withColumn("id", F.lit(self.sample))
+        return found.withColumnRenamed("max_score", "max_neglog10_fdr").withColumn("id", F.lit(self.sample))
 
     def peaks(self, q: float) -> DataFrame:
         c = self.config
@@ -229,7 +236,7 @@ class Caller:
         return peaks.peaks(cut, self.smoothed, self.contigs, self.total, c.min_peak_half_width).withColumn("id", F.lit(self.sample))
 
     def regions_bed12(self, q: float) -> DataFrame:
-        return export.regions_bed12(self.regions(q), self.sample, q)
+        return export.regions_bed12(self.regions(q).withColumnRenamed("max_neglog10_fdr", "max_score"), self.sample, q)
 
     def peaks_bed12(self, q: float) -> DataFrame:
         return export.peaks_bed12(self.peaks(q), self.sample, q)

@@ -24,11 +24,11 @@ LEVEL, FLANK = 3400, 50
 BASE = f"""
 cuts AS ({adapters.CUTS_SQL}),
 sizes AS ({adapters.CONTIGS_SQL}),
-dense AS (
+dense AS MATERIALIZED (
   SELECT p.contig, p.size, p.pos, CAST(coalesce(cnt, 0) AS BIGINT) AS x
   FROM (SELECT contig, size, unnest(range(size)) AS pos FROM sizes) p LEFT JOIN cuts USING (contig, pos)
 ),
-agg AS (
+agg AS MATERIALIZED (
   SELECT contig, size, pos, CAST(sum(x) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN {WINDOW // 2} PRECEDING AND {WINDOW // 2} FOLLOWING) AS DOUBLE) AS x FROM dense
 )"""
 SCORED = f"""{BASE},
@@ -44,8 +44,9 @@ RUNS = """{name} AS (
     SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM {source}
   ) GROUP BY contig, g
 )"""
-SMOOTH = """around_ends AS (
-  SELECT contig, size, pos + t * size AS p, x FROM dense CROSS JOIN (SELECT unnest([-1, 0, 1]) AS t) WHERE pos + t * size >= -254 AND pos + t * size < size + 254
+#: Smooths the positions of a source.
+SMOOTH_OF = """around_ends AS (
+  SELECT contig, size, pos + t * size AS p, x FROM {source} CROSS JOIN (SELECT unnest([-1, 0, 1]) AS t) WHERE pos + t * size >= -254 AND pos + t * size < size + 254
 ), boxes AS (
   SELECT contig, size, p, sum(x) OVER (PARTITION BY contig ORDER BY p ROWS BETWEEN CURRENT ROW AND 127 FOLLOWING) AS x FROM around_ends
 ), wave AS (
@@ -53,6 +54,7 @@ SMOOTH = """around_ends AS (
     SELECT contig, size, p AS pos, sum(x) OVER (PARTITION BY contig ORDER BY p ROWS BETWEEN 127 PRECEDING AND CURRENT ROW) / 16384 AS x FROM boxes
   ) WHERE pos >= 0 AND pos < size
 )"""
+SMOOTH = SMOOTH_OF.format(source="dense")
 EXTREMA = """runs AS (
   SELECT contig, g, min(pos) AS a, max(pos) AS b, any_value(x) AS x FROM (
     SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY contig ORDER BY pos) AS g FROM (
@@ -69,7 +71,7 @@ EXTREMA = """runs AS (
     SELECT *, lag(pos) OVER w AS l, lead(pos) OVER w AS r FROM extrema WINDOW w AS (PARTITION BY contig ORDER BY pos)
   ) WHERE kind = 'max'
 )"""
-PEAKS = f"""{INSIDE.format(level=LEVEL, least=10)}, {RUNS.format(name="spans", source="inside")}, {SMOOTH}, {EXTREMA},
+CALLED = f"""{EXTREMA},
 called AS (
   SELECT t.*, greatest(l.x, s.x / 2, r.x) AS cutoff, s.x AS height FROM tops t
   JOIN spans ON spans.contig = t.contig AND t.summit >= spans.start AND t.summit < spans."end"
@@ -84,6 +86,7 @@ wide AS (
   SELECT p.contig, p.start, p."end", p.summit, max(w.x / total * 1e6) FILTER (w.pos = p.summit) AS summit_density, max(w.x / total * 1e6) AS max_density, height / total * 1e6 AS smoothed_peak_height
   FROM wide p JOIN wave w ON w.contig = p.contig AND w.pos >= p.start AND w.pos < p."end" CROSS JOIN total GROUP BY p.contig, p.start, p."end", p.summit, height, total
 )"""
+PEAKS = f"""{INSIDE.format(level=LEVEL, least=10)}, {RUNS.format(name="spans", source="inside")}, {SMOOTH}, {CALLED}"""
 REGIONS = f"""{SCORED}, {INSIDE.format(level=LEVEL, least=1)}, {RUNS.format(name="spans", source="inside")}, {RUNS.format(name="hits", source="significant")},
 regions AS (
   SELECT s.contig, s.start, s."end", (SELECT max(x) FROM agg a WHERE a.contig = s.contig AND a.pos >= s.start AND a.pos < s."end" AND a.x >= {LEVEL}) AS max_score,
@@ -311,10 +314,14 @@ def spot_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 PMF = "exp(lgamma(k + 5.0) - lgamma(k + 1) - lgamma(5.0) + 5.0 * ln(0.5) + k * ln(0.5))"
 
 
-@query(f"SELECT x, round(-log10((SELECT sum({PMF}) FROM (SELECT unnest(range(x, x + 600)) AS k))), 6) + 0.0 AS neglog10_p FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x FROM lineitem)")
+@query(
+    """WITH v AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x, round(0.5 + 40 * l_discount, 1) AS r, round(0.05 + 10 * l_tax, 2) AS p FROM lineitem WHERE l_linenumber <= 3)
+SELECT x, r, p, round(-log10((SELECT sum(exp(lgamma(k + r) - lgamma(k + 1) - lgamma(r) + r * ln(1 - p) + k * ln(p))) FROM (SELECT unnest(range(x, x + 800)) AS k))), 6) + 0.0 AS neglog10_p FROM v"""
+)
 def nb_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("long").alias("x")).distinct()
-    return values.select("x", F.round(special.neglog10_tail(F.col("x"), F.lit(5.0), F.lit(0.5)), 6).alias("neglog10_p"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 3")
+    values = lines.select(F.col("l_quantity").cast("long").alias("x"), F.round(0.5 + 40 * F.col("l_discount"), 1).alias("r"), F.round(0.05 + 10 * F.col("l_tax"), 2).alias("p")).distinct()
+    return values.withColumn("neglog10_p", F.round(special.neglog10_tail(F.col("x"), F.col("r"), F.col("p")), 6))
 
 
 @query(f"SELECT q, CAST((SELECT min(x) FROM (SELECT unnest(range(0, 100)) AS x) WHERE (SELECT sum({PMF}) FROM (SELECT unnest(range(x + 1, x + 600)) AS k)) <= q) AS DOUBLE) AS x FROM (SELECT unnest([0.005, 0.05, 0.2]) AS q)")
@@ -430,9 +437,59 @@ def interval_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(islands.interval_max(spans, _scores(spark, sf_dir)), "max_neglog_p")
 
 
-@query()
+NARROW, FIT_STEP, FIT_BINS = 5, 5, (8, 12)
+#: The incomplete beta function I_p(a, r), by a series of positive terms.
+TAIL = "CASE WHEN {a} <= 0 THEN 1 ELSE (SELECT sum(exp({a} * ln(p) + r * ln(1 - p) + j * ln(p) + lgamma({a} + r + j) - lgamma(r) - lgamma({a} + 1 + j))) FROM (SELECT unnest(range(0, 4000)) AS j)) END"
+
+
+@query(
+    f"""WITH RECURSIVE {BASE},
+narrow AS MATERIALIZED (SELECT contig, pos, CAST(sum(x) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN {NARROW // 2} PRECEDING AND {NARROW // 2} FOLLOWING) AS DOUBLE) AS x FROM dense),
+s AS MATERIALIZED (SELECT contig, x FROM narrow WHERE pos % {FIT_STEP} = 0),
+q AS (SELECT contig, quantile_cont(x, 0.6) AS lo, quantile_cont(x, 0.995) AS hi FROM s GROUP BY contig),
+k AS (SELECT *, CAST(round_even(least(lo, {FIT_BINS[0]}), 0) AS INT) AS k, greatest(1, CAST(round_even(least(hi - lo, {FIT_BINS[1]}), 0) AS INT)) AS m FROM q),
+e AS (
+  SELECT *, list_concat(list_transform(range(k), lambda i: round_even(lo * i / k, 0)), list_transform(range(m + 1), lambda i: CASE WHEN i = 0 THEN lo ELSE round_even(lo + (hi - lo) * i / m, 0) END)) AS edges FROM k
+), b AS MATERIALIZED (
+  SELECT e.contig, lo AS q_low, m, i, k + m AS last, edges[i] AS a, edges[i + 1] AS z, count(s.x) AS n
+  FROM (SELECT *, unnest(range(1, k + m + 1)) AS i FROM e) e LEFT JOIN s ON s.contig = e.contig AND s.x >= edges[i] AND s.x < edges[i + 1] GROUP BY ALL
+), merging(contig, i, a, n, carry) AS (
+  SELECT contig, i, CASE WHEN n < 5 THEN z ELSE a END, CASE WHEN n < 5 THEN 0 ELSE n END, CASE WHEN n < 5 THEN n ELSE 0 END FROM b WHERE i = last
+  UNION ALL
+  SELECT b.contig, b.i, CASE WHEN b.n + g.carry < 5 THEN g.a ELSE b.a END, CASE WHEN b.n + g.carry < 5 THEN 0 ELSE b.n + g.carry END, CASE WHEN b.n + g.carry < 5 THEN b.n + g.carry ELSE 0 END
+  FROM merging g JOIN b ON b.contig = g.contig AND b.i = g.i - 1 AND b.i > last - m
+), bins AS MATERIALIZED (
+  SELECT *, coalesce(lead(a) OVER (PARTITION BY contig ORDER BY i), final) AS z FROM (
+    SELECT b.contig, b.i, b.q_low, b.m, b.last, coalesce(g.a, b.a) AS a, coalesce(g.n, b.n + coalesce(up.carry, 0)) AS n, max(b.z) OVER (PARTITION BY b.contig) AS final
+    FROM b LEFT JOIN merging g ON g.contig = b.contig AND g.i = b.i LEFT JOIN merging up ON up.contig = b.contig AND up.i = b.i + 1 AND b.i = b.last - b.m
+  )
+), candidates AS (
+  SELECT DISTINCT contig, tr FROM (SELECT contig, q_low, a AS tr FROM bins WHERE i > last - m + 1 UNION ALL SELECT contig, q_low, final FROM bins) WHERE tr > q_low
+), moments AS (
+  SELECT c.contig, tr, avg(x) AS mean, var_samp(x) AS variance, count(*) AS below FROM candidates c JOIN s ON s.contig = c.contig AND s.x < tr GROUP BY ALL
+), fits AS MATERIALIZED (
+  SELECT contig, tr, below, mean * mean / (variance - mean) AS r, mean / (mean + mean * mean / (variance - mean)) AS p FROM moments WHERE variance > mean
+), tails AS MATERIALIZED (
+  SELECT contig, tr, r, p, edge, {TAIL.format(a="edge")} AS tail FROM (SELECT DISTINCT f.contig, tr, r, p, edge FROM fits f JOIN (SELECT contig, a AS edge FROM bins UNION SELECT contig, final FROM bins) USING (contig))
+), errors AS (
+  SELECT f.contig, f.tr, f.r, f.p, f.below, sum(CASE WHEN z <= f.tr THEN n ELSE 0 END) AS total, count(*) FILTER (z <> a) - 3 AS freedom,
+         2 * sum(CASE WHEN z <= f.tr AND n > 0 AND u.tail > v.tail THEN n * ln(n * (1 - w.tail) / (u.tail - v.tail)) ELSE 0 END) AS g0, sum(CASE WHEN z <= f.tr AND n > 0 AND u.tail > v.tail THEN n ELSE 0 END) AS used
+  FROM fits f JOIN bins USING (contig) JOIN tails u ON u.contig = f.contig AND u.tr = f.tr AND u.edge = a JOIN tails v ON v.contig = f.contig AND v.tr = f.tr AND v.edge = z
+  JOIN tails w ON w.contig = f.contig AND w.tr = f.tr AND w.edge = final GROUP BY ALL
+), scored AS (
+  SELECT *, sqrt(greatest((g0 - 2 * used * ln(total)) / freedom - 1, 0) / (total - 1)) AS rmsea FROM errors WHERE total >= 2 AND freedom >= 1
+), best AS (
+  SELECT contig, arg_min(struct_pack(tr, r, p, rmsea, below), struct_pack(rmsea, tr)) AS b FROM scored GROUP BY contig
+)
+SELECT contig, round(b.r, 4) AS r, round(b.p, 6) AS p, round(b.rmsea, 6) AS rmsea, b.tr AS threshold, round(b.below / (SELECT count(*) FROM s WHERE s.contig = best.contig), 6) AS fit_quantile,
+       count(*) AS n_total, count(*) FILTER (x >= b.tr) AS n_signal, CAST(coalesce(sum(x) FILTER (x >= b.tr), 0) AS BIGINT) AS signal_tags, CAST(sum(x) AS BIGINT) AS total_tags, true AS success
+FROM best JOIN narrow USING (contig) GROUP BY contig, b"""
+)
 def global_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return background.fit_groups(sums(spark, sf_dir), step=5)
+    """The threshold scan of each contig, over narrow windows."""
+    rows = stored(windows.running(counts(spark, sf_dir), NARROW, "sum").select("contig", "pos", F.col("agg").alias("x")), "narrow")
+    fits = background.fit_groups(rows, step=FIT_STEP, background_bins=FIT_BINS[0], signal_bins=FIT_BINS[1])
+    return fits.withColumns({"r": F.round("r", 4), "p": F.round("p", 6), "rmsea": F.round("rmsea", 6), "fit_quantile": F.round("fit_quantile", 6)})
 
 
 @query()
@@ -447,18 +504,57 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL = Config(bg_window=BG, bg_window_small=BG // 10, fit_step=100, exclude_flank=FLANK, sample_step=STEP, interpolation_step=STRIDE, min_segment=BG, segment_step=25, max_fdr=0.5)
 
 
-def caller(spark: SparkSession, sf_dir: str) -> Caller:
-    return Caller(adapters.cuts(spark, sf_dir), adapters.contigs(spark, sf_dir), folder(spark, "caller"), config=SMALL)
+def caller(spark: SparkSession, sf_dir: str, reuse: dict[str, str] | None = None) -> Caller:
+    return Caller(adapters.cuts(spark, sf_dir), adapters.contigs(spark, sf_dir), folder(spark, "caller"), config=SMALL, reuse=reuse)
 
 
-@query()
+def with_scores(spark: SparkSession, sf_dir: str) -> Caller:
+    """A calculation that goes on from stored p-values, which SQL can make as well: scores of window sums."""
+    path = folder(spark, "pvalues")
+    sums(spark, sf_dir).select("contig", "pos", (F.greatest(F.col("x") - 3000, F.lit(0.0)) / 100).alias("neglog10_p")).write.partitionBy("contig").parquet(path)
+    return caller(spark, sf_dir, {"pvalues": path})
+
+
+RATE = 0.1
+MARKS = f"""scored AS (SELECT contig, size, pos, greatest(x - 3000, 0) / 100 AS s FROM agg),
+c AS (SELECT *, count(*) OVER (ORDER BY s DESC RANGE UNBOUNDED PRECEDING) AS k, (SELECT count(*) FROM scored) AS m FROM scored WHERE s >= {-math.log10(SMALL.max_fdr)!r}),
+q AS (SELECT contig, pos, s, s - log10(m) + log10(k) AS q FROM c),
+rates AS (SELECT contig, pos, greatest(max(q) OVER (ORDER BY s RANGE UNBOUNDED PRECEDING), 0) AS rate FROM q),
+marks AS MATERIALIZED (SELECT contig, pos, rate, coalesce(rate >= {-math.log10(RATE)!r}, false) AS hit FROM agg LEFT JOIN rates USING (contig, pos))"""
+INSIDE_MARKS = """inside AS (
+  SELECT contig, pos FROM (SELECT contig, pos, sum(CAST(hit AS INT)) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING) AS k FROM marks) WHERE k >= {least}
+)"""
+
+
+@query(
+    f"""WITH {BASE}, {MARKS}, {INSIDE_MARKS.format(least=1)}, {RUNS.format(name="spans", source="inside")}
+SELECT s.contig, s.start, s."end", 'sample' AS id, round(max(rate), 6) AS max_neglog10_fdr, count(*) AS n_significant
+FROM spans s JOIN marks ON marks.contig = s.contig AND pos >= s.start AND pos < s."end" AND hit GROUP BY ALL"""
+)
 def call_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of a calculation that goes on from stored p-values."""
+    return rounded(with_scores(spark, sf_dir).regions(RATE).drop("stretches"), "max_neglog10_fdr")
+
+
+@query(
+    f"""WITH {BASE}, {MARKS}, {INSIDE_MARKS.format(least=10)}, {RUNS.format(name="spans", source="inside")}, {SMOOTH_OF.format(source="agg")}, {CALLED.replace("FROM wide p JOIN wave w", "FROM wide p JOIN agg w")}
+SELECT contig, start, "end", summit, 'sample' AS id, round(summit_density, 6) AS summit_density, round(max_density, 6) AS max_density, round(smoothed_peak_height, 6) AS smoothed_peak_height FROM peaks"""
+)
+def call_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of a calculation that goes on from stored p-values."""
+    return rounded(with_scores(spark, sf_dir).peaks(RATE), "summit_density", "max_density", "smoothed_peak_height")
+
+
+@query()
+def call_all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole calculation, from counts to regions."""
     return caller(spark, sf_dir).regions(0.5).drop("stretches")
 
 
 @query()
-def call_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return caller(spark, sf_dir).peaks(0.5)
+def fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and contigs with their fits."""
+    return caller(spark, sf_dir).fit_stats
 
 
 @query(

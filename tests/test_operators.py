@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyridge.functions import special
 from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, windows
@@ -105,7 +106,7 @@ def test_flat_signal_has_no_peaks(spark):
 
 
 def test_moments(spark):
-    assert background.scan(np.array([1.0]), np.array([4]), [0.0, 1.0, 2.0], 0.0, 1)["r"] is None
+    assert background.scan(np.array([1.0]), np.array([4]))["r"] is None
     found = background.nb_moments(vector(spark, [0, 0, 8, 8, 4])).first()
     assert math.isclose(found["mean"], 4) and math.isclose(found["variance"], 16) and math.isclose(found["r"], 16 / 12) and math.isclose(found["p"], 0.75)
     assert not background.nb_moments(vector(spark, [1, 1, 1])).first()["valid"]
@@ -169,3 +170,113 @@ def test_segments_split_where_the_odds_change():
 
 def test_colours_and_scores():
     assert export.colour(0.001, export.PEAK_COLOURS) == "49,163,84" and export.colour(0.2, export.PEAK_COLOURS) == export.GREY
+
+
+def plain_scan(x, low, high, top, background_bins, signal_bins):
+    """The scan on the values themselves, bin by bin."""
+    x = np.sort(np.asarray(x, float))
+    q_low = np.quantile(x, low)
+    q_high = q_low + 1 if high <= low else np.quantile(x, high)
+    q_high = max(q_high, top) if top is not None else q_high
+    k, m = round(min(q_low, background_bins)), round(min(q_high - q_low, signal_bins))
+    edges = list(np.round(np.linspace(0, q_low, k + 1)))[:-1] + [q_low] + list(np.round(np.linspace(q_low, q_high, m + 1)))[1:]
+    counts = [int(((x >= a) & (x < b)).sum()) for a, b in zip(edges, edges[1:])]
+    edges, counts = background.merge_small_bins(edges, counts, m)
+    best = None
+    for tr in edges[len(edges) - m :]:
+        below = x[x < tr]
+        mean, var = below.mean(), below.var(ddof=1)
+        if tr <= q_low or var <= mean:
+            continue
+        r = mean**2 / (var - mean)
+        p = mean / (mean + r)
+        tail = [1.0 if e == 0 else math.exp(special.log_beta_tail([p], [e], [r])[0]) for e in edges]
+        seen = [((below >= a) & (below < b)).sum() for a, b in zip(edges, edges[1:])]
+        total, df = sum(seen), sum(a != b for a, b in zip(edges, edges[1:])) - 3
+        want = [(s - t) * total / (1 - tail[-1]) for s, t in zip(tail, tail[1:])]
+        g = 2 * sum(o * math.log(o / e) for o, e in zip(seen, want) if o and e > 0)
+        error = math.sqrt(max(g / df - 1, 0) / (total - 1)) if df >= 1 else math.inf
+        if math.isfinite(error) and (best is None or error < best[1]):
+            best = tr, error, r, p
+    return best
+
+
+@pytest.mark.parametrize("low, top", [(0.6, None), (0.6, 60.0), (0.9, None), (0.995, None)])
+def test_scan_is_that_of_the_values(low, top):
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        x = np.concatenate((rng.negative_binomial(3, 0.2, 3000), rng.poisson(60, 60)))
+        values, counts = np.unique(x, return_counts=True)
+        got = background.scan(values, counts, low=low, top=top, signal_bins=30)
+        want = plain_scan(x, low, 0.995, top, 20, 30)
+        if want is None:
+            assert got["threshold"] == math.inf and got["rmsea"] is None
+        else:
+            assert np.allclose([got["threshold"], got["rmsea"], got["r"], got["p"]], want)
+
+
+def test_scan_without_a_valid_edge_fits_all_values():
+    # over-dispersed only with its top part
+    values, counts = np.array([3.0, 4.0, 90.0]), np.array([500, 500, 3])
+    found = background.scan(values, counts)
+    x = np.repeat(values, counts)
+    assert found["threshold"] == math.inf and found["rmsea"] is None and found["fit_quantile_sampled"] == 1
+    assert math.isclose(found["r"], x.mean() ** 2 / (x.var(ddof=1) - x.mean()))
+    # an infinite error is no fit: too few bins for a degree of freedom
+    found = background.scan(np.array([0.0, 1.0, 8.0, 9.0]), np.array([5, 5, 5, 5]), background_bins=1, signal_bins=1)
+    assert found["threshold"] == math.inf and found["rmsea"] is None
+    assert background.scan(values, counts, top=math.inf)["threshold"] == math.inf
+
+
+def test_edges_are_those_of_the_operator(spark):
+    rng = np.random.default_rng(4)
+    x = rng.negative_binomial(2, 0.1, 500)
+    values, counts = np.unique(x, return_counts=True)
+    got, q_low, m = background.edges_of(values, counts.cumsum(), 0.6, 0.995, None, 20, 100)
+    want = background.bin_edges(vector(spark, x)).first()
+    assert np.allclose(got, want["edges"]) and math.isclose(q_low, want["q_low"]) and m == want["n_signal"]
+    assert background.bin_edges(vector(spark, x), fallback=F.lit(500.0)).first()["edges"][-1] == 500
+
+
+def test_groups_have_quantiles_and_tops_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    both = {c: rng.negative_binomial(2, 0.1, 800) for c in "ab"}
+    rows = vector(spark, both["a"], "a").unionByName(vector(spark, both["b"], "b"))
+    lows = spark.createDataFrame([("a", 0.6), ("b", 0.9)], "contig string, low double")
+    tops = spark.createDataFrame([("a", 90.0), ("b", 10.0)], "contig string, top double")
+    got = {r["contig"]: r for r in background.fit_groups(rows, lows=lows, tops=tops).collect()}
+    for c, low, top in (("a", 0.6, 90.0), ("b", 0.9, 10.0)):
+        values, counts = np.unique(both[c], return_counts=True)
+        want = background.scan(values, counts, low=low, top=top)
+        assert (got[c]["threshold"], got[c]["rmsea"]) == (want["threshold"], want["rmsea"]) and got[c]["n_signal"] == (both[c] >= want["threshold"]).sum()
+
+
+def test_logarithm_of_gamma():
+    x = np.concatenate((np.geomspace(1e-6, 1e6, 500), np.arange(1.0, 60)))
+    assert np.allclose(special.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-13)
+
+
+def test_signal_to_noise(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(40):
+        bases = int(10 ** rng.uniform(4, 6))
+        share = 1 / (1 + math.exp(-(0.2 * math.log(bases) - 4)))
+        if k == 7:
+            share = 0.95  # an outlier
+        rows.append(("c", k, k * 10, round(1_000_000 * (1 - share)), 1_000_000, bases))
+    table = spark.createDataFrame(rows, "contig string, segment int, start long, bg_tags long, mappable_tags long, mappable_bases long")
+    marked, line = regression.fit_signal_to_noise(table)
+    assert math.isclose(line.slope, 0.2, abs_tol=1e-3) and math.isclose(line.intercept, -4, abs_tol=2e-2) and 0 < line.score < 1 and line.score_std < 0.5
+    got = {r["segment"]: r for r in marked.collect()}
+    assert [k for k, r in got.items() if r["outlier_distance"] >= regression.OUTLIER] == [7] and not got[7]["is_inlier"]
+    want = 1 / (1 + math.exp(0.2 * math.log(rows[3][5]) - 4 + math.log(5)))
+    assert math.isclose(got[3]["min_bg_tag_proportion"], math.ceil(want * 1e5) / 1e5, abs_tol=2e-4)
+    none, line = regression.fit_signal_to_noise(table.limit(0))
+    assert none.count() == 0 and line.slope is None
+
+
+def test_fdr_joins_candidates_alone(spark):
+    rows = spark.createDataFrame([(k, 0.0 if k % 5 else 3.0 + k / 100) for k in range(500)] + [(900, None)], "k int, neglog10_p double")
+    got = {r["k"]: r["neglog10_q"] for r in fdr.fdr(rows, 0.05).collect()}
+    assert len(got) == 501 and sum(v is not None for v in got.values()) == 100
