@@ -9,9 +9,10 @@ match threshold are confirmed on full sets, and components are taken of confirme
 
 So that a large group of near copies makes no row per pair, work goes in two rounds. Each posting has a
 centre, the document on it that shares most of its coordinates. First each document is confirmed
-against its best centre, and takes a label from it. Then, exactly, the members of a centre's postings
-of different labels are compared block by block: signatures tell which members have a
-candidate at all, and the full sets of those alone meet, again in blocks, of which spanning forests come out.
+against its best centre, and components are taken of these links. Then, exactly, the members of a centre's postings
+that lie in different components are compared block by block: signatures tell which members have a
+candidate in another component at all, and the full sets of those alone meet, again in blocks, of which spanning forests come out.
+What is of one component is never compared, so that copies fall away before their texts are fetched.
 
 A pair at a similarity of just 0.8 is missed with a probability of about 1e-5 by the match threshold, any
 closer pair with less. Null and empty texts have no shingles and link with nothing. Rows
@@ -35,6 +36,8 @@ from tallyridge.llm.itq import forest
 COORDS, LEAST = 48, 26
 #: Into so many parts the pairs of one centre are dealt for confirmation.
 SALTS = 256
+#: Members of a group in a block, by signatures and by full sets; shingles of a block of full sets; members compared at a time.
+SIGN_BLOCK, SET_BLOCK, SET_SHINGLES, STEP = 8_192, 2_048, 1 << 21, 1_024
 
 
 class WordHashes(dict):
@@ -140,33 +143,42 @@ def matched(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> D
     """``(a, b, matches)`` of pairs whose sizes and signatures allow the similarity."""
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     matches = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return both.select("a", "b", matches.alias("matches")).where(F.col("matches") >= least)
 
 
 def with_candidates(members: DataFrame, scratch: Scratch, percent: int, least: int) -> DataFrame:
-    """``(a, b, comp)`` of members ``(a, b, comp, n, sig)`` that have a candidate of another component in their group."""
-    dealt = block_pairs(members, "a", "b", 1024, scratch, "sign-blocks")
+    """``(a, b, comp, n)`` of members ``(a, b, comp, n, sig)`` that have a candidate of another component in their group."""
+    dealt = block_pairs(members, "a", "b", SIGN_BLOCK, scratch, "sign-blocks")
 
     def run(batches):
         for (a, _, _), left, right in met(batches, "a", ("b", "comp", "n", "sig")):
             if not right:
                 continue
-            (ids, comp, n, sig), (ids2, comp2, n2, sig2) = (tuple(np.array(c) for c in zip(*side)) for side in (left, right))
-            allowed = (comp[:, None] != comp2) & (100 * np.minimum(n[:, None], n2) >= percent * np.maximum(n[:, None], n2))
-            u, v = np.nonzero(allowed)
-            hit = np.concatenate([(sig[u[lo : lo + 65536]] == sig2[v[lo : lo + 65536]]).sum(axis=1) for lo in range(0, len(u), 65536)] or [np.empty(0, int)]) >= least
-            out = {(int(ids[k]), int(comp[k])) for k in set(u[hit].tolist())} | {(int(ids2[k]), int(comp2[k])) for k in set(v[hit].tolist())}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))], names=["a", "b", "comp"])
-
-    return dealt.mapInArrow(run, "a long, b long, comp long").distinct()
+            one, two = (tuple(np.array(c) for c in zip(*side)) for side in (left, right))
+            flags = [np.zeros(len(left), bool), np.zeros(len(right), bool)]
+            for lo in range(0, len(left), STEP):
+                _, comp, n, sig = (c[lo : lo + STEP] for c in one)
+                for at in range(lo if left is right else 0, len(right), STEP):
+                    _, comp2, n2, sig2 = (c[at : at + STEP] for c in two)
+                    allowed = (comp[:, None] != comp2) & (100 * np.minimum(n[:, None], n2) >= percent * np.maximum(n[:, None], n2))
+                    u, v = np.nonzero(allowed)
+                    for cut in range(0, len(u), 65_536):
+                        x, y = u[cut : cut + 65_536], v[cut : cut + 65_536]
+                        hit = (sig[x] == sig2[y]).sum(axis=1) >= least
+                        flags[0][lo + x[hit]] = True
+                        flags[1][at + y[hit]] = True
+            rows = {(int(side[0][k]), int(side[1][k]), int(side[2][k])) for side, flag in zip((one, two), flags) for k in np.flatnonzero(flag)}
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(rows), pa.int64()), *(pa.array([x[k] for x in rows], pa.int64()) for k in range(3))], names=["a", "b", "comp", "n"])
+
+    return dealt.mapInArrow(run, "a long, b long, comp long, n long").distinct()
 
 
 def linked_in_blocks(docs: DataFrame, members: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
-    """``(a, b)``: links that join what full sets link of members ``(a, b, comp)`` of different components."""
-    dealt = block_pairs(members.hint("merge").join(docs.withColumnRenamed("id", "b"), "b"), "a", "b", 256, scratch, "text-blocks")
+    """``(a, b)``: links that join what full sets link of members ``(a, b, comp, n)`` of different components."""
+    dealt = block_pairs(members.hint("merge").join(docs.withColumnRenamed("id", "b"), "b"), "a", "b", SET_BLOCK, scratch, "text-blocks", "n", SET_SHINGLES)
 
     def run(batches):
         known = WordHashes()
@@ -207,28 +219,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     postings = classes.select("rep", F.explode(tagged).alias("cv"))
     shared = scratch.table(postings.groupBy("cv").count().where("count > 1"), "shared")
     rare_first = Window.partitionBy("rep").orderBy("count", "cv")
-    ranked = postings.join(shared, "cv").select("rep", "cv", F.row_number().over(rare_first).alias("rank"), F.count("*").over(Window.partitionBy("rep")).alias("held"))
+    ranked = postings.join(shared.hint("merge"), "cv").select("rep", "cv", F.row_number().over(rare_first).alias("rank"), F.count("*").over(Window.partitionBy("rep")).alias("held"))
     prefix = scratch.table(ranked.where(F.lit(coords) - F.col("held") + F.col("rank") <= coords - least + 1).select("cv", "rep", "held"), "prefix")
 
     most_held = prefix.groupBy("cv").agg(F.max(F.struct("held", -F.col("rep"))).alias("x"))
     centres = scratch.table(most_held.select("cv", (-F.col("x.col2")).alias("a")), "centres")
-    stars = scratch.table(prefix.join(centres, "cv").select("a", F.col("rep").alias("b")).distinct(), "stars")
+    stars = scratch.table(prefix.join(centres.hint("merge"), "cv").select("a", F.col("rep").alias("b")).distinct(), "stars")
     best = matched(stars.where("a <> b"), classes, percent, least).groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
     first = scratch.table(confirmed(texts, scratch.table(best, "best"), shingle, percent), "first")
-    # nodes of one label are linked; those without one yet are settled below
-    above = first.select(F.col("b").alias("a"), F.col("a").alias("top"))
-    label = first.join(above, "a", "left").groupBy("b").agg(F.min(F.least("a", "top")).alias("label"))
+    label = scratch.table(components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "early"), "label").select(F.col("node").alias("b"), F.col("component").alias("label"))
 
-    named = scratch.table(stars.join(label, "b", "left").select("a", "b", F.coalesce("label", "b").alias("comp")), "members")
+    named = scratch.table(stars.join(label.hint("merge"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("comp")), "members")
     still_open = scratch.table(named.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("a"), "open")
-    signed = named.join(still_open, "a", "left_semi").join(classes.select(F.col("rep").alias("b"), "n", "sig"), "b")
+    signed = named.join(still_open.hint("merge"), "a", "left_semi").join(classes.select(F.col("rep").alias("b"), "n", "sig").hint("merge"), "b")
     flagged = scratch.table(with_candidates(signed, scratch, percent, least), "flagged")
     second = scratch.table(linked_in_blocks(texts, flagged, scratch, shingle, percent), "second")
 
     links = first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links, scratch, "all").withColumnRenamed("node", "rep")
     # rows that repeat an id may belong to several classes, whose links they share
-    named = scratch.table(classes.select("key", "rep").join(label, "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "named")
-    result = sketch.join(named, "key", "left")
-    component = F.coalesce("component", "id")
+    named = scratch.table(classes.select("key", "rep").join(label.hint("merge"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "named")
+    result = sketch.join(named.hint("merge"), "key", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -1,14 +1,15 @@
 """Document quality by random indexing and a small network.
 
-Every unit (a frequent word, or the shape of any other word) has a sparse random index vector that
+Every unit (a word that is frequent in the corpus, or the shape of any other word) has a sparse random index vector that
 follows from its spelling. A unit's context vector is the sum of the index vectors around its
-occurrences; a document is the mean of its units' vectors. A network of two layers turns that into a
+occurrences in all documents; a document is the mean of its units' vectors. A network of two layers turns that into a
 logit, and a temperature fitted on rows kept aside makes it a probability.
 
-The model is learned from at most about ``most_rows`` labelled rows, chosen by a hash of id and text, repeated rows once; scoring covers
-whole texts of all rows. Null and empty texts have the zero vector and get a score like any other.
+Counts of words, and the context sums, are taken over all documents: each task adds up its own, and partial sums are added in two steps.
+The network and the temperature are learned from at most about ``most_rows`` labelled rows, chosen by a hash of id and text, repeated rows
+once. Scoring covers whole texts of all rows. Null and empty texts have the zero vector and get a score like any other.
 Without labelled rows of both classes the score is the share of class 1, or 0.5 with none.
-Repeated rows and null ids are kept.
+Repeated rows, null ids and ties are kept, one result per row.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,10 @@ from tallyridge.llm.common import Scratch, bounded_sample, row_order
 from tallyridge.llm.langid import fold
 
 RUN = re.compile(r"(.)\1+")
-AGAIN = "="  # the unit of a word that repeats the one before it
+#: Distinct words that a task holds before it hands on its counts.
+MOST_HELD = 400_000
+#: Units whose sums are one record, and parts into which tasks' records are dealt first.
+UNIT_BLOCK, PARTS = 250, 256
 
 
 class Shapes(dict):
@@ -72,10 +75,10 @@ class Units(dict):
         self[word] = k
         return k
 
-    def of(self, text: str) -> tuple[np.ndarray, int]:
-        """Unit indexes of a text's words (one past the last: unknown), and how many words repeat the one before."""
+    def of(self, text: str) -> np.ndarray:
+        """Unit indexes of a text's words; one past the last: unknown."""
         words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words)), sum(map(eq, words, islice(words, 1, None)))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 @dataclass
@@ -87,14 +90,15 @@ class Model:
     constant: float = 0.5
 
     def pooled(self, units: Units, texts: list[str | None]) -> np.ndarray:
-        again = units.names.get(AGAIN, len(self.names))
+        """Means of the vectors of texts' units."""
         out = np.zeros((len(texts), self.vectors.shape[1]), np.float64)
-        for row, text in enumerate(texts):
-            ids, repeats = units.of(text or "")
-            if len(ids):
-                counts = np.bincount(ids, minlength=len(self.vectors)).astype(np.float64)
-                counts[again] += repeats
-                out[row] = counts @ self.vectors / len(ids)
+        width = len(self.vectors)
+        for lo in range(0, len(texts), 128):
+            ids = [units.of(t or "") for t in texts[lo : lo + 128]]
+            sizes = np.array([len(x) for x in ids])
+            rows = np.repeat(np.arange(len(ids)), sizes)
+            counts = np.bincount(rows * width + np.concatenate(ids), minlength=len(ids) * width).reshape(len(ids), width)
+            out[lo : lo + 128] = counts @ self.vectors / np.maximum(sizes, 1)[:, None]
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -107,6 +111,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(units, texts)) / self.temperature, -40, 40)))
 
 
+def gradients(weights: list[np.ndarray], z: np.ndarray, y: np.ndarray, decay: float) -> list[np.ndarray]:
+    """Of the mean log loss, plus half of ``decay`` times the squares of both layers' weights."""
+    h = np.tanh(z @ weights[0] + weights[1])
+    delta = (1 / (1 + np.exp(-(h @ weights[2] + weights[3]))) - y) / len(y)
+    back = delta[:, None] * weights[2] * (1 - h * h)
+    return [z.T @ back + decay * weights[0], back.sum(axis=0), h.T @ delta + decay * weights[2], delta.sum()]
+
+
 def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> list[np.ndarray]:
     """Weights by Adam on all rows at once, with a fixed start."""
     rng = np.random.default_rng(7)
@@ -115,11 +127,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 400, rate
     weights = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(())]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, steps + 1):
-        h = np.tanh(z @ weights[0] + weights[1])
-        delta = (1 / (1 + np.exp(-(h @ weights[2] + weights[3]))) - y) / len(y)
-        back = delta[:, None] * weights[2] * (1 - h * h)
-        grads = [z.T @ back + decay * weights[0], back.sum(axis=0), h.T @ delta + decay * weights[2], delta.sum()]
-        for k, g in enumerate(grads):
+        for k, g in enumerate(gradients(weights, z, y, decay)):
             m, v = moments[k]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             moments[k] = m, v
@@ -134,8 +142,104 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(spark: SparkSession, rows: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", order_col: str | None = None, most_rows: int = 4_000, most_words: int = 2_000, most_shapes: int = 500, size: int = 96, filled: int = 8, window: int = 2) -> Model:
-    """Learns from labelled ``rows`` (only training rows); label 0 or 1. ``order_col`` may hold their ``row_order`` already, so that counting needs no texts."""
+def vocabulary(docs: DataFrame, text_col: str, most_words: int, most_shapes: int) -> list[str]:
+    """The commonest shapes and words of the corpus; ties go by spelling."""
+
+    def spelled(batches):
+        found: dict[str, int] = {}
+
+        def batch():
+            shapes: dict[str, int] = {}
+            for w, n in found.items():
+                s = shape(w)
+                shapes[s] = shapes.get(s, 0) + n
+            rows = [*((w, n, False) for w, n in found.items()), *((w, n, True) for w, n in shapes.items())]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], names=["unit", "n", "shape"])
+
+        for b in batches:
+            for text in b["text"].to_pylist():
+                for w in text.split():
+                    found[w] = found.get(w, 0) + 1
+                if len(found) > MOST_HELD:
+                    yield batch()
+        yield batch()
+
+    counts = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(spelled, "unit string, n long, shape boolean").groupBy("unit", "shape").agg(F.sum("n").alias("n"))
+    frequent = lambda rows, most: [r["unit"] for r in rows.orderBy(F.desc("n"), "unit").limit(most).collect()]
+    counts = Scratch(docs.sparkSession).table(counts.where("n > 1"), "counts")
+    return list(dict.fromkeys(frequent(counts.where("shape"), most_shapes) + frequent(counts.where("NOT shape"), most_words)))
+
+
+class Neighbours:
+    """How often units stand within ``window`` places of one another."""
+
+    def __init__(self, units: Units, window: int):
+        self.units, self.window, self.width = units, window, len(units.names) + 1
+        self.counts = np.zeros(self.width * self.width, np.int32)
+
+    def add(self, texts: list[str]) -> None:
+        gap = np.full(self.window, self.width - 1, np.int32)  # what stands past the last unit counts for nothing
+        ids = np.concatenate([x for t in texts for x in (self.units.of(t), gap)] or [gap]).astype(np.int64)
+        for k in range(1, self.window + 1):
+            np.add.at(self.counts, ids[:-k] * self.width + ids[k:], 1)
+
+    def context(self, index: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Sums of the index vectors around units ``lo`` to ``hi``: whole numbers."""
+        both = self.counts.reshape(self.width, self.width)
+        around = both[lo:hi, :-1].astype(np.float64) + both[:-1, lo:hi].T
+        return around @ index
+
+
+def index_vectors(names: list[str], size: int, filled: int) -> np.ndarray:
+    return np.stack([index_vector(u, size, filled) for u in names]).astype(np.float64) if names else np.zeros((0, size))
+
+
+def context_vectors(docs: DataFrame, text_col: str, names: list[str], size: int, filled: int, window: int) -> np.ndarray:
+    """Sums over all documents of the index vectors around each unit; a fixed number of records reaches the driver."""
+
+    def partial(batches):
+        found = Neighbours(Units(names), window)
+        for b in batches:
+            texts = b["text"].to_pylist()
+            for lo in range(0, len(texts), 512):
+                found.add(texts[lo : lo + 512])
+        index, part = index_vectors(names, size, filled), TaskContext.get().partitionId() % PARTS
+        for lo in range(0, len(names), UNIT_BLOCK):
+            sums = found.context(index, lo, min(lo + UNIT_BLOCK, len(names)))
+            yield pa.RecordBatch.from_pylist([{"block": lo, "part": part, "sums": sums.tobytes()}], schema=records)
+
+    records = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
+
+    def added(batches):
+        """One record for each run of a block and a part."""
+        at, total = None, None
+        for b in batches:
+            for block, part, sums in zip(*(b[c].to_pylist() for c in ("block", "part", "sums"))):
+                if at != (block, part):
+                    if at:
+                        yield pa.RecordBatch.from_pylist([{"block": at[0], "part": at[1], "sums": total.tobytes()}], schema=records)
+                    at, total = (block, part), np.zeros(len(sums) // 8)
+                total += np.frombuffer(sums)
+        if at:
+            yield pa.RecordBatch.from_pylist([{"block": at[0], "part": at[1], "sums": total.tobytes()}], schema=records)
+
+    schema = "block int, part int, sums binary"
+    sums = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(partial, schema)
+    once = sums.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(added, schema)
+    twice = once.withColumn("part", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(added, schema)
+    total = np.zeros((len(names), size))
+    for r in twice.collect():
+        own = np.frombuffer(r["sums"]).reshape(-1, size)
+        total[r["block"] : r["block"] + len(own)] = own
+    return total
+
+
+def fit(spark: SparkSession, docs: DataFrame, rows: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", order_col: str | None = None, most_rows: int = 4_000, most_words: int = 3_500, most_shapes: int = 500, size: int = 96, filled: int = 8, window: int = 2) -> Model:
+    """Word vectors of all ``docs``, and a network learned from labelled ``rows`` (only training rows); label 0 or 1.
+
+    ``order_col`` may hold the ``row_order`` of rows already, so that counting needs no texts.
+    """
     counts = {int(r[0]): r[1] for r in rows.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
@@ -147,43 +251,9 @@ def fit(spark: SparkSession, rows: DataFrame, *, text_col: str = "text", label_c
     sample = Scratch(spark).table(sample, "sample")
     sample = sample.repartition(8)  # bounded by most_rows, whatever the table
 
-    def spelled(batches):
-        for b in batches:
-            found: dict[str, int] = {}
-            for text in b["text"].to_pylist():
-                for w in text.split():
-                    found[w] = found.get(w, 0) + 1
-            shapes: dict[str, int] = {}
-            for w, n in found.items():
-                s = shape(w)
-                shapes[s] = shapes.get(s, 0) + n
-            rows = [*found.items(), *shapes.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["unit", "n"])
-
-    spelled_counts = sample.select("text").mapInArrow(spelled, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    frequent = lambda rows, most: [r["unit"] for r in rows.orderBy(F.desc("n"), "unit").limit(most).collect()]
-    is_shape = F.col("unit").startswith("~")
-    names = [AGAIN, *dict.fromkeys(frequent(spelled_counts.where(is_shape), most_shapes) + [w for w in frequent(spelled_counts.where(~is_shape), most_words) if w != AGAIN])]
-
-    def contexts(batches):
-        units = Units(names)
-        index = np.stack([*(index_vector(u, size, filled) for u in names), np.zeros(size, np.float32)])
-        total = np.zeros((len(names) + 1, size), np.float32)
-        for b in batches:
-            for text in b["text"].to_pylist():
-                ids, repeats = units.of(text)
-                around = np.zeros((len(ids), size), np.float32)
-                for k in range(1, window + 1):
-                    around[k:] += index[ids[:-k]]
-                    around[:-k] += index[ids[k:]]
-                np.add.at(total, ids, around)
-                total[0] += repeats * index[0]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
-
-    total_context = sum(np.frombuffer(r[0], np.float32).astype(np.float64).reshape(-1, size) for r in sample.select("text").mapInArrow(contexts, "total binary").collect())
-    vectors = total_context + np.stack([*(index_vector(u, size, filled) for u in names), np.zeros(size)])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    vectors[-1] = 0
+    names = vocabulary(docs, text_col, most_words, most_shapes)
+    vectors = context_vectors(docs, text_col, names, size, filled, window) + index_vectors(names, size, filled)
+    vectors = np.append(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), np.zeros((1, size)), axis=0)
     model = Model(names, vectors)
 
     def pooled(batches):
@@ -223,6 +293,6 @@ def held_out_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
     held = fold("doc_id", 4) == 2
     known = labels.where(~held & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
     train_rows = docs.select("doc_id", "text", row_order("doc_id", "text").alias("order")).join(known, "doc_id")
-    model = fit(spark, train_rows, order_col="order")
+    model = fit(spark, docs, train_rows, order_col="order")
     scored = score(spark, model, docs.select("doc_id", held.alias("held_out"), "text")).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

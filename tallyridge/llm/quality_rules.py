@@ -152,25 +152,6 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float
     return with_verdict(counted, cutoffs, own, min_words).where(f"{own}kept").select(*docs.columns)
 
 
-def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The contract's row per document."""
-    scratch = Scratch(spark)
-    metrics = scratch.table(with_metrics(docs.select("doc_id", "text")).drop("text"), "metrics")
-    cutoffs = scratch.table(thresholds(metrics, labels, risk=risk, error=error), "cutoffs")
-    return with_verdict(metrics, cutoffs).drop("n_capitals", "n_lines")
-
-
-def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    scratch = Scratch(spark)
-    metrics = scratch.table(with_metrics(docs.select("doc_id", "text")).drop("text"), "metrics")
-    cutoffs = scratch.table(thresholds(metrics, labels, risk=risk, error=error), "cutoffs")
-    own = "__rule_"
-    # a row number, so that the filter stays above the counts and does not take them again
-    counted = with_metrics(docs, prefix=own).withColumn(f"{own}row", F.monotonically_increasing_id())
-    return with_verdict(counted, cutoffs, own).where(F.col(f"{own}kept") & (F.col(f"{own}row") >= 0)).select(*docs.columns)
-
-
 def oracle_sql(risk: float = RISK, error: float = ERROR) -> str:
     """DuckDB SQL for ``judge``."""
     blanks = r"[\x20\x09-\x0D]+"
