@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyridge.llm import line_templates, minhash, packing, pii, quality_rules
-from tallyridge.llm.common import Scratch
+from tallyridge.llm.common import Scratch, discarding
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        with discarding():  # what a stage has stored for itself goes with its end
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs

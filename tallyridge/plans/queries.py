@@ -138,6 +138,16 @@ def reads_to_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.reads_to_cuts(adapters.reads(spark, sf_dir))
 
 
+@query(
+    """WITH r AS (SELECT *, l_partkey % 4096 AS flag FROM lineitem)
+SELECT l_returnflag AS contig, CASE WHEN flag & 16 = 0 THEN l_orderkey ELSE l_orderkey + CAST(l_quantity AS BIGINT) END AS pos, count(*) AS cnt FROM r WHERE flag & (4 | 256 | 2048) = 0 GROUP BY 1, 2"""
+)
+def flagged_reads_to_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    end = F.col("l_orderkey") + F.col("l_quantity").cast("long")
+    return dense.flagged_reads_to_cuts(lines.select(F.col("l_returnflag").alias("contig"), F.col("l_orderkey").alias("start"), end.alias("end"), (F.col("l_partkey") % 4096).alias("flag")))
+
+
 @query(adapters.EVENT_CUTS_SQL)
 def event_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.event_cuts(spark, sf_dir)

@@ -280,3 +280,15 @@ def test_fdr_joins_candidates_alone(spark):
     rows = spark.createDataFrame([(k, 0.0 if k % 5 else 3.0 + k / 100) for k in range(500)] + [(900, None)], "k int, neglog10_p double")
     got = {r["k"]: r["neglog10_q"] for r in fdr.fdr(rows, 0.05).collect()}
     assert len(got) == 501 and sum(v is not None for v in got.values()) == 100
+
+
+def test_flagged_reads(spark):
+    rows = [("c", 10, 20, 0), ("c", 10, 20, 16), ("c", 10, 20, 4), ("c", 10, 20, 256), ("c", 10, 20, 2048 | 16)]
+    reads = spark.createDataFrame(rows, "contig string, start long, end long, flag long")
+    assert sorted(map(tuple, dense.flagged_reads_to_cuts(reads).collect())) == [("c", 10, 1), ("c", 20, 1)]
+
+
+def test_rows_in_the_order_of_the_catalogue(spark):
+    contigs = spark.createDataFrame([("z", 9, 0), ("a", 9, 1)], "contig string, size long, ord int")
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("z", 5), ("x", 1)], "contig string, start long")
+    assert [tuple(r) for r in dense.merged(rows, contigs, "start").collect()] == [("z", 5), ("a", 1), ("a", 2)]
