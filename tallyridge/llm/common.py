@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,11 +52,28 @@ def bounded_sample(rows: DataFrame, most: int, *also: str) -> DataFrame:
     return picked.dropDuplicates(["order", *also])
 
 
+#: What is open in ``discarding``.
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def discarding() -> Iterator[None]:
+    """Drops the scratch tables made inside, once their results have been written."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.drop("")
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if _open:
+            _open[-1].append(self)
         self.root = f"{shared_root(spark)}/tallyridge-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -65,9 +83,11 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that only written ones have been made of."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized_batches(rows: Iterator[tuple[int, tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -37,8 +37,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
         least = _least_neighbours(stars, scratch, f"{name}-{k}-small")
         small = stars.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         state = scratch.table(small, f"{name}-{k}")
-        for part in (f"{k}-large", f"{k}-stars", f"{k}-small", str(k - 1)):
-            scratch.drop(f"{name}-{part}")
+        scratch.drop(*(f"{name}-{part}" for part in (f"{k}-large", f"{k}-stars", f"{k}-small", str(k - 1))))
     else:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     roots = state.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

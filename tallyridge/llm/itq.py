@@ -355,10 +355,12 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
         return sized_batches(((24, row) for group, rows in blocks_of(batches, ("left", "rep", "copies", "vec", "subs")) for row in compare(group, rows)), edges)
 
     found = scratch.table(fetched.select("t", "v", "i", "j", "left", "rep", "copies", "vec", "subs").mapInArrow(rank, "rep long, links long, to long"), "found")
+    scratch.drop("large", "flagged")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(found.where("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")), scratch, "all").withColumnRenamed("node", "rep")
     own = coded.select("key", "rep", "copies").join(links.hint("merge"), "rep", "left").join(label.hint("merge"), "rep", "left")
     named = scratch.table(own.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "named")
+    scratch.drop("coded", "found")
     result = keys.join(named.hint("merge"), "key", "left")
     component = F.coalesce("component", "id")
     return result.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

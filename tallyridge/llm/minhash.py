@@ -227,6 +227,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     stars = scratch.table(prefix.join(centres.hint("merge"), "cv").select("a", F.col("rep").alias("b")).distinct(), "stars")
     best = matched(stars.where("a <> b"), classes, percent, least).groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
     first = scratch.table(confirmed(texts, scratch.table(best, "best"), shingle, percent), "first")
+    scratch.drop("shared", "prefix", "centres", "best")
     label = scratch.table(components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "early"), "label").select(F.col("node").alias("b"), F.col("component").alias("label"))
 
     named = scratch.table(stars.join(label.hint("merge"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("comp")), "members")
@@ -237,8 +238,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
 
     links = first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links, scratch, "all").withColumnRenamed("node", "rep")
+    scratch.drop("stars", "label", "members", "open", "sign-blocks", "flagged", "text-blocks")
     # rows that repeat an id may belong to several classes, whose links they share
     named = scratch.table(classes.select("key", "rep").join(label.hint("merge"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "named")
+    scratch.drop("classes", "first", "second")
     result = sketch.join(named.hint("merge"), "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

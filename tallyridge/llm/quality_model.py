@@ -167,8 +167,11 @@ def vocabulary(docs: DataFrame, text_col: str, most_words: int, most_shapes: int
 
     counts = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(spelled, "unit string, n long, shape boolean").groupBy("unit", "shape").agg(F.sum("n").alias("n"))
     frequent = lambda rows, most: [r["unit"] for r in rows.orderBy(F.desc("n"), "unit").limit(most).collect()]
-    counts = Scratch(docs.sparkSession).table(counts.where("n > 1"), "counts")
-    return list(dict.fromkeys(frequent(counts.where("shape"), most_shapes) + frequent(counts.where("NOT shape"), most_words)))
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.table(counts.where("n > 1"), "counts")
+    names = list(dict.fromkeys(frequent(counts.where("shape"), most_shapes) + frequent(counts.where("NOT shape"), most_words)))
+    scratch.drop("counts")
+    return names
 
 
 class Neighbours:
@@ -248,7 +251,8 @@ def fit(spark: SparkSession, docs: DataFrame, rows: DataFrame, *, text_col: str
     order = F.col(order_col) if order_col else row_order(id_col, text_col)
     labelled = labelled.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), order.alias("order"))
     sample = bounded_sample(labelled, most_rows, "label").withColumn("aside", F.pmod("order", F.lit(5)) == 0)
-    sample = Scratch(spark).table(sample, "sample")
+    scratch = Scratch(spark)
+    sample = scratch.table(sample, "sample")
     sample = sample.repartition(8)  # bounded by most_rows, whatever the table
 
     names = vocabulary(docs, text_col, most_words, most_shapes)
@@ -265,6 +269,7 @@ def fit(spark: SparkSession, docs: DataFrame, rows: DataFrame, *, text_col: str
     got = sorted(sample.mapInArrow(pooled, "id string, label int, aside boolean, x binary").collect(), key=lambda r: (r["id"] or "", r["x"]))
     x = np.stack([np.frombuffer(r["x"]) for r in got])
     y, aside = np.array([r["label"] for r in got], np.float64), np.array([r["aside"] for r in got])
+    scratch.drop("sample")
     if len(set(y[~aside])) < 2:
         aside[:] = False
     model.layers = train(x[~aside], y[~aside])
