@@ -53,9 +53,15 @@ def positions(contigs: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def densify(cuts: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Counts of all positions, 0 where there are none; of repeated positions the largest count."""
-    own = cuts.groupBy("contig", "pos").agg(F.max("cnt").alias("cnt"))
-    return positions(contigs).join(own, ["contig", "pos"], "left").select("contig", "size", "pos", F.coalesce("cnt", F.lit(0)).alias("x"))
+    """Counts of all positions, 0 where there are none; of repeated positions the largest count. Cuts on no position are left out.
+
+    Positions and cuts are dealt by tiles and meet in an aggregate there: one shuffle, no join.
+    """
+    # the catalogue has a row per contig
+    known = cuts.join(F.broadcast(contigs.select("contig", "size")), "contig").where("pos >= 0 AND pos < size").select("contig", "size", "pos", "cnt")
+    both = positions(contigs).withColumn("cnt", F.lit(0).cast(cuts.schema["cnt"].dataType)).unionByName(known)
+    dealt = both.withColumn("tile", F.floor(F.col("pos") / TILE)).repartition("contig", "tile")
+    return dealt.groupBy("contig", "tile", "size", "pos").agg(F.max("cnt").alias("x")).select("contig", "size", "pos", "x")
 
 
 def mappable_positions(intervals: DataFrame, contigs: DataFrame) -> DataFrame:
