@@ -7,6 +7,7 @@ import os
 import numpy as np
 import pytest
 
+from tallyridge.operators import background
 from tallyridge.plans.caller import Caller, Config, multi_sample_fdr
 from tallyridge.sources import io
 
@@ -60,10 +61,18 @@ def test_outliers_are_scanned_again_from_their_quantile(run):
     caller, _ = run
     odd = caller.small(caller.fit_stats.where("fit_type = 'segment'").drop("min_bg_tag_proportion").selectExpr("*", "0.98D AS min_bg_tag_proportion"))
     again = {(r["contig"], r["segment"]): r for r in caller.refit(odd).collect()}
-    for r in odd.collect():
-        new = again[r["contig"], r["segment"]]
-        assert new["refit_with_constraint"] and new["rmsea"] is not None or new["threshold"] == math.inf
-        assert new["bg_tags"] >= 0.9 * new["mappable_tags"]
+    tops = {r["contig"]: r["threshold"] for r in caller.global_fits.collect()}
+    rows = caller.segmented.toPandas()
+    for (contig, segment), g in rows.groupby(["contig", "segment"]):
+        new, x, start = again[contig, segment], g.x.dropna().to_numpy(), g.start.iloc[0]
+        seen = g[(g.pos - start) % g.step.iloc[0] == 0].x.dropna().to_numpy()
+        values, counts = np.unique(x, return_counts=True)
+        reached = values[np.cumsum(values * counts) / (values * counts).sum() >= 0.98]
+        quantile = (seen < (reached[1] if len(reached) > 1 else math.inf)).mean()
+        want = background.scan(*np.unique(seen, return_counts=True), low=min(0.995, quantile), top=tops[contig], background_bins=SMALL.background_bins, signal_bins=SMALL.signal_bins)
+        assert new["refit_with_constraint"] and new["max_bg_reached"] == (quantile > 0.995) and new["state"] is not None
+        assert (new["threshold"], new["rmsea"], new["r"]) == (want["threshold"], want["rmsea"], want["r"])
+        assert new["signal_tags"] == np.floor(x[x >= want["threshold"]]).sum()
 
 
 def test_stages_are_reused(spark, run, tmp_path):
