@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -194,7 +195,8 @@ class Neighbours:
         return around @ index
 
 
-def index_vectors(names: list[str], size: int, filled: int) -> np.ndarray:
+@lru_cache(maxsize=2)
+def index_vectors(names: tuple[str, ...], size: int, filled: int) -> np.ndarray:
     return np.stack([index_vector(u, size, filled) for u in names]).astype(np.float64) if names else np.zeros((0, size))
 
 
@@ -207,7 +209,7 @@ def context_vectors(docs: DataFrame, text_col: str, names: list[str], size: int,
             texts = b["text"].to_pylist()
             for lo in range(0, len(texts), 512):
                 found.add(texts[lo : lo + 512])
-        index, part = index_vectors(names, size, filled), TaskContext.get().partitionId() % PARTS
+        index, part = index_vectors(tuple(names), size, filled), TaskContext.get().partitionId() % PARTS
         for lo in range(0, len(names), UNIT_BLOCK):
             sums = found.context(index, lo, min(lo + UNIT_BLOCK, len(names)))
             yield pa.RecordBatch.from_pylist([{"block": lo, "part": part, "sums": sums.tobytes()}], schema=records)
@@ -256,7 +258,7 @@ def fit(spark: SparkSession, docs: DataFrame, rows: DataFrame, *, text_col: str
     sample = sample.repartition(8)  # bounded by most_rows, whatever the table
 
     names = vocabulary(docs, text_col, most_words, most_shapes)
-    vectors = context_vectors(docs, text_col, names, size, filled, window) + index_vectors(names, size, filled)
+    vectors = context_vectors(docs, text_col, names, size, filled, window) + index_vectors(tuple(names), size, filled)
     vectors = np.append(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), np.zeros((1, size)), axis=0)
     model = Model(names, vectors)
 
