@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyridge.llm.common import Scratch, sized_batches
@@ -199,11 +199,21 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(int(ids[k]), int(ids[label[k]])) for k in moved if ids[k] != ids[label[k]]]
 
 
-def blocks_of(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[pa.RecordBatch | np.ndarray], bool]]:
-    """(group, columns of its rows) of rows that come ordered by ``t, v, i, j``, as Arrow tables."""
+def table_key(length: Column, table: Column, value: Column) -> Column:
+    """A bucket as one number: the vectors' length, the table, and the substring."""
+    return F.shiftleft(length.cast("long"), 41) + F.shiftleft(table.cast("long"), 32) + value.cast("long")
+
+
+def table_of(bucket: int) -> tuple[int, int]:
+    """Length and table of a bucket."""
+    return bucket >> 41, (bucket >> 32) & (MOST_TABLES - 1)
+
+
+def blocks_of(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[int, int, pa.Table]]:
+    """(bucket, pair of blocks, rows) of rows that come ordered by ``bucket, side``; the last bit of ``side`` tells the left ones."""
     group, held = None, []
     for b in batches:
-        keys = np.stack([b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "v", "i", "j")])
+        keys = np.stack([b["bucket"].to_numpy(), b["side"].to_numpy() >> 1])
         if not len(b):
             continue
         starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
@@ -211,27 +221,35 @@ def blocks_of(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[tup
             own = tuple(keys[:, lo].tolist())
             if own != group:
                 if held:
-                    yield group, pa.Table.from_batches(held).combine_chunks()
+                    yield *group, pa.Table.from_batches(held).combine_chunks()
                 group, held = own, []
-            held.append(b.slice(lo, hi - lo).select(list(columns)))
+            held.append(b.slice(lo, hi - lo).select(["side", *columns]))
     if held:
-        yield group, pa.Table.from_batches(held).combine_chunks()
+        yield *group, pa.Table.from_batches(held).combine_chunks()
+
+
+def sides(pair: int, rows: pa.Table) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether a block meets itself, and the places of left and right rows."""
+    same, left = pair >> 30 == pair & ((1 << 30) - 1), (rows["side"].to_numpy() & 1) == 1
+    one = np.arange(len(left)) if same else np.flatnonzero(left)
+    return same, one, one if same else np.flatnonzero(~left)
 
 
 def dealt_in_blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows ``(t, v, cls, ...)`` for each pair of blocks of their bucket, with ``i, j, left``; few buckets have more than one."""
-    large = scratch.table(rows.groupBy("t", "v").count().where(F.col("count") > BLOCK).select("t", "v", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
-    dealt = rows.join(large, ["t", "v"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "left": F.col("block") <= F.col("other")}).drop("blocks", "block", "other")
+    """Rows ``(bucket, cls, ...)`` for each pair of blocks of their bucket, with ``side``: the pair, then whether left; few buckets have more than one."""
+    large = scratch.table(rows.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    dealt = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    side = F.shiftleft(F.least("block", "other"), 31) + F.shiftleft(F.greatest("block", "other"), 1) + (F.col("block") <= F.col("other")).cast("long")
+    return dealt.withColumn("side", side).drop("blocks", "block", "other")
 
 
 def together(rows: DataFrame) -> DataFrame:
-    return rows.repartition("t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j")
+    return rows.repartition(F.col("bucket"), F.shiftright("side", 1)).sortWithinPartitions("bucket", "side")
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.95, bucket: int = 2048, miss: float = 0.005, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.95, bucket_size: int = 4096, miss: float = 0.005, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A row per row of ``vectors``: ``(id_col, n_links, component_id, kept)``."""
     scratch = Scratch(spark)
     element = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
@@ -259,7 +277,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
     more = keys.where("key is not null").groupBy("key").agg(F.count_distinct("id").alias("copies"))
     classes = known.groupBy("key").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("vec").alias("vec")).join(more.hint("merge"), "key")
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    fitted = spark.sparkContext.broadcast(fit(classes, classes.count(), cosine=cosine, bucket=bucket, miss=miss))
+    fitted = spark.sparkContext.broadcast(fit(classes, classes.count(), cosine=cosine, bucket=bucket_size, miss=miss))
 
     def encode(batches):
         found = fitted.value
@@ -267,34 +285,29 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
             raw, sizes = b["vec"].to_pylist(), b["size"].to_numpy()
             subs: list = [None] * len(raw)
             codes: list = [None] * len(raw)
-            radius = np.zeros(len(raw), np.int32)
             for size in set(sizes.tolist()):
                 at = np.flatnonzero(sizes == size)
-                own = codes_of(found, size, cosine, bucket, miss)
-                radius[at] = own.radius
+                own = codes_of(found, size, cosine, bucket_size, miss)
                 for k, s, c in zip(at, *own.of(unit(np.stack([np.frombuffer(raw[k], width) for k in at])))):
                     subs[k], codes[k] = s, c
-            columns = [pa.array(subs, pa.list_(pa.int32())), *(pa.array([c[k] for c in codes], pa.int64()) for k in range(FILTER // 64)), pa.array(radius)]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("cls", "key", "rep", "copies", "size", "vec")), *columns], names=["cls", "key", "rep", "copies", "size", "vec", "subs", "h0", "h1", "radius"])
+            columns = [pa.array(subs, pa.list_(pa.int32())), *(pa.array([c[k] for c in codes], pa.int64()) for k in range(FILTER // 64))]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("cls", "key", "rep", "copies", "size", "vec")), *columns], names=["cls", "key", "rep", "copies", "size", "vec", "subs", "h0", "h1"])
 
-    coded = classes.select("cls", "key", "rep", "copies", "size", "vec").mapInArrow(encode, "cls long, key binary, rep long, copies long, size int, vec binary, subs array<int>, h0 long, h1 long, radius int")
+    coded = classes.select("cls", "key", "rep", "copies", "size", "vec").mapInArrow(encode, "cls long, key binary, rep long, copies long, size int, vec binary, subs array<int>, h0 long, h1 long")
     coded = scratch.table(coded, "coded")
     scratch.drop("classes")
 
-    # a table of a length is a number of its own
-    postings = coded.select("cls", "h0", "h1", "radius", F.col("size").alias("length"), F.posexplode("subs").alias("k", "v"))
-    postings = postings.select((F.col("length").cast("long") * (1 << 20) + F.col("k")).alias("t"), F.col("v"), "cls", "h0", "h1", "radius")
+    postings = coded.select("cls", "h0", "h1", "size", F.posexplode("subs").alias("k", "v"))
+    postings = postings.select(table_key(F.col("size"), F.col("k"), F.col("v")).alias("bucket"), "cls", "h0", "h1")
 
-    def near(group: tuple, rows: pa.Table) -> Iterator[tuple]:
+    def near(bucket: int, pair: int, rows: pa.Table) -> Iterator[tuple]:
         """Members that have a candidate on the other side, by their codes."""
-        left = rows["left"].to_numpy()
-        cls = rows["cls"].to_numpy()
-        h = np.stack([rows["h0"].to_numpy(), rows["h1"].to_numpy()]).view(np.uint64)
-        radius, same = int(rows["radius"][0].as_py()), group[2] == group[3]
-        one = np.arange(len(cls)) if same else np.flatnonzero(left)
-        two = one if same else np.flatnonzero(~left)
+        same, one, two = sides(pair, rows)
         if len(one) < 1 + same or not len(two):
             return
+        side, cls = rows["side"].to_numpy(), rows["cls"].to_numpy()
+        h = np.stack([rows["h0"].to_numpy(), rows["h1"].to_numpy()]).view(np.uint64)
+        radius = codes_of(fitted.value, table_of(bucket)[0], cosine, bucket_size, miss).radius
         hit = np.zeros(len(cls), bool)
         for lo in range(0, len(one), STEP):
             some = one[lo : lo + STEP]
@@ -308,26 +321,23 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
                 hit[some] |= close.any(axis=1)
                 hit[other] |= close.any(axis=0)
         for k in np.flatnonzero(hit):
-            yield *group, bool(left[k]), int(cls[k])
+            yield bucket, int(side[k]), int(cls[k])
 
-    flags = pa.schema([("t", pa.int64()), ("v", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("left", pa.bool_()), ("cls", pa.int64())])
+    flags = pa.schema([("bucket", pa.int64()), ("side", pa.int64()), ("cls", pa.int64())])
 
     def flag(batches):
-        return sized_batches(((32, row) for group, rows in blocks_of(batches, ("left", "cls", "h0", "h1", "radius")) for row in near(group, rows)), flags)
+        return sized_batches(((32, row) for group in blocks_of(batches, ("cls", "h0", "h1")) for row in near(*group)), flags)
 
     dealt = together(dealt_in_blocks(postings, scratch))
-    flagged = scratch.table(dealt.mapInArrow(flag, "t long, v int, i int, j int, left boolean, cls long"), "flagged")
+    flagged = scratch.table(dealt.mapInArrow(flag, "bucket long, side long, cls long"), "flagged")
     fetched = together(flagged.join(coded.select("cls", "rep", "copies", "vec", "subs").hint("merge"), "cls"))
 
-    def compare(group: tuple, rows: pa.Table) -> Iterator[tuple]:
+    def compare(bucket: int, pair: int, rows: pa.Table) -> Iterator[tuple]:
         """Links of members, and a spanning forest of them, by cosines; a pair counts in the first table that it shares."""
-        table, same = group[0] & ((1 << 20) - 1), group[2] == group[3]
-        left = rows["left"].to_numpy()
+        same, one, two = sides(pair, rows)
         reps, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
         x = unit(np.frombuffer(b"".join(rows["vec"].to_pylist()), width).reshape(len(reps), -1))
-        subs = np.stack(rows["subs"].to_pylist()).astype(np.int32)[:, :table]
-        one = np.arange(len(reps)) if same else np.flatnonzero(left)
-        two = one if same else np.flatnonzero(~left)
+        subs = np.stack(rows["subs"].to_pylist()).astype(np.int32)[:, : table_of(bucket)[1]]
         links = np.zeros(len(reps), np.int64)
         for lo in range(0, len(one), STEP):
             some = one[lo : lo + STEP]
@@ -352,9 +362,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
     edges = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
     def rank(batches):
-        return sized_batches(((24, row) for group, rows in blocks_of(batches, ("left", "rep", "copies", "vec", "subs")) for row in compare(group, rows)), edges)
+        return sized_batches(((24, row) for group in blocks_of(batches, ("rep", "copies", "vec", "subs")) for row in compare(*group)), edges)
 
-    found = scratch.table(fetched.select("t", "v", "i", "j", "left", "rep", "copies", "vec", "subs").mapInArrow(rank, "rep long, links long, to long"), "found")
+    found = scratch.table(fetched.select("bucket", "side", "rep", "copies", "vec", "subs").mapInArrow(rank, "rep long, links long, to long"), "found")
     scratch.drop("large", "flagged")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(found.where("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")), scratch, "all").withColumnRenamed("node", "rep")
