@@ -76,8 +76,10 @@ def dropped_lines(scratch: Scratch, lines: DataFrame, least: int, depth: int, co
     # alone in its leaf, a line is its own template
     alone = salted_join(by_line.where((F.col("docs") >= least) & fixed_share(F.col("n") - F.col("vary"))), several, ["leaf"], "line", "left_anti").select("leaf", "line", "first")
 
-    texts = salted_join(lines.select("leaf", "line", "raw").dropDuplicates(["leaf", "line"]), several, ["leaf"], "line", "left_semi")
-    texts = scratch.table(texts.select("leaf", "line", tokens(F.col("raw")).alias("words")).join(by_line.select("leaf", "line", "docs", "n").hint("merge"), ["leaf", "line"]), "texts")
+    wanted = salted_join(by_line.select("leaf", "line", "docs", "n"), several, ["leaf"], "line", "left_semi")
+    # dealt by line once, for both the choice of one text and the join
+    texts = lines.select("leaf", "line", "raw").dropDuplicates(["leaf", "line"]).join(wanted.hint("merge"), ["leaf", "line"])
+    texts = scratch.table(texts.select("leaf", "line", "docs", "n", tokens(F.col("raw")).alias("words")), "texts")
     places = texts.select("leaf", "line", "docs", F.posexplode("words").alias("at", "word")).where(F.col("word") != VARIABLE)
     support = scratch.table(places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("all")).where(F.col("all") >= least).select("leaf", "at", "word"), "support")
     fixed = salted_join(places, support, ["leaf", "at", "word"], "line").groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
@@ -101,6 +103,7 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     rows = docs.select(identity.alias("id"), F.col(text_col).alias("text"))
     lines = scratch.table(parsed(rows, depth, min_tokens), "lines")
     drop = scratch.table(dropped_lines(scratch, lines, least, depth, constant), "drop")
+    scratch.drop("by_exact", "by_line", "several", "texts", "support", "templates", "held", "recurring")
     # rows of one id and one text lose the same lines
     lost = salted_join(lines.select("id", "text_hash", "at", "leaf", "line", "exact"), drop, ["leaf", "line", "exact"], "id").where("id <> first")
     lost = lost.groupBy("id", "text_hash").agg(F.collect_set("at").alias(f"{own}lost")).withColumnsRenamed({"id": f"{own}id", "text_hash": f"{own}hash"})
