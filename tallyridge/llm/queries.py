@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyridge.llm import bpe, itq, langid, line_templates, minhash, packing, pii, quality_model, quality_rules, records
+from tallyridge.llm import bpe, itq, langid, line_templates, minhash, packing, pii, quality_model, quality_rules, records, runs, vantage, whitening
 from tallyridge.llm.common import Scratch
 
 
@@ -52,5 +52,17 @@ def op10_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_templates, op3_skip_chain_pii, op4_signature_join, op5_token_records, op6_risk_controlled_rules, op7_dp_packing, op8_cross_parsing, op9_random_indexing, op10_iterative_quantisation)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(documents(spark, sf_dir))
+
+
+def op12_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_templates, op3_skip_chain_pii, op4_signature_join, op5_token_records, op6_risk_controlled_rules, op7_dp_packing, op8_cross_parsing, op9_random_indexing, op10_iterative_quantisation, op11_periodic_runs, op12_vantage_point_trees, op13_tsqr_whitening)}
 ORACLE_SQL = {"op2_line_templates": line_templates.oracle_sql(), "op6_risk_controlled_rules": quality_rules.oracle_sql()}
