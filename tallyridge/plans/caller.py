@@ -100,7 +100,7 @@ class Caller:
 
     @cached_property
     def global_fits(self) -> DataFrame:
-        return self.kept("global_fits", lambda: self.fits(self.vector, ("contig",)).where("success"))
+        return self.kept("global_fits", lambda: self.fits(self.vector, ("contig",), step=self.config.fit_step).where("success"))
 
     @cached_property
     def thresholds(self) -> DataFrame:
@@ -125,7 +125,7 @@ class Caller:
         def make() -> DataFrame:
             rows = islands.in_intervals(self.vector, self.segments.select("contig", "segment", "start", "end"))
             mappable = rows.groupBy("contig").agg(F.count("x").alias("mappable"))
-            step = F.greatest(F.lit(20), F.round(F.lit(self.config.fit_step) / F.col("mappable") * (F.col("end") - F.col("start"))).cast("int"))
+            step = segment.segment_step(F.col("end") - F.col("start"), F.col("mappable"), self.config.fit_step)
             return rows.join(mappable, "contig").withColumn("step", step).drop("mappable")
 
         return self.kept("segmented", make)

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -114,10 +114,16 @@ def test_moments(spark):
 
 @given(st.floats(0.1, 60), st.floats(0.01, 0.99), st.integers(1, 300))
 @settings(max_examples=60, deadline=None)
+@example(28.0, 0.98828125, 1)
 def test_tail_is_the_sum_of_the_distribution(r, p, x):
-    log_pmf = [math.lgamma(k + r) - math.lgamma(k + 1) - math.lgamma(r) + k * math.log(p) + r * math.log1p(-p) for k in range(x, x + 6000)]
-    top = max(log_pmf)
-    want = top + math.log(math.fsum(math.exp(v - top) for v in log_pmf))
+    log_pmf = lambda k: math.lgamma(k + r) - math.lgamma(k + 1) - math.lgamma(r) + k * math.log(p) + r * math.log1p(-p)
+    below = math.fsum(math.exp(log_pmf(k)) for k in range(x))
+    if below < 0.5:
+        want = math.log1p(-below)
+    else:  # far beyond the mean, until what follows is nothing beside the sum
+        tail = [log_pmf(k) for k in range(x, x + 40_000)]
+        top = max(tail)
+        want = top + math.log(math.fsum(math.exp(v - top) for v in tail))
     assert math.isclose(special.nb_log_tail([x], [r], [p])[0], want, rel_tol=1e-8, abs_tol=1e-9)
 
 
@@ -168,6 +174,57 @@ def test_segments_split_where_the_odds_change():
     assert len(found) == 2 and abs(found[0][1] - 4000) < 150 and found[-1][1] == 8000
 
 
+@pytest.mark.parametrize("tile", [1, 7, 64, 1_000])
+def test_path_over_tiles_is_the_path_over_all(tile):
+    rng = np.random.default_rng(tile)
+    for penalty in (0.5, 4.0, 20.0):
+        odds = np.repeat(rng.choice([0.2, 0.5, 1.0, 3.0], 6), rng.integers(1, 90, 6))
+        values = rng.negative_binomial(5, 1 / (1 + odds)).astype(float)
+        scores = segment.log_likelihoods(values, 5.0, 0.5)
+        parts = [scores[k : k + tile] for k in range(0, len(scores), tile)]
+        ends = segment.edge_states([segment.tile_matrix(s, penalty) for s in parts])
+        path = np.concatenate([segment.tile_path(s, penalty, *e) for s, e in zip(parts, ends)])
+        assert (path == segment.best_path(scores, penalty)).all()
+
+
+def observed(spark, values, step, size, contig="c"):
+    """A vector with a value at every ``step``-th position, and what segments need besides."""
+    rows = spark.createDataFrame([(contig, size, k * step, None if v is None else float(v)) for k, v in enumerate(values)], "contig string, size long, pos long, x double")
+    fits = spark.createDataFrame([(contig, 5.0, 0.5)], "contig string, r double, p double")
+    return rows, fits, rows.select("contig", "pos", F.lit(1e9).alias("threshold"))
+
+
+@pytest.mark.parametrize("tile", [13, 100, 4_096])
+def test_segments_do_not_depend_on_tiles(spark, tile):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.negative_binomial(5, 1 / (1 + o), n) for o, n in ((1, 150), (4, 90), (0.3, 200), (1, 12), (6, 100))])
+    rows, fits, limits = observed(spark, values, 10, 5_530)
+    want = segment.segments_of(np.arange(len(values)) * 10, values.astype(float), 5.0, 0.5, 5_530, 10.0, 300)
+    got = segment.segments(rows, fits, limits, step=10, penalty=10.0, least=300, tile=tile).orderBy("segment").collect()
+    assert len(want) >= 4 and [tuple(r)[1:] for r in got] == [(k, *w) for k, w in enumerate(want)]
+
+
+def test_contigs_with_few_observations_have_no_segments(spark):
+    for n, least, some in ((30, 300, True), (29, 300, False), (0, 300, False), (1, 5, True)):
+        rows, fits, limits = observed(spark, [3] * n, 10, 400)
+        assert (segment.segments(rows, fits, limits, step=10, least=least).count() > 0) == some
+
+
+def test_a_long_contig_is_segmented_over_several_tasks(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("c").alias("contig"), F.lit(n).cast("long").alias("size"), F.col("id").alias("pos"), (F.pmod(F.xxhash64("id"), F.lit(5)) + F.when(F.col("id") < n // 3, 3).otherwise(13)).cast("double").alias("x"))
+    fits = spark.createDataFrame([("c", 5.0, 0.5)], "contig string, r double, p double")
+    got = segment.segments(rows, fits, rows.select("contig", "pos", F.lit(1e9).alias("threshold")), step=1, penalty=20.0, least=5_000).orderBy("segment").collect()
+    assert len(got) == 2 and abs(got[0]["end"] - n // 3) < 50 and got[1]["end"] == n
+    tiles = segment.observations(rows, fits, rows.select("contig", "pos", F.lit(1e9).alias("threshold")), 1, segment.TILE).groupBy("contig", "tile").count()
+    assert tiles.count() == -(-n // segment.TILE) and tiles.agg(F.max("count")).first()[0] == segment.TILE
+
+
+def test_step_of_segments_rounds_halves_to_even(spark):
+    got = spark.range(1).select(*(segment.segment_step(F.lit(n), F.lit(1_000), 50).alias(str(n)) for n in (10, 490, 510, 530))).first()
+    assert list(got) == [20, 24, 26, 26]
+
+
 def test_colours_and_scores():
     assert export.colour(0.001, export.PEAK_COLOURS) == "49,163,84" and export.colour(0.2, export.PEAK_COLOURS) == export.GREY
 
