@@ -215,11 +215,12 @@ def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strided(window: int, name: str) -> str:
+    """Samples go to the numbers of the centres around them, so that the join is by equality."""
     half = (window // STEP | 1) // 2 * STEP
     return f"""{name} AS (
   SELECT contig, centre, list_sort(list(x))[CAST(ceil(round(0.9 * (count(*) - 1), 9)) AS BIGINT) + 1] AS value
-  FROM (SELECT contig, unnest(range(0, size, {STRIDE})) AS centre FROM sizes) c JOIN agg USING (contig)
-  WHERE pos % {STEP} = 0 AND pos BETWEEN centre - {half} AND centre + {half} GROUP BY contig, centre
+  FROM (SELECT contig, size, pos, x, unnest(range(greatest(CAST(ceil((pos - {half}) / {STRIDE}) AS BIGINT), 0), CAST(floor((pos + {half}) / {STRIDE}) AS BIGINT) + 1)) * {STRIDE} AS centre FROM agg WHERE pos % {STEP} = 0)
+  WHERE centre < size GROUP BY contig, centre
 )"""
 
 
@@ -555,18 +556,147 @@ def call_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(with_scores(spark, sf_dir).peaks(RATE), "summit_density", "max_density", "smoothed_peak_height")
 
 
-@query()
+#: The whole calculation from stored segments: narrow windows and few bins, so that SQL can follow; outliers stay, as the robust line draws at random.
+CHAIN = Config(window=NARROW, bg_window=BG, fit_step=60, exclude_flank=FLANK, background_bins=FIT_BINS[0], signal_bins=FIT_BINS[1], max_outlier_rounds=0, max_fdr=0.5)
+PARTS, CHAIN_RATE = 3, 0.05
+#: Counts here are of no signal; every EVERY positions some are raised, so that there is one.
+EVERY, RAISED, TIMES = 700, 30, 6
+
+
+def from_segments(spark: SparkSession, sf_dir: str) -> Caller:
+    """A calculation with each contig in ``PARTS`` stored segments of equal lengths."""
+    contigs, path = adapters.contigs(spark, sf_dir), folder(spark, "segments")
+    cut = lambda k: F.floor(k * F.col("size") / PARTS)
+    parts = contigs.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parts.select("contig", "segment", cut(F.col("segment")).alias("start"), cut(F.col("segment") + 1).alias("end"), F.lit(1.0).alias("state")).write.partitionBy("contig").parquet(path)
+    cuts = adapters.cuts(spark, sf_dir).withColumn("cnt", F.when(F.col("pos") % EVERY < RAISED, F.col("cnt") * TIMES).otherwise(F.col("cnt")))
+    return Caller(cuts, contigs, folder(spark, "caller"), config=CHAIN, reuse={"segments": path})
+
+
+def scan_sql(n: str, source: str) -> str:
+    """Tables with prefix ``n`` for the threshold scan of the groups of ``source`` (g, x, top); ``{n}fit`` (g, r, p, rmsea, tr, quantile) has the fits."""
+    return f"""{n}q AS (
+  SELECT g, lo, CASE WHEN hi > lo THEN hi ELSE lo + 1 END AS hi
+  FROM (SELECT g, quantile_cont(x, 0.6) AS lo, greatest(quantile_cont(x, 0.995), coalesce(any_value(top), 0)) AS hi FROM {source} WHERE coalesce(top, 0) < 'infinity'::DOUBLE GROUP BY g)
+), {n}k AS (SELECT *, CAST(round_even(least(lo, {FIT_BINS[0]}), 0) AS INT) AS k, greatest(1, CAST(round_even(least(hi - lo, {FIT_BINS[1]}), 0) AS INT)) AS m FROM {n}q),
+{n}e AS (
+  SELECT *, list_concat(list_transform(range(k), lambda i: round_even(lo * i / k, 0)), list_transform(range(m + 1), lambda i: CASE WHEN i = 0 THEN lo ELSE round_even(lo + (hi - lo) * i / m, 0) END)) AS edges FROM {n}k
+), {n}b AS MATERIALIZED (
+  SELECT e.g, lo AS q_low, m, i, k + m AS last, edges[i] AS a, edges[i + 1] AS z, count(s.x) AS n
+  FROM (SELECT *, unnest(range(1, k + m + 1)) AS i FROM {n}e) e LEFT JOIN {source} s ON s.g = e.g AND s.x >= edges[i] AND s.x < edges[i + 1] GROUP BY ALL
+), {n}merging(g, i, a, n, carry) AS (
+  SELECT g, i, CASE WHEN n < 5 THEN z ELSE a END, CASE WHEN n < 5 THEN 0 ELSE n END, CASE WHEN n < 5 THEN n ELSE 0 END FROM {n}b WHERE i = last
+  UNION ALL
+  SELECT b.g, b.i, CASE WHEN b.n + u.carry < 5 THEN u.a ELSE b.a END, CASE WHEN b.n + u.carry < 5 THEN 0 ELSE b.n + u.carry END, CASE WHEN b.n + u.carry < 5 THEN b.n + u.carry ELSE 0 END
+  FROM {n}merging u JOIN {n}b b ON b.g = u.g AND b.i = u.i - 1 AND b.i > last - m
+), {n}bins AS MATERIALIZED (
+  SELECT *, coalesce(lead(a) OVER (PARTITION BY g ORDER BY i), final) AS z FROM (
+    SELECT b.g, b.i, b.q_low, b.m, b.last, coalesce(u.a, b.a) AS a, coalesce(u.n, b.n + coalesce(up.carry, 0)) AS n, max(b.z) OVER (PARTITION BY b.g) AS final
+    FROM {n}b b LEFT JOIN {n}merging u ON u.g = b.g AND u.i = b.i LEFT JOIN {n}merging up ON up.g = b.g AND up.i = b.i + 1 AND b.i = b.last - b.m
+  )
+), {n}candidates AS (
+  SELECT DISTINCT g, tr FROM (SELECT g, q_low, a AS tr FROM {n}bins WHERE i > last - m + 1 UNION ALL SELECT g, q_low, final FROM {n}bins) WHERE tr > q_low
+), {n}moments AS (
+  SELECT c.g, tr, avg(x) AS mean, var_samp(x) AS variance, count(*) AS below FROM {n}candidates c JOIN {source} s ON s.g = c.g AND s.x < tr GROUP BY ALL
+), {n}fits AS MATERIALIZED (
+  SELECT g, tr, below, mean * mean / (variance - mean) AS r, mean / (mean + mean * mean / (variance - mean)) AS p FROM {n}moments WHERE variance > mean
+), {n}tails AS MATERIALIZED (
+  SELECT g, tr, r, p, edge, {TAIL.format(a="edge")} AS tail FROM (SELECT DISTINCT f.g, tr, r, p, edge FROM {n}fits f JOIN (SELECT g, a AS edge FROM {n}bins UNION SELECT g, final FROM {n}bins) USING (g))
+), {n}errors AS (
+  SELECT f.g, f.tr, f.r, f.p, f.below, sum(CASE WHEN z <= f.tr THEN n ELSE 0 END) AS total, count(*) FILTER (z <> a) - 3 AS freedom,
+         2 * sum(CASE WHEN z <= f.tr AND n > 0 AND u.tail > v.tail THEN n * ln(n * (1 - w.tail) / (u.tail - v.tail)) ELSE 0 END) AS g0, sum(CASE WHEN z <= f.tr AND n > 0 AND u.tail > v.tail THEN n ELSE 0 END) AS used
+  FROM {n}fits f JOIN {n}bins b USING (g) JOIN {n}tails u ON u.g = f.g AND u.tr = f.tr AND u.edge = a JOIN {n}tails v ON v.g = f.g AND v.tr = f.tr AND v.edge = z
+  JOIN {n}tails w ON w.g = f.g AND w.tr = f.tr AND w.edge = final GROUP BY ALL
+), {n}best AS (
+  SELECT g, arg_min(struct_pack(tr, r, p, rmsea, below), struct_pack(rmsea, tr)) AS b
+  FROM (SELECT *, sqrt(greatest((g0 - 2 * used * ln(total)) / freedom - 1, 0) / (total - 1)) AS rmsea FROM {n}errors WHERE total >= 2 AND freedom >= 1) GROUP BY g
+), {n}fit AS MATERIALIZED (
+  SELECT g, coalesce(b.r, r) AS r, coalesce(b.p, mean / (mean + r)) AS p, b.rmsea AS rmsea, coalesce(b.tr, 'infinity'::DOUBLE) AS tr, coalesce(b.below / n, 1.0) AS quantile
+  FROM (SELECT *, CASE WHEN variance > mean AND mean > 0 THEN mean * mean / (variance - mean) END AS r FROM (SELECT g, avg(x) AS mean, var_samp(x) AS variance, count(*) AS n FROM {source} GROUP BY g)) LEFT JOIN {n}best USING (g)
+  WHERE coalesce(b.r, r) IS NOT NULL
+)"""
+
+
+def _sums_of(fit: str, table: str, keys: str) -> str:
+    """Counts of all positions of a group above and below its threshold."""
+    return f"SELECT {keys}, count(*) AS bases, CAST(sum(x) AS BIGINT) AS tags, count(*) FILTER (x >= tr) AS n_signal, CAST(coalesce(sum(x) FILTER (x >= tr), 0) AS BIGINT) AS signal_tags FROM {table} LEFT JOIN {fit} USING (g) GROUP BY {keys}"
+
+
+CHAINED = f"""{BASE.replace("coalesce(cnt, 0)", f"coalesce(CASE WHEN pos % {EVERY} < {RAISED} THEN cnt * {TIMES} ELSE cnt END, 0)")},
+whole AS MATERIALIZED (SELECT contig AS g, contig, size, pos, CAST(sum(x) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN {NARROW // 2} PRECEDING AND {NARROW // 2} FOLLOWING) AS DOUBLE) AS x FROM dense),
+sample AS MATERIALIZED (SELECT g, x, CAST(NULL AS DOUBLE) AS top FROM whole WHERE pos % {CHAIN.fit_step} = 0),
+{scan_sql("c_", "sample")},
+parts AS (SELECT contig, size, CAST(k AS INT) AS segment, k * size // {PARTS} AS start, (k + 1) * size // {PARTS} AS "end", contig || ':' || k AS g FROM (SELECT *, unnest(range({PARTS})) AS k FROM sizes)),
+held AS MATERIALIZED (SELECT p.g, p.contig, segment, start, "end", pos, x FROM whole w JOIN parts p ON p.contig = w.contig AND pos >= start AND pos < "end"),
+steps AS (SELECT g, start, greatest(20, CAST(round_even({CHAIN.fit_step} / size * ("end" - start), 0) AS INT)) AS step FROM parts),
+own AS MATERIALIZED (SELECT h.g, x, f.tr AS top FROM held h JOIN steps s ON s.g = h.g AND (pos - s.start) % step = 0 JOIN c_fit f ON f.g = h.contig),
+{scan_sql("s_", "own")}"""
+ISF = """(SELECT CAST(min(k) AS DOUBLE) FROM (
+  SELECT k, sum(exp(lgamma(k + r) - lgamma(k + 1) - lgamma(r) + r * ln(1 - p) + k * ln(p))) OVER (ORDER BY k) AS cdf FROM (SELECT unnest(range(0, 6000)) AS k)) WHERE 1 - cdf <= 0.005)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CHAINED}, c_sums AS ({_sums_of("c_fit", "whole", "g")}), s_sums AS ({_sums_of("s_fit", "held", "g")}),
+rows AS (
+  SELECT p.contig, segment, start, "end", 1.0 AS state, 'segment' AS fit_type, r, p, rmsea, tr, quantile, bases, tags, CASE WHEN r IS NOT NULL THEN n_signal END AS n_signal, CASE WHEN r IS NOT NULL THEN signal_tags END AS signal_tags,
+         CASE WHEN r IS NOT NULL AND tags > 0 THEN greatest(least(1 - (tags - signal_tags) / tags, 1.0), 0.0) END AS spot
+  FROM parts p JOIN s_sums USING (g) LEFT JOIN s_fit USING (g) WHERE p.contig IN (SELECT g FROM c_fit)
+  UNION ALL SELECT g, -1, 0, size, 0.0, 'global', r, p, rmsea, tr, quantile, bases, tags, n_signal, signal_tags, NULL FROM c_fit JOIN c_sums USING (g) JOIN sizes ON sizes.contig = g
+), reached AS (
+  SELECT spot, sum(bases) OVER (ORDER BY spot) AS cum, sum(bases) OVER () AS everything FROM rows WHERE spot > 0 AND spot < 1
+)
+SELECT contig, CAST(segment AS INT) AS segment, start, "end", CAST(state AS DOUBLE) AS state, fit_type, round(r, 4) AS r, round(p, 6) AS p, round(rmsea, 6) AS rmsea, tr AS threshold, round(quantile, 6) AS fit_quantile,
+       bases AS mappable_bases, tags AS mappable_tags, n_signal, signal_tags, tags - signal_tags AS bg_tags, bases - n_signal AS bg_bases, round((bases - n_signal) / bases, 6) AS bg_bases_prop, round(spot, 6) AS segment_spot,
+       round((SELECT min(spot) FROM reached WHERE cum >= everything / 2), 6) AS spot, CASE WHEN r IS NOT NULL THEN {ISF} END AS background, r IS NOT NULL AS success_fit, r IS NOT NULL AND fit_type = 'segment' AS valid_segment
+FROM rows"""
+)
+def fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored segments and contigs with their fits, without what the robust line adds."""
+    found = from_segments(spark, sf_dir).fit_stats
+    named = found.select("contig", "segment", "start", "end", "state", "fit_type", F.round("r", 4).alias("r"), F.round("p", 6).alias("p"), F.round("rmsea", 6).alias("rmsea"), "threshold", F.round("fit_quantile", 6).alias("fit_quantile"), "mappable_bases", "mappable_tags", "n_signal", "signal_tags", "bg_tags", "bg_bases", F.col("segment_SPOT").alias("segment_spot"), F.col("SPOT").alias("spot"), "bg_bases_prop", "background", "success_fit", "valid_segment")
+    return rounded(named, "bg_bases_prop", "segment_spot", "spot")
+
+
+SLID = f"""tops AS (
+  SELECT h.*, r AS own_r, CASE WHEN max(x) OVER (PARTITION BY h.g ORDER BY pos ROWS BETWEEN {FLANK} PRECEDING AND {FLANK} FOLLOWING) >= tr THEN NULL ELSE x END AS b FROM held h JOIN s_fit USING (g)
+), wide AS (
+  SELECT g, contig, pos, x, own_r, count(b) OVER v AS n, avg(b) OVER v AS mean, var_samp(b) OVER v AS variance FROM tops WINDOW v AS (PARTITION BY g ORDER BY pos ROWS BETWEEN {BG // 2} PRECEDING AND {BG // 2} FOLLOWING)
+), slid AS MATERIALIZED (
+  SELECT g, contig, pos, x, n >= {max(1, round(BG * CHAIN.min_mappable_proportion))} AS enough_bg, r, mean / (mean + r) AS p FROM (SELECT *, CASE WHEN variance > mean THEN mean * mean / (variance - mean) ELSE own_r END AS r FROM wide)
+)"""
+#: Terms until what follows is nothing beside the sum.
+TESTED = f"""tested AS MATERIALIZED (SELECT contig, pos, -log10({TAIL.format(a="x").replace("4000", "CAST(200 + 20 / (1 - p) AS BIGINT)")}) AS s FROM slid WHERE enough_bg)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CHAINED}, {SLID}, {TESTED},
+c AS (SELECT *, count(*) OVER (ORDER BY s DESC RANGE UNBOUNDED PRECEDING) AS k, (SELECT count(*) FROM tested) AS m FROM tested WHERE s >= {-math.log10(CHAIN.max_fdr)!r}),
+q AS (SELECT contig, pos, s, s - log10(m) + log10(k) AS q FROM c),
+rates AS (SELECT contig, pos, greatest(max(q) OVER (ORDER BY s RANGE UNBOUNDED PRECEDING), 0) AS rate FROM q),
+marks AS MATERIALIZED (SELECT w.contig, w.pos, rate, coalesce(rate >= {-math.log10(CHAIN_RATE)!r}, false) AS hit FROM whole w JOIN (SELECT DISTINCT contig FROM slid) USING (contig) LEFT JOIN rates USING (contig, pos)),
+inside AS (
+  SELECT contig, pos FROM (SELECT contig, pos, sum(CAST(hit AS INT)) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN {NARROW // 2} PRECEDING AND {NARROW // 2} FOLLOWING) AS k FROM marks) WHERE k >= 1
+), {RUNS.format(name="spans", source="inside")}
+SELECT s.contig, s.start, s."end", 'sample' AS id, round(max(rate), 5) AS max_neglog10_fdr, count(*) AS n_significant
+FROM spans s JOIN marks ON marks.contig = s.contig AND pos >= s.start AND pos < s."end" AND hit GROUP BY ALL"""
+)
 def call_all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole calculation, from counts to regions."""
-    return caller(spark, sf_dir).regions(0.5).drop("stretches")
+    """The whole calculation after segmentation: fits, sliding background, p-values, rates and regions."""
+    return rounded(from_segments(spark, sf_dir).regions(CHAIN_RATE).drop("stretches"), "max_neglog10_fdr", digits=5)
 
 
 @query()
-def fit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments and contigs with their fits."""
+def fit_stats_from_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and contigs with their fits, segments found and outliers refitted."""
     return caller(spark, sf_dir).fit_stats
 
 
+@query()
+def call_regions_from_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole calculation, from counts to regions."""
+    return caller(spark, sf_dir).regions(0.5).drop("stretches")
+
+
 @query(
     f"""WITH {BASE}, t AS (SELECT contig, quantile_cont(x, 0.995) AS tr FROM agg GROUP BY contig), significant AS (SELECT contig, pos FROM agg JOIN t USING (contig) WHERE x >= tr),
 {RUNS.format(name='runs', source='significant')} SELECT r.contig, r.start, r."end", max(x) AS max_count FROM runs r JOIN agg a ON a.contig = r.contig AND a.pos >= r.start AND a.pos < r."end" GROUP BY ALL"""
