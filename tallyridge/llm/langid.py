@@ -194,7 +194,7 @@ def build(references: dict[str, str]) -> Model:
 
 
 def pieces(texts: list[str], chars: int) -> str:
-    """The start of each text, all as long as fits into ``chars`` characters; short texts leave room to others."""
+    """The first part of each piece, all as long as fits into ``chars`` characters; short ones leave room to others."""
     left, cap = chars, 0
     for k, n in enumerate(sorted(map(len, texts))):
         cap = left // (len(texts) - k)
@@ -204,23 +204,32 @@ def pieces(texts: list[str], chars: int) -> str:
     return "\n".join(t[: max(1, cap)] for t in texts)[: chars + len(texts)]
 
 
+#: How much longer than its share of the reference a piece is cut, so that long texts fill what short ones leave.
+ROOM = 4
+
+
+def cut_piece(text: Column, order: Column, length: Column) -> Column:
+    """``length`` characters from anywhere in a text, by a hash of its ``order``; shorter texts are whole."""
+    start = F.pmod(F.xxhash64(order), F.greatest(F.length(text) - length, F.lit(0)) + 1) + 1
+    return text.substr(start.cast("int"), length)
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", language_chars: int = 24_000, sample_docs: int = 200) -> Model:
     """Learns from rows of ``docs`` (only training rows) that have a text and a language.
 
-    The reference of a language has about ``language_chars`` at most, in pieces of some ``sample_docs`` of its rows from anywhere in their texts,
-    chosen and ordered by a hash of id and text, repeated rows once, whatever the size of the table.
+    The reference of a language has about ``language_chars`` at most, in pieces of some ``sample_docs`` of its rows, cut by a hash from anywhere in their
+    texts. Rows are chosen and ordered by a hash of id and text, repeated rows once, whatever the size of the table.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     order = row_order(id_col, text_col)
     counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang_col).agg(F.count("*"), F.approx_count_distinct(order, 0.01)).collect()}
     if not counts:
         return build({})
-    room = F.greatest(F.length(text_col) - language_chars, F.lit(0))
-    start = F.pmod(order, room + 1) + 1
-    # about one language per row of this table; fractions of rows to take
-    shares = docs.sparkSession.createDataFrame([(k, share(sample_docs, *n)) for k, n in counts.items()], "lang string, share double")
-    taken = rows.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).substr(start.cast("int"), F.lit(language_chars)).alias("text")).join(F.broadcast(shares), "lang")
-    sample = taken.where(F.pmod("order", F.lit(STEPS)) < F.col("share") * STEPS).select("lang", "order", "text").dropDuplicates(["lang", "order"]).collect()
+    # about one language per row of this table: fractions of rows to take, and characters of each
+    shares = [(k, share(sample_docs, *n), min(language_chars, -(-ROOM * language_chars // max(1, min(sample_docs, n[1]))))) for k, n in counts.items()]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double, chars int")
+    taken = rows.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("text")).join(F.broadcast(shares), "lang")
+    sample = taken.where(F.pmod("order", F.lit(STEPS)) < F.col("share") * STEPS).select("lang", "order", cut_piece(F.col("text"), F.col("order"), F.col("chars")).alias("text")).dropDuplicates(["lang", "order"]).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["order"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
