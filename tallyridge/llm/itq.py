@@ -134,7 +134,11 @@ def learned(sample: np.ndarray, vectors: int, *, cosine: float, bucket: int, mis
                 agree[k] = np.concatenate((agree[k], (left @ turn > median) == (right @ turn > median)), axis=1)
 
     best: tuple[float, int, int] | None = None
-    for bits in range(LEAST_BITS, max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(2, vectors))))) + 1):
+    most = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(2, vectors)))))
+    # fewer bits than LEAST_BITS only where nothing else will do; a pair at the cutoff agrees in most single bits, so that one bit always will
+    for bits in [*range(LEAST_BITS, most + 1), *range(LEAST_BITS - 1, 0, -1)]:
+        if best and bits < LEAST_BITS:
+            break
         missed = [np.ones(len(left), bool) for left, _ in kinds]
         tables = 0
         while max(m.mean() for m in missed) > miss:
@@ -151,8 +155,9 @@ def learned(sample: np.ndarray, vectors: int, *, cosine: float, bucket: int, mis
             cost = tables * (bucket + vectors / 2**bits)
             if best is None or cost < best[0]:
                 best = cost, bits, tables
-    # where no number of tables will do, all vectors of the length meet in one bucket
-    _, bits, tables = best or (0, 0, 1)
+    if best is None:
+        raise ValueError(f"no {MOST_TABLES} tables find all but {miss:.3%} of the pairs at a cosine of {cosine}")
+    _, bits, tables = best
     grow(max(FILTER, bits * tables))
     apart = [(~same[:, :FILTER]).sum(axis=1) for same in agree]
     radius = int(max(np.quantile(a, 1 - miss / 10) for a in apart))
