@@ -13,7 +13,7 @@ a leaf's distinct lines, each with the number of documents that hold it first; s
 Lines of fewer than ``min_tokens`` tokens stay, blank ones too. Lines are parsed once, into a table. A leaf of one line needs no comparison, so only
 lines of leaves with several are compared token by token; all else moves as hashes. Joins by a leaf, or by what a leaf
 holds, are dealt into SALTS parts, so that a hot leaf is split. Where texts are shuffled they are so at every
-size, so that cost and plan do not turn with the number of recurring lines.
+size, so that cost and plan do not turn with the number of recurring lines. The work on a document, and on a line, is linear in its length.
 
 Null texts stay null and have no lines. Rows without an id come last in the order and count as one document
 in it, as do rows that repeat an id. A document that loses all its lines of words keeps its blank lines, or an empty text. Other columns, of whatever
@@ -48,7 +48,9 @@ def leaf_hash(words: Column, depth: int) -> Column:
 
 def parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``(id, text_hash, at, leaf, line, exact, n, vary, raw)`` of each line with ``min_tokens`` tokens or more; ``docs`` has id and text."""
-    lines = docs.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    # the text is hashed and split before it is exploded, or else once for each of its lines
+    split = docs.select("id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+    lines = split.select("id", "text_hash", F.posexplode("lines").alias("at", "raw"))
     words = lines.withColumn("words", tokens(F.col("raw"))).where(F.size("words") >= min_tokens)
     line = F.xxhash64("words")
     # where no token varies the line's own tokens are those of the template
@@ -79,13 +81,19 @@ def dropped_lines(scratch: Scratch, lines: DataFrame, least: int, depth: int, co
     wanted = salted_join(by_line.select("leaf", "line", "docs", "n"), several, ["leaf"], "line", "left_semi")
     # dealt by line once, for both the choice of one text and the join
     texts = lines.select("leaf", "line", "raw").dropDuplicates(["leaf", "line"]).join(wanted.hint("merge"), ["leaf", "line"])
-    texts = scratch.table(texts.select("leaf", "line", "docs", "n", tokens(F.col("raw")).alias("words")), "texts")
-    places = texts.select("leaf", "line", "docs", F.posexplode("words").alias("at", "word")).where(F.col("word") != VARIABLE)
+    texts = texts.select("leaf", "line", "docs", "n", tokens(F.col("raw")).alias("words"))
+    leading = F.size(F.array_remove(F.slice("words", 1, depth), VARIABLE))
+    texts = scratch.table(texts.select("leaf", "line", "docs", "n", leading.alias("leading"), "words"), "texts")
+    places = texts.select("leaf", "line", "docs", "n", "leading", F.posexplode("words").alias("at", "word")).where(F.col("word") != VARIABLE)
     support = scratch.table(places.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("all")).where(F.col("all") >= least).select("leaf", "at", "word"), "support")
-    fixed = salted_join(places, support, ["leaf", "at", "word"], "line").groupBy("leaf", "line").agg(F.collect_set("at").alias("fixed"))
-    template = F.transform("words", lambda w, i: F.when(F.array_contains("fixed", i) | (i < depth), w).otherwise(VARIABLE))
-    templates = texts.join(fixed.hint("merge"), ["leaf", "line"]).select("leaf", "line", "n", template.alias("template"))
-    templates = scratch.table(templates.select("leaf", "line", F.xxhash64("template").alias("template"), F.size(F.array_remove("template", VARIABLE)).alias("stay"), "n").where(fixed_share(F.col("stay"))), "templates")
+    # a leaf and the tokens that stay behind the leading ones, whatever their order, are a template
+    behind = F.col("at") >= depth
+    token = lambda *more: F.bit_xor(F.when(behind, F.xxhash64("at", "word", *more)).otherwise(F.lit(0).cast("long")))
+    templates = salted_join(places, support, ["leaf", "at", "word"], "line").groupBy("leaf", "line").agg(
+        token().alias("one"), token(F.lit(1)).alias("two"), F.sum(behind.cast("long")).alias("behind"), F.min("leading").alias("leading"), F.min("n").alias("n")
+    )
+    templates = templates.select("leaf", "line", F.xxhash64("one", "two", "behind").alias("template"), (F.col("behind") + F.col("leading")).alias("stay"), "n")
+    templates = scratch.table(templates.where(fixed_share(F.col("stay"))), "templates")
     held = scratch.table(salted_join(by_exact.select("leaf", "line", "exact", "first"), templates.select("leaf", "line", "template"), ["leaf", "line"], "exact"), "held")
     recurring = scratch.table(held.groupBy("leaf", "template").agg(F.count_distinct("first").alias("docs"), F.min("first").alias("keeps")).where(F.col("docs") >= least).drop("docs"), "recurring")
     together = salted_join(held, recurring, ["leaf", "template"], "exact").select("leaf", "line", "exact", F.col("keeps").alias("first"))
@@ -95,6 +103,16 @@ def dropped_lines(scratch: Scratch, lines: DataFrame, least: int, depth: int, co
     return literal.unionByName(together).unionByName(alone).groupBy("leaf", "line", "exact").agg(F.min("first").alias("first"))
 
 
+def without(text: Column, lost: Column) -> Column:
+    """``text`` without the lines at the ascending places ``lost``: what stands between them, end to end, so that the work is linear in both."""
+    count = F.size(lost)
+    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(lost, k) + 1)
+    end = lambda k, lines: F.when(k < count, F.element_at(lost, F.least(k + 1, count))).otherwise(F.size(lines))
+    between = lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(lines, start(k) + 1, end(k, lines) - start(k))))
+    # as the element of an array the lines are split once
+    return F.array_join(F.element_at(F.transform(F.array(F.split(text, "\n")), between), 1), "\n")
+
+
 def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, counts: bool = False) -> DataFrame:
     """``docs`` without recurring lines in ``text_col``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
     scratch = Scratch(spark)
@@ -106,12 +124,11 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     scratch.drop("by_exact", "by_line", "several", "texts", "support", "templates", "held", "recurring")
     # rows of one id and one text lose the same lines
     lost = salted_join(lines.select("id", "text_hash", "at", "leaf", "line", "exact"), drop, ["leaf", "line", "exact"], "id").where("id <> first")
-    lost = lost.groupBy("id", "text_hash").agg(F.collect_set("at").alias(f"{own}lost")).withColumnsRenamed({"id": f"{own}id", "text_hash": f"{own}hash"})
+    lost = lost.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias(f"{own}lost")).withColumnsRenamed({"id": f"{own}id", "text_hash": f"{own}hash"})
     keyed = docs.withColumns({f"{own}id": identity, f"{own}hash": F.xxhash64(F.col(text_col))})
     joined = keyed.join(lost.hint("merge"), [f"{own}id", f"{own}hash"], "left")
 
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(f"{own}lost", i))
-    text = F.when(F.col(f"{own}lost").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(f"{own}lost").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(f"{own}lost")))
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))

@@ -538,6 +538,41 @@ def test_languages_of_held_out_documents(spark):
     assert {r[0] for r in langid.held_out_predictions(spark, nulls).select("lang_pred").distinct().collect()} == {"und"}
 
 
+def test_languages_are_learned_from_anywhere_in_texts(spark):
+    """Every text begins in one language, whatever its own; references from the heads of texts would all be in that one."""
+    rng = random.Random(3)
+    lexicon = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(300)] for k, letters in (("aa", "abcdeo"), ("bb", "bdfgiu"), ("cc", "hklmai"))}
+    text = lambda k, n: " ".join(rng.choice(lexicon[k]) for _ in range(n))
+    rows = [(i, text("aa", 60) + "\n" + text(k, 900), k) for i, k in enumerate(["aa", "bb", "cc"] * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    tests = [(k, text(k, 40)) for k in lexicon for _ in range(20)]
+    assert [k for k, _ in tests] == model.predict([t for _, t in tests])[0]
+    cut = docs.select(langid.cut_piece(F.col("text"), F.col("doc_id"), F.lit(100)).alias("piece"), "text").collect()
+    starts = [r["text"].index(r["piece"]) / len(r["text"]) for r in cut]
+    assert all(len(r["piece"]) == 100 for r in cut) and min(starts) < 0.1 and max(starts) > 0.8 and 0.35 < sum(starts) / len(starts) < 0.65
+    assert spark.range(1).select(langid.cut_piece(F.lit("short"), F.lit(5), F.lit(100)), langid.cut_piece(F.lit(""), F.lit(5), F.lit(9))).first()[:] == ("short", "")
+
+
+def test_line_dedup_is_linear_in_a_document(spark):
+    import time
+
+    shared = "\n".join(f"shared line number k{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)} here" for k in range(200_000))
+    long = " ".join(["word"] * 3 + [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in range(200_000)])
+    texts = [shared, "own first line of it\n" + shared + "\nown last line of it", *(long + f" end{c}" for c in "abcd")]
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_templates.dedup(spark, frame(spark, texts), counts=True).collect()}
+    assert time.time() - began < 90
+    assert got[0]["text"] == shared and got[1]["text"] == "own first line of it\nown last line of it" and got[1]["n_dropped"] == 200_000
+    assert [got[k]["n_dropped"] for k in range(2, 6)] == [0, 1, 1, 1]
+
+
+def test_lines_between_lost_ones(spark):
+    cases = [("a\nb\nc", [1]), ("a\nb\nc", [0, 1, 2]), ("a", [0]), ("a\n\nb\n", [1]), ("a\nb", [0]), ("\n\n", [0, 2]), ("x\ny\nz\nw", [1, 2])]
+    rows = spark.createDataFrame(cases, "text string, lost array<int>").select("text", "lost", line_templates.without(F.col("text"), F.col("lost")).alias("left")).collect()
+    assert [r["left"] for r in rows] == ["\n".join(w for k, w in enumerate(t.split("\n")) if k not in lost) for t, lost in cases]
+
+
 def test_quality_of_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_model.held_out_scores(spark, docs, labels).join(labels, "doc_id").where("held_out").toPandas()
