@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyridge.functions.special import isf, neglog10_tail
 from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, windows
+from tallyridge.plans.steps import Steps
+from tallyridge.sources.staged import Staged, check_settings
 
 
 @dataclass(frozen=True)
@@ -19,6 +21,7 @@ class Config:
 
     window: int = 151
     min_mappable_proportion: float = 0.05
+    smooth_filter: str = "haar"
     smooth_level: int = 7
     bg_window: int = 50_001
     bg_window_small: int = 5_001
@@ -44,25 +47,73 @@ class Config:
     background_step: int = 100
 
 
+#: Stages with what they are made of, and the settings that each adds to theirs.
+STAGES = Steps(
+    {
+        "cuts": ("reads",), "total": ("cuts",), "vector": ("cuts",), "smoothed": ("vector", "total"), "global_fits": ("vector",), "thresholds": ("vector", "global_fits"),
+        "segments": ("vector", "global_fits", "thresholds"), "segmented": ("vector", "segments"), "fit_stats": ("segmented", "segments", "global_fits"),
+        "fit_params": ("segmented", "segments", "fit_stats"), "pvalues": ("fit_params",), "fdrs": ("pvalues",), "calls": ("fdrs", "smoothed", "total"),
+    }
+)
+SETTINGS = {
+    "vector": ("window", "min_mappable_proportion"), "smoothed": ("smooth_filter", "smooth_level"), "global_fits": ("min_background", "max_background", "fit_step", "background_bins", "signal_bins", "min_bin_count"),
+    "thresholds": ("bg_window", "bg_window_small", "sample_step", "interpolation_step"), "segments": ("min_segment", "segment_step", "boundary_penalty"), "segmented": ("fit_step",),
+    "fit_stats": ("outlier_threshold", "max_outlier_rounds"), "fit_params": ("bg_window", "exclude_flank", "min_mappable_proportion"), "fdrs": ("fdr_method", "max_fdr"),
+}
+
+
 class Caller:
     """Each property is a stage; intermediate tables go to ``root`` as Parquet, partitioned by contig.
 
-    A stage that is already there (``reuse``) is read and what it depends on does not run.
-    Contigs without a fit or without observations are absent from what follows.
+    A stage that is given (``reuse``, by its path) is read, and what leads to it alone does not run; it must have been made with the same settings. Stages
+    that an earlier run on ``root`` has finished, with the same settings, are read too, and what it has left of a stage is made contig by contig
+    (``contigs_at_a_time`` a job; stages that pool contigs are one job). ``root`` belongs to one set of counts. Contigs without a fit or without observations are absent from what follows.
     """
 
-    def __init__(self, cuts: DataFrame, contigs: DataFrame, root: str, *, config: Config = Config(), mappable: DataFrame | None = None, reuse: dict[str, str] | None = None, sample: str = "sample"):
-        self.cuts, self.contigs, self.root, self.config, self.mappable, self.sample = cuts, contigs, root.rstrip("/"), config, mappable, sample
+    def __init__(
+        self, cuts: DataFrame | None, contigs: DataFrame, root: str, *, config: Config = Config(), mappable: DataFrame | None = None, reuse: dict[str, str] | None = None, sample: str = "sample",
+        reads: DataFrame | None = None, contigs_at_a_time: int | None = None,
+    ):
+        self.contigs, self.root, self.config, self.mappable, self.sample = contigs, root.rstrip("/"), config, mappable, sample
+        self.given_cuts, self.reads, self.contigs_at_a_time = cuts, reads, contigs_at_a_time
         self.reuse = reuse or {}
-        self.spark = cuts.sparkSession
+        self.spark = contigs.sparkSession
+        for name, path in self.reuse.items():
+            check_settings(self.spark, path, self.settings(name))
+
+    def plan(self, *outputs: str) -> list[str]:
+        """The stages to run for ``outputs`` (what regions and peaks need, by default), in order."""
+        given = {*self.reuse, *(["cuts"] if self.given_cuts is not None else []), *(["reads"] if self.reads is not None else [])}
+        return STAGES.missing(outputs or ("calls",), given)
+
+    def run(self, *outputs: str) -> list[str]:
+        """Runs them, and returns their names."""
+        steps = self.plan(*outputs)
+        for step in steps:
+            if step != "calls":
+                getattr(self, step)
+        return steps
+
+    def settings(self, name: str) -> dict:
+        """Those that a stage depends on, its own and those of what it is made of."""
+        found = {k: v for x in STAGES.made_of.get(name, ()) for k, v in self.settings(x).items()}
+        return found | {k: v for k, v in asdict(self.config).items() if k in SETTINGS.get(name, ())}
+
+    @cached_property
+    def names(self) -> list[str]:
+        return [r["contig"] for r in self.contigs.select("contig", "ord").orderBy("ord").collect()]
 
-    def kept(self, name: str, make) -> DataFrame:
+    def kept(self, name: str, make, pooled: bool = False) -> DataFrame:
         if name in self.reuse:
             return self.spark.read.parquet(self.reuse[name])
-        path = f"{self.root}/{name}"
-        df = make()
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy("contig").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return Staged(self.spark, f"{self.root}/{name}", self.settings(name)).write(make, self.names, None if pooled else self.contigs_at_a_time)
+
+    @cached_property
+    def cuts(self) -> DataFrame:
+        """Given, or counted from reads."""
+        if self.given_cuts is None and self.reads is None:
+            raise ValueError("give reads or cuts")
+        return dense.reads_to_cuts(self.reads, self.contigs) if self.given_cuts is None else self.given_cuts
 
     @cached_property
     def total(self) -> DataFrame:
@@ -162,7 +213,7 @@ class Caller:
             out = out.withColumn("background", isf(0.005, F.col("r"), F.col("p")))
             return out.withColumn("valid_segment", F.col("success_fit") & ~F.col("max_bg_reached") & (F.col("fit_type") == "segment"))
 
-        return self.kept("fit_stats", make)
+        return self.kept("fit_stats", make, pooled=True)
 
     def small(self, df: DataFrame) -> DataFrame:
         """A table of segments, cut from its lineage; a genome has thousands."""
@@ -215,7 +266,7 @@ class Caller:
 
     @cached_property
     def fdrs(self) -> DataFrame:
-        return self.kept("fdrs", lambda: fdr.fdr(self.pvalues, self.config.max_fdr, self.config.fdr_method).select("contig", "pos", "neglog10_p", "neglog10_q"))
+        return self.kept("fdrs", lambda: fdr.fdr(self.pvalues, self.config.max_fdr, self.config.fdr_method).select("contig", "pos", "neglog10_p", "neglog10_q"), pooled=True)
 
     @cached_property
     def scores(self) -> DataFrame:

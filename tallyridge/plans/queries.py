@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyridge.functions import special
 from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, windows
 from tallyridge.plans.caller import Caller, Config, multi_sample_fdr
+from tallyridge.plans.steps import CALLING
 from tallyridge.sources import adapters
 from tallyridge.sources.scratch import folder
 
@@ -685,6 +686,32 @@ def call_all_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(from_segments(spark, sf_dir).regions(CHAIN_RATE).drop("stretches"), "max_neglog10_fdr", digits=5)
 
 
+#: What an event of each type stands for in a sample; a user's day is a sample.
+GIVEN_BY = {"view": "cuts", "click": "smoothed", "purchase": "pvalues", "signup": "fdrs", "error": "total"}
+OUTPUTS = ("calls", "density")
+_values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+
+
+@query(
+    f"""WITH RECURSIVE edges(step, needs) AS (VALUES {_values((s, x) for s in CALLING.made_of for x in CALLING.made_of[s])}), kinds(event_type, step) AS (VALUES {_values(GIVEN_BY.items())}),
+ways(step, depth) AS (SELECT DISTINCT needs, 0 FROM edges WHERE needs NOT IN (SELECT step FROM edges) UNION SELECT e.step, depth + 1 FROM ways w JOIN edges e ON e.needs = w.step),
+depths AS (SELECT step, max(depth) AS depth FROM ways GROUP BY step),
+given AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, step FROM events JOIN kinds USING (event_type)),
+wanted(user_id, day, step) AS (
+  SELECT user_id, day, o.step FROM (SELECT DISTINCT user_id, day FROM given) s CROSS JOIN (VALUES {_values((o,) for o in OUTPUTS)}) o(step) WHERE (user_id, day, o.step) NOT IN (SELECT user_id, day, step FROM given)
+  UNION SELECT w.user_id, w.day, e.needs FROM wanted w JOIN edges e ON e.step = w.step WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.user_id = w.user_id AND g.day = w.day AND g.step = e.needs)
+)
+SELECT user_id, CAST(day AS VARCHAR) AS day, step, CAST(row_number() OVER (PARTITION BY user_id, day ORDER BY depth, step) - 1 AS INT) AS place, count(*) FILTER (step = 'reads') OVER (PARTITION BY user_id, day) = 0 AS startable
+FROM wanted JOIN depths USING (step)"""
+)
+def missing_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that each sample still has to take, from what is there of it."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.element_at(F.create_map(*(F.lit(x) for pair in GIVEN_BY.items() for x in pair)), F.col("event_type"))
+    samples = events.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_set(name).alias("given"))
+    return CALLING.missing_of_each(samples, OUTPUTS).drop("given")
+
+
 @query()
 def fit_stats_from_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments and contigs with their fits, segments found and outliers refitted."""

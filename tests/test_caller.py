@@ -1,15 +1,20 @@
 """Files in and out, and the whole calculation on planted signals."""
 
+import glob
 import gzip
 import math
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyridge.operators import background
-from tallyridge.plans.caller import Caller, Config, multi_sample_fdr
+from tallyridge.plans.caller import STAGES, Caller, Config, multi_sample_fdr
+from tallyridge.plans.steps import CALLING, NothingToStartFrom, Steps
 from tallyridge.sources import io
+from tallyridge.sources.staged import OtherSettings, Staged
 
 SMALL = Config(bg_window=4001, bg_window_small=401, fit_step=200, sample_step=25, interpolation_step=500, min_segment=4001, segment_step=50, min_significant_for_peak=5)
 
@@ -83,6 +88,63 @@ def test_stages_are_reused(spark, run, tmp_path):
     assert not os.path.exists(tmp_path / "vector")  # nothing before it has run
 
 
+def test_contigs_are_fitted_on_every_fit_step(run):
+    caller, _ = run
+    rows = caller.vector.toPandas()
+    for r in caller.global_fits.collect():
+        seen = rows[(rows.contig == r["contig"]) & (rows.pos % SMALL.fit_step == 0)].x.dropna().to_numpy()
+        want = background.scan(*np.unique(seen, return_counts=True), background_bins=SMALL.background_bins, signal_bins=SMALL.signal_bins)
+        assert (r["threshold"], r["rmsea"], r["r"]) == (want["threshold"], want["rmsea"], want["r"])
+
+
+def test_the_plan_holds_what_is_missing_and_runs_it(spark, run, tmp_path):
+    caller, _ = run
+    assert caller.plan() == [s for s in STAGES.order if s not in ("reads", "cuts")]
+    caller.fdrs, caller.smoothed
+    given = {"fdrs": f"{caller.root}/fdrs", "smoothed": f"{caller.root}/smoothed"}
+    again = Caller(caller.cuts, caller.contigs, f"file://{tmp_path}/a", config=SMALL, reuse=given)
+    assert again.plan() == ["total", "calls"] and again.plan("fdrs") == [] and again.run("thresholds") == ["vector", "global_fits", "thresholds"]
+    assert sorted(os.listdir(tmp_path / "a")) == ["global_fits", "thresholds", "vector"]
+    reads = caller.cuts.selectExpr("contig", "pos AS start", "pos + 5 AS end", "'+' AS strand", "explode(sequence(1, cnt))").drop("col")
+    from_reads = Caller(None, caller.contigs, f"file://{tmp_path}/b", config=SMALL, reads=reads)
+    assert from_reads.plan("total") == ["cuts", "total"] and from_reads.total.first()[0] == caller.total.first()[0]
+    with pytest.raises(NothingToStartFrom, match="reads"):
+        Caller(None, caller.contigs, f"file://{tmp_path}/c", config=SMALL).plan()
+
+
+def test_given_stages_must_have_the_same_settings(run, tmp_path):
+    caller, _ = run
+    caller.fdrs
+    given = {"fdrs": f"{caller.root}/fdrs"}
+    with pytest.raises(OtherSettings, match="window 151, not 75"):
+        Caller(caller.cuts, caller.contigs, f"file://{tmp_path}", config=replace(SMALL, window=75), reuse=given)
+    Caller(caller.cuts, caller.contigs, f"file://{tmp_path}", config=replace(SMALL, min_peak_half_width=3, smooth_level=2), reuse=given)  # these come later, or beside
+
+
+def test_a_broken_run_goes_on_by_contig(spark, tmp_path):
+    rows = spark.createDataFrame([(c, k) for c in ("a", "b", "d") for k in range(5)], "contig string, pos long")
+    table = lambda settings: Staged(spark, f"file://{tmp_path}/t", settings)
+    broken = rows.withColumn("pos", F.when(F.col("contig") == "b", F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("pos")))
+    with pytest.raises(Exception, match="lost"):
+        table({"w": 1}).write(lambda: broken, ["a", "b", "c", "d"], 1)
+    assert table({"w": 1}).finished() == ["a"] and sorted(x.name for x in (tmp_path / "t").glob("contig=*")) == ["contig=a"]
+    before = {x: x.stat().st_mtime_ns for x in (tmp_path / "t" / "contig=a").iterdir()}
+    made = table({"w": 1}).write(lambda: rows, ["a", "b", "c", "d"], 1)
+    assert sorted(map(tuple, made.select("contig", "pos").collect())) == [(c, k) for c in "abd" for k in range(5)]
+    assert table({"w": 1}).finished() == ["a", "b", "c", "d"] and {x: x.stat().st_mtime_ns for x in (tmp_path / "t" / "contig=a").iterdir()} == before
+    assert table({"w": 2}).finished() == [] and table({"w": 2}).write(lambda: rows.where("contig = 'd'"), ["d"]).count() == 5
+    assert not list((tmp_path / "t").glob("_job-*")) and [x.name for x in (tmp_path / "t").glob("contig=*")] == ["contig=d"]
+
+
+def test_a_second_run_on_a_folder_reads_what_is_there(spark, run):
+    caller, _ = run
+    caller.pvalues
+    stamp = lambda: {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{caller.root.removeprefix('file://')}/*/contig=*/*.parquet")}
+    before = stamp()
+    again = Caller(caller.cuts, caller.contigs, caller.root, config=SMALL, mappable=caller.mappable)
+    assert again.pvalues.count() == caller.pvalues.count() and stamp() == before
+
+
 def test_tracks_and_several_samples(spark, run):
     caller, _ = run
     assert caller.density_track().where("value <= 0 OR start % 20 <> 0").count() == 0 and caller.threshold_track().count() > 100
@@ -113,3 +175,29 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in io.read_partition(spark, str(tmp_path / "p"), "b", "pos").collect()] == [(9,)] and io.read_partition(spark, str(tmp_path / "p"), "c").count() == 1
     (tmp_path / "samples.tsv").write_text(f"id\tpvals_parquet\ns1\t{tmp_path}/p\ns2\t{tmp_path}/p\n")
     assert io.read_samples(spark, str(tmp_path / "samples.tsv")).groupBy("sample_id").count().count() == 2
+
+
+def test_steps_in_order():
+    assert CALLING.missing({"calls"}, {"cuts"}) == ["total", "fit_params", "smoothed", "pvalues", "fdrs", "calls"]
+    assert CALLING.missing({"calls"}, {"cuts", "total", "smoothed", "fdrs"}) == ["calls"] and CALLING.missing({"calls", "density"}, {"smoothed", "fdrs", "total"}) == ["density", "calls"]
+    assert CALLING.missing({"total"}, {"reads"}) == ["cuts", "total"] and CALLING.missing({"cuts"}, {"cuts"}) == []
+    with pytest.raises(NothingToStartFrom, match="give reads"):
+        CALLING.missing({"calls"}, {"fdrs", "smoothed"})
+    with pytest.raises(ValueError, match="need one another"):
+        Steps({"a": ("b",), "b": ("a",)})
+    with pytest.raises(ValueError, match="no such steps: x"):
+        CALLING.missing({"x"})
+
+
+def test_steps_of_a_table_are_those_of_each_sample(spark):
+    names = sorted(CALLING.made_of)
+    rng = np.random.default_rng(0)
+    samples = [(k, sorted(rng.choice(names, rng.integers(0, 6), replace=False).tolist())) for k in range(60)] + [(60, None), (61, ["elsewhere", None])]
+    got = CALLING.missing_of_each(spark.createDataFrame(samples, "id int, given array<string>"), {"calls", "density"}).collect()
+    for k, given in samples:
+        own = sorted((r["place"], r["step"], r["startable"]) for r in got if r["id"] == k)
+        try:
+            want, startable = CALLING.missing({"calls", "density"}, {g for g in given or () if g in names}), True
+        except NothingToStartFrom:
+            want, startable = ["reads", *CALLING.missing({"calls", "density"}, {g for g in given or () if g in names} | {"reads"})], False
+        assert own == [(p, s, startable) for p, s in enumerate(want)]
