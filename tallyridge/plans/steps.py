@@ -72,7 +72,7 @@ class Steps:
         from, ``startable`` is false in all its rows, those for the absent inputs included.
         """
         outputs = self.known(outputs)
-        names = F.coalesce(given, F.array().cast("array<string>"))
+        names = F.array_compact(F.coalesce(given, F.array().cast("array<string>")))
         after = {s: [t for t in self.made_of if s in self.made_of[t]] for s in self.made_of}
         rows = samples
         for step in reversed(self.order):
