@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyridge.functions.special import log_beta_tail
 from tallyridge.operators.dense import TILE
-from tallyridge.operators.windows import own_rows, tile_max, tile_sums, tiled
+from tallyridge.operators.windows import IN_BLOCKS, neighbours, own_rows, tile_max, tile_sums, tiled
 
 CONTIG = ("contig",)
 
@@ -30,32 +30,43 @@ def quantile_linear(vector: DataFrame, q: float, keys: tuple[str, ...] = CONTIG)
     return vector.groupBy(*keys).agg(F.percentile("x", F.lit(q)).alias("quantile"))
 
 
-def higher(values: Column, q: Column) -> Column:
-    """The least element of an array that at least the share ``q`` of the way through it reaches."""
-    n = F.size(values)
-    return F.when(n > 0, F.element_at(F.array_sort(values), F.ceil(F.round(q * (n - 1), 9)).cast("int") + 1))
+def windowed_quantiles(vector: DataFrame, quantile: Column, windows: dict[str, int], step: int, stride: int, keys: tuple[str, ...] = CONTIG, tile: int = TILE) -> DataFrame:
+    """``(keys, centre, …)``: for each window, by name, the higher quantile of samples around each centre; null without samples.
 
+    Samples lie at multiples of ``step``, centres at multiples of ``stride``; a window has an odd number of samples. A sample goes to its tile and
+    to those whose windows reach it, once for all windows, and not to each centre around it.
+    """
+    halves = {k: (w // step | 1) // 2 * step for k, w in windows.items()}
+    far = max(halves.values())
+    points = sampled(vector, step).where("x IS NOT NULL").select(*keys, "size", "pos", F.col("x").cast("double").alias("x"), quantile.cast("double").alias("q"))
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
-def strided_quantiles(vector: DataFrame, quantile: Column, window: int, step: int, stride: int, keys: tuple[str, ...] = CONTIG) -> DataFrame:
-    """``(keys, centre, value)``: the higher quantile of samples around each centre.
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        pos, x, first = rows["pos"].to_numpy(), rows["x"].to_numpy(), rows.iloc[0]
+        q, start = first["q"], int(first["tile"]) * tile
+        centres = np.arange(-(-start // stride) * stride, min(start + tile, int(first["size"])), stride)
+        out = pd.DataFrame({**{k: [first[k]] * len(centres) for k in keys}, "centre": centres})
+        for name, half in halves.items():
+            bounds = zip(np.searchsorted(pos, centres - half), np.searchsorted(pos, centres + half, side="right"))
+            places = [(lo, hi, math.ceil(round(q * (hi - lo - 1), 9))) if hi > lo and not math.isnan(q) else None for lo, hi in bounds]
+            out[name] = np.array([np.nan if p is None else np.partition(x[p[0] : p[1]], p[2])[p[2]] for p in places], np.float64)
+        return out
 
-    Samples lie at multiples of ``step``, centres at multiples of ``stride``; a window has an odd number of samples.
-    """
-    half = (window // step | 1) // 2 * step
-    points = sampled(vector, step).where("x IS NOT NULL")
-    first = F.greatest(F.ceil((F.col("pos") - half) / stride), F.lit(0))
-    last = F.least(F.floor((F.col("pos") + half) / stride), F.floor((F.col("size") - 1) / stride))
-    spread = points.where(first <= last).withColumn("centre", F.explode(F.sequence(first, last))).withColumn("centre", F.col("centre") * stride)
-    grouped = spread.groupBy(*keys, "centre").agg(F.collect_list("x").alias("values"), F.first(quantile).alias("q"))
-    return grouped.select(*keys, "centre", higher(F.col("values"), F.col("q")).alias("value"))
+    found = tiled(points, far, far, tile).groupBy(*keys, "tile").applyInPandas(run, f"{kinds}, centre long, " + ", ".join(f"{k} double" for k in windows))
+    return found.select(*keys, "centre", *(F.nanvl(F.col(k), F.lit(None)).alias(k) for k in windows))
+
+
+def strided_quantiles(vector: DataFrame, quantile: Column, window: int, step: int, stride: int, keys: tuple[str, ...] = CONTIG, tile: int = TILE) -> DataFrame:
+    """``(keys, centre, value)``: ``windowed_quantiles`` of one window, of centres with samples."""
+    return windowed_quantiles(vector, quantile, {"value": window}, step, stride, keys, tile).where("value IS NOT NULL")
 
 
 def interpolated(centres: DataFrame, contigs: DataFrame, stride: int, keys: tuple[str, ...] = CONTIG) -> DataFrame:
     """``(keys, pos, threshold)`` of every position: linear between defined centres, flat beyond the outer ones."""
-    by = Window.partitionBy(*keys).orderBy("centre")
-    known = centres.where("value IS NOT NULL").withColumns({"next": F.lead("centre").over(by), "then": F.lead("value").over(by), "rank": F.row_number().over(by)})
+    known = neighbours(centres.where("value IS NOT NULL"), "centre", {"before": ("centre", -1), "next": ("centre", 1), "then": ("value", 1)}, keys)
     known = known.join(contigs.select(*keys, "size"), list(keys))
-    first = F.when(F.col("rank") == 1, F.lit(0)).otherwise(F.col("centre"))
+    first = F.when(F.col("before").isNull(), F.lit(0)).otherwise(F.col("centre"))
     last = F.coalesce(F.col("next"), F.col("size")) - 1
     spans = known.where(first <= last).withColumn("lo", F.explode(F.sequence(first.cast("long"), last, F.lit(TILE)))).withColumn("hi", F.least(F.col("lo") + TILE - 1, last))
     rows = spans.withColumn("pos", F.explode(F.sequence("lo", "hi")))
@@ -66,9 +77,7 @@ def interpolated(centres: DataFrame, contigs: DataFrame, stride: int, keys: tupl
 
 def local_thresholds(vector: DataFrame, quantile: Column, contigs: DataFrame, *, window: int = 50_001, small: int = 5_001, step: int = 75, stride: int = 1_500, keys: tuple[str, ...] = CONTIG) -> DataFrame:
     """``(keys, pos, threshold)``: the smaller of two strided quantiles, interpolated."""
-    wide = strided_quantiles(vector, quantile, window, step, stride, keys)
-    near = strided_quantiles(vector, quantile, small, step, stride, keys).withColumnRenamed("value", "near")
-    both = wide.join(near, [*keys, "centre"]).where("value IS NOT NULL AND near IS NOT NULL")
+    both = windowed_quantiles(vector, quantile, {"value": window, "near": small}, step, stride, keys).where("value IS NOT NULL AND near IS NOT NULL")
     return interpolated(both.select(*keys, "centre", F.least("value", "near").alias("value")), contigs, stride, keys)
 
 
@@ -281,10 +290,11 @@ def sliding_nb(vector: DataFrame, *, window: int = 50_001, flank: int = 500, fra
     """
     half = window // 2
     # one deal of tiles serves both windows, maxima first
-    tops = tile_max(tiled(vector, half + flank, half + flank, tile), flank, keys)
+    far = half + flank
+    tops = tile_max(tiled(vector, far, far, tile), flank, far, far, tile, keys)
     calm = tops.withColumn("b", F.when(F.coalesce(F.col("top") >= F.col("threshold"), F.lit(False)), None).otherwise(F.col("x")))
     b = F.col("b")
-    sums = own_rows(tile_sums(calm, half, half, {"n": b.isNotNull().cast("long"), "s": b, "q": b * b}, keys))
+    sums = own_rows(tile_sums(calm, half, half, {"n": b.isNotNull().cast("long"), "s": b, "q": b * b}, keys, IN_BLOCKS)).drop("__block")
     n, s = F.col("n"), F.col("s")
     mean = F.try_divide(s, n)
     variance = F.when(n > 1, (F.col("q") - s * s / n) / (n - 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,54 @@ def regions(vector: DataFrame, score: str, threshold: float, window: int = 151,
     return best.join(owned, [*keys, "start", "end"]).select(*keys, "start", "end", "max_score", "n_significant", "stretches")
 
 
-def interval_max(intervals: DataFrame, scores: DataFrame, score: str = "neglog10_p") -> DataFrame:
-    """``intervals`` with ``max_neglog_p``: the largest score in [start, end), at least 0; 0 where there is none."""
-    spans = intervals.select("contig", "start", "end").distinct()
-    best = in_intervals(scores.select("contig", "pos", score), spans).groupBy("contig", "start", "end").agg(F.max(score).alias("best"))
-    joined = intervals.join(best, ["contig", "start", "end"], "left")
-    return joined.withColumn("max_neglog_p", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0))).drop("best")
+#: Levels of the pyramid within a tile, and all.
+TILE_LEVELS, LEVELS = TILE.bit_length() - 1, 62
+
+
+def block_maxima(scores: DataFrame, score: str) -> DataFrame:
+    """``(contig, level, block, best)``: the largest score of positions [block * 2^level, (block + 1) * 2^level), where there is one.
+
+    A tile makes its levels at once; levels above are of the tiles' maxima alone. There are about two rows per position with a score.
+    """
+
+    def levels(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        at, best, parts = rows["pos"].to_numpy(), rows["best"].to_numpy(), []
+        for level in range(TILE_LEVELS + 1):
+            at = at >> (1 if level else 0)
+            first = np.flatnonzero(np.append(True, np.diff(at) != 0))
+            at, best = at[first], np.maximum.reduceat(best, first)
+            parts.append(pd.DataFrame({"level": np.int32(level), "block": at, "best": best}))
+        return pd.concat(parts).assign(contig=rows["contig"].iloc[0])[["contig", "level", "block", "best"]]
+
+    known = scores.select("contig", "pos", F.col(score).cast("double").alias("best")).where("best IS NOT NULL AND NOT isnan(best)")
+    tiles = known.groupBy("contig", F.floor(F.col("pos") / TILE).alias("tile")).applyInPandas(levels, "contig string, level int, block long, best double")
+    more = tiles.where(F.col("level") == TILE_LEVELS).select("contig", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - TILE_LEVELS))).alias("up"), "block", "best")
+    above = more.groupBy("contig", (F.col("up") + TILE_LEVELS).alias("level"), F.expr("shiftright(block, up)").alias("block")).agg(F.max("best").alias("best"))
+    return tiles.unionByName(above)
+
+
+def blocks_of(start: str, end: str) -> Column:
+    """The blocks, ``(level, block)``, that make up positions [start, end): two of a level at most, so twice the logarithm of the length."""
+    low, high = f"shiftright({start} + shiftleft(1L, l) - 1, l)", f"shiftright({end}, l)"
+    levels = f"sequence(0, CAST(floor(log2(greatest({end} - {start}, 1))) AS INT) + 1)"
+    left = f"IF({low} < {high} AND {low} % 2 = 1, named_struct('level', l, 'block', {low}), NULL)"
+    right = f"IF({low} < {high} AND {high} % 2 = 1, named_struct('level', l, 'block', {high} - 1), NULL)"
+    return F.expr(f"array_compact(flatten(transform({levels}, l -> array({left}, {right}))))")
+
+
+def interval_max(intervals: DataFrame, scores: DataFrame, score: str = "neglog10_p", row: str | None = None) -> DataFrame:
+    """``intervals`` with ``max_neglog_p``: the largest score in [start, end), at least 0; 0 where there is none, or a bound is null. Other columns pass through.
+
+    Intervals meet a pyramid of block maxima, in as many rows as they have blocks, however long they are and however much they overlap. ``row`` names a column for
+    the number of each row as it is read, by which the order of the input comes back.
+    """
+    number = row or "__row"
+    numbered = intervals.withColumn(number, F.monotonically_increasing_id()).withColumns({"__lo": F.when(F.col("start") < 0, 0).otherwise(F.col("start")).cast("long"), "__hi": F.col("end").cast("long")})
+    wanted = numbered.withColumn("__block", F.explode_outer(blocks_of("__lo", "__hi"))).withColumns({"__level": F.col("__block.level"), "__block": F.col("__block.block")})
+    pyramid = block_maxima(scores, score).select(F.col("contig").alias("__contig"), "level", "block", "best")
+    met = wanted.join(pyramid.hint("merge"), (F.col("contig") == F.col("__contig")) & (F.col("__level") == F.col("level")) & (F.col("__block") == F.col("block")), "left")
+    own = [c for c in (*intervals.columns, *([row] if row else [])) if c != number]
+    kept = F.first(F.struct(*(met[c] for c in own))).alias("__own")
+    found = met.groupBy(number).agg(kept, F.max("best").alias("__best"))
+    return found.select(*(F.col(f"__own.{c}").alias(c) for c in own), *([number] if row else []), F.greatest(F.coalesce("__best", F.lit(0.0)), F.lit(0.0)).alias("max_neglog_p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyridge.operators.dense import TILE
 from tallyridge.operators.islands import in_intervals
+from tallyridge.operators.windows import neighbours
 
 KEYS = ("contig",)
 
@@ -41,8 +42,7 @@ def extrema(vector: DataFrame, keys: tuple[str, ...] = KEYS, tile: int = TILE) -
 
 def summits(vector: DataFrame, contigs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``(keys, summit, left, right)``: each maximum with the minima around it; 0 and size - 1 stand for missing ones."""
-    along = Window.partitionBy(*keys).orderBy("pos")
-    ordered = extrema(vector, keys).withColumns({"left": F.lag("pos").over(along), "right": F.lead("pos").over(along)})
+    ordered = neighbours(extrema(vector, keys), "pos", {"left": ("pos", -1), "right": ("pos", 1)}, keys)
     tops = ordered.where("kind = 'max'").join(contigs.select(*keys, "size"), list(keys))
     return tops.select(*keys, F.col("pos").alias("summit"), F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.col("size") - 1).alias("right"))
 

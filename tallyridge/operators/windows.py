@@ -33,10 +33,10 @@ def own_rows(rows: DataFrame) -> DataFrame:
     return rows.where("own").drop("own", "tile")
 
 
-def tile_sums(rows: DataFrame, left: int, right: int, values: dict[str, Column], keys: tuple[str, ...] = ("contig",)) -> DataFrame:
-    """``tiled`` rows with the sum of each value over positions [pos - left, pos + right] of their tile."""
-    by = Window.partitionBy(*keys, "tile").orderBy("pos")
-    so_far, whole = by.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "tile")
+def tile_sums(rows: DataFrame, left: int, right: int, values: dict[str, Column], keys: tuple[str, ...] = ("contig",), order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """``tiled`` rows with the sum of each value over positions [pos - left, pos + right] of their tile, which ``order`` sorts by position."""
+    by = Window.partitionBy(*keys, "tile").orderBy(*order)
+    so_far, whole = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({f"__v_{k}": v for k, v in values.items()})
     rows = rows.withColumns({f"__s_{k}": F.coalesce(F.sum(f"__v_{k}").over(so_far), F.lit(0)) for k in values} | {f"__t_{k}": F.coalesce(F.sum(f"__v_{k}").over(whole), F.lit(0)) for k in values})
     sums = {k: F.coalesce(F.lead(f"__s_{k}", right).over(by), F.col(f"__t_{k}")) - F.coalesce(F.lag(f"__s_{k}", left + 1).over(by), F.lit(0)) for k in values}
@@ -88,24 +88,50 @@ def _short(vector: DataFrame, what: str, fraction: float | None, keys: tuple[str
     return vector.groupBy(*keys).applyInPandas(run, vector.withColumn("agg", F.lit(0.0)).schema.simpleString().removeprefix("struct<").removesuffix(">"))
 
 
-def tile_max(rows: DataFrame, flank: int, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
-    """``tiled`` rows with ``top``: the largest defined value within ``flank`` positions of their tile, null if there is none.
+#: What sorts the rows of ``tile_max`` by position.
+IN_BLOCKS = ("__block", "pos")
 
-    Maxima over spans double in length until two of them cover the flank, so that a wide one costs its logarithm.
+
+def tile_max(rows: DataFrame, flank: int, left: int, right: int, tile: int, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """Rows of ``tiled(…, left, right, tile)`` with ``top``: the largest defined value within ``flank`` positions of their tile, null if there is none.
+
+    Positions are cut into blocks as long as a window. A window lies in two of them at most, so its maximum is that of the rest of one block from
+    its first position on, and that of the next one up to its last: two ordered passes, whatever the flank. Rows keep ``__block``.
     """
-    by = Window.partitionBy(*keys, "tile").orderBy("pos")
-    for name, shifted in (("__back", F.lag), ("__ahead", F.lead)):
-        rows, width = rows.withColumn(name, F.col("x")), 1
-        while width * 2 <= flank + 1:  # greatest() skips what lies beyond the ends
-            rows, width = rows.withColumn(name, F.greatest(name, shifted(name, width).over(by))), width * 2
-        if flank + 1 > width:
-            rows = rows.withColumn(name, F.greatest(name, shifted(name, flank + 1 - width).over(by)))
-    return rows.withColumn("top", F.greatest("__back", "__ahead")).drop("__back", "__ahead")
+    pos, width = F.col("pos"), 2 * flank + 1
+    first = F.greatest(F.col("tile") * tile - left, F.lit(0))
+    last = F.least((F.col("tile") + 1) * tile - 1 + right, F.col("size") - 1)
+    block = lambda at: F.floor((at - first) / width)
+    within = Window.partitionBy(*keys, "tile", "__block")
+    so_far = (Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__block", block(pos)).repartition(*keys, "tile")
+    rows = rows.withColumn("__rest", F.max("x").over(within.orderBy(F.desc("pos")).rowsBetween(*so_far)))
+    rows = rows.withColumn("__start", F.max("x").over(within.orderBy("pos").rowsBetween(*so_far)))
+    by = Window.partitionBy(*keys, "tile").orderBy(*IN_BLOCKS)
+    rest, start = F.lag("__rest", flank).over(by), F.lead("__start", flank).over(by)
+    end = F.last("__start").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # of the last block
+    before, behind = pos - flank < first, pos + flank > last
+    top = F.when(before, F.when(behind, end).otherwise(start)).otherwise(F.greatest(rest, F.when(~behind, start).when(block(last) > block(pos - flank), end)))
+    return rows.withColumn("top", top).drop("__rest", "__start")
 
 
 def running_max(vector: DataFrame, flank: int, keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
     """``vector`` with ``top``: the largest defined value within ``flank`` positions, null if there is none."""
-    return own_rows(tile_max(tiled(vector, flank, flank, tile), flank, keys))
+    return own_rows(tile_max(tiled(vector, flank, flank, tile), flank, flank, flank, tile, keys)).drop("__block")
+
+
+def neighbours(rows: DataFrame, order: str, wanted: dict[str, tuple[str, int]], keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
+    """``rows`` with columns of the row before (-1) or after (1) along their keys: ``wanted`` has ``{name: (column, side)}``; null where there is none.
+
+    Rows find their neighbours within tiles of positions; only the first and last of each tile look over their keys.
+    """
+    side = lambda name, by: (F.lag if wanted[name][1] < 0 else F.lead)(F.struct(F.col(wanted[name][0]).alias("v"))).over(by)
+    inner, outer = Window.partitionBy(*keys, "__tile").orderBy(order), Window.partitionBy(*keys).orderBy(order)
+    dealt = rows.withColumn("__tile", F.floor(F.col(order) / tile)).repartition(*keys, "__tile")
+    dealt = dealt.withColumns({f"__{n}": side(n, inner) for n in wanted} | {"__edge": F.lag(F.lit(True)).over(inner).isNull() | F.lead(F.lit(True)).over(inner).isNull()})
+    edges = dealt.where("__edge").withColumns({f"__{n}": F.coalesce(F.col(f"__{n}"), side(n, outer)) for n in wanted})
+    both = dealt.where("NOT __edge").unionByName(edges)
+    return both.select(*rows.columns, *(F.col(f"__{n}.v").alias(n) for n in wanted))
 
 
 def signal_mask(vector: DataFrame, threshold: Column, flank: int = 0, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
@@ -114,6 +140,14 @@ def signal_mask(vector: DataFrame, threshold: Column, flank: int = 0, keys: tupl
     return rows.withColumn("signal", F.coalesce(F.col("top") >= threshold, F.lit(False))).drop("top")
 
 
+def around_ends(vector: DataFrame, reach: int) -> DataFrame:
+    """``vector`` with copies of each end's ``reach`` positions beyond the other one (``__turn`` is not 0); positions are moved up by ``reach``."""
+    last = F.when(F.col("pos") < reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    turns = F.when(F.col("pos") >= F.col("size") - reach, F.array_append(last, F.lit(-1))).otherwise(last)
+    around = vector.withColumn("__turn", F.explode(turns))
+    return around.withColumns({"pos": F.col("pos") + F.col("__turn") * F.col("size") + reach, "size": F.col("size") + 2 * reach})
+
+
 def triangle_smooth(vector: DataFrame, level: int = 7, keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
     """``vector`` with ``smoothed``: the Haar wavelet approximation of a level, wrapped around the contig's ends.
 
@@ -121,12 +155,7 @@ def triangle_smooth(vector: DataFrame, level: int = 7, keys: tuple[str, ...] = (
     """
     width = 1 << level
     reach = width - 1
-    long = vector.where(F.col("size") > reach)
-    # copies of each end stand beyond the other one
-    last = F.when(F.col("pos") < reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    turns = F.when(F.col("pos") >= F.col("size") - reach, F.array_append(last, F.lit(-1))).otherwise(last)
-    around = long.withColumn("__turn", F.explode(turns))
-    placed = around.withColumns({"pos": F.col("pos") + F.col("__turn") * F.col("size") + reach, "size": F.col("size") + 2 * reach})
+    placed = around_ends(vector.where(F.col("size") > reach), reach)
     once = tile_sums(tiled(placed, reach, reach, tile), 0, reach, {"__once": F.col("x")}, keys)
     twice = own_rows(tile_sums(once, reach, 0, {"__twice": F.col("__once")}, keys)).where("__turn = 0")
     wide = twice.withColumns({"pos": F.col("pos") - reach, "size": F.col("size") - 2 * reach, "smoothed": F.col("__twice") / (width * width)}).drop("__turn", "__once", "__twice")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyridge.functions.special import isf, neglog10_tail
-from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, windows
+from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, wavelets, windows
 from tallyridge.plans.steps import Steps
 from tallyridge.sources.staged import Staged, check_settings
 
@@ -126,11 +126,9 @@ class Caller:
 
         def make() -> DataFrame:
             c = self.config
-            sums = windows.running(dense.densify(self.cuts, self.contigs), c.window, "sum", c.min_mappable_proportion)
-            raw = sums.select("contig", "size", "pos", F.col("agg").alias("x"))
-            if self.mappable is None:
-                return raw.withColumn("raw", F.col("x"))
-            return dense.masked(raw.withColumn("raw", F.col("x")), dense.mappable_positions(self.mappable, self.contigs))
+            sums = windows.running(dense.densify(self.cuts, self.contigs, self.mappable), c.window, "sum", c.min_mappable_proportion)
+            inside = F.lit(True) if self.mappable is None else F.col("mappable")
+            return sums.select("contig", "size", "pos", F.when(inside, F.col("agg")).alias("x"), F.col("agg").alias("raw"))
 
         return self.kept("vector", make)
 
@@ -140,7 +138,7 @@ class Caller:
 
         def make() -> DataFrame:
             rows = self.vector.select("contig", "size", "pos", F.coalesce("raw", F.lit(0.0)).alias("x"))
-            wave = windows.triangle_smooth(rows, self.config.smooth_level)
+            wave = wavelets.wavelet_smooth(rows, self.config.smooth_filter, self.config.smooth_level)
             return dense.normalized_density(wave, self.total).select("contig", "size", "pos", "smoothed", "density")
 
         return self.kept("smoothed", make)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyridge.functions import special
-from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, windows
+from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, wavelets, windows
 from tallyridge.plans.caller import Caller, Config, multi_sample_fdr
 from tallyridge.plans.steps import CALLING
 from tallyridge.sources import adapters
@@ -172,8 +172,8 @@ def window_sum_151(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BASE} SELECT contig, pos, CASE WHEN (pos // 1000) % 10 <> 9 THEN x END AS x FROM agg")
 def masked_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     contigs = adapters.contigs(spark, sf_dir)
-    mappable = dense.mappable_positions(adapters.unmappable_blocks(contigs), contigs)
-    return dense.masked(sums(spark, sf_dir), mappable).select("contig", "pos", "x")
+    rows = dense.densify(adapters.cuts(spark, sf_dir), contigs, adapters.unmappable_blocks(contigs))
+    return windows.running(rows, WINDOW, "sum").select("contig", "pos", F.when(F.col("mappable"), F.col("agg")).alias("x"))
 
 
 @query(
@@ -200,6 +200,28 @@ def triangle_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wave(spark, sf_dir).select("contig", "pos", F.col("x").alias("smoothed")), "smoothed")
 
 
+#: Taps of the Daubechies filter with two vanishing moments, of sum 1, in closed form.
+DB2 = ("(1 + sqrt(3)) / 8", "(3 + sqrt(3)) / 8", "(3 - sqrt(3)) / 8", "(1 - sqrt(3)) / 8")
+DB2_LEVEL, DB2_FAR = 3, 64
+
+
+def _cascade() -> str:
+    """Each level by leads, then each by lags, over positions that go around the ends."""
+    steps, source = [f"d0 AS (SELECT contig, size, pos + t * size AS p, CAST(x AS DOUBLE) AS v FROM dense CROSS JOIN (SELECT unnest([-1, 0, 1]) AS t) WHERE pos + t * size >= -{DB2_FAR} AND pos + t * size < size + {DB2_FAR})"], 0
+    for move, levels in (("lead", range(DB2_LEVEL)), ("lag", range(DB2_LEVEL - 1, -1, -1))):
+        for j in levels:
+            terms = " + ".join(f"{tap} * {move}(v, {4 * 2**j - 1 - i * 2**j}) OVER w" for i, tap in enumerate(DB2))
+            steps.append(f"d{source + 1} AS (SELECT contig, size, p, {terms} AS v FROM d{source} WINDOW w AS (PARTITION BY contig ORDER BY p))")
+            source += 1
+    return ", ".join(steps) + f", cascaded AS (SELECT contig, p AS pos, v FROM d{source} WHERE p >= 0 AND p < size)"
+
+
+@query(f"WITH {BASE}, {_cascade()} SELECT contig, pos, round(v, 6) + 0.0 AS smoothed FROM cascaded")
+def wavelet_smooth_db2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wave = wavelets.wavelet_smooth(counts(spark, sf_dir), "db2", DB2_LEVEL).select("contig", "pos", "smoothed")
+    return wave.select("contig", "pos", (F.round("smoothed", 6) + 0.0).alias("smoothed"))
+
+
 @query(f"WITH {BASE}, {SMOOTH} SELECT contig, pos, round(x / (SELECT sum(cnt) FROM cuts) * 1e6, 6) AS density FROM wave")
 def normalized_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(density(spark, sf_dir).select("contig", "pos", "density"), "density")
@@ -327,22 +349,36 @@ PMF = "exp(lgamma(k + 5.0) - lgamma(k + 1) - lgamma(5.0) + 5.0 * ln(0.5) + k * l
 
 
 @query(
-    """WITH v AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x, round(0.5 + 40 * l_discount, 1) AS r, round(0.05 + 10 * l_tax, 2) AS p FROM lineitem WHERE l_linenumber <= 3)
+    """WITH v AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x, round(0.5 + 40 * l_discount, 1) AS r, round(0.05 + 10 * l_tax, 2) AS p FROM lineitem)
 SELECT x, r, p, round(-log10((SELECT sum(exp(lgamma(k + r) - lgamma(k + 1) - lgamma(r) + r * ln(1 - p) + k * ln(p))) FROM (SELECT unnest(range(x, x + 800)) AS k))), 6) + 0.0 AS neglog10_p FROM v"""
 )
 def nb_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 3")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     values = lines.select(F.col("l_quantity").cast("long").alias("x"), F.round(0.5 + 40 * F.col("l_discount"), 1).alias("r"), F.round(0.05 + 10 * F.col("l_tax"), 2).alias("p")).distinct()
     return values.withColumn("neglog10_p", F.round(special.neglog10_tail(F.col("x"), F.col("r"), F.col("p")), 6))
 
 
-@query(f"SELECT q, CAST((SELECT min(x) FROM (SELECT unnest(range(0, 100)) AS x) WHERE (SELECT sum({PMF}) FROM (SELECT unnest(range(x + 1, x + 600)) AS k)) <= q) AS DOUBLE) AS x FROM (SELECT unnest([0.005, 0.05, 0.2]) AS q)")
+@query(
+    f"""WITH {BASE}, m AS (SELECT contig, avg(x) AS mean, var_samp(x) AS variance FROM dense GROUP BY contig), f AS (SELECT contig, mean * mean / (variance - mean) AS r, mean / (mean + mean * mean / (variance - mean)) AS p FROM m WHERE variance > mean),
+k AS (SELECT contig, unnest(range(0, 3000)) AS k, r, p FROM f), c AS (SELECT contig, k, sum(exp(lgamma(k + r) - lgamma(k + 1) - lgamma(r) + r * ln(1 - p) + k * ln(p))) OVER (PARTITION BY contig ORDER BY k) AS cdf FROM k)
+SELECT contig, CAST(q AS DOUBLE) AS q, CAST(min(k) AS DOUBLE) AS x FROM c, (SELECT unnest([0.005, 0.05, 0.2]) AS q) WHERE 1 - cdf <= q GROUP BY contig, q"""
+)
 def nb_isf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = spark.range(1)
-    rows = [one.select(F.lit(q).alias("q"), special.isf(q, F.lit(5.0), F.lit(0.5)).alias("x")) for q in (0.005, 0.05, 0.2)]
+    """Upper quantiles of the distribution that each contig's counts have by their moments."""
+    fits = background.nb_moments(counts(spark, sf_dir)).where("valid").select("contig", "r", "p")
+    rows = [fits.select("contig", F.lit(q).alias("q"), special.isf(q, F.col("r"), F.col("p")).alias("x")) for q in (0.005, 0.05, 0.2)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query(f"WITH {BASE}, {RUNS.format(name='runs', source='(SELECT contig, pos FROM agg WHERE x >= ' + str(LEVEL) + ')')} SELECT runs.contig, start, \"end\", row_number() OVER (ORDER BY ord DESC, start) - 1 AS place FROM runs JOIN sizes USING (contig)")
+def merged_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all contigs one after another, as a catalogue from last to first has them; the place is that of the row in the result."""
+    contigs = adapters.contigs(spark, sf_dir)
+    runs = islands.islands(sums(spark, sf_dir).where(F.col("x") >= LEVEL))
+    ordered = dense.merged(runs, contigs.withColumn("ord", -F.col("ord")), "start")
+    return dense.placed(ordered)
+
+
 def _bh(family: str, harmonic: str, cutoff: float) -> str:
     return f"""WITH {SCORED}, t AS (SELECT {family}, contig, pos, s FROM scored),
 c AS (SELECT *, count(*) OVER (ORDER BY s DESC RANGE UNBOUNDED PRECEDING) AS k, (SELECT count(*) FROM t) AS m FROM t WHERE s >= {-math.log10(cutoff)!r}),
@@ -439,13 +475,24 @@ def peaks_bed12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.peaks_bed12(_peaks(spark, sf_dir), "s1", 0.01)
 
 
-@query(
-    f"""WITH {SCORED}, i AS (SELECT DISTINCT l_returnflag || l_linestatus AS contig, l_orderkey AS start, l_orderkey + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem WHERE l_linenumber = 1)
-SELECT i.contig, i.start, i."end", round(greatest(coalesce(max(s), 0), 0), 6) AS max_neglog_p FROM i LEFT JOIN scored ON scored.contig = i.contig AND pos >= i.start AND pos < i."end" GROUP BY ALL"""
-)
+def _spans(line: str, spans: str) -> str:
+    return f"""WITH {SCORED}, i AS (SELECT row_number() OVER () AS k, {line} FROM {spans})
+SELECT i.contig, i.start, i."end", round(greatest(coalesce(max(s), 0), 0), 6) AS max_neglog_p FROM i LEFT JOIN scored ON scored.contig = i.contig AND pos >= i.start AND pos < i."end" GROUP BY i.k, i.contig, i.start, i."end\""""
+
+
+@query(_spans('l_returnflag || l_linestatus AS contig, l_orderkey AS start, l_orderkey + CAST(l_quantity AS BIGINT) AS "end"', "lineitem"))
 def interval_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1")
-    spans = lines.select(F.concat("l_returnflag", "l_linestatus").alias("contig"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("end")).distinct()
+    """Of short intervals, one for each line."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    spans = lines.select(F.concat("l_returnflag", "l_linestatus").alias("contig"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("end"))
+    return rounded(islands.interval_max(spans, _scores(spark, sf_dir)), "max_neglog_p")
+
+
+@query(_spans("""'A' || o_orderstatus AS contig, o_orderkey AS start, o_orderkey + o_custkey AS "end\"""", "orders"))
+def interval_max_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of long intervals that overlap, some on a contig that is not there."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    spans = orders.select(F.concat(F.lit("A"), "o_orderstatus").alias("contig"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + F.col("o_custkey")).alias("end"))
     return rounded(islands.interval_max(spans, _scores(spark, sf_dir)), "max_neglog_p")
 
 

@@ -34,6 +34,12 @@ def write_bed(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, sep="\t", compression="gzip")
 
 
+def write_interval_max(rows: DataFrame, path: str, row: str = "row", kind: str = "bed") -> None:
+    """Intervals with their maxima (``bed``), or the maxima alone (``txt``), in the order of ``row``."""
+    columns = {"bed": ("contig", "start", "end", "max_neglog_p"), "txt": ("max_neglog_p",)}[kind]
+    rows.repartitionByRange(row).sortWithinPartitions(row).select(*columns).write.mode("overwrite").csv(path, sep="\t")
+
+
 def write_bedgraph(track: DataFrame, path: str) -> None:
     write_bed(track.select("contig", "start", "end", "value").repartitionByRange("contig", "start").sortWithinPartitions("contig", "start"), path)
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyridge.functions import special
-from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, windows
+from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, wavelets, windows
 
 
 def vector(spark, values, contig="c"):
@@ -349,3 +349,152 @@ def test_rows_in_the_order_of_the_catalogue(spark):
     contigs = spark.createDataFrame([("z", 9, 0), ("a", 9, 1)], "contig string, size long, ord int")
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("z", 5), ("x", 1)], "contig string, start long")
     assert [tuple(r) for r in dense.merged(rows, contigs, "start").collect()] == [("z", 5), ("a", 1), ("a", 2)]
+
+
+def plain_cascade(x, taps, level):
+    """Level by level, position by position."""
+    n, v = len(x), list(map(float, x))
+    for j in range(level):
+        far = len(taps) * 2**j - 1
+        v = [sum(g * v[(t + far - i * 2**j) % n] for i, g in enumerate(taps)) for t in range(n)]
+    for j in range(level - 1, -1, -1):
+        far = len(taps) * 2**j - 1
+        v = [sum(g * v[(t - far + i * 2**j) % n] for i, g in enumerate(taps)) for t in range(n)]
+    return np.array(v)
+
+
+@pytest.mark.parametrize("name, level", [("db2", 3), ("la8", 2), ("haar", 3), ("sym5", 1), ("db4", 4)])
+def test_wavelets_are_the_plain_cascade(spark, name, level):
+    rng = np.random.default_rng(1)
+    taps = wavelets.scaling(name)
+    for n, tile in ((400, 64), (400, 1_000), (37, 16), (5, 16), (1, 8)):
+        x = rng.integers(0, 50, n).tolist()
+        got = {r["pos"]: r["smoothed"] for r in wavelets.wavelet_smooth(vector(spark, x), name, level, tile=tile).collect()}
+        assert np.allclose([got[k] for k in range(n)], plain_cascade(x, taps, level), atol=1e-9) and len(got) == n
+
+
+def test_filters():
+    s3 = math.sqrt(3)
+    assert np.allclose(sorted(wavelets.scaling("db2")), sorted([(1 + s3) / 8, (3 + s3) / 8, (3 - s3) / 8, (1 - s3) / 8])) and wavelets.scaling("haar") == (0.5, 0.5)
+    for name in ("db2", "db5", "db10", "la8", "sym6", "la20"):
+        g = np.array(wavelets.scaling(name))
+        assert abs(g.sum() - 1) < 1e-9 and all(abs((g[2 * k :] * g[: len(g) - 2 * k]).sum() - 0.5 * (k == 0)) < 1e-5 for k in range(len(g) // 2))
+        assert abs((g * (-1.0) ** np.arange(len(g))).sum()) < 1e-9
+    la8 = np.array(wavelets.scaling("la8"))
+    assert abs(la8).argmax() in (3, 4) and abs(np.array(wavelets.scaling("db4"))).argmax() not in (3, 4)
+    for name in ("db11", "la7", "coif1", "sym0"):
+        with pytest.raises(ValueError, match="no filter"):
+            wavelets.scaling(name)
+
+
+@pytest.mark.parametrize("flank", [0, 1, 3, 10, 60])
+def test_maxima_for_any_tile_and_nulls(spark, flank):
+    rng = np.random.default_rng(flank)
+    x = [None if rng.random() < 0.4 else int(v) for v in rng.integers(0, 1_000, 90)]
+    x[20:50] = [None] * 30
+    want = [max((v for v in x[max(0, k - flank) : k + flank + 1] if v is not None), default=None) for k in range(len(x))]
+    for tile in (1, 7, 20, 89, 1_000):
+        got = {r["pos"]: r["top"] for r in windows.running_max(vector(spark, x), flank, tile=tile).collect()}
+        assert [got[k] for k in range(len(x))] == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_maxima_take_as_many_passes_for_any_flank(spark):
+    rows = vector(spark, range(50))
+    passes = {flank: plan_of(windows.running_max(rows, flank)).count("Window [") for flank in (3, 50, 5_000)}
+    assert len(set(passes.values())) == 1 and passes[3] <= 4
+    assert plan_of(windows.running_max(rows, 500)).count("Exchange hashpartitioning") == 1
+    summed = plan_of(windows.window_sums(rows, 5, 5, {"a": F.col("x"), "b": F.col("x") * 2}))
+    assert summed.count("Exchange hashpartitioning") == 1 and summed.count("Window [") <= 3
+
+
+def test_neighbours_across_tiles(spark):
+    rng = np.random.default_rng(4)
+    data = [(c, int(p), int(v) if rng.random() > 0.2 else None) for c in "ab" for p, v in zip(np.sort(rng.choice(500, 60, replace=False)), rng.integers(0, 9, 60))]
+    rows = spark.createDataFrame(data, "contig string, pos long, v long")
+    want = {}
+    for c in "ab":
+        own = [d for d in data if d[0] == c]
+        for k, d in enumerate(own):
+            want[d[:2]] = (own[k - 1][1] if k else None, own[k + 1][2] if k + 1 < len(own) else None)
+    for tile in (1, 10, 37, 1_000):
+        got = windows.neighbours(rows, "pos", {"before": ("pos", -1), "then": ("v", 1)}, tile=tile).collect()
+        assert {(r["contig"], r["pos"]): (r["before"], r["then"]) for r in got} == want
+
+
+def test_summits_and_centres_have_no_window_over_a_contig(spark):
+    rows, contigs = vector(spark, [0, 1, 0, 2, 0]), spark.createDataFrame([("c", 5, 0)], "contig string, size long, ord int")
+    centres = spark.createDataFrame([("c", 0, 1.0), ("c", 3, 2.0)], "contig string, centre long, value double")
+    import re
+
+    for df in (peaks.summits(rows, contigs), background.interpolated(centres, contigs, 3)):
+        df.collect()
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        over = [k for k, line in enumerate(lines) if re.search(r"Window \[.*\], \[contig#\d+\], ", line)]
+        # windows by contig alone look at the outermost rows of tiles, which a filter leaves
+        assert over and all(any("Filter" in line for line in lines[k : k + 8]) for k in over)
+
+
+def test_pyramid_for_long_and_overlapping_intervals(spark):
+    rng = np.random.default_rng(6)
+    old, islands.TILE, islands.TILE_LEVELS = islands.TILE, 64, 6
+    try:
+        x = rng.random(1_000) * 100
+        x[rng.random(1_000) < 0.3] = np.nan
+        scores = spark.createDataFrame([("c", k, None if np.isnan(v) else float(v)) for k, v in enumerate(x)] + [("c", 5, 3.0), ("d", 3, -2.0)], "contig string, pos long, neglog10_p double")
+        spans = [("c", int(a), int(a + n), f"n{k}") for k, (a, n) in enumerate(zip(rng.integers(-20, 1_000, 150), rng.integers(-3, 1_100, 150)))] + [("d", 0, 9, "neg"), ("e", 1, 5, "none"), (None, 1, 5, "null"), ("c", None, 5, "null")] + [("c", 0, 1 << 40, "all")] * 3
+        rows = spark.createDataFrame(spans, "contig string, start long, end long, name string").coalesce(1)
+        got = sorted(islands.interval_max(rows, scores, row="row").collect(), key=lambda r: r["row"])
+        pyramid = islands.block_maxima(scores, "neglog10_p").where("contig = 'c'").groupBy("level").count().collect()
+    finally:
+        islands.TILE, islands.TILE_LEVELS = old, old.bit_length() - 1
+    x[5] = np.nanmax([x[5], 3.0])
+    assert [tuple(r)[:4] for r in got] == spans and got[0].asDict().keys() == {"contig", "start", "end", "name", "row", "max_neglog_p"}
+    for r in got:
+        part = x[max(0, r["start"] or 0) : max(0, r["end"])] if r["contig"] == "c" and r["start"] is not None else np.array([])
+        assert r["max_neglog_p"] == (np.nanmax(part) if np.isfinite(part).any() else 0.0), r
+    assert sum(r["count"] for r in pyramid) < 2 * 1_000 + 200 and {r["level"] for r in pyramid} == set(range(63))
+    blocks = spark.createDataFrame(spans[:150], "contig string, lo long, hi long, name string").selectExpr("hi - greatest(lo, 0) AS n", "greatest(lo, 0) AS lo", "hi").withColumn("b", islands.blocks_of("lo", "hi")).collect()
+    for r in blocks:
+        held = sorted(p for b in r["b"] for p in range(b["block"] << b["level"], (b["block"] + 1) << b["level"]))
+        assert held == list(range(r["lo"], r["hi"])) and len(r["b"]) <= 2 * math.ceil(math.log2(max(2, r["n"])))
+
+
+def test_quantiles_do_not_depend_on_tiles_and_move_samples_once(spark):
+    rng = np.random.default_rng(8)
+    x = [None if rng.random() < 0.1 else int(v) for v in rng.integers(0, 60, 900)]
+    rows = vector(spark, x)
+    seen = [(k, v) for k, v in enumerate(x) if k % 3 == 0 and v is not None]
+    want = {}
+    for c in range(0, 900, 30):
+        for name, half in (("a", (301 // 3 | 1) // 2 * 3), ("b", (31 // 3 | 1) // 2 * 3)):
+            own = sorted(v for k, v in seen if abs(k - c) <= half)
+            want[c, name] = float(own[math.ceil(round(0.9 * (len(own) - 1), 9))])
+    for tile in (50, 130, 5_000):
+        got = background.windowed_quantiles(rows, F.lit(0.9), {"a": 301, "b": 31}, 3, 30, tile=tile)
+        assert {(r["centre"], k): r[k] for r in got.collect() for k in "ab"} == want
+    spread = windows.tiled(background.sampled(vector(spark, [1] * 9_000), 3), 150, 150, 3_000).count()
+    assert spread < 1.2 * 3_000  # to each centre it would be ten times as many
+
+
+def test_mask_in_the_aggregate_is_the_mask_by_positions(spark):
+    contigs = spark.createDataFrame([("a", 300, 0), ("b", 50, 1), ("c", 80, 2)], "contig string, size long, ord int")
+    cuts = spark.createDataFrame([("a", k, k % 5) for k in range(0, 300, 7)] + [("b", 3, 1)], "contig string, pos long, cnt long")
+    spans = spark.createDataFrame([("a", 0, 20), ("a", 10, 70), ("a", 70, 71), ("a", 127, 129), ("a", 250, 300), ("a", 128, 256), ("a", 9, 9), ("b", 0, 51), ("b", 3, 9), ("x", 1, 2), ("c", 79, 80)], "contig string, start long, end long")
+    old, dense.TILE = dense.TILE, 64
+    try:
+        got = dense.densify(cuts, contigs, spans).collect()
+    finally:
+        dense.TILE = old
+    inside = {tuple(r) for r in dense.mappable_positions(spans, contigs).collect()}
+    counts = {(r["contig"], r["pos"]): r["x"] for r in dense.densify(cuts, contigs).collect()}
+    assert {(r["contig"], r["pos"]): r["x"] for r in got} == counts and {(r["contig"], r["pos"]) for r in got if r["mappable"]} == inside and len(got) == 430
+    assert "BroadcastNestedLoopJoin" not in plan_of(dense.densify(cuts, contigs, spans))
+
+
+def test_places_of_ordered_rows(spark):
+    rows = spark.range(1_000).select((F.col("id") * 7919 % 1_000).alias("v")).repartition(7).orderBy("v")
+    assert sorted(tuple(r) for r in dense.placed(rows).collect()) == [(k, k) for k in range(1_000)]
