@@ -216,10 +216,10 @@ def _cascade() -> str:
     return ", ".join(steps) + f", cascaded AS (SELECT contig, p AS pos, v FROM d{source} WHERE p >= 0 AND p < size)"
 
 
-@query(f"WITH {BASE}, {_cascade()} SELECT contig, pos, round(v, 6) + 0.0 AS smoothed FROM cascaded")
+@query(f"WITH {BASE}, {_cascade()} SELECT contig, pos, round(v + 1e-9, 6) + 0.0 AS smoothed FROM cascaded")  # values are multiples of a power of two: rounding must not meet ties
 def wavelet_smooth_db2(spark: SparkSession, sf_dir: str) -> DataFrame:
     wave = wavelets.wavelet_smooth(counts(spark, sf_dir), "db2", DB2_LEVEL).select("contig", "pos", "smoothed")
-    return wave.select("contig", "pos", (F.round("smoothed", 6) + 0.0).alias("smoothed"))
+    return wave.select("contig", "pos", (F.round(F.col("smoothed") + 1e-9, 6) + 0.0).alias("smoothed"))
 
 
 @query(f"WITH {BASE}, {SMOOTH} SELECT contig, pos, round(x / (SELECT sum(cnt) FROM cuts) * 1e6, 6) AS density FROM wave")
