@@ -1,10 +1,12 @@
 """Document quality by random indexing and a small network.
 
-Every unit (a word that is frequent in the corpus, or the shape of any other word) has a sparse random index vector that
-follows from its spelling. A unit's context vector is the sum of the index vectors around its
-occurrences in all documents; a document is the mean of its units' vectors. A network of two layers turns that into a
+Every unit has a sparse random index vector that follows from its spelling. A unit's context vector is the sum of the index vectors around its
+occurrences in all documents; a document is the sum of its units' vectors over the number of its words. A network of two layers turns that into a
 logit, and a temperature fitted on rows kept aside makes it a probability.
 
+The commonest words are units of their own. Any other word, however rare, is two: its shape, if that is frequent, and one of ``BUCKETS`` units that words share by a
+hash of their spelling. So no word is left out, and memory does not grow with the vocabulary; words of one bucket share a vector.
+
 Counts of words, and the context sums, are taken over all documents: each task adds up its own, and partial sums are added in two steps.
 The network and the temperature are learned from at most about ``most_rows`` labelled rows, chosen by a hash of id and text, repeated rows
 once. Scoring covers whole texts of all rows. Null and empty texts have the zero vector and get a score like any other.
@@ -31,6 +33,8 @@ from tallyridge.llm.langid import fold
 RUN = re.compile(r"(.)\1+")
 #: Distinct words that a task holds before it hands on its counts.
 MOST_HELD = 400_000
+#: Units that words share which have none of their own.
+BUCKETS = 4_096
 #: Units whose sums are one record, and parts into which tasks' records are dealt first.
 UNIT_BLOCK, PARTS = 250, 256
 
@@ -61,44 +65,49 @@ def index_vector(unit: str, size: int, filled: int) -> np.ndarray:
 
 
 class Units(dict):
-    """Indexes of words; holds those seen, up to a bound."""
+    """Units of words as one number: the named one (a word or a shape), and above it the bucket plus 1 of words without one of their own; holds those seen, up to a bound."""
 
-    def __init__(self, names: list[str], most: int = 300_000):
+    def __init__(self, names: list[str], most: int = 300_000, buckets: int = BUCKETS):
         super().__init__()
-        self.names, self.most = {u: k for k, u in enumerate(names)}, most
+        self.names, self.most, self.buckets = {u: k for k, u in enumerate(names)}, most, buckets
+        self.width = len(names) + 1  # the last: neither a word nor a shape with a name
 
     def __missing__(self, word: str) -> int:
         k = self.names.get(word)
         if k is None:
-            k = self.names.get(shape(word), len(self.names))
+            k = self.names.get(shape(word), self.width - 1) + (zlib.crc32(word.encode()) % self.buckets + 1) * self.width
         if len(self) >= self.most:
             self.clear()
         self[word] = k
         return k
 
-    def of(self, text: str) -> np.ndarray:
-        """Unit indexes of a text's words; one past the last: unknown."""
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of a text's words: named units, the last for none, and buckets, -1 for none."""
         words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        bucket, named = np.divmod(np.fromiter(map(self.__getitem__, words), np.int32, len(words)), self.width)
+        return named, bucket - 1
 
 
 @dataclass
 class Model:
     names: list[str]
-    vectors: np.ndarray | None = None  # of units, and one row of zeros
+    vectors: np.ndarray | None = None  # of named units, a row of zeros, and buckets
     layers: list[np.ndarray] = field(default_factory=list)
     temperature: float = 1.0
     constant: float = 0.5
 
     def pooled(self, units: Units, texts: list[str | None]) -> np.ndarray:
-        """Means of the vectors of texts' units."""
+        """Sums of the vectors of texts' units, over their words."""
         out = np.zeros((len(texts), self.vectors.shape[1]), np.float64)
         width = len(self.vectors)
         for lo in range(0, len(texts), 128):
             ids = [units.of(t or "") for t in texts[lo : lo + 128]]
-            sizes = np.array([len(x) for x in ids])
-            rows = np.repeat(np.arange(len(ids)), sizes)
-            counts = np.bincount(rows * width + np.concatenate(ids), minlength=len(ids) * width).reshape(len(ids), width)
+            sizes = np.array([len(x) for x, _ in ids])
+            rows = np.repeat(np.arange(len(ids)) * width, sizes)
+            named, bucket = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
+            shared = bucket >= 0
+            both = np.concatenate((rows + named, rows[shared] + units.width + bucket[shared]))
+            counts = np.bincount(both, minlength=len(ids) * width).reshape(len(ids), width)
             out[lo : lo + 128] = counts @ self.vectors / np.maximum(sizes, 1)[:, None]
         return out
 
@@ -176,35 +185,49 @@ def vocabulary(docs: DataFrame, text_col: str, most_words: int, most_shapes: int
 
 
 class Neighbours:
-    """How often units stand within ``window`` places of one another."""
+    """How often named units stand within ``window`` places of named units and of buckets."""
 
     def __init__(self, units: Units, window: int):
-        self.units, self.window, self.width = units, window, len(units.names) + 1
+        self.units, self.window, self.width = units, window, units.width
         self.counts = np.zeros(self.width * self.width, np.int32)
+        self.shared = np.zeros(units.buckets * self.width, np.int32)
 
     def add(self, texts: list[str]) -> None:
-        gap = np.full(self.window, self.width - 1, np.int32)  # what stands past the last unit counts for nothing
-        ids = np.concatenate([x for t in texts for x in (self.units.of(t), gap)] or [gap]).astype(np.int64)
+        gap = np.full(self.window, self.width - 1, np.int32), np.full(self.window, -1, np.int32)  # what stands past the last unit counts for nothing
+        parts = [x for t in texts for x in (self.units.of(t), gap)] or [gap]
+        ids, buckets = (np.concatenate([x[k] for x in parts]).astype(np.int64) for k in (0, 1))
         for k in range(1, self.window + 1):
             np.add.at(self.counts, ids[:-k] * self.width + ids[k:], 1)
+            for own, beside in ((buckets[:-k], ids[k:]), (buckets[k:], ids[:-k])):
+                at = np.flatnonzero(own >= 0)
+                np.add.at(self.shared, own[at] * self.width + beside[at], 1)
 
     def context(self, index: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Sums of the index vectors around units ``lo`` to ``hi``: whole numbers."""
+        """Sums of the index vectors around named units ``lo`` to ``hi``: whole numbers."""
         both = self.counts.reshape(self.width, self.width)
         around = both[lo:hi, :-1].astype(np.float64) + both[:-1, lo:hi].T
         return around @ index
 
+    def shared_context(self, index: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The same around buckets ``lo`` to ``hi``."""
+        return self.shared.reshape(self.units.buckets, self.width)[lo:hi, :-1].astype(np.float64) @ index
+
 
 @lru_cache(maxsize=2)
 def index_vectors(names: tuple[str, ...], size: int, filled: int) -> np.ndarray:
     return np.stack([index_vector(u, size, filled) for u in names]).astype(np.float64) if names else np.zeros((0, size))
 
 
-def context_vectors(docs: DataFrame, text_col: str, names: list[str], size: int, filled: int, window: int) -> np.ndarray:
-    """Sums over all documents of the index vectors around each unit; a fixed number of records reaches the driver."""
+def bucket_names(buckets: int) -> list[str]:
+    """Spellings that no word has."""
+    return [f" {k}" for k in range(buckets)]
+
+
+def context_vectors(docs: DataFrame, text_col: str, names: list[str], size: int, filled: int, window: int, buckets: int = BUCKETS) -> np.ndarray:
+    """Sums over all documents of the index vectors around each named unit, then around each bucket; a fixed number of records reaches the driver."""
 
     def partial(batches):
-        found = Neighbours(Units(names), window)
+        found = Neighbours(Units(names, buckets=buckets), window)
         for b in batches:
             texts = b["text"].to_pylist()
             for lo in range(0, len(texts), 512):
@@ -213,6 +236,9 @@ def context_vectors(docs: DataFrame, text_col: str, names: list[str], size: int,
         for lo in range(0, len(names), UNIT_BLOCK):
             sums = found.context(index, lo, min(lo + UNIT_BLOCK, len(names)))
             yield pa.RecordBatch.from_pylist([{"block": lo, "part": part, "sums": sums.tobytes()}], schema=records)
+        for lo in range(0, buckets, UNIT_BLOCK):
+            sums = found.shared_context(index, lo, min(lo + UNIT_BLOCK, buckets))
+            yield pa.RecordBatch.from_pylist([{"block": len(names) + lo, "part": part, "sums": sums.tobytes()}], schema=records)
 
     records = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
 
@@ -233,14 +259,14 @@ def context_vectors(docs: DataFrame, text_col: str, names: list[str], size: int,
     sums = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(partial, schema)
     once = sums.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(added, schema)
     twice = once.withColumn("part", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(added, schema)
-    total = np.zeros((len(names), size))
+    total = np.zeros((len(names) + buckets, size))
     for r in twice.collect():
         own = np.frombuffer(r["sums"]).reshape(-1, size)
         total[r["block"] : r["block"] + len(own)] = own
     return total
 
 
-def fit(spark: SparkSession, docs: DataFrame, rows: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", order_col: str | None = None, most_rows: int = 4_000, most_words: int = 3_500, most_shapes: int = 500, size: int = 96, filled: int = 8, window: int = 2) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, rows: DataFrame, *, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", order_col: str | None = None, most_rows: int = 4_000, most_words: int = 3_500, most_shapes: int = 500, size: int = 96, filled: int = 8, window: int = 2, buckets: int = BUCKETS) -> Model:
     """Word vectors of all ``docs``, and a network learned from labelled ``rows`` (only training rows); label 0 or 1.
 
     ``order_col`` may hold the ``row_order`` of rows already, so that counting needs no texts.
@@ -258,12 +284,13 @@ def fit(spark: SparkSession, docs: DataFrame, rows: DataFrame, *, text_col: str
     sample = sample.repartition(8)  # bounded by most_rows, whatever the table
 
     names = vocabulary(docs, text_col, most_words, most_shapes)
-    vectors = context_vectors(docs, text_col, names, size, filled, window) + index_vectors(tuple(names), size, filled)
-    vectors = np.append(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), np.zeros((1, size)), axis=0)
+    own = np.concatenate((index_vectors(tuple(names), size, filled), index_vectors(tuple(bucket_names(buckets)), size, filled)))
+    vectors = context_vectors(docs, text_col, names, size, filled, window, buckets) + own
+    vectors = np.insert(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), len(names), 0, axis=0)
     model = Model(names, vectors)
 
     def pooled(batches):
-        units = Units(names)
+        units = Units(names, buckets=buckets)
         for b in batches:
             x = model.pooled(units, b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["id"], b["label"], b["aside"], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "aside", "x"])
@@ -288,7 +315,7 @@ def score(spark: SparkSession, model: Model, docs: DataFrame, *, text_col: str =
 
     def run(batches):
         found = shared.value
-        units = Units(found.names)
+        units = Units(found.names, buckets=len(found.vectors) - len(found.names) - 1 if found.layers else BUCKETS)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.scores(units, b[text_col].to_pylist()), pa.float64())], names=[*b.schema.names, "score"])
 

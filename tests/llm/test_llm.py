@@ -602,20 +602,38 @@ def test_random_indexing_adds_up_the_neighbours_of_all_documents(spark):
     count = lambda u: sum((t or "").split().count(u) for t in texts)
     words_only = [u for u in names if not u.startswith("~")]
     assert words_only == sorted(words_only, key=lambda u: (-count(u), u)) and len(words_only) == 4 and {"~x"} <= set(names)
-    units, size = quality_model.Units(names), 12
+    units, size, buckets = quality_model.Units(names, buckets=5), 12, 5
     index = np.append(quality_model.index_vectors(tuple(names), size, 4), np.zeros((1, size)), axis=0)
-    want = np.zeros((len(names) + 1, size))
+    want = np.zeros((len(names) + 1 + buckets, size))
     for t in texts:
-        ids = units.of(t or "")
-        for i, u in enumerate(ids):
-            for j in range(max(0, i - 2), min(len(ids), i + 3)):
-                if i != j:
-                    want[u] += index[ids[j]]
-    got = quality_model.context_vectors(docs, "text", names, size, 4, 2)
-    assert np.array_equal(got, want[:-1])
-    # a document is the mean of its units' vectors
-    model = quality_model.Model(names, index)
-    assert np.allclose(model.pooled(units, ["a b cat", None]), [index[units.of("a b cat")].mean(axis=0), np.zeros(size)])
+        named, shared = units.of(t or "")
+        for i in range(len(named)):
+            around = sum((index[named[j]] for j in range(max(0, i - 2), min(len(named), i + 3)) if i != j), np.zeros(size))
+            want[named[i]] += around
+            if shared[i] >= 0:
+                want[len(names) + 1 + shared[i]] += around
+    got = quality_model.context_vectors(docs, "text", names, size, 4, 2, buckets)
+    assert np.array_equal(got, np.delete(want, len(names), axis=0))
+    assert all((b < 0) == (w in names) for w in ("a", "b", "cat", "Dog", "e9", "zz", "rare") for b in units.of(w)[1])
+    # a document is the sum of its units' vectors over its words
+    vectors = np.random.default_rng(0).normal(size=(len(names) + 1 + buckets, size))
+    named, shared = units.of("a b cat rare e9")
+    total = vectors[named].sum(axis=0) + vectors[len(names) + 1 + shared[shared >= 0]].sum(axis=0)
+    assert np.allclose(quality_model.Model(names, vectors).pooled(units, ["a b cat rare e9", None]), [total / 5, np.zeros(size)])
+
+
+def test_quality_that_only_rare_words_tell(spark):
+    """All frequent words are the same in both classes, and all words have one shape; each rare word occurs in few documents."""
+    rng = random.Random(8)
+    common = [f"com{a}{b}" for a in "abcdefgh" for b in "ijklm"]
+    rare = {q: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(150)] for q in (0, 1)}
+    text = lambda q: " ".join(rng.choice(rare[q]) if rng.random() < 0.3 else rng.choice(common) for _ in range(60))
+    rows = [(i, text(i % 2), i % 2) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality_model.fit(spark, docs, docs.where("doc_id < 700"), most_words=40, most_shapes=5)
+    assert set(model.names) <= {*common, "~x"}
+    scored = quality_model.score(spark, model, docs.where("doc_id >= 700")).toPandas()
+    assert ((scored.score >= 0.5) == (scored.label == 1)).mean() > 0.9
 
 
 def test_gradients_are_those_of_differences():
