@@ -12,7 +12,7 @@ from tallyridge.functions import special
 from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, wavelets, windows
 from tallyridge.plans.caller import Caller, Config, multi_sample_fdr
 from tallyridge.plans.steps import CALLING
-from tallyridge.sources import adapters
+from tallyridge.sources import adapters, tracks
 from tallyridge.sources.scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,6 +232,19 @@ def track_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(export.track(density(spark, sf_dir), "density", 20, positive=True), "value")
 
 
+@query(
+    f"""WITH {BASE}, t AS (SELECT contig, pos AS start, least(pos + 20, size) AS "end", x AS value FROM agg WHERE pos % 20 = 0),
+l AS (SELECT unnest(range({tracks.LEVELS})) AS level), w AS (SELECT level, {tracks.FIRST} * CAST(power({tracks.FACTOR}, level) AS BIGINT) AS width FROM l),
+b AS (SELECT contig, level, width, value, start, "end", unnest(range(start // width, ("end" - 1) // width + 1)) AS bin FROM t, w),
+p AS (SELECT *, least("end", (bin + 1) * width) - greatest(start, bin * width) AS n FROM b)
+SELECT contig, CAST(level AS INT) AS level, bin * width AS start, (bin + 1) * width AS "end", CAST(sum(n) AS BIGINT) AS n, min(value) AS low, max(value) AS high, sum(value * n) AS total, sum(value * value * n) AS squares FROM p GROUP BY contig, level, width, bin"""
+)
+def track_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of several widths of the track of window sums."""
+    rows = sums(spark, sf_dir).where(F.col("pos") % 20 == 0)
+    return tracks.zoomed(rows.select("contig", F.col("pos").alias("start"), F.least(F.col("pos") + 20, F.col("size")).alias("end"), F.col("x").alias("value")))
+
+
 @query(f"WITH {BASE} SELECT contig, round(quantile_cont(x, 0.995), 6) AS quantile FROM agg GROUP BY contig")
 def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(background.quantile_linear(sums(spark, sf_dir), 0.995), "quantile")
