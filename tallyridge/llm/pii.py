@@ -3,8 +3,8 @@
 Patterns find e-mail addresses, IPv4 addresses, card and phone numbers. The field then labels every chunk
 of tokens with a digit or an ``@`` (a run of such tokens between other words) as one of these kinds or as
 nothing. Its unary potentials are a softmax over the chunk's form and the word before it; neighbouring
-chunks are linked in a chain, and chunks of a document that repeat, or whose digits contain one
-another's, are linked over any distance. What patterns have found is evidence; loopy belief propagation
+chunks are linked in a chain, and chunks of a document that repeat, or that end in the same eight
+digits, are linked over any distance. What patterns have found is evidence; loopy belief propagation
 carries it along the links, so that a number written once with its country code is also found where
 it is written without, however often it stands there. Chunks that no link joins to evidence get no label. Every chunk is
 linked to one piece of evidence of each kind among those like it, or to the first of them where there is none, so that links

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyridge.llm import bpe, common, itq, langid, line_templates, minhash, packing, pieces, pii, quality_model, quality_rules, queries, records
+from tallyridge.llm import blocks, bpe, common, itq, langid, line_templates, minhash, packing, pieces, pii, quality_model, quality_rules, queries, records
 from tallyridge.llm.common import Scratch
 from tallyridge.llm.graph import components
 
@@ -321,9 +321,12 @@ def brute_components(sets, percent):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("shingle", [2, 5])
-def test_near_duplicates_are_those_of_all_pairs(spark, shingle):
+@pytest.mark.parametrize("shingle, block", [(2, None), (5, None), (2, 4), (5, 3)])
+def test_near_duplicates_are_those_of_all_pairs(spark, shingle, block, monkeypatch):
     rng = random.Random(7)
+    if block:  # groups are then split into blocks that meet in pairs
+        monkeypatch.setattr(minhash, "SIGN_BLOCK", block)
+        monkeypatch.setattr(minhash, "SET_BLOCK", block)
     texts = []
     for _ in range(25):
         base = words(rng, rng.randrange(20, 90))
@@ -342,6 +345,20 @@ def test_near_duplicates_are_those_of_all_pairs(spark, shingle):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[k]), want[k], want[k] == k)
 
 
+def test_pairs_of_blocks_meet_all_members_once(spark):
+    rows = spark.range(60).select((F.col("id") % 4 == 0).cast("int").alias("g"), F.col("id").alias("m"))
+    dealt = blocks.block_pairs(rows, "g", "m", 7, Scratch(spark), "b")
+    met: dict = {}
+    for (g, i, j), left, right in blocks.met(iter(dealt.select("g", "i", "j", "left", "m").coalesce(1).sortWithinPartitions("g", "i", "j").toArrow().to_batches()), "g", ("m",)):
+        for a in left:
+            for b in right:
+                if i != j or a[0] < b[0]:
+                    key = g, min(a[0], b[0]), max(a[0], b[0])
+                    met[key] = met.get(key, 0) + 1
+    want = {(g, a, b) for g in (0, 1) for a in range(60) for b in range(a + 1, 60) if (a % 4 == 0) == (b % 4 == 0) == bool(g)}
+    assert set(met) == want and set(met.values()) == {1} and dealt.where("i <> j").count() > 60
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(spark, frame(spark, [])).count() == 0
     got = minhash.near_duplicates(spark, frame(spark, ["a b c", "a b c", "a b c", "x y"], [4, 4, None, 9]), shingle=2).collect()
