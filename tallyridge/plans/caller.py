@@ -6,12 +6,13 @@ import math
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyridge.functions.special import isf, neglog10_tail
 from tallyridge.operators import background, dense, export, fdr, islands, peaks, regression, segment, wavelets, windows
 from tallyridge.plans.steps import Steps
+from tallyridge.sources import io
 from tallyridge.sources.staged import Staged, check_settings
 
 
@@ -307,3 +308,15 @@ class Caller:
 def multi_sample_fdr(pvalues: DataFrame, max_fdr: float = 0.05, method: str = "bh") -> DataFrame:
     """``(sample_id, contig, pos, neglog10_p)`` with ``neglog10_q`` over the pooled tests of all samples."""
     return fdr.fdr(pvalues, max_fdr, method)
+
+
+def multi_sample_run(spark: SparkSession, mapping: str, path: str, max_fdr: float = 0.05, method: str = "bh", contigs: DataFrame | None = None) -> DataFrame:
+    """Rates over the pooled tests of all samples of a mapping file (``id``, ``pvals_parquet``), written to ``path`` by contig and sample; with ``contigs`` those alone count.
+
+    Partitions that are written again replace those of the same contig and sample. The table as a whole is returned.
+    """
+    rows = io.read_samples(spark, mapping)
+    if contigs is not None:
+        rows = rows.join(F.broadcast(contigs.select("contig")), "contig", "left_semi")  # a row per contig
+    io.write_partitioned(multi_sample_fdr(rows, max_fdr, method).select("contig", "sample_id", "pos", "neglog10_p", "neglog10_q"), path, "contig", "sample_id")
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyridge.operators import background
-from tallyridge.plans.caller import STAGES, Caller, Config, multi_sample_fdr
+from tallyridge.plans.caller import STAGES, Caller, Config, multi_sample_fdr, multi_sample_run
 from tallyridge.plans.steps import CALLING, NothingToStartFrom, Steps
 from tallyridge.sources import io
 from tallyridge.sources.staged import OtherSettings, Staged
@@ -201,3 +201,18 @@ def test_steps_of_a_table_are_those_of_each_sample(spark):
         except NothingToStartFrom:
             want, startable = ["reads", *CALLING.missing({"calls", "density"}, {g for g in given or () if g in names} | {"reads"})], False
         assert own == [(p, s, startable) for p, s in enumerate(want)]
+
+
+def test_several_samples_from_a_mapping_file(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(s, c, p, float(rng.exponential(1.0) if rng.random() > 0.1 else 0.0) if rng.random() > 0.05 else None) for s in ("s1", "s2") for c in ("a", "b", "z") for p in range(200)]
+    table = spark.createDataFrame(rows, "sample_id string, contig string, pos long, neglog10_p double")
+    for s in ("s1", "s2"):
+        io.write_partitioned(table.where(f"sample_id = '{s}'").drop("sample_id"), f"{tmp_path}/{s}")
+    (tmp_path / "samples.tsv").write_text(f"id\tpvals_parquet\ns1\t{tmp_path}/s1\ns2\t{tmp_path}/s2\n")
+    contigs = spark.createDataFrame([("a", 200, 0), ("b", 200, 1)], "contig string, size long, ord int")
+    got = multi_sample_run(spark, f"{tmp_path}/samples.tsv", f"{tmp_path}/out", 0.5, "by", contigs)
+    want = multi_sample_fdr(table.where("contig <> 'z'"), 0.5, "by")
+    columns = ("sample_id", "contig", "pos", "neglog10_p", "neglog10_q")
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(map(tuple, want.select(*columns).collect()), key=str)
+    assert got.where("neglog10_q IS NOT NULL").count() > 0 and sorted(p.name for p in (tmp_path / "out" / "contig=a").iterdir()) == ["sample_id=s1", "sample_id=s2"]

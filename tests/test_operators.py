@@ -498,3 +498,43 @@ def test_mask_in_the_aggregate_is_the_mask_by_positions(spark):
 def test_places_of_ordered_rows(spark):
     rows = spark.range(1_000).select((F.col("id") * 7919 % 1_000).alias("v")).repartition(7).orderBy("v")
     assert sorted(tuple(r) for r in dense.placed(rows).collect()) == [(k, k) for k in range(1_000)]
+
+
+def test_signal_to_noise_line_distances_and_spread(spark):
+    rng = np.random.default_rng(12)
+    bases = rng.integers(50_000, 5_000_000, 60)
+    logit = 0.3 * np.log(bases) - 5.5 + rng.normal(size=60) * 0.05
+    logit[[3, 17, 40]] += 3.0  # outliers
+    tags = bases * 2
+    share = 1 / (1 + np.exp(-logit))
+    kept = np.round(tags * (1 - share)).astype(int)
+    rows = [(f"c{k % 3}", int(k * 10), int(b), int(t), int(n)) for k, (b, t, n) in enumerate(zip(kept, tags, bases))] + [("c0", 900, 5, 5, 60_000), ("c0", 910, 0, 5, 60_000), ("c0", 920, 0, 0, 10)]
+    table = spark.createDataFrame(rows, "contig string, start long, bg_tags long, mappable_tags long, mappable_bases long")
+    marked, line = regression.fit_signal_to_noise(table)
+    got = {(r["contig"], r["start"]): r for r in marked.collect()}
+    s = {(c, a): 1 - b / t for c, a, b, t, n in rows[:60]}
+    known = {k: n for (c, a, b, t, n) in rows[:60] for k in [(c, a)]}
+    inliers = [k for k in known if got[k]["is_inlier"]]
+    assert 25 <= len(inliers) and not {("c0", 30), ("c2", 170), ("c1", 400)} & set(inliers)
+    x, y = (np.array([f(k) for k in inliers]) for f in (lambda k: math.log(known[k]), lambda k: math.log(s[k] / (1 - s[k]))))
+    slope, intercept = np.polyfit(x, y, 1)
+    assert abs(line.slope - slope) < 1e-9 and abs(line.intercept - intercept) < 1e-9 and abs(slope - 0.3) < 0.05
+    order = sorted(known, key=lambda k: s[k])
+    score = next(s[k] for i, k in enumerate(order) if sum(known[j] for j in order[: i + 1]) >= sum(known.values()) / 2)
+    spread = {k: math.log(s[k] / (1 - s[k])) - slope * math.log(known[k]) - intercept for k in known}
+    level = {k: 1 / (1 + math.exp(-(spread[k] + math.log(score / (1 - score))))) for k in known}
+    std = math.sqrt(sum(known[k] * (level[k] - score) ** 2 for k in known) / sum(known.values()))
+    assert abs(line.score - score) < 1e-12 and abs(line.score_std - std) < 1e-9
+    for k, n in known.items():
+        assert abs(got[k]["segment_SPOT"] - s[k]) < 1e-12 and abs(got[k]["outlier_distance"] / math.exp(spread[k]) - 1) < 1e-6
+        least = 1 / (1 + math.exp(slope * math.log(n) + intercept + math.log(5)))
+        assert abs(got[k]["min_bg_tag_proportion"] - math.ceil(least * 1e5) / 1e5) < 2e-5
+    assert {k for k, r in got.items() if (r["outlier_distance"] or 0) >= 5} == {("c0", 30), ("c2", 170), ("c1", 400)}
+    # shares of 0 and 1, and none, are no points of the line
+    assert [got["c0", a]["outlier_distance"] for a in (900, 910, 920)] == [None] * 3 and got["c0", 920]["segment_SPOT"] is None
+
+
+def test_without_a_valid_segment_nothing_is_known(spark):
+    table = spark.createDataFrame([("c", 0, 5, 5, 100)], "contig string, start long, bg_tags long, mappable_tags long, mappable_bases long")
+    marked, line = regression.fit_signal_to_noise(table)
+    assert line.slope is None and marked.first()["min_bg_tag_proportion"] == 1.0 and marked.first()["outlier_distance"] is None
