@@ -35,6 +35,8 @@ RUN = re.compile(r"(.)\1+")
 MOST_HELD = 400_000
 #: Units that words share which have none of their own.
 BUCKETS = 4_096
+#: Words whose vectors are added up at a time.
+TAKEN = 8_192
 #: Units whose sums are one record, and parts into which tasks' records are dealt first.
 UNIT_BLOCK, PARTS = 250, 256
 
@@ -53,7 +55,18 @@ KINDS = Shapes()
 
 
 def shape(word: str) -> str:
-    """Its kinds of characters, runs as one: ``THE!!`` has ``X!``."""
+    """Its kinds of characters, runs as one: ``THE!!`` has ``X!``. The commonest are told without looking at each character."""
+    if word.isalpha():
+        if word.islower():
+            return "~x"
+        if word[0].isupper() and word[1:].islower():
+            return "~Xx"
+    elif word[-1] in ",." and (stem := word[:-1]).isalpha() and stem.islower():
+        return "~x" + word[-1]
+    return kinds_of(word)
+
+
+def kinds_of(word: str) -> str:
     return "~" + RUN.sub(r"\1", word.translate(KINDS))[:12]
 
 
@@ -99,16 +112,12 @@ class Model:
     def pooled(self, units: Units, texts: list[str | None]) -> np.ndarray:
         """Sums of the vectors of texts' units, over their words."""
         out = np.zeros((len(texts), self.vectors.shape[1]), np.float64)
-        width = len(self.vectors)
-        for lo in range(0, len(texts), 128):
-            ids = [units.of(t or "") for t in texts[lo : lo + 128]]
-            sizes = np.array([len(x) for x, _ in ids])
-            rows = np.repeat(np.arange(len(ids)) * width, sizes)
-            named, bucket = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
-            shared = bucket >= 0
-            both = np.concatenate((rows + named, rows[shared] + units.width + bucket[shared]))
-            counts = np.bincount(both, minlength=len(ids) * width).reshape(len(ids), width)
-            out[lo : lo + 128] = counts @ self.vectors / np.maximum(sizes, 1)[:, None]
+        for k, text in enumerate(texts):
+            named, bucket = units.of(text or "")
+            for ids in (named, units.width + bucket[bucket >= 0]):
+                for lo in range(0, len(ids), TAKEN):
+                    out[k] += self.vectors.take(ids[lo : lo + TAKEN], axis=0).sum(axis=0)
+            out[k] /= max(1, len(named))
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -193,14 +202,15 @@ class Neighbours:
         self.shared = np.zeros(units.buckets * self.width, np.int32)
 
     def add(self, texts: list[str]) -> None:
-        gap = np.full(self.window, self.width - 1, np.int32), np.full(self.window, -1, np.int32)  # what stands past the last unit counts for nothing
-        parts = [x for t in texts for x in (self.units.of(t), gap)] or [gap]
+        gap = np.full(self.window, self.width - 1, np.int32), np.full(self.window, -1, np.int32)  # what stands past an end counts for nothing
+        parts = [gap, *(x for t in texts for x in (self.units.of(t), gap))]
         ids, buckets = (np.concatenate([x[k] for x in parts]).astype(np.int64) for k in (0, 1))
+        at = np.flatnonzero(buckets >= 0)
+        own = buckets[at] * self.width
         for k in range(1, self.window + 1):
             np.add.at(self.counts, ids[:-k] * self.width + ids[k:], 1)
-            for own, beside in ((buckets[:-k], ids[k:]), (buckets[k:], ids[:-k])):
-                at = np.flatnonzero(own >= 0)
-                np.add.at(self.shared, own[at] * self.width + beside[at], 1)
+            np.add.at(self.shared, own + ids[at - k], 1)
+            np.add.at(self.shared, own + ids[at + k], 1)
 
     def context(self, index: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """Sums of the index vectors around named units ``lo`` to ``hi``: whole numbers."""

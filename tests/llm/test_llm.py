@@ -639,6 +639,13 @@ def test_random_indexing_adds_up_the_neighbours_of_all_documents(spark):
     assert np.allclose(quality_model.Model(names, vectors).pooled(units, ["a b cat rare e9", None]), [total / 5, np.zeros(size)])
 
 
+def test_shapes_are_those_of_all_characters():
+    rng = random.Random(5)
+    letters = "abzABZéÉßǅ中١9.,!-ªﬁⅣ"
+    found = [w for w in ("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(20_000))] + ["Word", "word.", "WORD", "x", "X", ".", "élan,", "Élan", "ab" * 40]
+    assert all(quality_model.shape(w) == quality_model.kinds_of(w) for w in found)
+
+
 def test_quality_that_only_rare_words_tell(spark):
     """All frequent words are the same in both classes, and all words have one shape; each rare word occurs in few documents."""
     rng = random.Random(8)
