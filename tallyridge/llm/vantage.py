@@ -349,10 +349,10 @@ def search(found: Index, queries: Column, scratch: Scratch, *, k: int = 20, fact
 LADDER, LEAST_RECALL = (8.0, 6.0, 4.0, 3.0, 2.0, 1.5, 1.25, 1.1), 0.98
 
 
-def tuned(found: Index, *, k: int = 20, leaf: int = LEAF, most_sample: int = 8_192, asked: int = 256) -> dict[int, float]:
-    """By length of vectors, the largest factor that finds LEAST_RECALL of what exact search does, for ``asked`` vectors among a sample of at most about ``most_sample``; 1 for lengths with few vectors."""
-    total = found.vectors.count()
-    share = min(1.0, most_sample / max(1, total))
+def tuned(found: Index, *, k: int = 20, leaf: int = LEAF, most_sample: int = 8_192, most_entries: int = 1 << 23, asked: int = 256) -> dict[int, float]:
+    """By length of vectors, the largest factor that finds LEAST_RECALL of what exact search does, for ``asked`` vectors among a sample of at most about ``most_sample`` vectors and ``most_entries`` entries; 1 for lengths with few vectors."""
+    total, entries = found.vectors.agg(F.count("*"), F.sum("size")).first()
+    share = min(1.0, most_sample / max(1, total), most_entries / max(1, entries or 0))
     picked = found.vectors.where(F.pmod(F.xxhash64("row", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
     by_size: dict[int, list] = {}
     for r in sorted(picked.select("size", "row", "id", "vec").collect()):
