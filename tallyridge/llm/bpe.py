@@ -87,8 +87,10 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     """``(id_col, ids)`` for each row of ``docs``; ids are little-endian unsigned 32-bit integers, end to end."""
     path, pattern = vocab or public_tokenizers.path(DEFAULT_VOCAB), pattern or public_tokenizers.PATTERN
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     long = F.length("text") > spread_chars
+    # numbered once and written: a second scan of ``docs`` could meet rows in another order
+    long_rows = Scratch(docs.sparkSession).table(rows.where(long).withColumn("row", F.monotonically_increasing_id()), "long")
 
     def ids_of(text: str) -> bytes:
         encoding, found = load_encoding(path, pattern), compiled(pattern)
@@ -99,7 +101,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
             # an id of any type passes through untouched
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(map(ids_of, b["text"].to_pylist()), pa.binary())], names=["id", "ids"])
 
-    short = rows.where(~long).select("id", "text").mapInArrow(encode_whole, f"id {id_type}, ids binary")
+    short = rows.where(~long).mapInArrow(encode_whole, f"id {id_type}, ids binary")
 
     def encode_parts(batches):
         def each():
@@ -115,10 +117,10 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
             ids = [b"".join(p["ids"] for p in parts) for parts in b["parts"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(ids, pa.binary())], names=["row", "ids"])
 
-    parts = spread(docs.sparkSession, rows.where(long).select("row", "text"), pattern, spread_chars, overlap)
+    parts = spread(docs.sparkSession, long_rows.select("row", "text"), pattern, spread_chars, overlap)
     encoded = parts.mapInArrow(encode_parts, "row long, at long, ids binary")
     joined = encoded.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts")).mapInArrow(join_parts, "row long, ids binary")
-    long_ids = rows.where(long).select("row", "id").join(joined, "row").select("id", "ids")
+    long_ids = long_rows.select("row", "id").join(joined, "row").select("id", "ids")
     return short.unionByName(long_ids).select(F.col("id").alias(id_col), "ids")
 
 
