@@ -12,7 +12,7 @@ correction within itself, and over strata the parts are Holm's: a stratum that h
 The base rules are: fewer than ``min_words`` words, or more than BASE_REPEATS per cent of words in repeated windows.
 
 Null texts count as empty: no words, rejected by the base rules. Without labels only the base rules hold.
-Of labels that repeat an id the lowest counts. Null and repeated ids are kept, one result per row; ``keep`` leaves columns of any
+Of labels that repeat an id the lowest counts, and its rows in a stratum are one trial, rejected if one of them is. Null and repeated ids are kept, one result per row; ``keep`` leaves columns of any
 names as they are. Work is linear in a text, whatever repeats in it.
 """
 
@@ -112,7 +112,9 @@ def thresholds(metrics: DataFrame, labels: DataFrame, *, risk: float = RISK, err
     """``(stratum, level, n)``: the last certain step of the ladder in each stratum (their number is fixed), null where the rules are off."""
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label")).where("__label = 1")
     good = metrics.where(~base_failed(prefix, min_words)).withColumn("__id", F.col(id_col)).join(known.select("__id"), "__id")
-    good = good.select(stratum(F.col(f"{prefix}n_words")).alias("stratum"), *(rejected(k, prefix).cast("long").alias(f"k{k}") for k in range(LEVELS)))
+    good = good.select("__id", stratum(F.col(f"{prefix}n_words")).alias("stratum"), *(rejected(k, prefix).cast("long").alias(f"k{k}") for k in range(LEVELS)))
+    # rows of one id are one trial, not several
+    good = good.groupBy("__id", "stratum").agg(*(F.max(f"k{k}").alias(f"k{k}") for k in range(LEVELS)))
     counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum(f"k{k}").alias(f"k{k}") for k in range(LEVELS)))
     strata = len(BANDS) + 1
     # few enough to be rejected are tested; more cannot be certain
@@ -157,7 +159,7 @@ def oracle_sql(risk: float = RISK, error: float = ERROR) -> str:
     blanks = r"[\x20\x09-\x0D]+"
     bands = " + ".join(f"(n_words >= {b})::INT" for b in BANDS)
     over = lambda k: " OR ".join(f"100 * {a} > {ladder(first, last)[k]} * {b}" for _, a, b, first, last in RULES)
-    tests = " UNION ALL ".join(f"SELECT stratum, {k} AS level, count(*) AS n, count(*) FILTER ({over(k)}) AS k FROM good GROUP BY stratum" for k in range(LEVELS))
+    tests = " UNION ALL ".join(f"SELECT stratum, {k} AS level, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER ({over(k)}) AS k FROM good GROUP BY stratum" for k in range(LEVELS))
     strata, certain, done = len(BANDS) + 1, "", "0"
     for k in range(strata):
         certain += f""", open{k} AS (

@@ -66,6 +66,25 @@ def test_bpe_keeps_null_and_repeated_ids_and_takes_empty_tables(spark):
     assert bpe.digests(frame(spark, [])).count() == 0
 
 
+def test_bpe_gives_long_texts_their_own_ids_whatever_the_order_of_a_second_scan(spark):
+    import os
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    def shuffled(batches):
+        for b in batches:
+            order = np.random.default_rng(int.from_bytes(os.urandom(8), "little")).permutation(len(b))
+            yield b.take(pa.array(order))
+
+    encoding = bpe.load_encoding(public_tokenizers.path(bpe.DEFAULT_VOCAB), public_tokenizers.PATTERN)
+    texts = [f"text {k} of some words, " * (20 + k) for k in range(40)]
+    docs = frame(spark, texts).select("doc_id", "text").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
+    got = bpe.encode(docs, spread_chars=100).collect()
+    assert len(got) == len(texts)
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == encoding.encode_ordinary(texts[r["doc_id"]]) for r in got)
+
+
 def test_pieces_are_the_ids_of_whole_texts():
     plain = Tokenizer.from_file(pieces.default_path())
     texts = [t or "" for t in ODD] + ["x.\ny, z. 'tis a. ،. .", "ªº. ʰ, 中文."]
@@ -241,6 +260,8 @@ def test_thresholds_are_only_chosen_with_enough_evidence(spark):
     # .95 ** 85 > .05 / 4 >= .95 ** 86
     assert found(85) is None and found(86) == quality_rules.LEVELS - 1
     assert quality_rules.thresholds(good, labels.limit(0)).count() == 0
+    # rows that repeat an id are no further trials
+    assert quality_rules.thresholds(good.unionByName(good), labels.where("doc_id < 85")).select("level", "n").first() == (None, 85)
 
 
 def test_thresholds_reject_no_more_than_the_risk(spark):
