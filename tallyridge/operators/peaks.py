@@ -67,15 +67,23 @@ def trimmed(tops: DataFrame, vector: DataFrame, keys: tuple[str, ...] = KEYS) ->
     return low.groupBy(*keys, "summit", "height", "cutoff").agg(F.max(F.when(F.col("pos") <= F.col("summit"), F.col("pos"))).alias("start"), (F.min(F.when(F.col("pos") >= F.col("summit"), F.col("pos"))) - 1).alias("end"))
 
 
-def peaks(cut: DataFrame, density: DataFrame, contigs: DataFrame, total: DataFrame, half_width: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def peaks(tops: DataFrame, vector: DataFrame, contigs: DataFrame, total: DataFrame, half_width: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``(keys, start, end, summit, summit_density, max_density, smoothed_peak_height)`` of trimmed peaks, half-open.
 
-    Each side is at least ``half_width`` wide; bounds beyond the contig's ends are drawn in. ``density`` has ``pos`` and ``density``.
+    Each side is at least ``half_width`` wide; bounds beyond the contig's ends are drawn in. ``vector`` has ``pos``, ``x`` and ``density``.
+    Bounds are those of ``trimmed``, but positions meet peaks once: whatever a peak may need comes with it, and all else is found within the peak.
     """
-    wide = cut.join(contigs.select(*keys, "size"), list(keys))
-    start = F.greatest(F.least("start", F.col("summit") - half_width), F.lit(0))
-    end = F.least(F.greatest("end", F.col("summit") + half_width) + 1, F.col("size"))
-    spans = wide.select(*keys, start.alias("start"), end.alias("end"), "summit", "height")
-    held = in_intervals(density.select(*keys, "pos", "density"), spans, keys).groupBy(*keys, "start", "end", "summit", "height")
-    found = held.agg(F.max(F.when(F.col("pos") == F.col("summit"), F.col("density"))).alias("summit_density"), F.max("density").alias("max_density"))
-    return found.crossJoin(F.broadcast(total)).withColumn("smoothed_peak_height", F.col("height") / F.col("total") * F.lit(1e6)).drop("height", "total")
+    wide = tops.join(contigs.select(*keys, "size"), list(keys))
+    spans = wide.select(*keys, "summit", "left", "right", "size", F.least("left", F.col("summit") - half_width).alias("start"), (F.greatest("right", F.col("summit") + half_width) + 1).alias("end"))
+    held = in_intervals(vector.select(*keys, "pos", "x", "density"), spans, keys)
+    peak = Window.partitionBy(*keys, "summit")
+    at = lambda place: F.max(F.when(F.col("pos") == F.col(place), F.col("x"))).over(peak)
+    held = held.withColumn("height", at("summit")).withColumn("cutoff", F.greatest(at("left"), F.col("height") / 2, at("right")))
+    low = F.when((F.col("x") <= F.col("cutoff")) & F.col("pos").between(F.col("left"), F.col("right")), F.col("pos"))
+    first, last = F.max(F.when(low <= F.col("summit"), low)).over(peak), F.min(F.when(low >= F.col("summit"), low)).over(peak) - 1
+    start = F.greatest(F.least(first, F.col("summit") - half_width), F.lit(0))
+    end = F.least(F.greatest(last, F.col("summit") + half_width) + 1, F.col("size"))
+    inside = held.withColumns({"start": start, "end": end}).where("pos >= start AND pos < end").groupBy(*keys, "summit", "start", "end", "height")
+    found = inside.agg(F.max(F.when(F.col("pos") == F.col("summit"), F.col("density"))).alias("summit_density"), F.max("density").alias("max_density"))
+    rows = found.crossJoin(F.broadcast(total)).withColumn("smoothed_peak_height", F.col("height") / F.col("total") * F.lit(1e6))
+    return rows.select(*keys, "start", "end", "summit", "summit_density", "max_density", "smoothed_peak_height")

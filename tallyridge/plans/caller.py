@@ -280,10 +280,9 @@ class Caller:
         c = self.config
         spread = islands.dilate(self.scores, F.col("neglog10_q") >= -math.log10(q), c.window, c.min_significant_for_peak)
         spans = islands.islands(spread.where("inside"))
-        wave = self.smoothed.select("contig", "size", "pos", F.col("smoothed").alias("x"))
+        wave = self.smoothed.select("contig", "size", "pos", F.col("smoothed").alias("x"), "density")
         tops = peaks.inside(peaks.summits(wave, self.contigs), spans)
-        cut = peaks.trimmed(tops, wave)
-        return peaks.peaks(cut, self.smoothed, self.contigs, self.total, c.min_peak_half_width).withColumn("id", F.lit(self.sample))
+        return peaks.peaks(tops, wave, self.contigs, self.total, c.min_peak_half_width).withColumn("id", F.lit(self.sample))
 
     def regions_bed12(self, q: float) -> DataFrame:
         return export.regions_bed12(self.regions(q).withColumnRenamed("max_neglog10_fdr", "max_score"), self.sample, q)

@@ -458,21 +458,21 @@ def extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.extrema(stored(wave(spark, sf_dir), "wave"))
 
 
-def _trimmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _tops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = stored(wave(spark, sf_dir), "wave")
     spans = islands.islands(islands.dilate(sums(spark, sf_dir), F.col("x") >= LEVEL, WINDOW, 10).where("inside"))
-    return peaks.trimmed(peaks.inside(peaks.summits(rows, adapters.contigs(spark, sf_dir)), spans), rows), rows
+    return peaks.inside(peaks.summits(rows, adapters.contigs(spark, sf_dir)), spans), rows
 
 
 @query(f"WITH {BASE}, {PEAKS} SELECT contig, start, \"end\", summit, round(height, 6) AS height, round(cutoff, 6) AS cutoff FROM trimmed")
 def trimmed_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_trimmed(spark, sf_dir)[0], "height", "cutoff")
+    return rounded(peaks.trimmed(*_tops(spark, sf_dir)), "height", "cutoff")
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut, rows = _trimmed(spark, sf_dir)
+    tops, rows = _tops(spark, sf_dir)
     heights = dense.normalized_density(rows, dense.total_cuts(adapters.cuts(spark, sf_dir)))
-    return peaks.peaks(cut, heights, adapters.contigs(spark, sf_dir), dense.total_cuts(adapters.cuts(spark, sf_dir)))
+    return peaks.peaks(tops, heights, adapters.contigs(spark, sf_dir), dense.total_cuts(adapters.cuts(spark, sf_dir)))
 
 
 @query(f"WITH {BASE}, {PEAKS} SELECT contig, start, \"end\", summit, round(summit_density, 6) AS summit_density, round(max_density, 6) AS max_density, round(smoothed_peak_height, 6) AS smoothed_peak_height FROM peaks")

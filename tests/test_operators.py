@@ -1,6 +1,7 @@
 """Hand-computed values, and naive versions, for the operators over counts."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -101,6 +102,25 @@ def test_extrema_and_trimming(spark):
     assert (cut["cutoff"], cut["start"], cut["end"]) == (2.5, 5, 6)
 
 
+def test_peaks_in_one_pass_have_the_bounds_of_trimming(spark):
+    rng = random.Random(8)
+    values, half = [rng.choice([0, 1, 1, 2, 5, 9]) for _ in range(400)], 3
+    rows = vector(spark, values).withColumn("density", F.col("x") * 10)
+    contigs = spark.createDataFrame([("c", 400, 0)], "contig string, size long, ord int")
+    tops = peaks.summits(rows, contigs)
+    found = peaks.peaks(tops, rows, contigs, spark.createDataFrame([(1_000_000,)], "total long"), half)
+    got = {r["summit"]: (r["start"], r["end"], r["summit_density"], r["max_density"], r["smoothed_peak_height"]) for r in found.collect()}
+    want = {}
+    for r in peaks.trimmed(tops, rows).collect():
+        s = r["summit"]
+        start, end = max(min(r["start"], s - half), 0), min(max(r["end"], s + half) + 1, 400)
+        want[s] = (start, end, 10 * values[s], 10 * max(values[start:end]), r["height"])
+    assert got == want and len(want) > 80
+    # positions and intervals meet in one join
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert sum("Join Inner" in line and "__bin" in line for line in plan.splitlines()) == 1
+
+
 def test_flat_signal_has_no_peaks(spark):
     assert peaks.extrema(vector(spark, [1, 1, 1, 1])).count() == 0
 
