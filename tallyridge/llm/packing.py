@@ -61,25 +61,29 @@ def best_cuts(points: list[int], costs: list[float], size: int, goes_on: bool =
 
     If the stream ``goes_on``, the last window need not end at the last point, but within a window of it.
     """
-    best, back = [0.0], [-1]
-    queue: deque[tuple[float, int]] = deque([(float(points[0]), 0)])
-    at, half, last = {points[0]: 0}, size // 2, len(points) - 1
-    for j in range(1, last + 1):
-        p = points[j]
-        while points[queue[0][1]] < p - size:
-            queue.popleft()
-        key, i = queue[0]
-        value = key + size - p
-        if (h := at.get(p - half)) is not None and best[h] < value:
+    at, half, last = np.asarray(points), size // 2, len(points) - 1
+    lows = at.searchsorted(at - size).tolist()  # the first point within a window, and the one at half of it (if none: -1)
+    halves = at.searchsorted(at - half)
+    halves = np.where(at[halves] == at - half, halves, -1).tolist()
+    best, back, keys, queue, head, front = [0.0], [-1], [float(points[0])], [0], 0, 0
+    for j, p, cost, low, h in zip(range(1, last + 1), points[1:], costs[1:], lows[1:], halves[1:]):
+        while front < low:
+            head += 1
+            front = queue[head]
+        value, i = keys[front] + size - p, front
+        if h >= 0 and best[h] < value:
             value, i = best[h], h
-        value += costs[j]
+        value += cost
         best.append(value)
         back.append(i)
-        at[p] = j
         key = value + p
-        while queue and queue[-1][0] >= key:
+        keys.append(key)
+        while keys[queue[-1]] >= key:
             queue.pop()
-        queue.append((key, j))
+            if len(queue) == head:
+                front = j
+                break
+        queue.append(j)
     cuts, j = [], last
     if goes_on:
         j = min((k for k in range(1, last + 1) if points[k] > points[-1] - size), key=best.__getitem__)

@@ -93,6 +93,16 @@ def test_pieces_are_the_ids_of_whole_texts():
         assert [a.tolist() for a in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_held_apart_from_the_symbols_after_them():
+    plain = Tokenizer.from_file(pieces.default_path())
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.choice('aeöñ')}rd{rng.choice(['', '%', ',###', '...', '&&', ')', chr(39) + 's', '1'])}" for _ in range(300)) for _ in range(20)]
+    texts += ["a <|endoftext|> b", "a<|endoftext|>b%%%", "a<|endoftext", "x|>", "e\u0301a", "a\u00a0b", "a'sb"]
+    encoder = pieces.PieceEncoder(pieces.default_path())
+    assert [a.tolist() for a in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len([p for p in encoder.known if p.startswith(" w")]) == 4
+
+
 def test_records_round_trip_in_order_and_shuffled(spark):
     texts, ids = ODD + ["tie", "tie"], [*range(len(ODD) - 1, -1, -1), 50, 50]
     root = Scratch(spark).path("r")
