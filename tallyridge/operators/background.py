@@ -10,12 +10,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tallyridge.functions.special import log_beta_tail
 from tallyridge.operators.dense import TILE
-from tallyridge.operators.windows import IN_BLOCKS, neighbours, own_rows, tile_max, tile_sums, tiled
+from tallyridge.operators.windows import in_order, max_around, neighbours, numbers, sums_around, tiled
 
 CONTIG = ("contig",)
 
@@ -254,7 +256,8 @@ def fit_groups(vector: DataFrame, *, step: Column | int = 1, start: Column | Non
         return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, **found}])
 
     fitted = joined.groupBy(*keys).applyInPandas(run, f"{kinds}, r double, p double, rmsea double, threshold double, fit_quantile_sampled double").withColumnRenamed("fit_quantile_sampled", "fit_quantile")
-    whole = vector.join(fitted.select(*keys, "threshold"), list(keys))
+    # a row per contig or segment
+    whole = vector.join(F.broadcast(fitted.select(*keys, "threshold")), list(keys))
     above = F.col("x") >= F.col("threshold")
     tags = F.floor(F.coalesce("x", F.lit(0)))
     counts = whole.groupBy(*keys).agg(
@@ -288,18 +291,29 @@ def sliding_nb(vector: DataFrame, *, window: int = 50_001, flank: int = 500, fra
     reaches the threshold do not count; mean and variance are over the window; where they are of no
     negative binomial, r is the group's and p follows from the mean.
     """
-    half = window // 2
+    half, least = window // 2, max(1, round(window * fraction))
     # one deal of tiles serves both windows, maxima first
-    far = half + flank
-    tops = tile_max(tiled(vector, far, far, tile), flank, far, far, tile, keys)
-    calm = tops.withColumn("b", F.when(F.coalesce(F.col("top") >= F.col("threshold"), F.lit(False)), None).otherwise(F.col("x")))
-    b = F.col("b")
-    sums = own_rows(tile_sums(calm, half, half, {"n": b.isNotNull().cast("long"), "s": b, "q": b * b}, keys, IN_BLOCKS)).drop("__block")
-    n, s = F.col("n"), F.col("s")
-    mean = F.try_divide(s, n)
-    variance = F.when(n > 1, (F.col("q") - s * s / n) / (n - 1))
-    fit = moments(n, mean, F.when(variance != mean, variance))
-    enough = F.col("x").isNotNull() & (n >= max(1, round(window * fraction)))
-    r = F.when(fit["valid"], fit["r"]).otherwise(F.col("fallback_r"))
-    out = sums.withColumns({"enough_bg": enough, "sliding_r": F.when(enough, r), "sliding_p": F.when(enough, F.when(fit["valid"], fit["p"]).otherwise(F.try_divide(mean, mean + F.col("fallback_r"))))})
-    return out.drop("top", "b", "n", "s", "q")
+    far, kept = half + flank, vector.columns
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = in_order(rows)
+        x = numbers(rows, "x")
+        calm = ~np.isnan(x) & ~(max_around(x, flank) >= numbers(rows, "threshold"))
+        b, place = np.where(calm, x, 0.0), rows["own"].to_numpy()
+        own = slice(int(place.argmax()), int(place.argmax() + place.sum()))  # a tile's own rows lie together
+        n, s, q = (sums_around(v, half, half)[own] for v in (calm.astype(np.int64), b, b * b))
+        rows = rows.select(kept).slice(own.start, own.stop - own.start)
+        enough, fallback = ~np.isnan(x[own]) & (n >= least), numbers(rows, "fallback_r")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = s / n
+            variance = (q - s * s / n) / (n - 1)
+            r = mean * mean / (variance - mean)
+            p = mean / (mean + r)
+            valid = (n > 1) & (variance != mean) & (r > 0) & (p > 0) & (p < 1)
+            r, p = np.where(valid, r, fallback), np.where(valid, p, mean / (mean + fallback))
+        for name, value in (("enough_bg", pa.array(enough)), ("sliding_r", pa.array(r, mask=~enough | np.isnan(r))), ("sliding_p", pa.array(p, mask=~enough | np.isnan(p)))):
+            rows = rows.append_column(name, value)
+        return rows
+
+    wider = StructType([*vector.schema.fields, StructField("enough_bg", BooleanType()), StructField("sliding_r", DoubleType()), StructField("sliding_p", DoubleType())])
+    return tiled(vector, far, far, tile).groupBy(*keys, "tile").applyInArrow(run, wider)

@@ -74,18 +74,19 @@ def densify(cuts: DataFrame, contigs: DataFrame, mappable: DataFrame | None = No
     return summed.select("contig", "size", "pos", "x", (F.sum("edge").over(along) > 0).alias("mappable"))
 
 
-def interval_edges(intervals: DataFrame, contigs: DataFrame) -> DataFrame:
+def interval_edges(intervals: DataFrame, contigs: DataFrame, tile: int | None = None) -> DataFrame:
     """``(contig, size, pos, edge)``: 1 where an interval begins in a tile, -1 behind its end there; nothing for contigs with an interval beyond their end."""
+    tile = tile or TILE
     known = intervals.join(F.broadcast(contigs.select("contig", "size")), "contig").select("contig", "size", "start", "end")
     bad = known.where("end > size").select("contig").distinct()
     inside = known.join(bad, "contig", "left_anti").where("end > start AND end > 0").withColumn("start", F.greatest("start", F.lit(0)))
-    first, last = F.floor(F.col("start") / TILE), F.floor((F.col("end") - 1) / TILE)
+    first, last = F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile)
     pieces = inside.withColumn("t", F.explode(F.sequence(first, last)))
-    begin, until = F.greatest("start", F.col("t") * TILE), F.least("end", (F.col("t") + 1) * TILE)
+    begin, until = F.greatest("start", F.col("t") * tile), F.least("end", (F.col("t") + 1) * tile)
     edges = F.array(F.struct(begin.alias("pos"), F.lit(1).alias("edge")), F.struct(until.alias("pos"), F.lit(-1).alias("edge")))
     rows = pieces.select("contig", "size", "t", F.explode(edges).alias("e")).select("contig", "size", "e.pos", "e.edge", "t")
     # what ends with its tile needs no end
-    return rows.where((F.col("edge") > 0) | (F.floor(F.col("pos") / TILE) == F.col("t")) & (F.col("pos") < F.col("size"))).drop("t")
+    return rows.where((F.col("edge") > 0) | (F.floor(F.col("pos") / tile) == F.col("t")) & (F.col("pos") < F.col("size"))).drop("t")
 
 
 def mappable_positions(intervals: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyridge.operators.dense import TILE
-from tallyridge.operators.windows import window_sums
+from tallyridge.operators.windows import neighbours, window_sums
 
 
 def dilate(vector: DataFrame, marked: Column, window: int = 151, least: int = 1, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
@@ -34,6 +34,18 @@ def islands(marked: DataFrame, keys: tuple[str, ...] = ("contig",), tile: int =
     return runs.where(~at_edge).select(*keys, "start", "end").unionByName(joined)
 
 
+def spread(runs: DataFrame, sizes: DataFrame, reach: int, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """``(keys, start, end)``: runs, apart from one another, made longer by ``reach`` on either side as far as their contig goes; those that then meet are one."""
+    around = neighbours(runs, "start", {"before": ("end", -1), "after": ("start", 1)}, keys)
+    apart = lambda gap: F.coalesce(gap > 2 * reach, F.lit(True))
+    bounds = around.select(*keys, "start", "end", apart(F.col("start") - F.col("before")).alias("first"), apart(F.col("after") - F.col("end")).alias("last")).where("first OR last")
+    # behind a first run that is not the last comes the last one
+    whole = neighbours(bounds, "start", {"until": ("end", 1)}, keys).where("first").withColumn("end", F.when(F.col("last"), F.col("end")).otherwise(F.col("until")))
+    start, end = F.greatest(F.col("start") - reach, F.lit(0).cast("long")), F.least(F.col("end") + reach, F.col("size"))
+    # a row per contig
+    return whole.join(F.broadcast(sizes), list(keys)).select(*keys, start.alias("start"), end.alias("end"))
+
+
 def in_intervals(rows: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("contig",), bin_size: int = 1 << 12, how: str = "inner") -> DataFrame:
     """Pairs of rows and the half-open ``intervals`` that hold their ``pos``, by way of equal bins of positions."""
     bins = intervals.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / bin_size))))
@@ -48,12 +60,10 @@ def in_intervals(rows: DataFrame, intervals: DataFrame, keys: tuple[str, ...] =
 def regions(vector: DataFrame, score: str, threshold: float, window: int = 151, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
     """Islands of dilated significant positions: ``(keys, start, end, max_score, n_significant, stretches)``.
 
-    ``stretches`` are the runs of significant positions, relative to the start, in order.
+    ``stretches`` are the runs of significant positions, relative to the start, in order. Only significant positions are dealt.
     """
-    significant = F.col(score) >= threshold
-    inside = dilate(vector, significant, window, 1, keys)
-    spans = islands(inside.where("inside"), keys)
-    hits = vector.where(significant)
+    hits = vector.where(F.col(score) >= threshold)
+    spans = spread(islands(hits, keys), hits.groupBy(*keys).agg(F.max("size").alias("size")), window // 2, keys)
     stretches = islands(hits, keys).select(*keys, F.col("start").alias("pos"), F.col("end").alias("until"))
     owned = in_intervals(stretches, spans, keys).groupBy(*keys, "start", "end").agg(
         F.sort_array(F.collect_list(F.struct((F.col("pos") - F.col("start")).alias("start"), (F.col("until") - F.col("start")).alias("end")))).alias("stretches"), F.sum(F.col("until") - F.col("pos")).alias("n_significant")

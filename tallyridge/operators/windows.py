@@ -3,16 +3,18 @@
 Sums come from differences of running sums, whose cost does not depend on the window, and are taken
 tile by tile: each tile also gets the positions that its windows reach in its neighbours. Vectors
 shorter than the window (fewer rows than it) take their own length as the window, as one group.
+Where a tile makes several passes, or its rows, they go over NumPy arrays of the tile.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyridge.operators.dense import TILE
+from tallyridge.operators.dense import TILE, interval_edges
 
 
 def least_count(window: int, fraction: float = 0.05) -> int:
@@ -33,9 +35,9 @@ def own_rows(rows: DataFrame) -> DataFrame:
     return rows.where("own").drop("own", "tile")
 
 
-def tile_sums(rows: DataFrame, left: int, right: int, values: dict[str, Column], keys: tuple[str, ...] = ("contig",), order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """``tiled`` rows with the sum of each value over positions [pos - left, pos + right] of their tile, which ``order`` sorts by position."""
-    by = Window.partitionBy(*keys, "tile").orderBy(*order)
+def tile_sums(rows: DataFrame, left: int, right: int, values: dict[str, Column], keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """``tiled`` rows with the sum of each value over positions [pos - left, pos + right] of their tile."""
+    by = Window.partitionBy(*keys, "tile").orderBy("pos")
     so_far, whole = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({f"__v_{k}": v for k, v in values.items()})
     rows = rows.withColumns({f"__s_{k}": F.coalesce(F.sum(f"__v_{k}").over(so_far), F.lit(0)) for k in values} | {f"__t_{k}": F.coalesce(F.sum(f"__v_{k}").over(whole), F.lit(0)) for k in values})
@@ -48,6 +50,70 @@ def window_sums(vector: DataFrame, left: int, right: int, values: dict[str, Colu
     return own_rows(tile_sums(tiled(vector, left, right, tile), left, right, values, keys))
 
 
+def sums_around(x: np.ndarray, left: int, right: int) -> np.ndarray:
+    """The sum over [k - left, k + right] around each value, cut at the ends."""
+    so_far, at = np.concatenate((np.zeros(1, x.dtype), x.cumsum())), np.arange(len(x))
+    return so_far[np.minimum(at + right + 1, len(x))] - so_far[np.maximum(at - left, 0)]
+
+
+def max_around(x: np.ndarray, flank: int) -> np.ndarray:
+    """The largest value within ``flank`` places, NaN if there is none: of the rest of one block as long as a window, and the start of the next."""
+    width = 2 * flank + 1
+    blocks = np.full((-(-(len(x) + 2 * flank) // width), width), -np.inf)
+    blocks.ravel()[flank : flank + len(x)] = np.where(np.isnan(x), -np.inf, x)
+    rest = np.maximum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    start = np.maximum.accumulate(blocks, axis=1).ravel()
+    top = np.maximum(rest[: len(x)], start[width - 1 : width - 1 + len(x)])
+    return np.where(top == -np.inf, np.nan, top)
+
+
+def in_order(rows: pa.Table) -> pa.Table:
+    """Rows of a tile by position."""
+    pos = rows["pos"].to_numpy()
+    return rows if (pos[1:] >= pos[:-1]).all() else rows.take(pa.array(np.argsort(pos, kind="stable")))
+
+
+def numbers(rows: pa.Table, name: str) -> np.ndarray:
+    """A column as doubles, NaN for null."""
+    return rows[name].to_numpy().astype(np.float64)
+
+
+def count_sums(cuts: DataFrame, contigs: DataFrame, window: int, fraction: float = 0.05, mappable: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """``(contig, size, pos, agg)``, with ``mappable`` intervals also ``mappable``: what ``running`` sums of the vector that ``densify`` makes of counts.
+
+    Counts go to the tiles that their windows reach before they are made dense, so that no position without a count is dealt.
+    """
+    half, masked = window // 2, mappable is not None
+    known = cuts.join(F.broadcast(contigs.select("contig", "size")), "contig").where("pos >= 0 AND pos < size AND cnt > 0")
+    dealt = tiled(known.select("contig", "size", "pos", F.col("cnt").cast("double").alias("cnt")), half, half, tile).drop("own").withColumn("edge", F.lit(0))
+    tiles = contigs.where("size > 0").select("contig", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / tile))).alias("tile"))
+    dealt = dealt.unionByName(tiles.withColumn("pos", F.col("tile") * tile).withColumns({"cnt": F.lit(0.0), "edge": F.lit(0)}))  # every tile is there
+    if masked:
+        dealt = dealt.unionByName(interval_edges(mappable, contigs, tile).withColumns({"cnt": F.lit(0.0), "tile": F.floor(F.col("pos") / tile)}))
+
+    def run(rows: pa.Table) -> pa.Table:
+        contig, size, start = rows["contig"][0], rows["size"][0].as_py(), rows["tile"][0].as_py() * tile
+        end, width = min(start + tile, size), min(window, size)
+        right, left = width // 2, width - 1 - width // 2
+        low, high = max(start - left, 0), min(end + right, size)
+        pos, x = rows["pos"].to_numpy(), np.zeros(high - low)
+        near = (pos >= low) & (pos < high)
+        np.maximum.at(x, pos[near] - low, rows["cnt"].to_numpy()[near])
+        own = slice(start - low, end - low)
+        thin = sums_around(np.ones(len(x), np.int64), left, right)[own] < (max(1, round(width * fraction)) if fraction else 1)
+        n = end - start
+        columns = {"contig": pa.repeat(contig, n), "size": pa.repeat(pa.scalar(size, pa.int64()), n), "pos": pa.array(np.arange(start, end)), "agg": pa.array(sums_around(x, left, right)[own], mask=thin)}
+        if masked:
+            edges, own_pos = rows["edge"].to_numpy(), (pos >= start) & (pos < end)
+            inside = np.zeros(n, np.int64)
+            np.add.at(inside, pos[own_pos] - start, edges[own_pos])
+            columns["mappable"] = pa.array(inside.cumsum() > 0)
+        return pa.table(columns)
+
+    kinds = "contig string, size long, pos long, agg double" + (", mappable boolean" if masked else "")
+    return dealt.groupBy("contig", "tile").applyInArrow(run, kinds)
+
+
 def running(vector: DataFrame, window: int, what: str, fraction: float | None = 0.05, keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:
     """``vector`` with ``agg``: the centred ``sum``, ``mean`` or ``var`` (of n - 1) over an odd window.
 

@@ -127,7 +127,7 @@ class Caller:
 
         def make() -> DataFrame:
             c = self.config
-            sums = windows.running(dense.densify(self.cuts, self.contigs, self.mappable), c.window, "sum", c.min_mappable_proportion)
+            sums = windows.count_sums(self.cuts, self.contigs, c.window, c.min_mappable_proportion, self.mappable)
             inside = F.lit(True) if self.mappable is None else F.col("mappable")
             return sums.select("contig", "size", "pos", F.when(inside, F.col("agg")).alias("x"), F.col("agg").alias("raw"))
 
@@ -173,10 +173,12 @@ class Caller:
         """The vector with the ``segment`` of each position, its ``start``, and its sampling step."""
 
         def make() -> DataFrame:
-            rows = islands.in_intervals(self.vector, self.segments.select("contig", "segment", "start", "end"))
-            mappable = rows.groupBy("contig").agg(F.count("x").alias("mappable"))
+            # segments are few and long, and so are the bins that find them: the vector stays where it is
+            placed = lambda segments: islands.in_intervals(self.vector, F.broadcast(segments), bin_size=1 << 16)
+            known = self.segments.select("contig", "segment", "start", "end")
+            mappable = placed(known.select("contig", "start", "end")).groupBy("contig").agg(F.count("x").alias("mappable"))
             step = segment.segment_step(F.col("end") - F.col("start"), F.col("mappable"), self.config.fit_step)
-            return rows.join(mappable, "contig").withColumn("step", step).drop("mappable")
+            return placed(known.join(mappable, "contig").withColumn("step", step).drop("mappable"))
 
         return self.kept("segmented", make)
 
@@ -245,11 +247,11 @@ class Caller:
         def make() -> DataFrame:
             c = self.config
             stats = self.fit_stats.where("success_fit AND fit_type = 'segment'").select("contig", "segment", "threshold", F.col("r").alias("fallback_r"))
-            rows = self.segmented.drop("start", "end", "step", "size").join(self.segments.select("contig", "segment", "end", "start"), ["contig", "segment"]).join(F.broadcast(stats), ["contig", "segment"])
+            rows = self.segmented.select("contig", "segment", "pos", "x", "start", "end").join(F.broadcast(stats), ["contig", "segment"])
             # positions count from the segment's start, so that windows end with it
-            local = rows.withColumns({"at": F.col("pos"), "pos": F.col("pos") - F.col("start"), "size": F.col("end") - F.col("start")})
+            local = rows.withColumns({"pos": F.col("pos") - F.col("start"), "size": F.col("end") - F.col("start")}).drop("end")
             out = background.sliding_nb(local, window=c.bg_window, flank=c.exclude_flank, fraction=c.min_mappable_proportion, keys=("contig", "segment"))
-            return out.select("contig", F.col("at").alias("pos"), "x", "sliding_r", "sliding_p", "enough_bg", "threshold")
+            return out.select("contig", (F.col("pos") + F.col("start")).alias("pos"), "x", "sliding_r", "sliding_p", "enough_bg", "threshold")
 
         return self.kept("fit_params", make)
 

@@ -216,3 +216,13 @@ def test_several_samples_from_a_mapping_file(spark, tmp_path):
     columns = ("sample_id", "contig", "pos", "neglog10_p", "neglog10_q")
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(map(tuple, want.select(*columns).collect()), key=str)
     assert got.where("neglog10_q IS NOT NULL").count() > 0 and sorted(p.name for p in (tmp_path / "out" / "contig=a").iterdir()) == ["sample_id=s1", "sample_id=s2"]
+
+
+def test_positions_find_their_segments_where_they_are(run):
+    caller, _ = run
+    rows, shuffled = caller.segmented, []
+    again = Caller(caller.cuts, caller.contigs, f"{caller.root}-again", config=SMALL, mappable=caller.mappable, reuse={s: f"{caller.root}/{s}" for s in ("vector", "segments")})
+    again.kept = lambda name, make, pooled=False: shuffled.append(make()) or rows if name == "segmented" else Caller.kept(again, name, make, pooled)
+    again.segmented
+    plan = shuffled[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and sorted(map(tuple, shuffled[0].select(*rows.columns).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)

@@ -558,3 +558,48 @@ def test_without_a_valid_segment_nothing_is_known(spark):
     table = spark.createDataFrame([("c", 0, 5, 5, 100)], "contig string, start long, bg_tags long, mappable_tags long, mappable_bases long")
     marked, line = regression.fit_signal_to_noise(table)
     assert line.slope is None and marked.first()["min_bg_tag_proportion"] == 1.0 and marked.first()["outlier_distance"] is None
+
+
+@pytest.mark.parametrize("window, fraction", [(1, 0.05), (7, 0.05), (151, 0.8), (151, None), (301, 0.05)])
+def test_sums_of_counts_are_those_of_the_dense_vector(spark, window, fraction):
+    contigs = spark.createDataFrame([("a", 300, 0), ("b", 50, 1), ("c", 80, 2), ("none", 0, 3)], "contig string, size long, ord int")
+    cuts = spark.createDataFrame([("a", k, k % 5) for k in range(0, 300, 7)] + [("a", 7, 9), ("a", 300, 4), ("a", -1, 4), ("b", 3, 1), ("b", 49, 2), ("x", 1, 1), ("c", 5, None)], "contig string, pos long, cnt long")
+    spans = spark.createDataFrame([("a", 0, 20), ("a", 10, 70), ("a", 127, 129), ("a", 250, 300), ("a", 128, 256), ("b", 0, 51), ("c", 79, 80)], "contig string, start long, end long")
+    want = windows.running(dense.densify(cuts, contigs, spans), window, "sum", fraction).drop("x").collect()
+    for tile in (16, 64, 1 << 17):
+        for mappable in (spans, None):
+            found = windows.count_sums(cuts, contigs, window, fraction, mappable, tile=tile)
+            columns = found.columns
+            assert sorted(map(tuple, found.collect()), key=str) == sorted((tuple(r[c] for c in columns) for r in want), key=str) and ("mappable" in columns) == (mappable is not None)
+
+
+def test_sliding_fit_goes_over_tiles_once_and_does_not_depend_on_them(spark):
+    rng = np.random.default_rng(5)
+    x = [None if rng.random() < 0.1 else int(v) for v in rng.negative_binomial(2, 0.4, 400)]
+    rows = vector(spark, x).withColumns({"threshold": F.lit(9.0), "fallback_r": F.when(F.col("pos") % 3 > 0, 1.5)})
+    window, flank, half = 41, 3, 20
+    calm = [v if v is not None and not any(u is not None and u >= 9 for u in x[max(0, k - flank) : k + flank + 1]) else None for k, v in enumerate(x)]
+    for tile in (30, 1_000):
+        found = background.sliding_nb(rows, window=window, flank=flank, fraction=0.4, tile=tile)
+        plan = plan_of(found)
+        assert "Window [" not in plan and plan.count("Exchange hashpartitioning") == 1
+        got = {r["pos"]: r for r in found.collect()}
+        assert set(got) == set(range(400)) and found.columns == [*rows.columns, "enough_bg", "sliding_r", "sliding_p"]
+        for k, v in enumerate(x):
+            own = [u for u in calm[max(0, k - half) : k + half + 1] if u is not None]
+            mean, variance = (np.mean(own), np.var(own, ddof=1)) if len(own) > 1 else (0, 0)
+            fallback = 1.5 if k % 3 else None
+            assert got[k]["enough_bg"] == (v is not None and len(own) >= 16)
+            r = mean * mean / (variance - mean) if variance > mean + 1e-9 else fallback
+            want = (r, mean / (mean + r) if r else None) if got[k]["enough_bg"] else (None, None)
+            assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-6)) for a, b in zip((got[k]["sliding_r"], got[k]["sliding_p"]), want)), k
+
+
+def test_regions_are_made_of_significant_positions_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = vector(spark, [int(v) for v in rng.random(3_000) < 0.008]).withColumn("x", F.col("x") * (F.col("pos") % 7 + 1))
+    dense_rows = islands.islands(islands.dilate(rows, F.col("x") >= 2, 101).where("inside")).collect()
+    for given in (rows, rows.where("x >= 2")):
+        found = islands.regions(given, "x", 2.0, 101).collect()
+        assert sorted((r["start"], r["end"]) for r in found) == sorted((r["start"], r["end"]) for r in dense_rows) and 3 < len(found)
+        assert sum(r["n_significant"] for r in found) == rows.where("x >= 2").count()
