@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tallyridge.functions.special import log_beta_tail
 from tallyridge.operators.dense import TILE
-from tallyridge.operators.windows import in_order, max_around, neighbours, numbers, sums_around, tiled
+from tallyridge.operators.windows import in_order, max_around, neighbours, numbers, spread_out, sums_around, tiled
 
 CONTIG = ("contig",)
 
@@ -71,7 +71,7 @@ def interpolated(centres: DataFrame, contigs: DataFrame, stride: int, keys: tupl
     first = F.when(F.col("before").isNull(), F.lit(0)).otherwise(F.col("centre"))
     last = F.coalesce(F.col("next"), F.col("size")) - 1
     spans = known.where(first <= last).withColumn("lo", F.explode(F.sequence(first.cast("long"), last, F.lit(TILE)))).withColumn("hi", F.least(F.col("lo") + TILE - 1, last))
-    rows = spans.withColumn("pos", F.explode(F.sequence("lo", "hi")))
+    rows = spread_out(spans, *keys, "lo").withColumn("pos", F.explode(F.sequence("lo", "hi")))
     slope = (F.col("pos") - F.col("centre")) / (F.col("next") - F.col("centre"))
     value = F.when(F.col("next").isNull() | (F.col("pos") <= F.col("centre")), F.col("value")).otherwise(F.col("value") + (F.col("then") - F.col("value")) * slope)
     return rows.select(*keys, "pos", value.alias("threshold"))
@@ -316,4 +316,4 @@ def sliding_nb(vector: DataFrame, *, window: int = 50_001, flank: int = 500, fra
         return rows
 
     wider = StructType([*vector.schema.fields, StructField("enough_bg", BooleanType()), StructField("sliding_r", DoubleType()), StructField("sliding_p", DoubleType())])
-    return tiled(vector, far, far, tile).groupBy(*keys, "tile").applyInArrow(run, wider)
+    return spread_out(tiled(vector, far, far, tile), *keys, "tile").groupBy(*keys, "tile").applyInArrow(run, wider)

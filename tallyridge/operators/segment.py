@@ -12,6 +12,8 @@ matrix for each tile, and its runs.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,18 +98,27 @@ def runs_of(pos: np.ndarray, scores: np.ndarray, path: np.ndarray) -> tuple[np.n
 
 def settled(starts: list[int], sums: list[np.ndarray], size: int, least: int) -> list[tuple[int, int, float]]:
     """(start, end, state) that cover the contig: short parts join a neighbour, the shortest first."""
-    starts, sums = [0, *starts[1:]], list(sums)
-    while len(starts) > 1:
-        lengths = np.diff([*starts, size])
-        k = int(lengths.argmin())
-        if lengths[k] >= least:
+    n, sums = len(starts), list(sums)
+    starts, ends = [0, *starts[1:]], [*starts[1:], size]
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    there, left = [True] * n, n
+    waiting = [(ends[k] - starts[k], starts[k], k) for k in range(n)]
+    heapify(waiting)
+    while left > 1:
+        length, _, k = heappop(waiting)
+        if not there[k] or length != ends[k] - starts[k]:
+            continue  # has joined another, or is longer since
+        if length >= least:
             break
-        fits = [(sums[k][sums[j].argmax()], j) for j in (k - 1, k + 1) if 0 <= j < len(starts)]
-        j = max(fits)[1]
-        sums[min(j, k)] = sums[j] + sums[k]
-        del starts[max(j, k)], sums[max(j, k)]
+        j = max((sums[k][sums[j].argmax()], j) for j in (before[k], after[k]) if j >= 0)[1]
+        a, b = min(j, k), max(j, k)
+        sums[a], ends[a], after[a], there[b] = sums[j] + sums[k], ends[b], after[b], False
+        if after[b] >= 0:
+            before[after[b]] = a
+        left -= 1
+        heappush(waiting, (ends[a] - starts[a], starts[a], a))
     out: list[tuple[int, int, float]] = []
-    for start, end, total in zip(starts, [*starts[1:], size], sums):
+    for start, end, total in ((starts[k], ends[k], sums[k]) for k in range(n) if there[k]):
         state = STATES[int(total.argmax())]
         if out and out[-1][2] == state:
             out[-1] = (out[-1][0], end, state)

@@ -50,6 +50,11 @@ def window_sums(vector: DataFrame, left: int, right: int, values: dict[str, Colu
     return own_rows(tile_sums(tiled(vector, left, right, tile), left, right, values, keys))
 
 
+def spread_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over as many tasks as a shuffle has, however small they are: for what becomes many more rows, or long work, in its task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sums_around(x: np.ndarray, left: int, right: int) -> np.ndarray:
     """The sum over [k - left, k + right] around each value, cut at the ends."""
     so_far, at = np.concatenate((np.zeros(1, x.dtype), x.cumsum())), np.arange(len(x))
@@ -111,7 +116,7 @@ def count_sums(cuts: DataFrame, contigs: DataFrame, window: int, fraction: float
         return pa.table(columns)
 
     kinds = "contig string, size long, pos long, agg double" + (", mappable boolean" if masked else "")
-    return dealt.groupBy("contig", "tile").applyInArrow(run, kinds)
+    return spread_out(dealt, "contig", "tile").groupBy("contig", "tile").applyInArrow(run, kinds)
 
 
 def running(vector: DataFrame, window: int, what: str, fraction: float | None = 0.05, keys: tuple[str, ...] = ("contig",), tile: int = TILE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -603,3 +604,35 @@ def test_regions_are_made_of_significant_positions_alone(spark):
         found = islands.regions(given, "x", 2.0, 101).collect()
         assert sorted((r["start"], r["end"]) for r in found) == sorted((r["start"], r["end"]) for r in dense_rows) and 3 < len(found)
         assert sum(r["n_significant"] for r in found) == rows.where("x >= 2").count()
+
+
+def test_short_parts_join_the_shortest_first_however_many(spark):
+    def naive(starts, sums, size, least):
+        starts, sums = [0, *starts[1:]], list(sums)
+        while len(starts) > 1:
+            lengths = np.diff([*starts, size])
+            k = int(lengths.argmin())
+            if lengths[k] >= least:
+                break
+            j = max((sums[k][sums[j].argmax()], j) for j in (k - 1, k + 1) if 0 <= j < len(starts))[1]
+            sums[min(j, k)] = sums[j] + sums[k]
+            del starts[max(j, k)], sums[max(j, k)]
+        return [(a, int(s.argmax())) for a, s in zip(starts, sums)]
+
+    rng = np.random.default_rng(1)
+    for n, least in ((1, 50), (2, 50), (200, 50), (200, 300), (200, 10**6)):
+        starts = np.sort(rng.choice(4_000, n, replace=False)).tolist()
+        sums = list(rng.integers(-30, 0, (n, len(segment.STATES))).astype(float))
+        want = naive(starts, sums, 4_000, least)
+        kept = [x for k, x in enumerate(want) if not k or x[1] != want[k - 1][1]]
+        assert [(a, segment.STATES.index(s)) for a, _, s in segment.settled(starts, sums, 4_000, least)] == kept
+    began, n = time.time(), 40_000  # a scan of all parts for each that joins takes minutes
+    parts = segment.settled(list(range(0, 10 * n, 10)), list(rng.normal(size=(n, len(segment.STATES)))), 10 * n, 1_000)
+    assert time.time() - began < 15 and parts[0][0] == 0 and parts[-1][1] == 10 * n and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_thresholds_of_positions_are_made_by_many_tasks(spark):
+    size = 1_500_000
+    centres, contigs = spark.createDataFrame([("c", 0, 1.0), ("c", 900_000, 2.0)], "contig string, centre long, value double"), spark.createDataFrame([("c", size, 0)], "contig string, size long, ord int")
+    made = background.interpolated(centres, contigs, 900_000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 1 and sum(r["count"] for r in made) == size
