@@ -14,7 +14,9 @@ EVENT_CUTS_SQL = "SELECT event_type AS contig, CAST(floor((epoch(ts) - epoch(TIM
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(contig, pos, cnt)`` of ``lineitem``."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy(F.concat("l_returnflag", "l_linestatus").alias("contig"), F.col("l_orderkey").alias("pos")).agg(F.sum(F.col("l_quantity").cast("long")).alias("cnt"))
+    rows = lines.select(F.concat("l_returnflag", "l_linestatus").alias("contig"), F.col("l_orderkey").alias("pos"), F.col("l_quantity").cast("long").alias("quantity"))
+    # few lines share a position: adding them up before they are dealt would hold nearly all of them for nothing
+    return rows.repartition("contig", "pos").groupBy("contig", "pos").agg(F.sum("quantity").alias("cnt"))
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,15 @@ def folder(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tallyridge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+    """For jobs on narrow tables: batches to Python are bounded by rows alone. Spark adds up a batch's bytes at each of its rows, which costs more than to send them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, (1 << 31) - 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

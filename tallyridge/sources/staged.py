@@ -15,6 +15,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyridge.sources.scratch import batches_by_rows
+
 MANIFEST = "_manifest.json"
 
 
@@ -100,7 +102,8 @@ class Staged:
             some = left[k : k + (at_a_time or len(left))]
             rows = df if len(some) == len(contigs) else df.where(F.col("contig").isin(some))
             beside = f"{self.path}/_job-{uuid.uuid4().hex}"
-            rows.write.option("compression", "zstd").partitionBy("contig").parquet(beside)
+            with batches_by_rows(self.spark):
+                rows.write.option("compression", "zstd").partitionBy("contig").parquet(beside)
             for name in self.files.folders(beside):
                 self.files.move(f"{beside}/{name}", f"{self.path}/{name}")
             done = [*done, *some]

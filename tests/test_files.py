@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyridge.sources import blocks, tracks
+from tallyridge.sources.scratch import batches_by_rows
 
 SCHEMA = "contig string, start long, end long, cnt long, name string"
 
@@ -107,3 +108,12 @@ def test_summaries_of_tracks(spark, tmp_path):
         for k, (n, low, high, total, squares) in want.items():
             assert (read[k]["n"], read[k]["low"], read[k]["high"]) == (n, low, high) and abs(read[k]["mean"] - total / n) < 1e-9
             assert abs(read[k]["deviation"] - np.sqrt(max(squares / n - (total / n) ** 2, 0))) < 1e-6
+
+
+def test_batches_by_rows_leave_the_setting_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), batches_by_rows(spark):
+        assert int(spark.conf.get(name)) == 2**31 - 1
+        raise KeyError
+    assert spark.conf.get(name) == before
